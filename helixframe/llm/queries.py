@@ -18,6 +18,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixture import mixture
 
@@ -30,16 +36,51 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import licenses
+
+    return licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import language
+
+    return language(table(spark, sf_dir, "documents"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_file
 
     return token_file(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES = {
-    "op2_mixture": op2_mixture,
-    "op3_contamination": op3_contamination,
-    "op7_token_file": op7_token_file,
+    f.__name__: f
+    for f in (op1_toxicity, op2_mixture, op3_contamination, op4_near_duplicates, op5_licenses, op6_language, op7_token_file, op8_neighbours, op9_quality, op10_substrings)
 }
 
 ORACLES: dict[str, str] = {}

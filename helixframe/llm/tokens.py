@@ -30,6 +30,8 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +54,9 @@ WRITER = {
     "parquet.dictionary.page.size": str(512 << 10),
     "compression": "zstd",
 }
-#: Where a text may be cut, and what keeps a plain split at spaces from finding just these places.
+#: Where a text may be cut, and white space beside which a plain split at spaces may cut elsewhere.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_RISKY = re.compile(r"\s \S|\S \s|\s  |^ | $")
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Encoder:
@@ -62,54 +64,70 @@ class Encoder:
 
     def __init__(self, path: str, end: int = END, memo: int = MEMO):
         import json
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.uint32(end).tobytes()
         self.most = memo
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # pieces without the space before them
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        special = [t["content"] for t in spec.get("added_tokens", [])]
         # an added token may match across a space, or be part of a piece: such texts are encoded whole
-        self.added = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        self.added = re.compile("|".join(map(re.escape, special))) if special else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.after_space = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.after_space[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str] | None:
-        """Cut before each space between two characters that aren't white space."""
+        """Pieces between spaces that stand between two characters other than white space; None: not to be cut."""
         if not self.cuts or self.added is not None and self.added.search(text):
             return None
-        if _RISKY.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):
+            first, *rest = _CUT.split(text)
+            return [first, *(x[1:] for x in rest)]
+        return text.split(" ")
+
+    def learn(self, fresh: list[str]) -> None:
+        """Encode pieces with the space before them, many in one text: each begins at a token that begins with it."""
+        for at in range(0, len(fresh), 4000):
+            part = fresh[at : at + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(map(" ".__add__, part))], add_special_tokens=False)[0].ids, np.uint32)
+            starts = np.flatnonzero(self.after_space[ids])
+            if len(starts) != len(part):
+                self.memo.update(zip(part, self.encoded([" " + x for x in part]), strict=True))
+                continue
+            flat, bounds = ids.tobytes(), np.append(starts * 4, len(ids) * 4).tolist()
+            self.memo.update(zip(part, [flat[a:b] for a, b in pairwise(bounds)], strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        whole = [t for t, p in zip(texts, cut, strict=True) if p is None]
-        alone = iter(self.encoded(whole) if whole else ())
-        out = []
-        memo = self.memo
-        fresh = list({x for p in cut if p for x in p}.difference(memo))
-        if len(memo) + len(fresh) > self.most:
-            memo.clear()
-            fresh = list({x for p in cut if p for x in p})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            memo.update(zip(part, self.encoded(part), strict=True))
-        get = memo.__getitem__
-        for p in cut:
-            out.append((next(alone) if p is None else b"".join(map(get, p))) + self.end)
-        return out
+        cut = [self.pieces(t) if t else [""] for t in texts]
+        heads = self.encoded([t if p is None else p[0] for t, p in zip(texts, cut, strict=True)])
+        rest = [p[1:] if p else () for p in cut]
+        distinct = set(chain.from_iterable(rest))
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        self.learn(list(distinct.difference(self.memo)))
+        get = self.memo.__getitem__
+        return [b"".join((head, *map(get, p), self.end)) for head, p in zip(heads, rest, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str, end: int) -> Encoder:
+    """One encoder, with its memo, for all tasks of a worker."""
+    return Encoder(path, end)
 
 
 def _writer_task(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end)
+        encoder = encoder_of(path, end)
         seq = 0
         for batch in batches:
             ids = encoder([(t or b"").decode() for t in utf8(batch["text"])])
