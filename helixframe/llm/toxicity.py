@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of character n-grams (``ORDERS`` code points,
+Features are logarithmic counts of character n-grams (``ORDERS`` code points,
 lower-cased, everything that is neither letter nor digit as a space) hashed
-into ``2**BITS`` slots. Fitting counts, for each slot, the toxic and the clean
+into ``2**BITS`` slots, and the logarithm of the text's length, which says how
+many to expect by chance. Fitting counts, for each slot, the toxic and the clean
 training documents that have it; the ratio of their smoothed shares is the
 slot's log-count ratio r. The slots with the strongest association keep their
 place, and a logistic regression is fitted on features scaled by r.
@@ -33,11 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import discard, fold, materialize, small_batches, utf8
 
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4, 5, 6)
 BITS = 20
 FIT_ROWS = 6000
-FEATURES = 6000
+FEATURES = 2500
 LEAST_DOCS = 4
+L2 = 3e-4
 CHUNK = 200_000
 SLICES = 32
 _PLAIN = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(128)], np.uint32)
@@ -71,9 +73,9 @@ def chunks_of(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.n
             first, held, size = k + 1, [], 0
 
 
-def present(texts: list[bytes | None], place: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, feature) pairs; ``place`` maps slots to features, below 0 for none."""
-    rows, features = [], []
+def present(texts: list[bytes | None], place: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, feature) pairs and their counts, and code points a document; ``place`` maps slots to features, below 0 for none."""
+    rows, features, times, lengths = [], [], [], []
     for first, starts, code in chunks_of(texts):
         keys = []
         for order, slots in slots_of(code):
@@ -86,23 +88,32 @@ def present(texts: list[bytes | None], place: np.ndarray | None, width: int) ->
             doc = np.searchsorted(starts, at, "right") - 1
             inside = at + order <= starts[doc + 1]
             keys.append(doc[inside] * width + feature[inside])
-        found = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        found, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
         rows.append(found // width + first)
         features.append(found % width)
-    return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(features or [np.zeros(0, np.int64)])
+        times.append(n)
+        lengths.append(np.diff(starts))
+    return tuple(np.concatenate(x or [np.zeros(0, np.int64)]) for x in (rows, features, times, lengths))
+
+
+def with_length(rows: np.ndarray, features: np.ndarray, values: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One more feature a document, numbered ``width``: the logarithm of its length."""
+    return np.append(rows, np.arange(len(lengths))), np.append(features, np.full(len(lengths), width)), np.append(values, np.log(lengths + 20.0) / 4)
 
 
 @dataclass
 class Model:
     place: np.ndarray  # slot -> feature or -1
-    weight: np.ndarray
+    weight: np.ndarray  # by feature, the length's last
     bias: float
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         z = np.full(len(texts), self.bias)
-        if len(self.weight):
-            rows, features = present(texts, self.place, len(self.weight))
-            z += np.bincount(rows, self.weight[features], len(texts))
+        if len(self.weight) and texts:
+            width = len(self.weight) - 1
+            rows, features, times, lengths = present(texts, self.place, width)
+            rows, features, values = with_length(rows, features, np.log1p(times), lengths, width)
+            z += np.bincount(rows, self.weight[features] * values, len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -110,7 +121,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
         label = np.array(batch["label"].to_pylist(), np.int64)
-        rows, slots = present(list(utf8(batch["text"])), None, 1 << BITS)
+        rows, slots, _, _ = present(list(utf8(batch["text"])), None, 1 << BITS)
         for y in (0, 1):
             counts[y] += np.bincount(slots[label[rows] == y], minlength=1 << BITS).astype(np.int32)
     parts = counts.reshape(2, SLICES, -1)
@@ -126,9 +137,10 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
 def _vectors(place: np.ndarray, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, features = present(list(utf8(batch["text"])), place, width)
+            rows, features, times, lengths = present(list(utf8(batch["text"])), place, width)
             ends = np.searchsorted(rows, np.arange(len(batch) + 1))
-            yield pa.RecordBatch.from_arrays([batch["label"], pa.array([features[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["label", "features"])
+            pairs = np.stack([features, times], 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(lengths, pa.int64()), pa.array([pairs[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["label", "length", "features"])
 
     return vectors
 
@@ -179,11 +191,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     place = nothing.copy()
     place[kept["slot"].to_numpy()] = np.arange(len(kept), dtype=np.int32)
     r = kept["r"].to_numpy()
-    got = sample.mapInArrow(_vectors(place, len(kept)), "label int, features binary").toPandas()
-    each = [np.frombuffer(x, np.int32) for x in got["features"]]
-    flat = np.concatenate(each) if each else np.zeros(0, np.int32)
-    rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    weight, bias = logistic(rows, flat, r[flat], got["label"].to_numpy(float), len(kept))
+    got = sample.mapInArrow(_vectors(place, len(kept)), "label int, length long, features binary").toPandas()
+    each = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in got["features"]]
+    flat = np.concatenate([*each, np.zeros((0, 2), np.int32)])
+    rows, columns, values = with_length(np.repeat(np.arange(len(each)), [len(x) for x in each]), flat[:, 0], np.log1p(flat[:, 1]), got["length"].to_numpy(), len(kept))
+    r = np.append(r, 1.0)
+    weight, bias = logistic(rows, columns, values * r[columns], got["label"].to_numpy(float), len(r), l2=L2, start=0.1)
     discard(sample)
     return Model(place, weight * r, bias + float(np.log(prior / (1 - prior)) - np.log(sizes[1] / sizes[0])))
 
