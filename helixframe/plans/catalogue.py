@@ -1,4 +1,384 @@
-"""All registered queries of the library proper, with their oracles."""
+"""All registered queries of the library proper, with their DuckDB oracles.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Every query runs over its whole tables. A query without an oracle is one whose
+rules need loops that SQL has no bounded form for; tests compare those with
+plain versions on small graphs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import sequence as S
+from ..operators import contract, graph, inflate, kernels, kmers, paths, walks
+from ..streaming.reduce import reduce_documents
+from . import oracles as O
+from . import relations as R
+from .assembly import Parameters, iterative, shrunk_assembly
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+P = Parameters()
+MIN_COVERAGE, MIN_LENGTH, SHAVE, BUDGET = 3.0, 150, 250, 150
+K, K_SMALL = 21, 9
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    steps = R.walk_steps(spark, sf_dir)
+    return R.segments(spark, sf_dir, steps), R.half_edges(steps), steps
+
+
+def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seg"), S.dna(F.col("text")).alias("seq"))
+
+
+def _edges_out(edges: DataFrame) -> DataFrame:
+    return edges.select("a", F.col("ea").cast("int").alias("ea"), "b", F.col("eb").cast("int").alias("eb"))
+
+
+# scalars and scans
+
+
+@query(O.REVERSE_COMPLEMENT)
+def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.reads(spark, sf_dir).select("read_id", S.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query(O.HOMOPOLYMER_COMPRESS)
+def homopolymer_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.reads(spark, sf_dir).select("read_id", S.homopolymer_compressed(F.col("seq")).alias("hpc"))
+
+
+@query(O.RUN_MIDDLE)
+def run_middle_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kernels.run_middles(R.reads(spark, sf_dir))
+    return found.groupBy("read_id").agg(F.count("*").alias("n_runs"), F.sum("pos").alias("sum_pos"), F.sum(F.col("pos") * F.col("digit")).alias("sum_weighted"))
+
+
+@query(O.CANONICAL_KMER)
+def canonical_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = kernels.kmer_places(R.segment_sequences(spark, sf_dir).withColumnRenamed("seg", "read_id"), K)
+    return places.select(F.col("read_id").alias("seg"), "pos", S.unpacked(F.least("forward", "reverse"), K).alias("kmer"))
+
+
+@query(O.KMER_HASH)
+def kmer_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kernels.whole_hashes(R.segment_sequences(spark, sf_dir).withColumnRenamed("seg", "read_id"))
+    return found.select(F.col("read_id").alias("seg"), "hash")
+
+
+@query(O.rolling(P.order))
+def rolling_hash_both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kernels.rolling_hashes(R.reads(spark, sf_dir), P.order)
+    less = S.unsigned_less(F.col("forward"), F.col("reverse"))
+    return found.groupBy("read_id").agg(F.count("*").alias("n_windows"), F.bit_xor("forward").alias("xor_forward"), F.bit_xor("reverse").alias("xor_reverse"), F.count_if(less).alias("n_forward"), F.sum(S.unsigned_mod(F.col("forward"), P.compression)).alias("sum_mod"))
+
+
+@query(O.sample(P.order, P.compression))
+def msr_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.samples(R.reads(spark, sf_dir), P.order, P.compression)
+
+
+@query(O.reduce(P.order, P.compression))
+def msr_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.reduced(R.reads(spark, sf_dir), P.order, P.compression, P.hpc)
+
+
+@query(O.reduce(P.order, P.compression))
+def stream_msr_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce_documents(spark, sf_dir, P.order, P.compression)
+
+
+@query(O.CIGAR)
+def cigar_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quantity = F.col("l_quantity").cast("int").cast("string")
+    cigar = F.when(F.col("l_returnflag") == "A", F.lit("*")).otherwise(F.concat(quantity, F.when(F.col("l_returnflag") == "N", F.lit("M")).otherwise(F.lit("I"))))
+    rows = R.table(spark, sf_dir, "lineitem").select(cigar.alias("cigar"))
+    return rows.groupBy("cigar").agg(F.count("*").alias("n")).select("cigar", S.cigar_overlap(F.col("cigar")).alias("overlap"), "n")
+
+
+# k-mers
+
+
+@query(O.kmer_count(K_SMALL, 1))
+def kmer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.named_counts(R.reads(spark, sf_dir), K_SMALL)
+
+
+@query(O.kmer_count(K, 2))
+def kmer_abundance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.named_counts(R.reads(spark, sf_dir), K, 2)
+
+
+@query(O.kmer_spectrum(K))
+def kmer_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.spectrum(R.reads(spark, sf_dir), K)
+
+
+@query(O.contig_lookup(31, 5))
+def kmer_contig_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.contig_hits(R.reads(spark, sf_dir), _contigs(spark, sf_dir), 31, 5)
+
+
+@query(O.needed(31, 10))
+def needed_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.needed(_contigs(spark, sf_dir), 31, 10)
+
+
+@query(O.semi_join(31, 10))
+def kmer_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.semi_join(R.reads(spark, sf_dir), kmers.needed(_contigs(spark, sf_dir), 31, 10), 31)
+
+
+@query(O.dictionary(P.order, P.compression, P.km))
+def kmer_dictionary_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inflate.dictionary(inflate.sightings(R.reads(spark, sf_dir), P.order, P.compression, P.km))
+
+
+@query(O.next_k(31, 2))
+def unitigs_for_next_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.unitigs_for_next_k(R.segment_sequences(spark, sf_dir), 31, 2)
+
+
+# graph, single pass
+
+
+@query(O.HALF_EDGES)
+def load_links_half_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges_out(_graph(spark, sf_dir)[1])
+
+
+@query(O.DEGREE)
+def segment_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(_graph(spark, sf_dir)[1]).select("seg", F.col("end").alias("side"), "degree")
+
+
+@query(O.BEST_NEIGHBOUR)
+def best_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return graph.best_neighbours(segments, edges).select("seg", F.col("end").alias("side"), "best", "best_cov")
+
+
+@query(O.shave(SHAVE))
+def shave_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return graph.shaved(segments, edges, SHAVE)[0]
+
+
+@query(O.BUBBLES)
+def bubble_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return graph.bubbles(segments, edges)
+
+
+@query(O.trim(MIN_COVERAGE, MIN_LENGTH))
+def trim_tips_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return graph.trimmed(segments, edges, MIN_COVERAGE, MIN_LENGTH)[0]
+
+
+@query(O.detach(MIN_COVERAGE, MIN_LENGTH))
+def detach_low_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return _edges_out(graph.detached(segments, edges, MIN_COVERAGE, MIN_LENGTH))
+
+
+@query(O.LINKS_KEPT)
+def links_semi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return _edges_out(graph.links_kept(edges, segments.where("coverage >= 2")))
+
+
+@query(O.LINKS_REMOVED)
+def links_anti_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return _edges_out(graph.links_removed(edges, graph.links_kept(edges, segments.where("coverage >= 2"))))
+
+
+@query(O.COVERAGE)
+def contig_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, _, steps = _graph(spark, sf_dir)
+    return graph.walk_coverage(steps, segments).select("seg", F.round("coverage", 6).alias("coverage"))
+
+
+@query(O.overlap(3000, 1400))
+def exact_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges, _ = _graph(spark, sf_dir)
+    sequences = R.expanded_sequences(spark, sf_dir)
+    found = inflate.overlaps(graph.links_once(edges), sequences, 3000, 1400)
+    return found.select("a", F.col("ea").cast("int").alias("ea"), "b", F.col("eb").cast("int").alias("eb"), "overlap")
+
+
+@query(O.LINK_LINES)
+def write_gfa_links_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.formats import gfa_lines
+
+    segments, edges, _ = _graph(spark, sf_dir)
+    named = segments.select(F.col("seg").cast("string").alias("name"), F.lit("*").alias("seq"), "length", F.col("coverage").cast("int").alias("coverage"))
+    links = edges.select(F.lpad(F.col("a").cast("string"), 12, "0").alias("a"), "ea", F.lpad(F.col("b").cast("string"), 12, "0").alias("b"), "eb", F.lit(0).alias("overlap"))
+    return gfa_lines(named, links).select("line")
+
+
+@query(O.SORT_GFA)
+def sort_gfa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.formats import sorted_gfa
+
+    events = R.table(spark, sf_dir, "events")
+    kind = F.get(F.array(F.lit("L"), F.lit("S"), F.lit("H"), F.lit("#")), (F.col("event_id") % 4).cast("int"))
+    lines = events.select(F.col("event_id").alias("no"), F.concat_ws("\t", kind, F.col("user_id").cast("string"), "event_type").alias("line"))
+    ordered = sorted_gfa(lines)
+    return ordered.groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query(O.ADD_COVERAGES)
+def add_coverages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.formats import add_coverages as add
+
+    _, _, steps = _graph(spark, sf_dir)
+    part = R.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), F.lit(0.0).alias("coverage"), "p_size")
+    visits = steps.groupBy(F.floor(F.col("seg") / R.CLASSES).cast("string").alias("name")).agg(F.count("*").cast("double").alias("coverage"))
+    return add(part, visits).select("name", "coverage")
+
+
+# iterative
+
+
+@query(O.CONTRACTIBLE)
+def contractible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges_out(contract.contractible(_graph(spark, sf_dir)[1]))
+
+
+@query(O.MERGED)
+def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return contract.merged(segments, edges)[0].select("seg", "length", F.round("coverage", 6).alias("coverage"), "parts")
+
+
+@query()
+def merge_adjacent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return _edges_out(contract.merged(segments, edges)[1])
+
+
+@query()
+def unitig_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract.unitigs(R.reads(spark, sf_dir), 25, 2)
+
+
+@query(O.bounded(BUDGET))
+def paths_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    starts = segments.select("seg", F.explode(F.array(F.lit(0), F.lit(1))).alias("end"), F.lit(BUDGET).alias("budget"))
+    path = F.array_join(F.transform("path", lambda x: walks.token(x["seg"], x["fwd"])), "")
+    return paths.bounded(starts, edges, segments).select("seg", F.col("end").alias("side"), path.alias("path"), "length")
+
+
+@query()
+def pop_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return _edges_out(paths.popped(segments, edges, 300))
+
+
+@query()
+def pop_and_shave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return paths.pop_and_shave(segments, edges, 2, 200, 31)
+
+
+@query()
+def iterative_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterative(R.reads(spark, sf_dir), (21, 31), 2)
+
+
+@query()
+def shrunk_read_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shrunk_assembly(R.reads(spark, sf_dir), Parameters(min_abundance=2, ks=(17, 21)))
+
+
+# walks
+
+
+@query(O.PARSED)
+def parse_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.parsed(walks.path_strings(R.walk_steps(spark, sf_dir)))
+
+
+@query(O.SPLIT)
+def split_invalid_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, steps = _graph(spark, sf_dir)
+    return walks.split_at_missing_links(steps, graph.links_kept(edges, segments.where("coverage >= 2")))
+
+
+@query(O.SUPPORT)
+def neighbor_walk_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.prefix_support(R.walk_steps(spark, sf_dir)).drop("parent")
+
+
+@query(O.MAXIMAL)
+def maximal_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.maximal(R.walk_steps(spark, sf_dir))
+
+
+@query(O.STRONG)
+def strong_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.strong(R.walk_steps(spark, sf_dir))
+
+
+@query(O.CONSENSUS)
+def consensus_haploid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, _, steps = _graph(spark, sf_dir)
+    return walks.consensus(steps, segments)
+
+
+@query()
+def bridge_haploid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, _, steps = _graph(spark, sf_dir)
+    return walks.bridges(walks.consensus(steps, segments))
+
+
+@query()
+def unrepresented_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, _, steps = _graph(spark, sf_dir)
+    return walks.unrepresented(walks.strong(steps), walks.bridges(walks.consensus(steps, segments)))
+
+
+@query(O.DUPLICATED)
+def duplicate_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return walks.duplicated(segments, edges, min_absolute=1).select("seg", "copy", "neighbour", F.round("coverage", 6).alias("coverage"))
+
+
+# inflation and checks
+
+
+@query(O.inflate(P.order, P.compression, P.km))
+def inflate_central(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = R.reads(spark, sf_dir)
+    words = inflate.dictionary(inflate.sightings(reads, P.order, P.compression, P.km))
+    contigs = kernels.reduced(reads, P.order, P.compression).withColumnRenamed("read_id", "seg")
+    return inflate.expanded(contigs, words, P.km)
+
+
+@query(O.extension(20, 10))
+def extend_contig_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges, _ = _graph(spark, sf_dir)
+    return inflate.end_extensions(edges, R.expanded_sequences(spark, sf_dir), 20, 10).select("seg", F.col("end").alias("side"), "extension")
+
+
+@query(O.CONTAINMENT)
+def contig_containment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inflate.containment(_contigs(spark, sf_dir), R.reads(spark, sf_dir))
