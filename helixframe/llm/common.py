@@ -161,3 +161,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: An odd number, so that it has an inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+
+
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, as far as they were needed.
+
+    With prefix sums of values times powers, the polynomial hash of any stretch
+    is one difference times one power of the inverse.
+    """
+
+    def __init__(self, base: int = BASE) -> None:
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = 1 << n.bit_length()
+            both = []
+            for factor in (self.base, self.inverse):
+                step = np.full(n, factor, np.uint64)
+                step[0] = 1
+                both.append(np.multiply.accumulate(step))
+            self.up, self.down = both
+        return self.up, self.down

@@ -12,10 +12,12 @@ and offset indexes let a reader fetch the metadata alone, or the pages of a few
 documents.
 
 Byte-level BPE never merges across a space that stands between two characters
-other than white space, so text is cut there, each distinct piece is encoded
-once a worker (a bounded memo), and the pieces' ids are joined. Texts with
-other white space around a space are cut elsewhere only. The ids equal those of
-encoding the whole text; tests compare both. The cut is made only for
+other than white space, so text is cut at such spaces, each distinct piece (told
+apart by a 64-bit hash) is encoded once while a bounded memo holds it, and the
+pieces' ids are joined. The ids equal those of
+encoding the whole text; tests compare both. Pieces of plain characters are cut
+on at the borders between letters, digits, signs and line ends, where the
+pre-tokenizer cuts too, before they are encoded. The cut is made only for
 tokenizers whose pre-tokenizer is the plain byte-level one; others encode whole
 texts.
 
@@ -31,17 +33,18 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, utf8
+from .common import BASE as _BASE
+from .common import Powers, mixed, shared_dir, small_batches, utf8
 
 END = 2
-MEMO = 400_000
+MEMO = 1_200_000
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 PAGE_ROWS = 2000
@@ -54,13 +57,58 @@ WRITER = {
     "parquet.dictionary.page.size": str(512 << 10),
     "compression": "zstd",
 }
-#: Where a text may be cut, and white space beside which a plain split at spaces may cut elsewhere.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# White space (of any kind) never stands directly before or after a cut: a byte before or after a space is
+# known not to be one if it is ASCII and not white, or belongs to a character in U+00C0..U+00FF (first byte 0xC3).
+_SOLID = np.array([33 <= b <= 126 for b in range(256)])
+#: A piece of these characters alone is cut further, as the byte-level pre-tokenizer cuts it.
+_PLAIN = re.compile(r" ?[!-~\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\n")
+_BYTE = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64)
+SLICE = 2 << 20
+LATELY = 16
+
+
+class Memo:
+    """Ids of pieces by their 64-bit hash, in sorted arrays; on overflow only what was used lately stays."""
+
+    def __init__(self, most: int):
+        self.most, self.now = most, 0
+        self.hash = np.zeros(0, np.uint64)
+        self.start, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.pool = np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of sorted hashes, -1 for those that aren't here."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.where(self.hash[at] == hashes, at, -1)
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        if not ids:
+            return
+        if len(self.hash) > self.most:
+            keep = np.flatnonzero(self.used > self.now - LATELY)
+            self.pool, _ = self.gather(keep)
+            self.hash, self.size, self.used = self.hash[keep], self.size[keep], self.used[keep]
+            self.start = np.cumsum(self.size) - self.size
+        size = np.array([len(x) // 4 for x in ids])
+        start = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(ids), np.uint32)))
+        at = np.searchsorted(self.hash, hashes)
+        self.hash, self.start, self.size, self.used = (np.insert(x, at, y) for x, y in ((self.hash, hashes), (self.start, start), (self.size, size), (self.used, self.now)))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some pieces one after another, and how many each has."""
+        size = self.size[places]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.start[places] - ends + size, size) + np.arange(total)], size
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, the end id included."""
+    """Ids of whole texts, the end id included."""
 
     def __init__(self, path: str, end: int = END, memo: int = MEMO):
         import json
@@ -70,53 +118,108 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.uint32(end).tobytes()
-        self.most = memo
-        self.memo: dict[str, bytes] = {}  # pieces without the space before them
+        self.end = end
+        self.memo, self.parts, self.most = Memo(memo), {}, memo // 3
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        special = [t["content"] for t in spec.get("added_tokens", [])]
-        # an added token may match across a space, or be part of a piece: such texts are encoded whole
-        self.added = re.compile("|".join(map(re.escape, special))) if special else None
+        # an added token may match across a space, or be part of a piece: texts that have one are encoded whole
+        self.added = [t["content"].encode() for t in spec.get("added_tokens", [])]
         vocabulary = self.tokenizer.get_vocab()
         self.after_space = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.after_space[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.powers = Powers(_BASE)
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Pieces between spaces that stand between two characters other than white space; None: not to be cut."""
-        if not self.cuts or self.added is not None and self.added.search(text):
-            return None
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):
-            first, *rest = _CUT.split(text)
-            return [first, *(x[1:] for x in rest)]
-        return text.split(" ")
-
-    def learn(self, fresh: list[str]) -> None:
-        """Encode pieces with the space before them, many in one text: each begins at a token that begins with it."""
-        for at in range(0, len(fresh), 4000):
-            part = fresh[at : at + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(map(" ".__add__, part))], add_special_tokens=False)[0].ids, np.uint32)
+    def spaced(self, parts: list[str], size: int = 200) -> list[bytes]:
+        """Ids of parts that each begin with a space: many in one text, told apart by tokens that begin with it."""
+        texts = [parts[at : at + size] for at in range(0, len(parts), size)]
+        out: list[bytes] = []
+        for part, e in zip(texts, self.tokenizer.encode_batch_fast(["".join(x) for x in texts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
             starts = np.flatnonzero(self.after_space[ids])
-            if len(starts) != len(part):
-                self.memo.update(zip(part, self.encoded([" " + x for x in part]), strict=True))
-                continue
-            flat, bounds = ids.tobytes(), np.append(starts * 4, len(ids) * 4).tolist()
-            self.memo.update(zip(part, [flat[a:b] for a, b in pairwise(bounds)], strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [""] for t in texts]
-        heads = self.encoded([t if p is None else p[0] for t, p in zip(texts, cut, strict=True)])
-        rest = [p[1:] if p else () for p in cut]
-        distinct = set(chain.from_iterable(rest))
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        self.learn(list(distinct.difference(self.memo)))
-        get = self.memo.__getitem__
-        return [b"".join((head, *map(get, p), self.end)) for head, p in zip(heads, rest, strict=True)]
+            if len(starts) == len(part):
+                flat, bounds = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
+                out += [flat[a:b] for a, b in pairwise(bounds)]
+            else:
+                out += self.encoded(part)
+        return out
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Encode pieces, by parts where they can be cut further."""
+        if not self.cuts:
+            return self.encoded(pieces)
+        cut = [_PARTS.findall(x) if _PLAIN.fullmatch(x) and "\n\n" not in x else None for x in pieces]
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        fresh = list({x for p in cut if p for x in p}.difference(self.parts))
+        after, bare = [x for x in fresh if x[0] == " "], [x for x in fresh if x[0] != " "]
+        self.parts.update(zip(after, self.spaced(after), strict=True))
+        self.parts.update(zip(bare, self.encoded(bare) if bare else (), strict=True))
+        whole = iter(self.encoded([x for x, p in zip(pieces, cut, strict=True) if p is None]))
+        get = self.parts.__getitem__
+        return [next(whole) if p is None else b"".join(map(get, p)) for p in cut]
+
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces start: at each text, and at spaces between two characters other than white space."""
+        if not self.cuts:
+            return offsets[:-1][np.diff(offsets) > 0]
+        at = np.flatnonzero(data[1:-1] == 32) + 1 if len(data) > 2 else np.zeros(0, np.int64)
+        before, after = data[at - 1], data[np.minimum(at + 1, len(data) - 1)]
+        solid = (_SOLID[before] | ((before >= 128) & (data[np.maximum(at - 2, 0)] == 0xC3))) & (_SOLID[after] | (after == 0xC3))
+        at = at[solid]
+        doc = np.searchsorted(offsets, at, "right") - 1
+        inside = (at > offsets[doc]) & (at + 1 < offsets[doc + 1])
+        special = np.zeros(len(offsets), bool)
+        text = data.tobytes() if self.added else b""
+        for token in self.added:
+            place = text.find(token)
+            while place >= 0:
+                special[np.searchsorted(offsets, place, "right") - 1] = True
+                place = text.find(token, place + 1)
+        at = at[inside & ~special[doc]]
+        return np.sort(np.concatenate((offsets[:-1][np.diff(offsets) > 0], at)))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts data[offsets[i]:offsets[i + 1]] one after another, and how many each has."""
+        a = self.starts(data, offsets)
+        b = np.append(a[1:], offsets[-1])
+        up, down = self.powers.to(len(data) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)])))
+        hashes = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        memo = self.memo
+        memo.now += 1
+        place = memo.find(distinct)
+        new = np.flatnonzero(place < 0)
+        memo.used[place[place >= 0]] = memo.now
+        raw = data.tobytes()
+        pieces = [raw[x:y].decode("utf-8", "replace") for x, y in zip(a[first[new]].tolist(), b[first[new]].tolist(), strict=True)]
+        memo.add(distinct[new], self.learn(pieces))
+        ids, size = memo.gather(memo.find(distinct)[which])
+        ends = np.concatenate(([0], np.cumsum(size)))
+        counts = np.diff(ends[np.searchsorted(a, offsets)]) + 1
+        out = np.empty(len(ids) + len(counts), np.uint32)
+        last = np.cumsum(counts) - 1
+        mask = np.ones(len(out), bool)
+        mask[last] = False
+        out[last], out[mask] = self.end, ids
+        return out, counts
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a list of texts, a bounded stretch of them at a time."""
+        ids, counts, held, size = [], [], [], 0
+        for k, text in enumerate(texts):
+            held.append(text)
+            size += len(text)
+            if size >= SLICE or k == len(texts) - 1:
+                x, n = self(np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)]))
+                ids.append(x)
+                counts.append(n)
+                held, size = [], 0
+        return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.concatenate(counts or [np.zeros(0, np.int64)])
 
 
 @lru_cache(maxsize=2)
@@ -130,14 +233,13 @@ def _writer_task(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], It
         encoder = encoder_of(path, end)
         seq = 0
         for batch in batches:
-            ids = encoder([(t or b"").decode() for t in utf8(batch["text"])])
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.uint32).astype(np.int32)))
+            ids, counts = encoder.encode([t or b"" for t in utf8(batch["text"])])
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["part"], pa.array(np.arange(seq, seq + len(ids)), pa.int64()), pa.array(counts), tokens],
+                [batch["doc_id"], batch["part"], pa.array(np.arange(seq, seq + len(counts)), pa.int64()), pa.array(counts, pa.int64()), tokens],
                 names=["doc_id", "part", "seq", "n_tokens", "tokens"],
             )
-            seq += len(ids)
+            seq += len(counts)
 
     return encode
 
