@@ -7,10 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from helixframe.llm.common import materialize, table
 from helixframe.llm.contamination import clean
 from helixframe.llm.mixture import mixed
+from helixframe.llm.neardup import deduplicated
+from helixframe.llm.quality import good
 from helixframe.llm.queries import tokenizer_path
 from helixframe.llm.tokens import token_file
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior chance of being good is under one half go."""
+    return good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
+    return deduplicated(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contract's rule calls contaminated go."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
@@ -26,9 +38,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_file(docs, tokenizer_path())
 
 
-STAGES = [("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
 
-#: Sampling, encoding and trained models are beyond SQL; tests compare each stage with a plain version.
+#: Trained models, sampling and encoding are beyond SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
