@@ -14,8 +14,8 @@ are the same in every place where the window occurs. Its *anchor* is the one of
 them with the smallest hash, so equal windows have equal anchors at equal
 offsets. A window without such a symbol (inside long runs) is its own anchor,
 by its hash; that too depends on its words alone. Consecutive windows with one
-anchor form an *entry*: the anchor's name and a hash of the words around it
-that the entry's windows cover. Entries are about one for a dozen words.
+anchor form an *entry*: a name and a hash of the words around the anchor that
+the entry's windows cover. Entries are about one for a dozen words.
 
 1. Entries are counted by name. A name that occurs once has no repeated window.
 2. Where all entries of a name have the same surroundings, all their windows
@@ -24,6 +24,10 @@ that the entry's windows cover. Entries are about one for a dozen words.
    of surroundings has its windows hashed from the text; a window repeats where
    its hash comes from two places.
 
+The name under which an entry is counted is that of all the words on which its
+anchor depends: they stand in each of its windows, and a short symbol alone
+would bring together windows that share two common words.
+
 Each step is a grouped count with partial aggregation or an equi-join, so one
 passage in a third of all documents costs its rows but is never gathered.
 Texts are joined twice, by document, each time once through a shuffle.
@@ -48,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mixed, release, small_batches, space_words, utf8, word_hashes
+from .common import Powers, discard, materialize, mixed, release, small_batches, space_words, utf8, word_hashes
 
 WINDOW = 35
 ROUNDS = 6
@@ -56,29 +60,9 @@ RUN = 8
 LONGEST = 16
 CHUNK = 60_000
 MEMO = 300_000
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SALT = mixed(np.arange(101, 101 + ROUNDS, dtype=np.uint64))
 
 
-class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as they were needed."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = 1 << n.bit_length()
-            step = np.full(n, _BASE, np.uint64)
-            step[0] = 1
-            self.up = np.multiply.accumulate(step)
-            step = np.full(n, _INVERSE, np.uint64)
-            step[0] = 1
-            self.down = np.multiply.accumulate(step)
-        return self.up, self.down
-
-
 class Words:
     """Word hashes of some documents one after another, each behind a separator; hashes of any stretch."""
 
@@ -181,8 +165,13 @@ def entries(words: Words, window: int) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(fresh)
     a, b, anchor = s[at], s[np.append(at[1:], len(s)) - 1], picked[at]
     around = words.stretch(a, b + window)
-    key = np.where(anchor >= 0, name[anchor] if len(name) else 0, around ^ np.uint64(0x5851F42D4C957F2D))
-    offset = np.where(anchor >= 0, (start[anchor] if len(start) else 0) - a, 0)
+    key, offset = around ^ np.uint64(0x5851F42D4C957F2D), np.zeros(len(a), np.int64)
+    named = np.flatnonzero(anchor >= 0)
+    if len(named):
+        # all words that decided on the symbol stand in the window, and tell more than the symbol's own
+        at = anchor[named]
+        key[named] = mixed(words.stretch(first[at], last[at]) + (start[at] - first[at]).astype(np.uint64))
+        offset[named] = start[at] - a[named]
     around = np.where(anchor >= 0, mixed(around + offset.astype(np.uint64)), 0)
     return key, around, a, b
 
