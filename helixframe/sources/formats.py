@@ -26,13 +26,12 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``name, seq, quality``. A quality line may start with ``@``: a record is one whose four lines are complete.
+    """``name, seq, quality``. A quality line may start with ``@``, so lines are grouped by fours of their number.
 
-    Lines are grouped by fours of their number within a file, which needs one
-    task a file; FASTQ in production comes in many files.
+    That takes one task a file, which holds the file's text: large sets come in many files.
     """
-    spark_lines = spark.read.option("wholetext", "true").text(path).select(F.split(F.regexp_replace("value", "\n+$", ""), "\r?\n").alias("l"))
-    each = spark_lines.select("l", F.explode(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1)).alias("i"))
+    files = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\n+$", ""), "\r?\n").alias("l"))
+    each = files.where(F.size("l") >= 4).select("l", F.explode(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1)).alias("i"))
     at = lambda k: F.get("l", F.col("i") * 4 + k)
     return each.select(F.substring(at(0), 2, 1_000_000).alias("name"), at(1).alias("seq"), at(3).alias("quality"))
 
