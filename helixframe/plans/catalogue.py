@@ -151,7 +151,7 @@ def kmer_dictionary_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.next_k(31, 2))
 def unitigs_for_next_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.unitigs_for_next_k(R.segment_sequences(spark, sf_dir), 31, 2)
+    return kmers.unitigs_for_next_k(_contigs(spark, sf_dir), 31, 2)
 
 
 # graph, single pass
@@ -181,7 +181,7 @@ def shave_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.BUBBLES)
 def bubble_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, _ = _graph(spark, sf_dir)
+    segments, edges = R.order_graph(spark, sf_dir)
     return graph.bubbles(segments, edges)
 
 
@@ -287,15 +287,15 @@ def paths_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.bounded(starts, edges, segments).select("seg", F.col("end").alias("side"), path.alias("path"), "length")
 
 
-@query()
+@query(O.POPPED)
 def pop_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, _ = _graph(spark, sf_dir)
+    segments, edges = R.order_graph(spark, sf_dir)
     return _edges_out(paths.popped(segments, edges, 300))
 
 
 @query()
 def pop_and_shave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, _ = _graph(spark, sf_dir)
+    segments, edges = R.order_graph(spark, sf_dir)
     return paths.pop_and_shave(segments, edges, 2, 200, 31)
 
 
@@ -335,7 +335,7 @@ def maximal_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.STRONG)
 def strong_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walks.strong(R.walk_steps(spark, sf_dir))
+    return walks.strong(R.dense_steps(spark, sf_dir))
 
 
 @query(O.CONSENSUS)

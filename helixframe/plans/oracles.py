@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.sequence import _FORWARD, _REVERSE
-from .relations import CLASSES, SQL_EDGES, SQL_GRAPH, SQL_READS, SQL_SEQUENCES, SQL_STEPS, sql_dna, sql_rc
+from .relations import CLASSES, SQL_DENSE, SQL_EDGES, SQL_GRAPH, SQL_ORDERS, SQL_READS, SQL_SEQUENCES, SQL_STEPS, sql_dna, sql_rc
 
 _F = "[" + ",".join(str(int(x)) for x in _FORWARD.ravel()) + "]::UBIGINT[]"
 _R = "[" + ",".join(str(int(x)) for x in _REVERSE.ravel()) + "]::UBIGINT[]"
@@ -137,7 +137,7 @@ SELECT seg, string_agg(CASE WHEN z IS NULL THEN repeat('N', before) WHEN place =
 
 
 def next_k(k: int, copies: int) -> str:
-    return f"WITH {SQL_SEQUENCES} SELECT seg || '_' || i AS name, seq FROM (SELECT seg, seq, unnest(range(0, {copies})) AS i FROM segment_seq WHERE length(seq) >= {k})"
+    return f"WITH {_CONTIGS} SELECT seg || '_' || i AS name, seq FROM (SELECT seg, seq, unnest(range(0, {copies})) AS i FROM contigs WHERE length(seq) >= {k})"
 
 
 _SIDES = "sides AS (SELECT a AS seg, count(*) FILTER (WHERE ea = 0) AS l, count(*) FILTER (WHERE ea = 1) AS r FROM half_edges GROUP BY a)"
@@ -157,7 +157,12 @@ def shave(longest: int) -> str:
     return f"WITH {SQL_GRAPH}, {_SHAPE} SELECT seg, length, coverage FROM shape WHERE length > {longest} OR (l > 0 AND r > 0)"
 
 
-BUBBLES = f"WITH {SQL_STEPS}, {SQL_EDGES}, {_BUBBLES} SELECT seg, sibling FROM bubbles"
+BUBBLES = f"WITH {SQL_ORDERS}, {_BUBBLES} SELECT seg, sibling FROM bubbles"
+POPPED = f"""WITH {SQL_ORDERS}, summed AS (SELECT *, sum(coverage) OVER (PARTITION BY s) AS total FROM ways),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY (length * coverage + 1000 * total) / (length + 1000) DESC, o) AS n, count(*) OVER (PARTITION BY s) AS m FROM summed),
+lost AS (SELECT * FROM ranked WHERE n > 1 AND m < 50),
+links AS (SELECT s AS a, 1 AS ea, o AS b, 0 AS eb FROM lost UNION SELECT o, 1, s + 1, 0 FROM lost)
+SELECT CASE WHEN a < b THEN a ELSE b END AS a, CASE WHEN a < b THEN ea ELSE eb END AS ea, CASE WHEN a < b THEN b ELSE a END AS b, CASE WHEN a < b THEN eb ELSE ea END AS eb FROM links"""
 
 
 def _weak(c: float, n: int) -> str:
@@ -248,7 +253,7 @@ def _whole(name: str, ok: str) -> str:
   SELECT s.seg, s.side, s.prefix, s.parent, s.depth FROM support s JOIN {name} p ON p.seg = s.seg AND p.side = s.side AND p.prefix = s.parent WHERE {ok.replace('support', 's.support').replace('against', 's.against')})"""
 
 
-STRONG = f"""WITH RECURSIVE {_SUPPORT}, {_whole('strong', 'support >= 2 AND (against = 0 OR support > 4)')},
+STRONG = f"""WITH RECURSIVE {_SUPPORT.replace(SQL_STEPS, SQL_DENSE)}, {_whole('strong', 'support >= 2 AND (against = 0 OR support > 4)')},
 n AS (SELECT *, row_number() OVER (PARTITION BY seg, side ORDER BY depth DESC, prefix) AS n FROM strong)
 SELECT seg, side, prefix AS path, CAST(depth AS INTEGER) AS depth FROM n WHERE n = 1"""
 CONSENSUS = f"""WITH RECURSIVE {_SUPPORT}, segs AS (SELECT DISTINCT seg FROM walk_steps), {_MAXIMAL}, {_whole('fine', '0.2 * (support - 1) > against - 1 AND against < 5')},

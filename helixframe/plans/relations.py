@@ -7,7 +7,7 @@ status the orientation. Half-edges are consecutive steps and their mirrors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import BASES, dna
@@ -25,9 +25,9 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition("read_id")
 
 
-def walk_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def walk_steps(spark: SparkSession, sf_dir: str, seg: Column | None = None) -> DataFrame:
     """``read_id, idx, seg, fwd``; line numbers aren't unique in an order, so they are grouped."""
-    seg = F.col("l_partkey") * CLASSES + F.col("l_suppkey") % CLASSES
+    seg = F.col("l_partkey") * CLASSES + F.col("l_suppkey") % CLASSES if seg is None else seg
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(seg).alias("seg"), F.max(F.col("l_linestatus") == "O").alias("fwd"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     return lines.select(F.col("l_orderkey").alias("read_id"), (F.row_number().over(order) - 1).alias("idx"), "seg", "fwd")
@@ -44,6 +44,20 @@ def mirrored(edges: DataFrame) -> DataFrame:
     return edges.select("a", "ea", "b", "eb").union(edges.select("b", "eb", "a", "ea")).distinct()
 
 
+def dense_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks over ten segments only, so that paths have much support."""
+    return walk_steps(spark, sf_dir, F.col("l_suppkey") % 10)
+
+
+def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Segments and edges of a graph full of bubbles: a customer's orders of one priority are parallel ways between two ends."""
+    orders = table(spark, sf_dir, "orders").select(((F.col("o_custkey") * 5 + F.substring("o_orderpriority", 1, 1).cast("int") - 1) * 4).alias("s"), (F.col("o_orderkey") * 4 + 2).alias("o"), (10 + F.col("o_orderkey") % 40).cast("int").alias("length"), (F.floor(F.col("o_totalprice") / 1000) + 1).cast("double").alias("coverage"))
+    orders = orders.groupBy("s", "o").agg(F.max("length").alias("length"), F.max("coverage").alias("coverage"))
+    ends = orders.groupBy("s").agg(F.sum("coverage").alias("coverage")).select(F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("seg"), F.lit(1000).alias("length"), "coverage")
+    links = orders.select(F.col("s").alias("a"), F.lit(1).alias("ea"), F.col("o").alias("b"), F.lit(0).alias("eb")).union(orders.select("o", F.lit(1), F.col("s") + 1, F.lit(0)))
+    return orders.select(F.col("o").alias("seg"), "length", "coverage").union(ends), mirrored(links)
+
+
 def segments(spark: SparkSession, sf_dir: str, steps: DataFrame) -> DataFrame:
     """``seg, length, coverage``: length from the part's size, coverage the number of steps over it."""
     visits = steps.groupBy("seg").agg(F.count("*").cast("double").alias("coverage")).withColumn("p_partkey", F.floor(F.col("seg") / CLASSES))
@@ -87,5 +101,11 @@ half_edges AS (SELECT a, ea, b, eb FROM following WHERE b IS NOT NULL UNION SELE
 SQL_SEGMENTS = f"""segments AS (
   SELECT seg, CAST(p_size * 10 AS INTEGER) AS length, coverage
   FROM (SELECT seg, CAST(count(*) AS DOUBLE) AS coverage FROM walk_steps GROUP BY seg) JOIN part ON p_partkey = seg // {CLASSES})"""
+SQL_DENSE = SQL_STEPS.replace(f"l_partkey * {CLASSES} + l_suppkey % {CLASSES}", "l_suppkey % 10")
+SQL_ORDERS = """ways AS (
+  SELECT s, o, max(length) AS length, max(coverage) AS coverage FROM (
+    SELECT (o_custkey * 5 + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1) * 4 AS s, o_orderkey * 4 + 2 AS o, 10 + o_orderkey % 40 AS length, floor(o_totalprice / 1000) + 1 AS coverage FROM orders) GROUP BY s, o),
+forward AS (SELECT s AS a, 1 AS ea, o AS b, 0 AS eb FROM ways UNION SELECT o, 1, s + 1, 0 FROM ways),
+half_edges AS (SELECT * FROM forward UNION SELECT b, eb, a, ea FROM forward)"""
 SQL_GRAPH = f"{SQL_STEPS}, {SQL_EDGES}, {SQL_SEGMENTS}"
 SQL_SEQUENCES = f"segment_seq AS (SELECT p_partkey AS seg, {sql_dna('p_name || p_type || p_brand')} AS seq FROM part)"
