@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .oracles import ORACLES
 
 
 def tokenizer_path() -> str:
@@ -83,4 +84,4 @@ QUERIES = {
     for f in (op1_toxicity, op2_mixture, op3_contamination, op4_near_duplicates, op5_licenses, op6_language, op7_token_file, op8_neighbours, op9_quality, op10_substrings)
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
