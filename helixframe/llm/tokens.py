@@ -11,15 +11,13 @@ gets a dictionary while ids repeat enough for one, row groups end at
 and offset indexes let a reader fetch the metadata alone, or the pages of a few
 documents.
 
-Byte-level BPE never merges across a space that stands between two characters
-other than white space, so text is cut at such spaces, each distinct piece (told
-apart by a 64-bit hash) is encoded once while a bounded memo holds it, and the
-pieces' ids are joined. The ids equal those of
-encoding the whole text; tests compare both. Pieces of plain characters are cut
-on at the borders between letters, digits, signs and line ends, where the
-pre-tokenizer cuts too, before they are encoded. The cut is made only for
-tokenizers whose pre-tokenizer is the plain byte-level one; others encode whole
-texts.
+Byte-level BPE never merges across the places where its pre-tokenizer cuts, so
+text is cut at those that are certain from the bytes around them, each distinct
+piece (told apart by a 64-bit hash) is encoded once while a bounded memo holds
+it, and the pieces' ids are joined. The ids equal those of encoding the whole
+text; tests compare both. The cut is made only for tokenizers whose
+pre-tokenizer is the plain byte-level one; others, and texts that hold an added
+token, are encoded whole.
 
 Defined results: a null text counts as empty and has the end id alone; null ids
 come first; rows with equal ids stand in any order beside one another; an empty
@@ -28,7 +26,6 @@ table gives empty files; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -44,7 +41,7 @@ from .common import BASE as _BASE
 from .common import Powers, mixed, shared_dir, small_batches, utf8
 
 END = 2
-MEMO = 1_200_000
+MEMO = 700_000
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 PAGE_ROWS = 2000
@@ -57,16 +54,12 @@ WRITER = {
     "parquet.dictionary.page.size": str(512 << 10),
     "compression": "zstd",
 }
-# White space (of any kind) never stands directly before or after a cut: a byte before or after a space is
-# known not to be one if it is ASCII and not white, or belongs to a character in U+00C0..U+00FF (first byte 0xC3).
-_SOLID = np.array([33 <= b <= 126 for b in range(256)])
-#: A piece of these characters alone is cut further, as the byte-level pre-tokenizer cuts it.
-_PLAIN = re.compile(r" ?[!-~\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\n")
+# Classes of bytes between which, or around which, it is known where the pre-tokenizer cuts: ASCII letters, digits
+# and signs other than the apostrophe (which may begin a contraction). 0: not known.
+_CLASS = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 33 <= b <= 126 and b != 39 else 0 for b in range(128)] + [0] * 128, np.uint8)
 _BYTE = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64)
-SLICE = 2 << 20
-LATELY = 16
+SLICE = 1 << 19
+LATELY = 60
 
 
 class Memo:
@@ -119,7 +112,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end
-        self.memo, self.parts, self.most = Memo(memo), {}, memo // 3
+        self.memo = Memo(memo)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
@@ -128,6 +121,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.after_space = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.after_space[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.line = vocabulary.get("\u010a", -1)
         self.powers = Powers(_BASE)
 
     def encoded(self, texts: list[str]) -> list[bytes]:
@@ -148,39 +142,67 @@ class Encoder:
         return out
 
     def learn(self, pieces: list[str]) -> list[bytes]:
-        """Encode pieces, by parts where they can be cut further."""
+        """Encode pieces; those that begin with a space, and bare letters, many at a time."""
         if not self.cuts:
             return self.encoded(pieces)
-        cut = [_PARTS.findall(x) if _PLAIN.fullmatch(x) and "\n\n" not in x else None for x in pieces]
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        fresh = list({x for p in cut if p for x in p}.difference(self.parts))
-        after, bare = [x for x in fresh if x[0] == " "], [x for x in fresh if x[0] != " "]
-        self.parts.update(zip(after, self.spaced(after), strict=True))
-        self.parts.update(zip(bare, self.encoded(bare) if bare else (), strict=True))
-        whole = iter(self.encoded([x for x, p in zip(pieces, cut, strict=True) if p is None]))
-        get = self.parts.__getitem__
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in cut]
+        after = [x for x in pieces if x[0] == " "]
+        bare = [x for x in pieces if x[0] != " "]
+        spaced, other = iter(self.spaced(after)), iter(self.lines(bare))
+        return [next(spaced) if x[0] == " " else next(other) for x in pieces]
+
+    def lines(self, parts: list[str], size: int = 200) -> list[bytes]:
+        """Ids of parts without a space before them; letters are put on lines of their own in one text."""
+        found = self.encoded([x for x in parts if not x.isalpha()])
+        words, whole = [x for x in parts if x.isalpha()], iter(found)
+        texts = [words[at : at + size] for at in range(0, len(words), size)]
+        out: list[bytes] = []
+        for part, e in zip(texts, self.tokenizer.encode_batch_fast(["\n".join(x) for x in texts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = [*np.flatnonzero(ids == self.line).tolist(), len(ids)]
+            if len(ends) == len(part):
+                out += [ids[a:b].tobytes() for a, b in zip([0, *(x + 1 for x in ends[:-1])], ends, strict=True)]
+            else:
+                out += self.encoded(part)
+        known = iter(out)
+        return [next(known) if x.isalpha() else next(whole) for x in parts]
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Where pieces start: at each text, and at spaces between two characters other than white space."""
-        if not self.cuts:
-            return offsets[:-1][np.diff(offsets) > 0]
-        at = np.flatnonzero(data[1:-1] == 32) + 1 if len(data) > 2 else np.zeros(0, np.int64)
-        before, after = data[at - 1], data[np.minimum(at + 1, len(data) - 1)]
-        solid = (_SOLID[before] | ((before >= 128) & (data[np.maximum(at - 2, 0)] == 0xC3))) & (_SOLID[after] | (after == 0xC3))
-        at = at[solid]
-        doc = np.searchsorted(offsets, at, "right") - 1
-        inside = (at > offsets[doc]) & (at + 1 < offsets[doc + 1])
-        special = np.zeros(len(offsets), bool)
-        text = data.tobytes() if self.added else b""
-        for token in self.added:
-            place = text.find(token)
-            while place >= 0:
-                special[np.searchsorted(offsets, place, "right") - 1] = True
-                place = text.find(token, place + 1)
-        at = at[inside & ~special[doc]]
-        return np.sort(np.concatenate((offsets[:-1][np.diff(offsets) > 0], at)))
+        """Where pieces start: at each text; at single spaces and around single line ends between characters other
+        than white space; and between letters, digits and signs. Only where all of that is certain from the bytes:
+        ASCII, and the letters U+00C0..U+00FF, whose first byte is 0xC3.
+        """
+        first = offsets[:-1][np.diff(offsets) > 0]
+        if not self.cuts or len(data) < 3:
+            return first
+        kind = _CLASS[data]
+        lead = data == 0xC3
+        lead[-1] = False
+        at = np.flatnonzero(lead)
+        letter = (data[at + 1] != 0x97) & (data[at + 1] != 0xB7)  # the signs for times and divided by
+        kind[at[letter]] = kind[at[letter] + 1] = 1
+        solid = (kind > 0) | (data == 39)
+        inner = np.zeros(len(data), bool)  # not the first byte of a character
+        inner[at + 1] = True
+        prev, this = slice(None, -1), slice(1, None)
+        cut = np.zeros(len(data), bool)
+        cut[this] = (kind[prev] > 0) & (kind[this] > 0) & (kind[prev] != kind[this]) & ~inner[this]
+        white = (data == 32) | (data == 10)
+        alone = np.flatnonzero(white[1:-1] & solid[:-2] & solid[2:]) + 1
+        doc = np.searchsorted(offsets, alone, "right") - 1
+        alone = alone[(alone > offsets[doc]) & (alone + 1 < offsets[doc + 1])]
+        cut[alone] = True
+        line = alone[data[alone] == 10] + 1
+        cut[line] = True
+        if self.added:
+            text = data.tobytes()
+            for token in self.added:
+                place = text.find(token)
+                while place >= 0:
+                    k = np.searchsorted(offsets, place, "right") - 1
+                    cut[offsets[k] : offsets[k + 1]] = False
+                    place = text.find(token, place + 1)
+        cut[first] = True
+        return np.flatnonzero(cut)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts data[offsets[i]:offsets[i + 1]] one after another, and how many each has."""
