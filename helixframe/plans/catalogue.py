@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import contract, graph, inflate, kernels, kmers, paths, walks
+from ..operators import align, contract, edit, graph, inflate, kernels, kmers, paths, walks
 from ..streaming.reduce import reduce_documents
 from . import oracles as O
 from . import relations as R
@@ -362,6 +362,30 @@ def duplicate_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.duplicated(segments, edges, min_absolute=1).select("seg", "copy", "neighbour", F.round("coverage", 6).alias("coverage"))
 
 
+@query(O.aligned(31, 5))
+def align_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(R.reads(spark, sf_dir), _contigs(spark, sf_dir), 31, 5)
+
+
+@query(O.spelled(20))
+def spell_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = R.walk_steps(spark, sf_dir)
+    return align.spelled(steps, R.expanded_sequences(spark, sf_dir), 20)
+
+
+@query(O.EXCLUSIVE)
+def duplicate_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    return edit.exclusive_duplicates(segments, edges, short=100).select("seg", "copy", "neighbour", F.round("coverage", 6).alias("coverage"))
+
+
+@query()
+def trim_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _graph(spark, sf_dir)
+    overlaps = edges.withColumn("overlap", (F.col("a") + F.col("b")) % 30)
+    return edit.trimmed_overlaps(segments, overlaps)[0]
+
+
 # inflation and checks
 
 

@@ -102,6 +102,18 @@ def _needed(k: int, stride: int) -> str:
   SELECT seq, unnest(range(0, length(seq) - {k} + 1, {stride})) AS place FROM contigs WHERE length(seq) >= {k} UNION ALL SELECT seq, length(seq) - {k} FROM contigs WHERE length(seq) >= {k}))"""
 
 
+def aligned(k: int, stride: int) -> str:
+    return f"""{contig_lookup(k, stride).replace('SELECT * FROM f UNION ALL SELECT * FROM r ANTI JOIN f USING (read_id, pos)', ', hits AS (SELECT * FROM f UNION ALL SELECT * FROM r ANTI JOIN f USING (read_id, pos))')},
+marked AS (SELECT *, CASE WHEN lag(seg) OVER w = seg AND lag(fwd) OVER w = fwd THEN 0 ELSE 1 END AS fresh FROM hits WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+runs AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY read_id ORDER BY pos) - 1 AS BIGINT) AS idx FROM marked)
+SELECT read_id, idx, seg, fwd, min(pos) AS first, max(pos) AS last, count(*) AS n_hits FROM runs GROUP BY read_id, idx, seg, fwd"""
+
+
+def spelled(overlap: int) -> str:
+    return f"""WITH {SQL_STEPS}, {SQL_SEQUENCES}, t AS (SELECT read_id, idx, CASE WHEN fwd THEN seq ELSE {sql_rc('seq')} END AS t FROM walk_steps w JOIN segment_seq s ON s.seg = w.seg // {CLASSES})
+SELECT read_id, string_agg(CASE WHEN idx = 0 THEN t ELSE substr(t, {overlap + 1}) END, '' ORDER BY idx) AS seq FROM t GROUP BY read_id"""
+
+
 def needed(k: int, stride: int) -> str:
     return f"WITH {_needed(k, stride)} SELECT kmer FROM needed"
 
@@ -271,6 +283,13 @@ SELECT ok.seg, CAST(row_number() OVER (PARTITION BY ok.seg ORDER BY n.b, n.eb) -
 FROM ok JOIN sides t ON t.seg = ok.seg AND t.side = ok.side JOIN near n ON n.a = ok.seg AND n.ea = ok.side JOIN segments s ON s.seg = ok.seg"""
 
 
+EXCLUSIVE = f"""WITH {SQL_GRAPH}, {_NEAR}, degree AS (SELECT a, ea, count(*) AS d FROM half_edges GROUP BY a, ea),
+sides AS (SELECT n.a AS seg, n.ea AS side, count(*) AS n, max(d) AS d, sum(b_cov) AS total, bool_or(n.a = n.b) AS own FROM near n JOIN degree g ON g.a = n.b AND g.ea = n.eb GROUP BY 1, 2),
+ok AS (SELECT s.seg, min(side) AS side FROM sides JOIN segments s USING (seg) WHERE n > 1 AND d = 1 AND NOT own AND (coverage > 0.7 * total OR length < 100) GROUP BY s.seg)
+SELECT ok.seg, CAST(row_number() OVER (PARTITION BY ok.seg ORDER BY n.b, n.eb) - 1 AS INTEGER) AS "copy", n.b AS neighbour, round(coverage * b_cov / total, 6) AS coverage
+FROM ok JOIN sides t ON t.seg = ok.seg AND t.side = ok.side JOIN near n ON n.a = ok.seg AND n.ea = ok.side JOIN segments s ON s.seg = ok.seg"""
+
+
 def extension(overlap: int, size: int) -> str:
     return f"""WITH {SQL_STEPS}, {SQL_EDGES}, {SQL_SEQUENCES}, {_EXPANDED},
 n AS (SELECT a, ea, substr(CASE WHEN eb = 0 THEN y.seq ELSE {sql_rc('y.seq')} END, {overlap + 1}, {size}) AS t, row_number() OVER (PARTITION BY a, ea ORDER BY b DESC, eb DESC) AS n

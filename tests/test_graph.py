@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from helixframe.operators import contract, graph, paths, walks
+from pyspark.sql import functions as F
+
+from helixframe.operators import contract, edit, graph, paths, walks
 
 LINK = {"+": 1, "-": 0}
 
@@ -158,3 +160,20 @@ def test_unitigs_hold_each_solid_kmer_once(spark):
     spelled = [canon(s[i : i + 15]) for s in got for i in range(len(s) - 14)]
     assert sorted(spelled) == sorted(solid)
     assert len(got) == 1 and (got[0] == genome or got[0].translate(comp)[::-1] == genome)
+
+
+def test_trimmed_overlaps(spark):
+    ids, s, e = graph_of(spark, {"a": (100, 1), "b": (100, 1), "c": (100, 1)}, ["a+ b+", "a+ c+"])
+    lost, left = edit.trimmed_overlaps(s, e.withColumn("overlap", F.when(F.col("a") + F.col("b") == 1, 20).otherwise(30)))
+    assert {r["seg"]: (r["left"], r["right"]) for r in lost.collect()} == {0: (0, 20), 1: (0, 0), 2: (10, 0)}
+    assert {r["overlap"] for r in left.collect()} == {0}
+
+
+def test_link_edits(spark):
+    ids, s, e = graph_of(spark, {"a": (10, 1), "b": (10, 1), "c": (10, 1)}, ["a+ b+"])
+    more = edit.links_added(e, spark.createDataFrame([(1, 1, 2, 0)], "a long, ea int, b long, eb int"))
+    assert more.count() == 4 and edit.unpaired(more).count() == 0 and edit.unpaired(more.where("a < b")).count() == 2
+    assert edit.isolated(more, s.where("seg = 1")).count() == 0
+    row = spark.createDataFrame([([1, 2, 3],)], "p array<int>").select(edit.broken(F.col("p"), F.lit(1)).alias("b"), edit.unrolled(F.col("p"), F.lit(2)).alias("u")).first()
+    assert row["b"] == [[1], [2, 3]] and row["u"] == [1, 2, 3, 1, 2, 3]
+    assert edit.shared_depth(s, spark.createDataFrame([(0, 4)], "seg long, n int")).where("seg = 0").first()["coverage"] == 0.25
