@@ -130,7 +130,8 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     )
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"))
     counted = totals.select("source", "source_size")
-    plan = targets(counted, weights, share, most).withColumnRenamed("source", "__source")
+    # written down, its size is known when the join is planned: a short list of sources needs no shuffle of the rows
+    plan = materialize(targets(counted, weights, share, most).withColumnRenamed("source", "__source"), "targets")
     known = rows.join(plan, rows["source"].eqNullSafe(plan["__source"])).drop("__source")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sure = F.floor(expected + 1e-12)
@@ -141,7 +142,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     while True:
         open_rows = state.where(fractional)
         left = open_rows.groupBy("source").agg(F.count("*").alias("__n")).withColumnRenamed("source", "__s")
-        left = left.withColumn("__blocks", F.ceil(F.col("__n") / block))
+        left = materialize(left.withColumn("__blocks", F.ceil(F.col("__n") / block)), "blocks")
         most_blocks = left.agg(F.max("__blocks")).first()[0]
         done.append(state.where(~fractional))
         if not most_blocks:
