@@ -9,8 +9,6 @@ expression.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -19,8 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.loop import dropped as discard
+from ..operators.loop import shared_dir
+from ..operators.loop import written as materialize
 from ..session import prepare
 
+__all__ = ["discard", "materialize", "shared_dir"]
+
 #: ``bytes.split()`` splits at exactly these: space and 0x09-0x0D.
 SPACE_WORD = "[^\\x20\\x09-\\x0D]+"
 #: After lower-casing A-Z: digits, a-z and everything outside ASCII.
@@ -67,40 +70,16 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or where it is unset (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _path_of(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+SMALL_ROWS = 1_000_000
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def small(df: DataFrame, tag: str, most: int = SMALL_ROWS) -> DataFrame:
+    """A short table of fixed-width columns, written down and counted: to be broadcast if it has at most ``most`` rows.
 
-    This cuts the lineage, fixes what a lost executor would otherwise compute
-    anew, and keeps a stage that is used twice from running twice.
+    Beyond that joins deal out both sides as usual.
     """
-    spark = df.sparkSession
-    path = _path_of(spark, tag)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing will read it again."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    kept = materialize(df, tag)
+    return F.broadcast(kept) if kept.count() <= most else kept
 
 
 def release(spark: SparkSession) -> None:
@@ -124,6 +103,15 @@ def fold(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def below(hashed: Column, wanted: int, count: Column | int) -> Column:
+    """Whether a row's 64-bit hash is among the smallest, generously twice ``wanted`` of ``count`` rows.
+
+    Put before a sort or a window that takes the ``wanted`` rows with the smallest hashes, it bounds what reaches them.
+    """
+    share = F.lit(2.0 * wanted + 1000) / F.greatest(F.lit(count) if isinstance(count, int) else count, F.lit(1))
+    return hashed.cast("double") / 2.0**64 + 0.5 <= share
+
+
 def crc_fold(doc_id: object) -> int:
     return zlib.crc32(str(doc_id).encode() if doc_id is not None else b"") % 4
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches, utf8
+from .common import below, fold, small_batches, utf8
 
 DICTIONARY = 64 << 10
 PIECE = 256
@@ -83,6 +83,10 @@ def fit(docs: DataFrame, dictionary: int = DICTIONARY, fit_rows: int = FIT_ROWS)
     small_batches(docs.sparkSession)
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2)).distinct()
     counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    if not counts:
+        return {}
+    rows = F.element_at(F.create_map(*(F.lit(x) for pair in counts.items() for x in pair)), F.col("lang"))
+    train = train.where(below(F.xxhash64("doc_id"), fit_rows, rows))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # the group limit keeps at most fit_rows rows a language and task before the shuffle
     picked = train.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= fit_rows).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), "__rank")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fold, materialize, small_batches, utf8
+from .common import below, discard, fold, materialize, small_batches, utf8
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -167,7 +167,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fit_rows: in
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = None
     for y in (0, 1):
-        part = known.where(F.col("label") == y).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
+        part = known.where((F.col("label") == y) & below(F.xxhash64("__id"), fit_rows, counts.get(y, 0))).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * fit_rows ids: a proven bound for the broadcast
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "label")
