@@ -12,12 +12,13 @@ threshold 0.8 miss all 32 bands with a chance of 5e-8.
 What stands between candidates and an answer:
 
 1. Equal sets are one class from the start; only a class's smallest id goes on.
-2. In each bucket every member is compared with one pivot, so a bucket of m
-   members gives m - 1 pairs and not m * m. A pair's similarity is estimated
+2. Buckets with the same smallest member form one group (near copies share most
+   of their bands). In each group every member is compared with one pivot, so m
+   members give m - 1 pairs and not m * m. A pair's similarity is estimated
    from the agreeing registers, corrected for chance collisions of compressed
    registers of two such set sizes; plausible pairs (within five standard
    deviations) are verified on the full sets.
-3. Verified links give components. A bucket whose members are all in one
+3. Verified links give components. A group whose members are all in one
    component is settled, whatever other pairs it holds. The others get further
    rounds with other pivots, and then all their remaining members are compared
    in groups of two blocks of ``BLOCK``, exactly and without emitting pairs:
@@ -44,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mixed, small_batches, space_words, utf8, word_hashes
+from .common import discard, materialize, mixed, release, small, small_batches, space_words, utf8, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
@@ -53,7 +54,7 @@ ROWS = 4
 MANTISSA = 10
 BLOCK = 256
 PIVOT_ROUNDS = 6
-MEMO = 300_000
+MEMO = 120_000
 _A = np.random.default_rng(2021).integers(0, 2**63, BUCKETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(2022).integers(0, 2**63, BUCKETS, dtype=np.uint64)
 _BANDS = mixed(np.arange(1, BUCKETS // ROWS + 1, dtype=np.uint64))
@@ -71,7 +72,8 @@ def shingle_set(text: bytes | None, size: int, memo: dict[bytes, int]) -> np.nda
     out = np.full(len(h) - k + 1, k, np.uint64)
     for j in range(k):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j])
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def sketch(items: np.ndarray) -> np.ndarray:
@@ -155,7 +157,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [band_keys(np.frombuffer(x, np.uint16).copy()) for x in utf8(batch["sketch"])]
         n = BUCKETS // ROWS
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch["rep"].to_numpy(), n), pa.int64())], names=["key", "rep"])
+        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch["rep"].to_numpy(), n), pa.int64())], names=["band", "rep"])
 
 
 def _verify(percent: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -233,50 +235,60 @@ def _forest(percent: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def _block_pairs(members: DataFrame, block: int) -> DataFrame:
-    """Members of unsettled buckets in groups of two blocks (or one, for a small bucket)."""
+    """Members of unsettled groups, two blocks at a time (or one, for a small group).
+
+    Blocks hold neighbours by component, so that groups of one component are few and can be left out.
+    """
     size = members.groupBy("key").agg(F.count("*").alias("__n")).withColumn("blocks", F.ceil(F.col("__n") / block).cast("int")).drop("__n")
     dealt = members.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("comp", F.when(F.col("blocks") > 1, F.col("rep"))), F.col("blocks")).cast("int"))
-    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).where("x <> y or x = y")
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "rep", "comp", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
 
 
-def near_links(sketched: DataFrame, texts: DataFrame, shingle: int, percent: float, pivot_rounds: int = PIVOT_ROUNDS, block: int = BLOCK) -> DataFrame | None:
+def near_links(sketched: DataFrame, texts: DataFrame, shingle: int, percent: float, pivot_rounds: int = PIVOT_ROUNDS, block: int = BLOCK) -> DataFrame:
     """Verified links between class representatives ``sketched (rep, sketch)`` that connect all that is to be connected.
 
-    ``texts (rep, text)`` are the representatives' texts. None: there are no candidates.
+    ``texts (rep, text)`` are the representatives' texts.
     """
-    banded = sketched.select("rep", "sketch").mapInArrow(_bands, "key long, rep long")
-    banded = materialize(banded, "bands")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("all")).where("lo <> hi")
-    # bands with the very same members are one bucket
-    buckets = shared.groupBy("n", "lo", "hi", "all").agg(F.min("key").alias("key"))
-    members = materialize(banded.join(buckets.select("key"), "key", "left_semi"), "buckets")
+    banded = materialize(sketched.select("rep", "sketch").mapInArrow(_bands, "band long, rep long"), "bands")
+    shared = small(banded.groupBy("band").agg(F.min("rep").alias("key"), F.max("rep").alias("hi")).where("key <> hi").select("band", "key"), "shared-bands")
+    # buckets with one smallest member are one group, with that member as its pivot: near copies share many bands
+    members = banded.join(shared, "band").select("key", "rep").distinct()
+    members = materialize(members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key"), "buckets")
     discard(banded)
-    wanted = members.select("rep").distinct()
-    sets = materialize(texts.join(wanted, "rep", "left_semi").mapInArrow(_full_sets(shingle), "rep long, items binary, sketch binary").dropDuplicates(["rep", "items"]), "sets")
-    links: DataFrame | None = None
-    open_members = members.withColumn("comp", F.col("rep"))
-    for turn in range(pivot_rounds):
-        order = F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0), F.col("rep"), F.col("comp"))
-        pivots = open_members.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.rep").alias("b"), F.col("p.comp").alias("pc"))
-        pairs = open_members.join(pivots, "key").where("comp <> pc").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-        found = materialize(verified(pairs, sets, percent), "links")
-        if turn and found.isEmpty():
-            discard(found)
+    wanted = small(members.select("rep").distinct(), "wanted")
+    sets = materialize(texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep", "text"]).mapInArrow(_full_sets(shingle), "rep long, items binary, sketch binary"), "sets")
+    release(texts.sparkSession)
+    links = materialize(verified(_pivot_pairs(members.withColumn("comp", F.col("rep")), 0), sets, percent), "links")
+    # a group of two is through: its one pair was compared
+    opened = _unsettled(members.where("n > 2").select("key", "rep", "n"), components(links))
+    for turn in range(1, pivot_rounds):
+        large = opened.where(F.col("n") > block)
+        if large.isEmpty():
             break
-        links = found if links is None else materialize(links.union(found), "links")
-        open_members = _unsettled(members, components(links))
-        if open_members.isEmpty():
-            return links
-    while True:
-        groups = _block_pairs(open_members, block).join(sets, "rep")
-        found = materialize(groups.groupBy("key", "x", "y").applyInPandas(_forest(percent), "a long, b long").distinct(), "links")
-        links = found if links is None else materialize(links.union(found), "links")
+        found = materialize(verified(_pivot_pairs(large, turn), sets, percent), "links")
+        if found.isEmpty():
+            break
+        links = materialize(links.union(found), "links")
+        opened = _unsettled(opened.select("key", "rep", "n"), components(links))
+    if opened.isEmpty():
         return links
+    groups = _block_pairs(opened, block)
+    # a group of one component has nothing left to find
+    several = groups.groupBy("key", "x", "y").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "x", "y")
+    asked = groups.join(several, ["key", "x", "y"], "left_semi").join(sets, "rep")
+    return materialize(links.union(asked.groupBy("key", "x", "y").applyInPandas(_forest(percent), "a long, b long").distinct()), "links")
+
+
+def _pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Each member with its group's pivot, unless they are in one component: the smallest, later one drawn by the turn."""
+    order = F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0), F.col("rep"), F.col("comp"))
+    pivots = members.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.rep").alias("b"), F.col("p.comp").alias("pc"))
+    return members.join(pivots, "key").where("comp <> pc").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
 
 
 def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members, with their components, of buckets that hold more than one component."""
-    known = members.join(comps, members["rep"] == comps["v"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    """Members (``key, rep, n``), with their components, of groups that hold more than one component."""
+    known = members.join(comps, members["rep"] == comps["v"], "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
     mixed_keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     return materialize(known.join(mixed_keys, "key", "left_semi"), "unsettled")
 
