@@ -59,7 +59,7 @@ ROUNDS = 6
 RUN = 8
 LONGEST = 16
 CHUNK = 60_000
-MEMO = 300_000
+MEMO = 120_000
 _SALT = mixed(np.arange(101, 101 + ROUNDS, dtype=np.uint64))
 
 
@@ -283,12 +283,13 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     release(spark)
     place = F.struct("key", "around", "off")
     again = contents.groupBy("content").agg(F.max("copies").alias("c"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("c > 1 or lo <> hi").select("content")
-    offsets = contents.join(again, "content", "left_semi").groupBy("key", "around").agg(F.collect_set("off").alias("offs"))
+    # written down, so that the join below deals out both sides anew and can split a passage that is everywhere
+    offsets = materialize(contents.join(again, "content", "left_semi").groupBy("key", "around").agg(F.collect_set("off").alias("offs")), "offsets")
     by_window = differ.join(offsets, ["key", "around"]).select("row", F.explode("offs").alias("o"), "first").select("row", (F.col("first") + F.col("o")).cast("int").alias("first")).withColumn("last", F.col("first"))
     whole = known.where("not differ").select("row", "first", "last")
     spans = whole.unionByName(by_window).join(where, "row").groupBy(F.col("__doc").alias("doc"), F.col("__hash").alias("hash")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     out = materialize(spans, "spans")
-    discard(found, names, known, contents)
+    discard(found, names, known, contents, offsets)
     release(spark)
     return out
 
