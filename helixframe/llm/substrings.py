@@ -32,7 +32,8 @@ Each step is a grouped count with partial aggregation or an equi-join, so one
 passage in a third of all documents costs its rows but is never gathered.
 Texts are joined twice, by document, each time once through a shuffle.
 
-Long runs (over ``RUN`` words) stay as single words that no symbol may depend on.
+Long runs (over ``RUN`` words) stay as single words. Symbols beside one depend on
+its nearest word, as beside a short run; no symbol may depend on more of it.
 Equality is that of 64-bit hashes of windows: all decisions are symmetric, no
 window is dropped.
 
@@ -108,10 +109,8 @@ def symbols(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     size, hard = size[start], (long | ~words.real)[start]
     name = np.where(size > 1, mixed(name[start] + size.astype(np.uint64)), name[start])
     end = start + size
+    # beside a long run, one of its words tells that a symbol ends; only what waits for the run's own name is undecided
     first, last, bad = start - 1, end + 1, hard.copy()
-    # a neighbour in a long run, or none: decided by more than what is near
-    bad[1:] |= hard[:-1]
-    bad[:-1] |= hard[1:]
     for salt in _SALT:
         left = (mixed(name ^ salt) & np.uint64(1)).astype(bool)
         right = ~left & ~hard

@@ -84,6 +84,20 @@ def test_substrings_in_runs_and_periods(spark, seed):
         assert r["n_removed"] == len(gone), r["doc_id"]
 
 
+def test_substrings_beside_runs_of_any_length(spark):
+    # the windows that reach up to 5 words into a run are equal, whether it has 5 or 12
+    rng = random.Random(11)
+    rows, n = [], 300
+    for k in range(n):
+        passage = " ".join(f"w{rng.randrange(10**9)}" for _ in range(36))
+        for j, run in enumerate((12, 5)):
+            text = [passage, " -" * run] if k % 2 else ["- " * run, passage]
+            rows.append((2 * k + j, "".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.substring_dedup(df).collect()}
+    assert got == {i: 41 for i in range(2 * n)}
+
+
 def jaccard_components(rows, shingle):
     sets = {}
     for i, text in rows:
