@@ -147,9 +147,10 @@ def entries(words: Words, window: int) -> tuple[np.ndarray, ...]:
     picked = np.full(len(s), -1, np.int64)
     some = np.flatnonzero(hi > lo)
     if len(some):
-        # smallest hash first, then the leftmost
-        low = np.uint64(0xFFFFF)
-        table = [(mixed(name) & ~low) | np.arange(len(name), dtype=np.uint64)]
+        # smallest hash first, then the leftmost: the hash's rank above 32 bits of place, which hold any number of symbols
+        low = np.int64(0xFFFFFFFF)
+        rank = np.unique(mixed(name), return_inverse=True)[1].astype(np.int64)
+        table = [(rank << np.int64(32)) | np.arange(len(name), dtype=np.int64)]
         lo, hi = lo[some], hi[some]
         level = np.frexp(hi - lo)[1] - 1
         for k in range(int(level.max())):
@@ -158,7 +159,7 @@ def entries(words: Words, window: int) -> tuple[np.ndarray, ...]:
         for k, row in enumerate(table):
             at = np.flatnonzero(level == k)
             best = np.minimum(row[lo[at]], row[hi[at] - (1 << k)])
-            picked[some[at]] = (best & low).astype(np.int64)
+            picked[some[at]] = best & low
     # consecutive windows with one anchor; windows without one stand alone
     fresh = np.concatenate(([True], (picked[1:] != picked[:-1]) | (picked[1:] < 0) | (s[1:] != s[:-1] + 1)))
     at = np.flatnonzero(fresh)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import contamination, language, licenses, mixture, neardup, neighbours, quality, substrings, tokens, toxicity
-from helixframe.llm.common import space_words, utf8
+from helixframe.llm.common import Powers, space_words, utf8
 from helixframe.llm.queries import QUERIES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string"
@@ -98,6 +98,24 @@ def test_substrings_beside_runs_of_any_length(spark):
     assert got == {i: 41 for i in range(2 * n)}
 
 
+def test_substring_anchors_far_into_a_long_document(monkeypatch):
+    # a symbol a word makes more than 2**20 of them without millions of words
+    def each_word(words):
+        at = np.flatnonzero(words.real)
+        return words.hash[at], at, at - 1, at + 2
+
+    monkeypatch.setattr(substrings, "symbols", each_word)
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(100)]
+    filler = [f"w{rng.randrange(50_000)}" for _ in range((1 << 20) + 500)]
+    words = substrings.Words([" ".join(passage + filler + passage).encode()], {}, Powers())
+    key, around, a, b = substrings.entries(words, 35)
+    # the entries of the windows inside the two passages
+    first, again = int(words.starts[0]), int(words.starts[0]) + len(passage) + len(filler)
+    early, late = key[a <= first + 65], key[b >= again]
+    assert len(early) > 1 and set(early.tolist()) == set(late.tolist())
+
+
 def jaccard_components(rows, shingle):
     sets = {}
     for i, text in rows:
