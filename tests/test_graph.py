@@ -1,5 +1,6 @@
 """Graph operators on micro graphs, with outcomes derived from their rules, and on random ones against plain versions."""
 
+import itertools
 import random
 
 import pytest
@@ -112,6 +113,28 @@ def test_pop_bubbles_keeps_the_stronger_walk(spark):
     assert cut == {(0, 1), (1, 3)}
 
 
+def test_pop_bubbles_of_any_number_of_walks(spark):
+    # 60 parallel pieces, and five bubbles in a row: 4 ** 5 walks
+    shape = {"a": (500, 30), "z": (500, 30)} | {f"m{i}": (20, i + 1) for i in range(60)}
+    links = [f"a+ m{i}+" for i in range(60)] + [f"m{i}+ z+" for i in range(60)]
+    ids, s, e = graph_of(spark, shape, links)
+    cut = {(r["a"], r["b"]) for r in paths.popped(s, e, 300).collect()}
+    assert cut == {tuple(sorted((ids[x], ids[f"m{i}"]))) for x in "az" for i in range(59)}
+    shape, links = {"a": (500, 30), "z": (500, 30)}, []
+    joints = ["a", "j0", "j1", "j2", "j3", "z"]
+    shape |= {j: (1, 30) for j in joints[1:-1]}
+    for k in range(5):
+        shape |= {f"p{k}{i}": (10 + i, 5 + (i + k) % 4) for i in range(4)}
+        links += [x for i in range(4) for x in (f"{joints[k]}+ p{k}{i}+", f"p{k}{i}+ {joints[k + 1]}+")]
+    ids, s, e = graph_of(spark, shape, links)
+    cut = {(r["a"], r["b"]) for r in paths.popped(s, e, 300).collect()}
+    ways = [w for w in itertools.product(range(4), repeat=5)]
+    mean = lambda w: sum(shape[f"p{k}{i}"][0] * shape[f"p{k}{i}"][1] for k, i in enumerate(w)) + 15120
+    total = lambda w: sum(shape[f"p{k}{i}"][0] for k, i in enumerate(w)) + 504
+    best = max(ways, key=lambda w: mean(w) / total(w))
+    assert cut == {tuple(sorted((ids[x], ids[f"p{k}{i}"]))) for k in range(5) for i in range(4) if i != best[k] for x in (joints[k], joints[k + 1])}
+
+
 def test_walk_support(spark):
     # walks to the right of s: [x, y] twice, [x], [x, z]
     rows = []
