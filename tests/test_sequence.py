@@ -154,6 +154,14 @@ def test_containment(spark):
     assert got == {0: 1, 1: 1, 2: 0, 3: 0}
 
 
+def test_containment_of_short_contigs(spark):
+    rng = random.Random(16)
+    ref = ["".join(rng.choice("ACGT") for _ in range(120)) for _ in range(4)] + ["AC", ""]
+    contigs = ["", "A", "GT", "ACGTA", ref[0][40:52], rc(ref[1][3:33]), ref[2][10:41], rc(ref[3][50:90]), "A" * 30]
+    got = inflate.containment(spark.createDataFrame(list(enumerate(contigs)), "seg long, seq string"), spark.createDataFrame(list(enumerate(ref)), "read_id long, seq string"))
+    assert {r["seg"]: r["n_in"] for r in got.collect()} == {i: sum(c in r or rc(c) in r for r in ref) for i, c in enumerate(contigs)}
+
+
 def test_window_hash_of_one_kmer():
     f, _ = scalar_hashes("ACGTTGCA", 8)[0]
     assert np.uint64(S.window_hash(b"ACGTTGCA") & MASK) == np.uint64(f)
