@@ -60,6 +60,8 @@ def dictionary(seen: DataFrame) -> DataFrame:
 def expanded(contigs: DataFrame, words: DataFrame, km: int = KM) -> DataFrame:
     """``seg, seq, missing`` of ``contigs (seg, seq)``: their k-mers' central sequences one after another.
 
+    Both ends and contigs under ``km`` are left to ``inflated``.
+
     K-mers overlap so that each central sequence starts with the last base of
     the one before, which is dropped. A missing k-mer gives as many N as the last
     found one was long (1 if there was none).
@@ -78,6 +80,82 @@ def expanded(contigs: DataFrame, words: DataFrame, km: int = KM) -> DataFrame:
     return pieces.groupBy("seg").agg(F.array_join(ordered, "").alias("seq"), F.count_if("gone").alias("missing"))
 
 
+def ends_needed(contigs: DataFrame, km: int = KM) -> DataFrame:
+    """``seg, first, last, first_turned, last_turned``: canonical first and last k-mers of contigs of at least ``km``."""
+    both = contigs.where(F.length("seq") >= km).select("seg", F.substring("seq", 1, km).alias("f"), F.substr("seq", F.length("seq") - km + 1, F.lit(km)).alias("l"))
+    both = both.withColumn("fr", S.reverse_complement(F.col("f"))).withColumn("lr", S.reverse_complement(F.col("l")))
+    return both.select("seg", F.least("f", "fr").alias("first"), F.least("l", "lr").alias("last"), (F.col("fr") < F.col("f")).alias("first_turned"), (F.col("lr") < F.col("l")).alias("last_turned"))
+
+
+def full_sightings(reads: DataFrame, needed: DataFrame, order: int, compression: int, km: int = KM, hpc: bool = True) -> DataFrame:
+    """``read_id, i, kmer, central, full``: sightings of ``needed (kmer)`` with the raw sequence of all samples and ``order`` bases around.
+
+    Only places travel until the k-mers that aren't needed are gone.
+    """
+    prepare(reads.sparkSession)
+    flip = bytes.maketrans(b"ACGT", b"TGCA")
+    names = ["read_id", "i", "kmer", "turned", "c0", "c1", "f0", "f1"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for read, text in zip(batch["read_id"].to_pylist(), batch["seq"].to_pylist(), strict=True):
+                if read is None or not text:
+                    continue
+                seq = text.encode("ascii", "replace")
+                code, at = S.compressed(seq, hpc)
+                t, _, base = S.sampled(code, order, compression)
+                if len(t) < km:
+                    continue
+                where = S.middles(seq, at, code)[t - order // 2].tolist()
+                short = S.letters(base).encode()
+                for i in range(km - 1, len(t)):
+                    kmer = short[i - km + 1 : i + 1]
+                    other = kmer.translate(flip)[::-1]
+                    rows.append((read, i, min(kmer, other).decode(), other < kmer, where[i - km + 1 + FLANK], where[i - FLANK] + 1, max(0, where[i - km + 1] - order), min(len(seq), where[i] + order + 1)))
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    places = reads.select("read_id", "seq").mapInArrow(run, "read_id long, i long, kmer string, turned boolean, c0 long, c1 long, f0 long, f1 long")
+    found = places.join(needed.select("kmer").distinct(), "kmer", "left_semi").join(reads.select("read_id", "seq"), "read_id")
+
+    def piece(a: str, b: str) -> Column:
+        text = F.substr("seq", F.col(a) + 1, F.col(b) - F.col(a))
+        return F.when(F.col("turned"), S.reverse_complement(text)).otherwise(text)
+
+    return found.select("read_id", "i", "kmer", piece("c0", "c1").alias("central"), piece("f0", "f1").alias("full"))
+
+
+def full_dictionary(seen: DataFrame) -> DataFrame:
+    """``kmer, central, full``: of the full sequence that is first seen four times, else the first seen."""
+    found = kmers.majority(seen.select(F.col("kmer").alias("key"), F.struct("full", "central").alias("seq"), F.struct("read_id", "i").alias("ord")))
+    return found.select(F.col("key").alias("kmer"), F.col("seq.central").alias("central"), F.col("seq.full").alias("full"))
+
+
+def inflated(contigs: DataFrame, words: DataFrame, fulls: DataFrame, km: int = KM) -> DataFrame:
+    """``seg, seq, missing`` of ``contigs (seg, seq)`` from end to end, for contigs that no link extends.
+
+    Central sequences one after another (of a k-mer in ``fulls``, the one that
+    goes with its full sequence), then the full sequences of the first and the
+    last k-mer, joined by their overlaps. Contigs under ``km`` are 20 N a base.
+    """
+    wanted = words.select("kmer", "central").join(fulls.select("kmer"), "kmer", "left_anti").unionByName(fulls.select("kmer", "central"))
+    ends = ends_needed(contigs, km)
+    for side in ("first", "last"):
+        full = F.when(F.col(f"{side}_turned"), S.reverse_complement(F.col("full"))).otherwise(F.col("full"))
+        ends = ends.join(fulls.select(F.col("kmer").alias(side), "full"), side, "left").withColumn(f"{side}_full", full).drop("full", side, f"{side}_turned")
+    both = expanded(contigs, wanted, km).join(ends, "seg")
+    gone = F.col("first_full").isNull().cast("long") + F.col("last_full").isNull().cast("long")
+    # only what an overlap can reach is compared
+    begun = both.select("seg", "last_full", (F.col("missing") + gone).alias("missing"), F.concat(reconciled_start(F.substring("seq", 1, SEED), F.col("first_full")), F.substring("seq", SEED + 1, 2_000_000_000)).alias("seq"))
+    reach = F.greatest(F.length("seq") - F.coalesce(F.length("last_full"), F.lit(0)), F.lit(0))
+    split = begun.select("seg", "last_full", "missing", F.substr("seq", F.lit(1), reach).alias("head"), F.substr("seq", reach + 1, F.length("seq")).alias("tail"))
+    whole = split.select("seg", F.concat("head", reconciled_end(F.col("tail"), F.col("last_full"))).alias("seq"), "missing")
+    short = contigs.where(F.length("seq") < km).select("seg", F.repeat(F.lit("N"), F.length("seq") * 20).alias("seq"), F.lit(0).cast("long").alias("missing"))
+    return whole.unionByName(short)
+
+
 def reconciled_start(seq: Column, full: Column) -> Column:
     """``full`` before ``seq``, joined by the longest overlap whose first (up to 30) bases agree."""
     n = F.length(full)

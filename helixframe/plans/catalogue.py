@@ -397,6 +397,16 @@ def inflate_central(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inflate.expanded(contigs, words, P.km)
 
 
+@query()
+def inflate_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = R.reads(spark, sf_dir)
+    words = inflate.dictionary(inflate.sightings(reads, P.order, P.compression, P.km))
+    contigs = kernels.reduced(reads, P.order, P.compression).withColumnRenamed("read_id", "seg")
+    ends = inflate.ends_needed(contigs, P.km)
+    needed = ends.select(F.col("first").alias("kmer")).union(ends.select("last"))
+    return inflate.inflated(contigs, words, inflate.full_dictionary(inflate.full_sightings(reads, needed, P.order, P.compression, P.km)), P.km)
+
+
 @query(O.extension(20, 10))
 def extend_contig_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges, _ = _graph(spark, sf_dir)

@@ -128,6 +128,24 @@ def test_dictionary_brings_reduced_reads_back(spark):
     assert out["missing"] == 0 and out["seq"] in seq and len(out["seq"]) > 4000
 
 
+def test_inflation_from_end_to_end(spark):
+    rng = random.Random(13)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(3000)) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+    contigs = kernels.reduced(df, 21, 5).withColumnRenamed("read_id", "seg")
+    contigs = contigs.unionByName(contigs.where("seg = 0").select(F.lit(2).cast("long").alias("seg"), S.reverse_complement(F.col("seq")).alias("seq")))
+    contigs = contigs.unionByName(spark.createDataFrame([(3, "ACGTA"), (4, "AC" * 20)], "seg long, seq string"))
+    words = inflate.dictionary(inflate.sightings(df, 21, 5))
+    ends = inflate.ends_needed(contigs)
+    needed = ends.select(F.col("first").alias("kmer")).union(ends.select("last"))
+    fulls = inflate.full_dictionary(inflate.full_sightings(df, needed, 21, 5))
+    out = {r["seg"]: (r["seq"], r["missing"]) for r in inflate.inflated(contigs, words, fulls).collect()}
+    at = {r["read_id"]: (r["lo"], r["hi"]) for r in kernels.samples(df, 21, 5).groupBy("read_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).collect()}
+    whole = {i: seqs[i][max(0, lo - 21) : hi + 22] for i, (lo, hi) in at.items()}
+    assert out[0] == (whole[0], 0) and out[1] == (whole[1], 0) and out[2] == (rc(whole[0]), 0)
+    assert out[3] == ("N" * 100, 0) and out[4] == ("N", 3)
+
+
 def test_reconciliation(spark):
     rng = random.Random(4)
     seq = "".join(rng.choice("ACGT") for _ in range(300))
