@@ -149,14 +149,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_bytes
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``docs`` without its contaminated rows; all columns stay.
 
-    With one slice each row is judged as it streams by. With more, rows go by
-    their doc_id, so rows that share one go together.
+    Each row is judged by its own text. With one slice that happens as it streams
+    by; with more, rows are written down with a number by which the verdict finds them.
     """
     small_batches(docs.sparkSession)
     slices = _slices(benchmark, slice_bytes)
     if len(slices) > 1:
-        bad = contamination(docs, benchmark, n, slice_bytes).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+        numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        bad = contamination(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark, n, slice_bytes).where("contaminated").select(F.col("doc_id").alias("__row"))
+        return numbered.join(bad, "__row", "left_anti").select(*docs.columns)
     shared = _shared(slices[0], n)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

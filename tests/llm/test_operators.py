@@ -227,6 +227,16 @@ def test_contamination_equals_brute_force(spark, slice_bytes):
     assert contamination.contamination(df, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("slice_bytes", [60, 1 << 20])
+def test_clean_judges_each_row_that_shares_an_id(spark, slice_bytes):
+    rng = random.Random(14)
+    bench = [(i, prose(rng, 20)) for i in range(6)]
+    rows = [(None, bench[0][1]), (None, prose(rng, 30)), (7, prose(rng, 30)), (7, bench[5][1]), (8, None), (None, None)]
+    kept = contamination.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), slice_bytes=slice_bytes)
+    assert kept.columns == ["doc_id", "text"]
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(rows[1:3] + rows[4:])
+
+
 def test_spans_are_cut_from_texts():
     text = "Keep this, drop These Words now. End"
     assert contamination.without_spans(text, [(2, 5)]) == "Keep this,  now. End"
