@@ -164,8 +164,18 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``docs`` with each row as many times as the mix takes it; all columns stay.
 
-    Ids are taken as unique here; rows that share an id share the larger number of copies.
+    Where ids are unique, copies find their rows by id. Where they aren't, rows are
+    written down with a number that stands for the id, in the draws too.
     """
-    copies = mixture(docs, weights, share, most).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies["__id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__copies", F.lit(1))))).where("__copies > 0").select(*(docs[c] for c in docs.columns))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    key = docs["doc_id"].cast("long")
+    if not ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        columns = docs.columns
+        docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        key = docs["__row"]
+        drawn = docs.select(key.alias("doc_id"), "source", "text")
+    else:
+        columns, drawn = docs.columns, docs
+    copies = mixture(drawn, weights, share, most).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
+    joined = docs.join(copies, key.eqNullSafe(copies["__id"]))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__copies", F.lit(1))))).where("__copies > 0").select(*(docs[c] for c in columns))

@@ -242,6 +242,23 @@ def test_spans_are_cut_from_texts():
     assert contamination.without_spans(text, [(2, 5)]) == "Keep this,  now. End"
 
 
+def test_mixed_meets_targets_without_unique_ids(spark):
+    rng = random.Random(15)
+    rows = [(rng.choice([None, None, 1, 2, 100 + k]), rng.choice(["a", "b", "c"]), " ".join(["w"] * rng.randint(1, 60))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    size = Counter()
+    for _, source, text in rows:
+        size[source] += len(text.split())
+    got = Counter()
+    out = mixture.mixed(df)
+    for r in out.collect():
+        got[r["source"]] += len(r["text"].split())
+    target = {r["source"]: r["target"] for r in mixture.targets(spark.createDataFrame(sorted(size.items()), "source string, source_size long")).collect()}
+    assert out.columns == df.columns
+    for source in size:
+        assert abs(got[source] - target[source]) <= 60
+
+
 def plain_targets(sizes, weights=(3, 1, 2)):
     total = 1.5 * sum(s for _, s in sizes)
     order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
