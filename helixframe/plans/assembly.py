@@ -1,4 +1,10 @@
-"""Composed plans: correction of reads, and assembly over an increasing list of k."""
+"""Composed plans: unitigs over an increasing list of k, of reads or of shrunken reads.
+
+Not built, so errors, tips, bubbles and repeats stay in the result: correction of
+reads (G2) before the first k; after the last k pop_and_shave (G8), merging (G13),
+pop_bubbles (G9), read alignment (G3), untangling (U2-U8), trim_tips (G10) and the
+merges between them. Some of these are operators of their own, but no plan calls them.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +20,11 @@ from ..operators.loop import written
 
 @dataclass(frozen=True)
 class Parameters:
-    """The public parameters, with the defaults of the command line they stand for."""
+    """The public parameters, with the defaults of the command line they stand for.
+
+    ``single_genome``, ``contiguity``, ``longest_read``, ``k_correct`` and ``min_walk_coverage``
+    belong to the stages that are not built; no plan reads them.
+    """
 
     order: int = 101
     compression: int = 20
