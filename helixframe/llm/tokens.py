@@ -13,15 +13,19 @@ documents.
 
 Byte-level BPE never merges across the places where its pre-tokenizer cuts, so
 text is cut at those that are certain from the bytes around them, each distinct
-piece (told apart by a 64-bit hash) is encoded once while a bounded memo holds
-it, and the pieces' ids are joined. The ids equal those of encoding the whole
-text; tests compare both. The cut is made only for tokenizers whose
+piece is encoded once while a bounded memo holds it, and the pieces' ids are
+joined. Pieces are looked up by a 64-bit hash, and every one is compared byte by
+byte with the piece whose ids it gets; a stretch in which one differs is encoded
+anew without hashes. The ids equal those of encoding the whole text; tests
+compare both. The cut is made only for tokenizers whose
 pre-tokenizer is the plain byte-level one; others, and texts that hold an added
 token, are encoded whole.
 
 Defined results: a null text counts as empty and has the end id alone; null ids
-come first; rows with equal ids stand in any order beside one another; an empty
-table gives empty files; other columns are ignored.
+come first; rows with equal ids stand beside one another in the order of their
+texts' hashes, and however many there are, ranges split them; an empty table
+gives empty files; other columns are ignored. A text is encoded whole, so a task
+holds its batch's texts and ids, about eight bytes for each of the text.
 """
 
 from __future__ import annotations
@@ -62,14 +66,22 @@ SLICE = 1 << 19
 LATELY = 60
 
 
+def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of a pool one after another."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.repeat(start - ends + size, size) + np.arange(total)]
+
+
 class Memo:
-    """Ids of pieces by their 64-bit hash, in sorted arrays; on overflow only what was used lately stays."""
+    """Bytes and ids of pieces by their 64-bit hash, in sorted arrays; on overflow only what was used lately stays."""
 
     def __init__(self, most: int):
         self.most, self.now = most, 0
         self.hash = np.zeros(0, np.uint64)
-        self.start, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.start, self.size, self.used, self.at, self.bytes = (np.zeros(0, np.int64) for _ in range(5))
         self.pool = np.zeros(0, np.uint32)
+        self.text = np.zeros(0, np.uint8)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of sorted hashes, -1 for those that aren't here."""
@@ -78,26 +90,28 @@ class Memo:
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
         return np.where(self.hash[at] == hashes, at, -1)
 
-    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+    def add(self, hashes: np.ndarray, pieces: list[bytes], ids: list[bytes]) -> None:
         if not ids:
             return
         if len(self.hash) > self.most:
             keep = np.flatnonzero(self.used > self.now - LATELY)
-            self.pool, _ = self.gather(keep)
-            self.hash, self.size, self.used = self.hash[keep], self.size[keep], self.used[keep]
-            self.start = np.cumsum(self.size) - self.size
-        size = np.array([len(x) // 4 for x in ids])
-        start = len(self.pool) + np.cumsum(size) - size
+            self.pool, self.text = self.ids(keep), gathered(self.text, self.at[keep], self.bytes[keep])
+            self.hash, self.size, self.used, self.bytes = (x[keep] for x in (self.hash, self.size, self.used, self.bytes))
+            self.start, self.at = np.cumsum(self.size) - self.size, np.cumsum(self.bytes) - self.bytes
+        size, length = np.array([len(x) // 4 for x in ids]), np.array([len(x) for x in pieces])
+        start, at = len(self.pool) + np.cumsum(size) - size, len(self.text) + np.cumsum(length) - length
         self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(ids), np.uint32)))
-        at = np.searchsorted(self.hash, hashes)
-        self.hash, self.start, self.size, self.used = (np.insert(x, at, y) for x, y in ((self.hash, hashes), (self.start, start), (self.size, size), (self.used, self.now)))
+        self.text = np.concatenate((self.text, np.frombuffer(b"".join(pieces), np.uint8)))
+        to = np.searchsorted(self.hash, hashes)
+        self.hash, self.start, self.size, self.used, self.at, self.bytes = (np.insert(x, to, y) for x, y in ((self.hash, hashes), (self.start, start), (self.size, size), (self.used, self.now), (self.at, at), (self.bytes, length)))
 
-    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of some pieces one after another, and how many each has."""
-        size = self.size[places]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(self.start[places] - ends + size, size) + np.arange(total)], size
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        """All ids of some pieces one after another."""
+        return gathered(self.pool, self.start[places], self.size[places])
+
+    def spells(self, places: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> bool:
+        """Whether the pieces at ``places``, one after another, are ``data`` cut into ``sizes``."""
+        return bool((self.bytes[places] == sizes).all()) and bool((gathered(self.text, self.at[places], sizes) == data).all())
 
 
 class Encoder:
@@ -218,9 +232,13 @@ class Encoder:
         new = np.flatnonzero(place < 0)
         memo.used[place[place >= 0]] = memo.now
         raw = data.tobytes()
-        pieces = [raw[x:y].decode("utf-8", "replace") for x, y in zip(a[first[new]].tolist(), b[first[new]].tolist(), strict=True)]
-        memo.add(distinct[new], self.learn(pieces))
-        ids, size = memo.gather(memo.find(distinct)[which])
+        pieces = [raw[x:y] for x, y in zip(a[first[new]].tolist(), b[first[new]].tolist(), strict=True)]
+        memo.add(distinct[new], pieces, self.learn([x.decode("utf-8", "replace") for x in pieces]))
+        place = memo.find(distinct)[which]
+        if memo.spells(place, data, b - a):
+            ids, size = memo.ids(place), memo.size[place]
+        else:  # two pieces with one hash
+            ids, size = self.unhashed([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
         ends = np.concatenate(([0], np.cumsum(size)))
         counts = np.diff(ends[np.searchsorted(a, offsets)]) + 1
         out = np.empty(len(ids) + len(counts), np.uint32)
@@ -230,6 +248,13 @@ class Encoder:
         out[last], out[mask] = self.end, ids
         return out, counts
 
+    def unhashed(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pieces one after another, and how many each has."""
+        known = dict.fromkeys(pieces)
+        known = dict(zip(known, self.learn([x.decode("utf-8", "replace") for x in known]), strict=True))
+        found = [known[x] for x in pieces]
+        return np.frombuffer(b"".join(found), np.uint32), np.array([len(x) // 4 for x in found], np.int64)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The same for a list of texts, a bounded stretch of them at a time."""
         ids, counts, held, size = [], [], [], 0
@@ -274,7 +299,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, end: int = END) -> No
     spark = docs.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("__order", F.xxhash64("text")).repartitionByRange(n, "doc_id", "__order").sortWithinPartitions("doc_id", "__order").drop("__order").withColumn("part", F.spark_partition_id())
     ranged.mapInArrow(_writer_task(tokenizer, end), SCHEMA).write.options(**WRITER).parquet(to)
 
 
