@@ -5,21 +5,24 @@ benchmark words (an item with fewer words is one window of its own length)
 goes into a hash set; each document's word positions whose words all occur in
 the benchmark are hashed the same way, looked up, and verified word by word.
 
-The set is broadcast in slices of at most ``slice_bytes`` of benchmark text.
-One slice is the usual case; a larger benchmark takes a pass over the
-documents for each slice, with the hits found so far carried along, so what a
-task holds does not grow with the benchmark.
+The set is broadcast in slices of about ``slice_words`` benchmark words. A word
+starts at most one window, and a slice is arrays of packed word numbers, hashes
+and owners, some 100 bytes a word, so the bound on words is one on memory. Long
+items are cut into overlapping pieces, which fall into slices by themselves. One
+slice is the usual case; a larger benchmark takes a pass over the documents for
+each slice, with the hits found so far carried along, so what a task holds does
+not grow with the benchmark.
 
 Defined results: a null or empty text has no words, no hits and is not
 contaminated; an item without words has no windows; repeated items count once
 by their id; repeated rows are judged each for itself; an empty benchmark hits
-nothing. Other columns of either table are ignored.
+nothing. Other columns of either table are ignored. Of one very long text a task
+holds its words and a few numbers a word.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -31,46 +34,64 @@ from pyspark.sql import functions as F
 from .common import alnum_words, materialize, small_batches, utf8
 
 N = 13
-SLICE_BYTES = 32 << 20
+SLICE_WORDS = 1 << 20
+PIECE_WORDS = 1 << 12
 
 
 class WindowSet:
-    """Windows of one slice of the benchmark, by length."""
+    """Windows of one slice of the benchmark, by length: distinct rows of word numbers, ascending by hash, and their owners.
+
+    ``items`` has an item, the text, and how many words a window of the item has (None: ``n``, or all of a shorter text).
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], n: int = N):
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+        names: dict[str, int] = {}
+        found: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in alnum_words(text)]
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in alnum_words(text)], np.int32)
             size = min(n, len(ids))
-            for s in range(len(ids) - size + 1 if size else 0):
-                windows[size][tuple(ids[s : s + size])].add(item)
-        self.windows = {size: dict(found) for size, found in windows.items()}
-        self.factors = {size: np.random.default_rng(size).integers(1, 2**63, size, dtype=np.uint64) | np.uint64(1) for size in windows}
-        self.hashes = {
-            size: np.unique((np.array(list(found), np.uint64) * self.factors[size]).sum(1, dtype=np.uint64))
-            for size, found in self.windows.items()
-        }
+            if not size:
+                continue
+            rows, owners = found.setdefault(size, ([], []))
+            rows.append(np.lib.stride_tricks.sliding_window_view(ids, size))
+            owners.append(np.full(len(ids) - size + 1, names.setdefault(item, len(names)), np.int32))
+        self.items = list(names)
+        self.factors = {size: np.random.default_rng(size).integers(1, 2**63, size, dtype=np.uint64) | np.uint64(1) for size in found}
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in list(found):
+            rows, owners = map(np.concatenate, found.pop(size))
+            hashed = self._hash(rows, size)
+            order = np.lexsort((*rows.T, hashed))
+            rows, owners, hashed = rows[order], owners[order], hashed[order]
+            fresh = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(1))))
+            self.tables[size] = hashed[fresh], rows[fresh], np.append(fresh, len(rows)), owners
+
+    def _hash(self, rows: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(len(rows), np.uint64)
+        for j, factor in enumerate(self.factors[size]):
+            out += rows[:, j].astype(np.uint64) * factor
+        return out
 
     def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of words that a window covers, and the items whose windows occur."""
         spans, items = [], set()
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.concatenate(([0], np.cumsum(ids < 0)))
-        for size, found in self.windows.items():
+        for size, (known, windows, starts, owners) in self.tables.items():
             if len(ids) < size:
                 continue
             at = np.flatnonzero(unknown[size:] == unknown[:-size])
             if not len(at):
                 continue
             rows = ids[at[:, None] + np.arange(size)]
-            hashed = (rows.astype(np.uint64) * self.factors[size]).sum(1, dtype=np.uint64)
-            known = self.hashes[size]
-            near = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
-            for k in np.flatnonzero(known[near] == hashed):
-                if owners := found.get(tuple(rows[k].tolist())):
-                    spans.append((int(at[k]), int(at[k]) + size))
-                    items |= owners
+            hashed = self._hash(rows, size)
+            low, high = np.searchsorted(known, hashed, "left"), np.searchsorted(known, hashed, "right")
+            for k in np.flatnonzero(high > low).tolist():
+                for w in range(low[k], high[k]):  # one, unless hashes collide
+                    if (windows[w] == rows[k]).all():
+                        spans.append((int(at[k]), int(at[k]) + size))
+                        items.update(self.items[o] for o in set(owners[starts[w] : starts[w + 1]].tolist()))
         return spans, items
 
 
@@ -122,21 +143,42 @@ def _scanner(shared, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return scan
 
 
-def _slices(benchmark: DataFrame, slice_bytes: int) -> list[DataFrame]:
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").alias("words")).where("words is not null")
-    size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    n = -(-size // slice_bytes) or 1
-    return [items.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
+def _pieces(n: int, piece_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Items as words joined by spaces, long ones cut so that each window of ``n`` words is whole in one piece."""
+    step = max(piece_words - n + 1, 1)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, sizes, texts = [], [], []
+            for item, text in zip(batch["item"].to_pylist(), utf8(batch["text"]), strict=True):
+                words = alnum_words(text)
+                for at in range(0, max(len(words) - n + 1, 1) if words else 0, step):
+                    part = words[at : at + step + n - 1]
+                    items.append(item)
+                    sizes.append(len(part))
+                    texts.append(b" ".join(part).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(sizes, pa.int64()), pa.array(texts, pa.string())], names=["item", "size", "words"])
+
+    return cut
+
+
+def _slices(benchmark: DataFrame, n: int, slice_words: int) -> list[DataFrame]:
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    pieces = materialize(items.mapInArrow(_pieces(n, min(PIECE_WORDS, max(slice_words, n))), "item string, size long, words string").distinct(), "benchmark")
+    size = pieces.agg(F.sum("size")).first()[0] or 0
+    k = -(-size // slice_words) or 1
+    return [pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(k)) == i) for i in range(k)] if k > 1 else [pieces]
 
 
 def _shared(part: DataFrame, n: int):
-    return part.sparkSession.sparkContext.broadcast(WindowSet([(r["item"], r["words"].encode()) for r in part.collect()], n))
+    # slices hold about slice_words words each
+    return part.sparkSession.sparkContext.broadcast(WindowSet([(r["item"], r["words"].encode()) for r in part.toLocalIterator()], n))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_words: int = SLICE_WORDS) -> DataFrame:
     """Per row of ``docs``: hit words, items found, the merged hit spans, and whether it is contaminated."""
     small_batches(docs.sparkSession)
-    slices = _slices(benchmark, slice_bytes)
+    slices = _slices(benchmark, n, slice_words)
     state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for k, part in enumerate(slices):
         last = k == len(slices) - 1
@@ -146,17 +188,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_bytes
     return state
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_words: int = SLICE_WORDS) -> DataFrame:
     """``docs`` without its contaminated rows; all columns stay.
 
     Each row is judged by its own text. With one slice that happens as it streams
     by; with more, rows are written down with a number by which the verdict finds them.
     """
     small_batches(docs.sparkSession)
-    slices = _slices(benchmark, slice_bytes)
+    slices = _slices(benchmark, n, slice_words)
     if len(slices) > 1:
         numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        bad = contamination(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark, n, slice_bytes).where("contaminated").select(F.col("doc_id").alias("__row"))
+        bad = contamination(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark, n, slice_words).where("contaminated").select(F.col("doc_id").alias("__row"))
         return numbered.join(bad, "__row", "left_anti").select(*docs.columns)
     shared = _shared(slices[0], n)
 
