@@ -1,23 +1,29 @@
 """Exact nearest neighbours by a block matrix join on int8 tiles with error bounds.
 
-Vectors are packed into blocks of ``BLOCK`` rows (a hash of the id deals them
-out), each row quantised to int8 by its own scale. A task holds one block of
-queries and streams the candidate blocks past it. For each tile the product of
-the int8 matrices gives all approximate inner products, and since x = X + e,
+Vectors are packed into blocks (a hash of the row's number deals them out, so
+that one id on many rows fills many blocks), each row quantised to int8 by its
+own scale. Only these tiles travel to where blocks of queries and candidates
+meet. The product of two int8 matrices gives all approximate inner products of a
+tile, and since x = X + e,
 
     |x.y - X.Y|  <=  |X| |e_y|  +  |e_x| |y|
 
-with the residual norms kept beside the vectors. A pair survives when its upper
-bound reaches the query's k-th best lower bound so far; survivors are computed
-again in double precision on the original vectors and merged into the query's
-heap. The result is exact: nothing below the bound can belong to the k nearest.
+with the norms kept beside the tile. A pair survives when its upper bound reaches
+the k-th best lower bound in the query's heap so far. Surviving pairs of all
+groups are pruned once more by the query's k-th best lower bound of all, fetch
+their original vectors, are computed again in double precision and merged. The
+result is exact: nothing below the bounds can belong to the k nearest.
+
+Equal vectors tie everywhere, and ties go to the smaller id. So of candidates
+with one vector a tile, and a query's survivors, keep those on the k + 1 smallest
+ids (k rows an id): the others come after k nearer ones for every query. A vector
+on a third of all rows then costs its rows once and no more.
 
 Queries are a stated set (ids divisible by ``EVERY``) against all rows, in
-blocks: query blocks and candidate blocks meet through an equi-join on an
-explicit list of block pairs, in which a run of candidate blocks shares a group
-with one query block. Groups are bounded by ``RUN`` blocks, so a task's memory
-is bounded too; a query's lists from all groups are merged by a window that
-keeps k rows a task before it shuffles.
+blocks. A group is one query block and a run of candidate blocks, which stream
+past it, so a task holds two tiles and its heaps, however long the run. Runs have
+at most ``RUN_ROWS`` rows, and are short enough to keep the session's cores busy.
+Blocks have at most ``BLOCK`` rows and ``TILE_BYTES`` of double precision.
 
 Integers up to 127 are multiplied as float32, which is exact below 2**24 (1040
 dimensions); longer vectors use float64.
@@ -33,8 +39,9 @@ all of them. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,26 +49,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import materialize, small_batches, utf8
 
 K = 20
 EVERY = 20
 BLOCK = 4096
-RUN = 8
+TILE_BYTES = 8 << 20
+RUN_ROWS = 2 << 20
+TASKS_A_CORE = 4
+MOST_PARTS = 20_000
+TILE = "block int, width int, ids binary, rows binary, prints binary, small binary, stats binary"
 
 
 class Tile:
-    """Vectors of one block: ids, originals in double precision, int8 values with scales and norms."""
+    """Vectors of one block: ids, row numbers, a fingerprint of each vector, int8 values, scales and norms."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, prints: np.ndarray, small: np.ndarray, stats: np.ndarray):
+        self.ids, self.rows, self.prints, self.small = ids, rows, prints, small
+        self.scale, self.rounded_norm, self.rest_norm, self.norm = stats
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    @classmethod
+    def of(cls, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray) -> Tile:
         scale = np.abs(vectors).max(1, keepdims=True) / 127
-        self.small = np.rint(vectors / scale).astype(np.int8)
-        self.scale = scale[:, 0]
-        rounded = self.small * scale
-        self.rounded_norm = np.linalg.norm(rounded, axis=1)
-        self.rest_norm = np.linalg.norm(vectors - rounded, axis=1)
-        self.norm = np.linalg.norm(vectors, axis=1)
+        small = np.rint(vectors / scale).astype(np.int8)
+        rounded = small * scale
+        stats = np.stack([scale[:, 0], np.linalg.norm(rounded, axis=1), np.linalg.norm(vectors - rounded, axis=1), np.linalg.norm(vectors, axis=1)])
+        prints = np.frombuffer(b"".join(hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in vectors), "V16")
+        return cls(ids, rows, prints, small, stats)
+
+    def columns(self) -> list[bytes]:
+        stats = np.stack([self.scale, self.rounded_norm, self.rest_norm, self.norm])
+        return [x.tobytes() for x in (self.ids, self.rows, self.prints, self.small, stats)]
+
+    @classmethod
+    def read(cls, width: int, ids: bytes, rows: bytes, prints: bytes, small: bytes, stats: bytes) -> Tile:
+        return cls(np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64), np.frombuffer(prints, "V16"), np.frombuffer(small, np.int8).reshape(-1, width), np.frombuffer(stats).reshape(4, -1))
+
+
+def leading(keys: list[bytes], ids: list[int], k: int) -> list[int]:
+    """Places of those that can be among the k nearest of a query: of equal vectors the k + 1 smallest ids, k rows each."""
+    order = sorted(range(len(ids)), key=lambda i: (keys[i], ids[i]))
+    out, before, n_ids, n_rows = [], None, 0, 0
+    for i in order:
+        if before is None or keys[i] != keys[before]:
+            n_ids, n_rows = 1, 1
+        elif ids[i] != ids[before]:
+            n_ids, n_rows = n_ids + 1, 1
+        else:
+            n_rows += 1
+        before = i
+        if n_ids <= k + 1 and n_rows <= k:
+            out.append(i)
+    return sorted(out)
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,49 +112,59 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """Heaps of one query block."""
+    """Heaps and survivors of one query block."""
 
     def __init__(self, queries: Tile, k: int):
         self.q, self.k = queries, k
-        self.heaps: list[list[tuple[float, int]]] = [[] for _ in queries.ids]  # (score, -id), the worst first
+        self.heaps: list[list[float]] = [[] for _ in queries.ids]  # the k best lower bounds, the worst first
         self.floor = np.full(len(queries.ids), -np.inf)
+        self.found: list[list[tuple[float, float, bytes, int, int]]] = [[] for _ in queries.ids]  # upper, lower, vector, id, row
 
     def meet(self, c: Tile) -> None:
         q = self.q
-        width = max(q.vectors.shape[1], c.vectors.shape[1])
+        width = max(q.small.shape[1], c.small.shape[1])
         kind = np.float32 if width * 127 * 127 < 2**24 else np.float64
-        fill = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
-        qs, cs, qv, cv = fill(q.small).astype(kind), fill(c.small).astype(kind), fill(q.vectors), fill(c.vectors)
+        fill = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1]))).astype(kind)
+        qs, cs = fill(q.small), fill(c.small)
         for at in range(0, len(qs), 256):
             part = slice(at, at + 256)
             near = (qs[part] @ cs.T).astype(np.float64) * q.scale[part, None] * c.scale[None]
             slack = q.rounded_norm[part, None] * c.rest_norm[None] + q.rest_norm[part, None] * c.norm[None]
             slack = slack * (1 + 1e-9) + 1e-12 * q.norm[part, None] * c.norm[None]  # rounding of the sums themselves
             own = q.ids[part, None] == c.ids[None]
-            low = np.where(own, -np.inf, near - slack)
+            low, high = np.where(own, -np.inf, near - slack), near + slack
             n = low.shape[1]
+            bound = self.floor[part]
             if n > self.k:
-                least = np.partition(low, n - self.k, axis=1)[:, n - self.k]
-                bound = np.maximum(self.floor[part], least)
-            else:
-                bound = self.floor[part]
-            rows, columns = np.nonzero((near + slack >= bound[:, None]) & ~own)
-            exact = dot(qv[part][rows], cv[columns])
-            for i, s, other in zip((rows + at).tolist(), exact.tolist(), c.ids[columns].tolist(), strict=True):
+                bound = np.maximum(bound, np.partition(low, n - self.k, axis=1)[:, n - self.k])
+            who, which = np.nonzero((high >= bound[:, None]) & ~own)
+            for i, u, s, v, other, row in zip((who + at).tolist(), high[who, which].tolist(), low[who, which].tolist(), c.prints[which].tolist(), c.ids[which].tolist(), c.rows[which].tolist(), strict=True):
+                self.found[i].append((u, s, v, other, row))
                 heap = self.heaps[i]
                 if len(heap) < self.k:
-                    heapq.heappush(heap, (s, -other))
-                elif (s, -other) > heap[0]:
-                    heapq.heapreplace(heap, (s, -other))
+                    heapq.heappush(heap, s)
+                elif s > heap[0]:
+                    heapq.heapreplace(heap, s)
             for i in range(at, min(at + 256, len(self.heaps))):
                 if len(self.heaps[i]) == self.k:
-                    self.floor[i] = self.heaps[i][0][0]
+                    self.floor[i] = self.heaps[i][0]
+                if len(self.found[i]) > 8 * self.k:
+                    self.prune(i)
+
+    def prune(self, i: int) -> None:
+        rest = [x for x in self.found[i] if x[0] >= self.floor[i]]
+        self.found[i] = [rest[j] for j in leading([x[2] for x in rest], [x[3] for x in rest], self.k)]
+
+    def survivors(self) -> pa.RecordBatch:
+        for i in range(len(self.found)):
+            self.prune(i)
+        sizes = [len(x) for x in self.found]
+        flat = [x for found in self.found for x in found]
+        ints = (np.repeat(self.q.ids, sizes), np.repeat(self.q.rows, sizes), [x[3] for x in flat], [x[4] for x in flat])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in ints), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[0] for x in flat], pa.float64())], names=["query_id", "query_row", "vec_id", "row", "low", "high"])
 
 
-def _tile(ids: list, packed: list) -> Tile:
-    each = [np.frombuffer(x, np.float64) for x in packed]
-    width = max(map(len, each))
-    return Tile(np.array(ids, np.int64), np.stack([np.pad(x, (0, width - len(x))) for x in each]))
+SURVIVORS = "query_id long, query_row long, vec_id long, row long, low double, high double"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,33 +184,82 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["vec_id", "packed"])
 
 
-def _search(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = pdf[pdf["asked"]]
-        out: list[tuple[int, int, float]] = []
-        if len(asked):
-            search = Search(_tile(asked["vec_id"].tolist(), asked["packed"].tolist()), k)
-            for _, block in pdf[~pdf["asked"]].groupby("block"):
-                search.meet(_tile(block["vec_id"].tolist(), block["packed"].tolist()))
-            out = [(int(q), -other, s) for q, heap in zip(search.q.ids.tolist(), search.heaps, strict=True) for s, other in heap]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+def _matrix(packed: list[bytes], width: int) -> np.ndarray:
+    return np.stack([np.pad(np.frombuffer(x, np.float64), (0, width - len(x) // 8)) for x in packed])
+
+
+def _tiles(k: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A block as one row; with k without rows that can't be among the k nearest."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        packed = [bytes(x) for x in pdf["packed"]]
+        width = max(map(len, packed)) // 8
+        vectors = _matrix(packed, width)
+        ids, rows = pdf["vec_id"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64)
+        if k is not None:
+            some = np.array(leading([v.tobytes() for v in vectors], ids.tolist(), k))
+            ids, rows, vectors = ids[some], rows[some], vectors[some]
+        return pd.DataFrame([[int(pdf["block"].iloc[0]), width, *Tile.of(ids, rows, vectors).columns()]], columns=["block", "width", "ids", "rows", "prints", "small", "stats"])
+
+    return build
+
+
+def _search(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidate tiles stream past the query tile that comes before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = None
+        for batch in batches:
+            parts = zip(batch["kind"].to_pylist(), batch["width"].to_pylist(), *(utf8(batch[c]) for c in ("ids", "rows", "prints", "small", "stats")), strict=True)
+            for kind, *columns in parts:
+                if kind == 0:
+                    if search:
+                        yield search.survivors()
+                    search = Search(Tile.read(*columns), k)
+                elif search:
+                    search.meet(Tile.read(*columns))
+        if search:
+            yield search.survivors()
 
     return run
 
 
-def neighbours(embeddings: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK, run: int = RUN) -> DataFrame:
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not len(batch):
+            continue
+        left, right = (list(utf8(batch[c])) for c in ("asked", "packed"))
+        width = max(map(len, left + right)) // 8
+        yield pa.RecordBatch.from_arrays([batch["query_id"], batch["vec_id"], pa.array(dot(_matrix(left, width), _matrix(right, width)))], names=["query_id", "vec_id", "score"])
+
+
+def neighbours(embeddings: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK, run_rows: int = RUN_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k nearest by inner product."""
-    prepare(embeddings.sparkSession)
-    valid = materialize(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_pack, "vec_id long, packed binary"), "vectors")
-    n = valid.count()
-    query = F.pmod("vec_id", F.lit(every)) == 0
-    blocks, query_blocks = -(-n // block) or 1, -(-(-(-n // every)) // block) or 1
-    groups = -(-blocks // run)
-    deal = F.xxhash64("vec_id")
-    candidates = valid.withColumn("block", F.pmod(deal, F.lit(blocks)).cast("int")).withColumn("asked", F.lit(False))
-    # each candidate goes to its group once for every query block, each query to every group once
-    candidates = candidates.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("g", (F.col("block") / run).cast("int"))
-    asked = valid.where(query).distinct().withColumn("block", F.lit(-1)).withColumn("asked", F.lit(True)).withColumn("q", F.pmod(deal, F.lit(query_blocks)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = candidates.unionByName(asked).groupBy("q", "g").applyInPandas(_search(k), "query_id long, vec_id long, score double")
+    spark = embeddings.sparkSession
+    small_batches(spark)
+    packed = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_pack, "vec_id long, packed binary")
+    valid = materialize(packed.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asked = valid.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "packed"])
+    shape = valid.agg(F.count("*").alias("n"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("asked"), F.max(F.octet_length("packed")).alias("bytes")).first()
+    block = max(min(block, TILE_BYTES // (shape["bytes"] or 8)), 1)
+    blocks, query_blocks = -(-shape["n"] // block) or 1, -(-shape["asked"] // block) or 1
+    busy = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    groups = min(max(-(-shape["n"] // run_rows), -(-busy // query_blocks)), blocks)
+    parts = min(query_blocks * groups, MOST_PARTS)
+
+    def tiled(rows: DataFrame, n: int, keep: int | None) -> DataFrame:
+        return rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")).groupBy("block").applyInPandas(_tiles(keep), TILE)
+
+    # each candidate tile goes to its run once for every query block, each query tile to every run
+    candidates = tiled(valid, blocks, k).withColumn("kind", F.lit(1)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("g", F.pmod("block", F.lit(groups)))
+    queries = tiled(asked, query_blocks, None).withColumn("kind", F.lit(0)).withColumn("q", F.col("block")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = candidates.unionByName(queries).withColumn("part", F.pmod(F.col("q") * groups + F.col("g"), F.lit(parts)).cast("int"))
+    met = met.repartitionById(parts, F.col("part")).sortWithinPartitions("q", "g", "kind", "block")
+    survivors = met.select("kind", "width", "ids", "rows", "prints", "small", "stats").mapInArrow(_search(k), SURVIVORS)
+    each = Window.partitionBy("query_row").orderBy(F.desc("low")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # of a query with under k survivors all stay
+    left = survivors.withColumn("floor", F.nth_value("low", k).over(each)).where("floor is null or high >= floor").select("query_id", "query_row", "vec_id", "row")
+    exact = left.join(valid.select("row", "packed"), "row").join(asked.select(F.col("row").alias("query_row"), F.col("packed").alias("asked")), "query_row")
+    found = exact.select("query_id", "vec_id", "asked", "packed").mapInArrow(_scores, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
