@@ -1,22 +1,26 @@
 """License scans with a positional index of rare words.
 
-Every template is a short word sequence with mandatory key phrases. The index
-maps a word to its postings (template, offset). Document frequencies of all
-template words are counted over the whole corpus; a template's anchor is the
-word of its key phrases with the highest inverse document frequency, so what
-is rare in this corpus leads the search. In a file, the anchors that occur are
-looked up from the rarest on; each place proposes an alignment (place minus
-offset) of its template; the other words' postings are intersected with it by
-relative position, which gives the template's coverage; and the key phrases
-must stand in the file word by word where the alignment has them.
-
-The base phrases are templates of nothing but their key phrase, so the anchor
-finds every place of them.
+Every template is a word sequence with a mandatory key phrase: whole licence texts
+and notices, and the names that licences go by. Document frequencies of all
+template words are counted over the whole corpus, so what is rare in this corpus
+leads the search. The index maps each word of a key phrase to its postings
+(template, offset), rarest first. In a file, the templates whose rarest key word
+occurs are looked up; the places of that word, minus its offset, are possible
+starts, and the places of the phrase's other words, minus theirs, are intersected
+with them one word after another. What is left is verified word by word, and the
+places of all the template's words, intersected by relative position, give how
+much of it stands there.
+
+The base phrases are templates of nothing but their key phrase, so every place of
+them is found. An alignment's score is its coverage (matching words of the
+template's) times m / (m + 1) for m matching words, so that a name counts less than
+a whole text.
 
 Defined results: a null or empty text has no words, no labels (empty strings),
 null places and score 0; overlapping places all count; a text's score is the
-largest coverage among its verified alignments. Repeated rows get equal
-results; null ids stay null; other columns are ignored.
+largest among its verified alignments. Repeated rows get equal results; null ids
+stay null; other columns are ignored. Of a very long text a task holds its words
+and the places of the few that are in templates.
 """
 
 from __future__ import annotations
@@ -31,31 +35,135 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words, small_batches, utf8
 
-#: Label, words, mandatory key phrases. The first four are the base phrases.
+#: The base phrases; whole texts and notices with the key phrase that must stand in a file; names.
 BASE = (
     ("gpl", "gnu general public license"),
     ("apache", "apache license"),
     ("cc-by", "cc by"),
     ("mit", "mit license"),
 )
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
-    ("apache", "licensed under the apache license version 2 0", ("licensed under the apache license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
-    ("lgpl", "gnu lesser general public license", ("gnu lesser general public license",)),
-    ("agpl", "gnu affero general public license", ("gnu affero general public license",)),
-    ("mpl", "mozilla public license", ("mozilla public license",)),
-    ("epl", "eclipse public license", ("eclipse public license",)),
-    ("bsl", "boost software license", ("boost software license",)),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software",)),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
-    ("cc0", "cc0 1 0 universal", ("cc0 1 0",)),
-    ("cc-by-sa", "cc by sa", ("cc by sa",)),
-    ("cc-by-nc", "cc by nc", ("cc by nc",)),
-    ("cc-by-nd", "cc by nd", ("cc by nd",)),
-    ("cc-by", "creative commons attribution", ("creative commons attribution",)),
-    ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
+TEXTS = (
+    (
+        "mit",
+        "permission is hereby granted free of charge",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+        modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+        is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+        included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+        KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE
+        AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+        WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+        OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+        the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of
+        the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY
+        EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+        CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+        EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+        THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+        ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "unlicense",
+        "free and unencumbered software released into the public domain",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software
+        dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the
+        public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+        relinquishment in perpetuity of all present and future rights to this software under copyright law.""",
+    ),
+    (
+        "zlib",
+        "without any express or implied warranty in no event will the authors be held liable",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+        any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+        including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The
+        origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+        software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+        source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice
+        may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "bsl",
+        "boost software license",
+        """Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or
+        organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use,
+        reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to
+        permit third-parties to whom the Software is furnished to do so, all subject to the following:""",
+    ),
+    (
+        "apache",
+        "licensed under the apache license",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law
+        or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+        limitations under the License.""",
+    ),
+    (
+        "gpl",
+        "under the terms of the gnu general public license",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program
+        is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have
+        received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
+    ),
+    (
+        "lgpl",
+        "under the terms of the gnu lesser general public license",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+        License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    ),
+    (
+        "agpl",
+        "under the terms of the gnu affero general public license",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    ),
+    (
+        "mpl",
+        "subject to the terms of the mozilla public license",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+        with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ),
+)
+NAMES = (
+    ("lgpl", "gnu lesser general public license"),
+    ("agpl", "gnu affero general public license"),
+    ("mpl", "mozilla public license"),
+    ("epl", "eclipse public license"),
+    ("bsl", "boost software license"),
+    ("cc0", "cc0 1 0"),
+    ("cc-by-sa", "cc by sa"),
+    ("cc-by-nc", "cc by nc"),
+    ("cc-by-nd", "cc by nd"),
+    ("cc-by", "creative commons attribution"),
+    ("all-rights-reserved", "all rights reserved"),
 )
 
 
@@ -63,52 +171,55 @@ TEMPLATES = (
 class Template:
     label: str
     words: tuple[bytes, ...]
-    keys: tuple[tuple[int, tuple[bytes, ...]], ...]  # offset in words, phrase
-    base: bool
+    key: tuple[bytes, ...]
+    offset: int  # of the key phrase
+    base: bool = False
 
 
 def templates() -> list[Template]:
-    out = [Template(label, tuple(words.encode().split()), ((0, tuple(words.encode().split())),), True) for label, words in BASE]
-    for label, text, phrases in TEMPLATES:
-        words = tuple(text.encode().split())
-        keys = []
-        for phrase in phrases:
-            key = tuple(phrase.encode().split())
-            keys.append((next(i for i in range(len(words)) if words[i : i + len(key)] == key), key))
-        out.append(Template(label, words, tuple(keys), False))
+    out = [Template(label, tuple(alnum_words(x.encode())), tuple(alnum_words(x.encode())), 0, base) for base, names in ((True, BASE), (False, NAMES)) for label, x in names]
+    for label, phrase, text in TEXTS:
+        words, key = tuple(alnum_words(text.encode())), tuple(alnum_words(phrase.encode()))
+        out.append(Template(label, words, key, next(i for i in range(len(words)) if words[i : i + len(key)] == key)))
     return out
 
 
 class Index:
-    """Anchors by rarity; postings of the rest for coverage."""
+    """Postings of key phrases: for each template (word, offset), rarest first; templates by their rarest word."""
 
     def __init__(self, frequency: dict[bytes, int]):
+        self.rarity = frequency
         self.all = templates()
-        self.anchors: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.postings: list[list[tuple[bytes, int]]] = []
+        self.leads: dict[bytes, list[int]] = defaultdict(list)
         for k, t in enumerate(self.all):
-            candidates = [(frequency.get(w, 0), off + i, w) for off, key in t.keys for i, w in enumerate(key)]
-            _, offset, word = min(candidates)
-            self.anchors[word].append((k, offset))
-        self.rarity = frequency
+            self.postings.append(sorted(((w, t.offset + i) for i, w in enumerate(t.key)), key=lambda x: (frequency.get(x[0], 0), x[0], x[1])))
+            self.leads[self.postings[k][0][0]].append(k)
+        self.known = {w for t in self.all for w in t.words}
 
     def alignments(self, words: list[bytes]) -> Iterator[tuple[Template, int, float]]:
-        """Verified alignments: template, start, coverage."""
-        here = sorted(set(words).intersection(self.anchors), key=lambda w: (self.rarity.get(w, 0), w))
-        if not here:
+        """Verified alignments: template, start of its first word (below 0 where the text begins later), score."""
+        leads = sorted(self.leads.keys() & set(words), key=lambda w: (self.rarity.get(w, 0), w))
+        if not leads:
             return
-        places: dict[bytes, list[int]] = {w: [] for w in here}
+        places: dict[bytes, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
-            if w in places:
+            if w in self.known:
                 places[w].append(i)
-        n = len(words)
-        for anchor in here:
-            for k, offset in self.anchors[anchor]:
-                t = self.all[k]
-                for place in places[anchor]:
-                    start = place - offset
-                    if all(start + off >= 0 and tuple(words[start + off : start + off + len(key)]) == key for off, key in t.keys):
-                        same = sum(0 <= start + i < n and words[start + i] == w for i, w in enumerate(t.words))
-                        yield t, start, same / len(t.words)
+        for lead in leads:
+            for k in self.leads[lead]:
+                t, starts = self.all[k], None
+                for word, offset in self.postings[k]:
+                    mine = {p - offset for p in places[word]} if word in places else set()
+                    starts = mine if starts is None else starts & mine
+                    if not starts:
+                        break
+                for start in sorted(starts):
+                    at = start + t.offset
+                    if tuple(words[at : at + len(t.key)]) == t.key:
+                        # the other words' places by relative position
+                        same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words))
+                        yield t, start, same / len(t.words) * same / (same + 1)
 
 
 def frequencies(docs: DataFrame) -> dict[bytes, int]:
@@ -127,12 +238,12 @@ def frequencies(docs: DataFrame) -> dict[bytes, int]:
     return {r["word"].encode(): r["n"] for r in rows}
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,coverage:double>>"
-_SPANS = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("coverage", pa.float64())]))
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,score:double>>"
+_SPANS = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("score", pa.float64())]))
 
 
 def licenses(docs: DataFrame, frequency: dict[bytes, int] | None = None) -> DataFrame:
-    """Per row: base places and labels, the method's labels, score and all verified alignments."""
+    """Per row: base places and labels, the method's labels, score and all verified alignments with their first word."""
     small_batches(docs.sparkSession)
     index = Index(frequencies(docs) if frequency is None else frequency)
 
@@ -153,7 +264,7 @@ def licenses(docs: DataFrame, frequency: dict[bytes, int] | None = None) -> Data
                         ",".join(sorted({t.label for t, _ in base})),
                         ",".join(sorted({t.label for t, _, _ in found})),
                         max((c for _, _, c in found), default=0.0),
-                        [{"label": t.label, "start": s, "coverage": c} for t, s, c in found],
+                        [{"label": t.label, "start": s, "score": c} for t, s, c in found],
                     ),
                     strict=True,
                 ):
