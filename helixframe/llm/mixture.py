@@ -8,9 +8,11 @@ token count), so both totals of a source stay what they were expected to be.
 Any three fractional documents leave one direction of that null space: the
 cross product of ``(1, 1, 1)`` and their sizes.
 
-It is distributed as a tournament: a source's documents are dealt by a hash
-into blocks of about ``BLOCK``, each block flies until at most two documents
-are fractional, and these survivors meet in the next round. Only (row, size)
+It is distributed as a tournament: a source's documents are dealt by a hash of
+id and size into blocks of about ``BLOCK``, each block flies until at most two
+documents are fractional, and these survivors meet in the next round. A block
+that many rows with one id and size have filled to over four times that is dealt
+once more by row number, so a block is bounded whatever ids there are. Only (row, size)
 travels, never a text. When a source's survivors fit one block, its landing
 rounds the last two so that the token total comes nearest.
 
@@ -21,7 +23,8 @@ stop at twice a source's size, the excess being shared anew by weight.
 Defined results: a null or empty text has size 0 and is taken for 0 words; a
 source of size 0 has target 0; null ids and repeated rows are rows like any
 other (equal rows are told apart by the round's draw alone); an empty table
-gives an empty result. Draws depend on ids and sizes only, so reruns agree.
+gives an empty result. Draws depend on ids and sizes only (on row numbers where
+thousands of rows share both), so reruns agree. Of a text only its size travels.
 """
 
 from __future__ import annotations
@@ -100,32 +103,43 @@ def land(chances: list[float], sizes: list[float]) -> None:
         chances[i] = float(best >> b & 1)
 
 
-COLUMNS = "doc_id long, source string, size long, source_size long, target double, chance double"
+COLUMNS = "row long, doc_id long, source string, size long, source_size long, target double, chance double"
 
 
 def _round(level: int):
     def play(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["doc_id", "size"], kind="stable", na_position="first")
-        draw = random.Random(stable_seed(level, block["source"].iloc[0], block["__block"].iloc[0]))
+        draw = random.Random(stable_seed(level, block["source"].iloc[0], block["__block"].iloc[0], block["__part"].iloc[0]))
         order = list(range(len(block)))
         draw.shuffle(order)
         chance, size = block["chance"].tolist(), block["size"].astype(float).tolist()
         flown, sizes = [chance[i] for i in order], [size[i] for i in order]
         fly(flown, sizes, draw)
-        if block["__blocks"].iloc[0] == 1:
+        if block["__blocks"].iloc[0] == 1 and block["__parts"].iloc[0] == 1:
             land(flown, sizes)
         for i, c in zip(order, flown, strict=True):
             chance[i] = c
-        return block.assign(chance=chance)[["doc_id", "source", "size", "source_size", "target", "chance"]]
+        return block.assign(chance=chance)[["row", "doc_id", "source", "size", "source_size", "target", "chance"]]
 
     return play
 
 
+def _split(dealt: DataFrame, block: int) -> DataFrame:
+    """Blocks with ``__part`` of ``__parts``: more than one where rows with one id and size have overfilled a block."""
+    full = dealt.groupBy(F.col("source").alias("__o"), F.col("__block").alias("__b")).agg(F.count("*").alias("__rows")).where(F.col("__rows") > 4 * block)
+    full = materialize(full, "overfull")
+    if full.isEmpty():
+        return dealt.withColumn("__parts", F.lit(1).cast("long")).withColumn("__part", F.lit(0).cast("long"))
+    parts = F.ceil(F.coalesce("__rows", F.lit(1)) / block)
+    joined = dealt.join(full, dealt["source"].eqNullSafe(full["__o"]) & (dealt["__block"] == full["__b"]), "left").withColumn("__parts", parts)
+    return joined.withColumn("__part", F.pmod(F.xxhash64("row"), F.col("__parts"))).drop("__o", "__b", "__rows")
+
+
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """Per row: its size, its source's size and target, and ``taken``, the words the mix takes of it, repeats counted."""
     small_batches(docs.sparkSession)
     rows = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size")).withColumn("row", F.monotonically_increasing_id()),
         "mixture",
     )
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__n"))
@@ -148,12 +162,9 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
         if not most_blocks:
             break
         dealt = open_rows.join(left, open_rows["source"].eqNullSafe(left["__s"]))
-        dealt = dealt.withColumn("__block", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.col("__blocks")))
-        state = materialize(dealt.groupBy("source", "__block").applyInPandas(_round(level), COLUMNS), "mixture")
+        dealt = _split(dealt.withColumn("__block", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), F.col("__blocks"))), block)
+        state = materialize(dealt.groupBy("source", "__block", "__part").applyInPandas(_round(level), COLUMNS), "mixture")
         level += 1
-        if most_blocks == 1:
-            done.append(state)
-            break
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
