@@ -9,7 +9,8 @@ slot's log-count ratio r. The slots with the strongest association keep their
 place, and a logistic regression is fitted on features scaled by r.
 
 Training takes at most ``FIT_ROWS`` labelled documents of each class, those
-with the smallest hash of their id; whole texts always. Fitting gathers only
+with the smallest hash of their id, and of an id on several rows the text with
+the smallest hash; whole texts always. Fitting gathers only
 per-slot counts (dense, summed in slices) and, for the bounded sample, the kept
 slots a document has. The intercept is moved from the sample's class balance to
 that of all labelled training rows.
@@ -18,7 +19,8 @@ Defined results: null and empty texts score as documents without features; a
 null label teaches nothing; an id labelled twice is toxic if any label says so;
 null ids can't be labelled; with one class or no labels at all every score is
 that share (0.5 without labels, 0 < score < 1 always). Repeated rows score
-equal. Other columns are ignored.
+equal. Other columns are ignored. Of a very long text a task holds some arrays of
+a number a character.
 """
 
 from __future__ import annotations
@@ -162,7 +164,7 @@ def logistic(rows: np.ndarray, features: np.ndarray, values: np.ndarray, y: np.n
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int) -> tuple[DataFrame, list[int]]:
-    """Training documents with their label, at most ``fit_rows`` a class; and all training labels by class."""
+    """Training documents with their label, at most ``fit_rows`` a class and one row an id; and all training labels by class."""
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("int").alias("label")).where(F.col("__id").isNotNull() & F.col("label").isin(0, 1)).groupBy("__id").agg(F.max("label").alias("label")).where(fold(F.col("__id")) != 2)
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = None
@@ -170,7 +172,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fit_rows: in
         part = known.where((F.col("label") == y) & below(F.xxhash64("__id"), fit_rows, counts.get(y, 0))).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * fit_rows ids: a proven bound for the broadcast
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "label")
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
+    sample = mine.groupBy("__id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label")
     return materialize(sample, "sample"), [counts.get(0, 0), counts.get(1, 0)]
 
 
