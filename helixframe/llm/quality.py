@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Evidenc
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["label"], pa.array([measures(t) for t in utf8(batch["text"])], pa.list_(pa.float64()))], names=["label", "x"])
 
-    # at most 2 * fit_rows short rows
+    # at most 2 * fit_rows rows, one an id
     got = sample.mapInArrow(measure, "label int, x array<double>").collect()
     discard(sample)
     y = np.array([r["label"] for r in got], float)
@@ -192,7 +192,8 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 def good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose posterior is below the threshold; all columns stay."""
     model = fit(docs, labels)
-    evidence = with_evidence(docs, model)
+    # written once: sums and posteriors both need it, and measuring texts is what costs
+    evidence = materialize(with_evidence(docs, model), "evidence")
     h, p = F.col(host).cast("string"), F.col(path).cast("string")
     groups = materialize(sites(evidence, h, p), "site-shares")
     return posterior(evidence, groups, evidence[host].cast("string"), evidence[path].cast("string")).where(F.col("__score") >= threshold).select(*(evidence[c] for c in docs.columns))
