@@ -65,8 +65,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches that stay small when documents are long (a deployment's own setting wins), and importable code."""
     prepare(spark)
-    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"),):
-        if spark.conf.get(key, default) == default:
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(key) == default:
             spark.conf.set(key, value)
 
 
