@@ -214,29 +214,50 @@ def brute_contamination(text, bench):
     return len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("slice_bytes", [1 << 20, 30])
-def test_contamination_equals_brute_force(spark, slice_bytes):
+@pytest.mark.parametrize("slice_words", [1 << 20, 5])
+def test_contamination_equals_brute_force(spark, slice_words):
     texts = ["THE quick brown fox jumps over a lazy dog and then it ran", "tiny ITEM here " + "pad " * 50, None, "", "tiny item tiny item", "nothing to see", "quick-brown! fox", "étiny item"]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
-    got = {r["doc_id"]: r for r in contamination.contamination(df, bench, slice_bytes=slice_bytes).collect()}
+    got = {r["doc_id"]: r for r in contamination.contamination(df, bench, slice_words=slice_words).collect()}
     for i, t in enumerate(texts):
         assert tuple(got[i])[1:6] == brute_contamination(t, BENCH)
-    kept = {r["doc_id"] for r in contamination.clean(df, bench, slice_bytes=slice_bytes).collect()}
+    kept = {r["doc_id"] for r in contamination.clean(df, bench, slice_words=slice_words).collect()}
     assert kept == {i for i, t in enumerate(texts) if not brute_contamination(t, BENCH)[4]}
     assert contamination.contamination(df, bench.where("false")).where("n_hit > 0").count() == 0
 
 
-@pytest.mark.parametrize("slice_bytes", [60, 1 << 20])
-def test_clean_judges_each_row_that_shares_an_id(spark, slice_bytes):
+@pytest.mark.parametrize("slice_words", [10, 1 << 20])
+def test_clean_judges_each_row_that_shares_an_id(spark, slice_words):
     rng = random.Random(14)
     bench = [(i, prose(rng, 20)) for i in range(6)]
     rows = [(None, bench[0][1]), (None, prose(rng, 30)), (7, prose(rng, 30)), (7, bench[5][1]), (8, None), (None, None)]
-    kept = contamination.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), slice_bytes=slice_bytes)
+    kept = contamination.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), slice_words=slice_words)
     assert kept.columns == ["doc_id", "text"]
     assert Counter(tuple(r) for r in kept.collect()) == Counter(rows[1:3] + rows[4:])
 
 
+def test_windows_of_long_items_are_whole_in_one_piece(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "PIECE_WORDS", 20)
+    rng = random.Random(16)
+    item = prose(rng, 90)
+    words = item.split()
+    texts = [" ".join(["pad", *words[k : k + 13], "pad"]) for k in range(78)] + [" ".join(words[:12])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "one two")], "item_id long, text string")
+    for slice_words in (40, 1 << 20):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in contamination.contamination(df, bench, slice_words=slice_words).collect()}
+        assert got == {k: (13, 1) for k in range(78)} | {78: (0, 0)}
+
+
+def test_windows_with_one_hash_are_told_apart():
+    known = contamination.WindowSet([("a", b"x y"), ("b", b"y x")], 2)
+    hashed, rows, starts, owners = known.tables[2]
+    known.tables[2] = np.zeros_like(hashed), rows, starts, owners
+    known._hash = lambda rows, size: np.zeros(len(rows), np.uint64)
+    assert known.spans([b"x", b"y", b"x"]) == ([(0, 2), (1, 3)], {"a", "b"}) and known.spans([b"x", b"x"]) == ([], set())
+
+
 def test_spans_are_cut_from_texts():
     text = "Keep this, drop These Words now. End"
     assert contamination.without_spans(text, [(2, 5)]) == "Keep this,  now. End"
@@ -299,6 +320,18 @@ def test_mixture_targets_and_totals(spark):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_mixture_splits_blocks_that_one_id_fills(spark):
+    rows = [(None, "a b c", "s")] * 900 + [(i, " ".join(["w"] * (i % 7)), "t") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = df.select("doc_id", "source", F.lit(3).alias("size"), F.monotonically_increasing_id().alias("row"), F.lit(5).alias("__blocks")).withColumn("__block", F.pmod(F.xxhash64("doc_id"), F.lit(5)))
+    most = mixture._split(plan, 64).groupBy("source", "__block", "__part").count().agg(F.max("count")).first()[0]
+    assert most <= 4 * 64
+    got = mixture.mixture(df, block=64).collect()
+    expected = plain_targets([("s", 2700), ("t", sum(i % 7 for i in range(300)))])
+    for s, t in expected.items():
+        assert abs(sum(r["taken"] for r in got if r["source"] == s) - t) <= 6, s
+
+
 def test_flight_keeps_totals():
     rng = random.Random(2)
     chance, size = [rng.random() for _ in range(500)], [float(rng.randint(0, 300)) for _ in range(500)]
@@ -353,6 +386,28 @@ def test_pieces_give_the_ids_of_whole_texts(memo):
         assert ids[e - n : e].tolist() == [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2], repr(t)
 
 
+def test_pieces_with_one_hash_keep_their_own_ids():
+    encoder = tokens.Encoder(tokenizer_path())
+    for n in (1024, 2048, 4096):
+        # a Thue-Morse word and its complement: polynomial hashes modulo a power of two agree
+        bits = [i.bit_count() & 1 for i in range(n)]
+        texts = ["".join(two[b] for b in bits) for two in ("ab", "ba")]
+        ids, counts = encoder.encode([t.encode() for t in [*texts, "after"]])
+        whole = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in [*texts, "after"]]
+        assert ids.tolist() == sum(whole, []) and counts.tolist() == [len(x) for x in whole]
+
+
+def test_many_rows_without_an_id_fall_into_several_ranges(spark, tmp_path):
+    rows = [(None, f"text {i}") for i in range(400)] + [(i, "x") for i in range(20)]
+    out = f"file://{tmp_path}/t"
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path(), out)
+    read = spark.read.parquet(out)
+    assert read.where("doc_id is null").select("part").distinct().count() > 1
+    index = tokens.token_index(spark, out).orderBy("start").collect()
+    assert [r["doc_id"] for r in index] == [None] * 400 + list(range(20))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(index, index[1:], strict=False))
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = {i: rng.normal(size=16).astype(np.float32) for i in range(300)}
@@ -362,7 +417,7 @@ def test_neighbours_equal_brute_force(spark):
     vectors |= {301: vectors[3], 302: vectors[3]}
     ids = np.array(sorted(vectors))
     m = np.stack([vectors[i] for i in ids]).astype(float)
-    for kwargs in ({}, {"block": 32, "run": 2}):
+    for kwargs in ({}, {"block": 32, "run_rows": 70}):
         got = {}
         for r in neighbours.neighbours(df, **kwargs).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -373,6 +428,32 @@ def test_neighbours_equal_brute_force(spark):
             assert [x[1] for x in sorted(found)] == order
 
 
+def test_neighbours_of_a_vector_on_many_rows(spark):
+    # equal vectors with small and large ids, own ids on many rows, and a query set that holds some of them
+    rng = np.random.default_rng(5)
+    hot = [float(x) for x in rng.normal(size=8)]
+    rows = [(1000 - i, hot) for i in range(500)] + [(740, hot)] * 60 + [(i, [float(x) for x in rng.normal(size=8)]) for i in range(2000, 2100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for kwargs in ({}, {"block": 64, "run_rows": 200}):
+        got = {}
+        for r in neighbours.neighbours(df, **kwargs).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        for q in {i for i in ids.tolist() if i % 20 == 0}:
+            score = np.round(m @ m[ids.tolist().index(q)], 10)
+            order = [int(ids[j]) for j in np.lexsort((ids, -score)) if ids[j] != q][:20]
+            assert [x[1] for x in sorted(got[q])] == order, q
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_training_takes_one_row_an_id(spark, module):
+    rows = [(1, f"text {i}") for i in range(500)] + [(i, f"other {i}") for i in range(2, 40)]
+    labels = [(i, i % 2, i % 2) for i in range(1, 40)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sample, _ = module.labelled_sample(df, lab, "toxic", 5)
+    assert sample.count() <= 10
+
+
 def test_toxicity_learns_words(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -425,6 +506,33 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.licenses(df).where("doc_id = 7").first()["labels"] == "all-rights-reserved"
 
 
+def test_license_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(17)
+    every = licenses.templates()
+    texts = []
+    for t in every:
+        words = [w.decode() for w in t.words]
+        texts += [" ".join(words), prose(rng, 30) + " " + " ".join(words).upper() + ". " + prose(rng, 9), " ".join(words[t.offset :]), " ".join(words[: t.offset + len(t.key) - 1])]
+        for _ in range(6):
+            changed = list(words)
+            for _ in range(rng.randint(1, 4)):
+                changed[rng.randrange(len(changed))] = rng.choice(["other", "gnu", "license", "by"])
+            texts.append(prose(rng, 5) + " " + " ".join(changed))
+    texts += ["license " * 50, "cc by cc by sa cc by", "gnu gnu general public license license"]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, score long")
+    for r in licenses.licenses(df).collect():
+        w = texts[r["doc_id"]].lower().replace(".", " ").split()
+        labels, score = set(), 0.0
+        for t in every:
+            whole, key = [x.decode() for x in t.words], [x.decode() for x in t.key]
+            for at in range(len(w) - len(key) + 1):
+                if w[at : at + len(key)] == key:
+                    same = sum(0 <= at - t.offset + i < len(w) and w[at - t.offset + i] == x for i, x in enumerate(whole))
+                    labels.add(t.label)
+                    score = max(score, same / len(whole) * same / (same + 1))
+        assert (r["labels"], r["score"]) == (",".join(sorted(labels)), pytest.approx(score)), texts[r["doc_id"]]
+
+
 def test_quality_rejects_junk_and_keeps_columns(spark):
     rng = random.Random(10)
     rows, labels = [], []
