@@ -7,10 +7,16 @@ before a sign are exactly path prefixes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import prepare
 from . import graph
+from .loop import written
 
 MIN_SUPPORT = 2
 
@@ -28,13 +34,13 @@ def path_strings(steps: DataFrame) -> DataFrame:
 def parsed(paths: DataFrame) -> DataFrame:
     """Steps of ``paths (read_id, path)``."""
     tokens = F.regexp_extract_all("path", F.lit("([<>][^<>]+)"), 1)
-    return paths.select("read_id", F.posexplode(tokens).alias("idx", "t")).select("read_id", "idx", F.substring("t", 2, 1000).cast("long").alias("seg"), F.col("t").startswith(">").alias("fwd"))
+    return paths.select("read_id", F.posexplode(tokens).alias("idx", "t")).select("read_id", "idx", F.substr(F.col("t"), F.lit(2)).cast("long").alias("seg"), F.col("t").startswith(">").alias("fwd"))
 
 
 def flipped(path: Column) -> Column:
     """The path walked the other way."""
     tokens = F.regexp_extract_all(path, F.lit("([<>][^<>]+)"), 1)
-    return F.array_join(F.reverse(F.transform(tokens, lambda t: F.concat(F.translate(F.substring(t, 1, 1), "<>", "><"), F.substring(t, 2, 1000)))), "")
+    return F.array_join(F.reverse(F.transform(tokens, lambda t: F.concat(F.translate(F.substring(t, 1, 1), "<>", "><"), F.substr(t, F.lit(2))))), "")
 
 
 def split_at_missing_links(steps: DataFrame, edges: DataFrame) -> DataFrame:
@@ -49,19 +55,89 @@ def split_at_missing_links(steps: DataFrame, edges: DataFrame) -> DataFrame:
     return pieces.select("read_id", "piece", (F.row_number().over(inner) - 1).alias("idx"), "seg", "fwd")
 
 
-def neighbour_tokens(steps: DataFrame) -> DataFrame:
-    """``seg, side, tokens``: what each walk holds beyond each side of each of its steps, outwards.
-
-    A walk's steps are gathered once (a read's steps, not a segment's), and both
-    ways out of every step are slices of that array.
+_TOKEN_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each step of a walk and each way out of it, the names of all path prefixes: a chain of hashes over the steps passed."""
+    for batch in batches:
+        rows: list[tuple[int, int, int, int, np.ndarray]] = []
+        for read, segs, fwds in zip(batch["read_id"].to_pylist(), batch["segs"].to_pylist(), batch["fwds"].to_pylist(), strict=True):
+            n = len(segs)
+            if n < 2:
+                continue
+            seg, fwd = np.array(segs, np.int64), np.array(fwds, bool)
+            for ahead in (True, False):
+                step = _mixed(_mixed(seg.view(np.uint64)) + ((fwd if ahead else ~fwd).astype(np.uint64) << np.uint64(1)))
+                line = step if ahead else step[::-1]
+                name, chains = np.zeros(n, np.uint64), []
+                for depth in range(1, n):  # all starts at once
+                    name = _mixed(name[: n - depth] * _TOKEN_MIX + line[depth:])
+                    chains.append(name)
+                for i in range(n - 1):
+                    at = i if ahead else n - 1 - i
+                    rows.append((segs[at], int(fwds[at] == ahead), read, at, np.array([c[i] for c in chains[: n - 1 - i]]).view(np.int64)))
+        seg, side, read, at, nodes = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+        sizes = np.cumsum([0, *map(len, nodes)])
+        flat = np.concatenate(nodes) if rows else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int64()), pa.array(side, pa.int32()), pa.array(read, pa.int64()), pa.array(at, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], names=["seg", "side", "read_id", "at", "nodes"])
+
+
+class Beyond:
+    """What walks hold beyond each side of each segment, outwards: distinct paths, and all their prefixes by name.
+
+    A prefix is named by a chain of hashes over its steps, so names take eight
+    bytes whatever the depth; of a path that many walks share one witness, a
+    place in a walk, goes on with their number. Strings are spelled from
+    witnesses, and only for what is returned.
     """
-    walk = steps.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("idx", "seg", "fwd"))).alias("w"))
-    each = walk.select("w", F.posexplode("w").alias("i", "s"))
-    ahead = F.transform(F.slice("w", F.col("i") + 2, F.size("w")), lambda x: token(x["seg"], x["fwd"]))
-    behind = F.transform(F.reverse(F.slice("w", F.lit(1), F.col("i"))), lambda x: token(x["seg"], ~x["fwd"]))
-    right = F.struct(F.lit(1).alias("side"), F.when(F.col("s.fwd"), ahead).otherwise(behind).alias("tokens"))
-    left = F.struct(F.lit(0).alias("side"), F.when(F.col("s.fwd"), behind).otherwise(ahead).alias("tokens"))
-    return each.select(F.col("s.seg").alias("seg"), F.explode(F.array(left, right)).alias("x")).select("seg", "x.side", "x.tokens").where(F.size("tokens") > 0)
+
+    def __init__(self, steps: DataFrame):
+        prepare(steps.sparkSession)
+        spark_walk = F.array_sort(F.collect_list(F.struct("idx", "seg", "fwd")))
+        self.walks = written(steps.groupBy("read_id").agg(spark_walk.alias("w")).select("read_id", F.transform("w", lambda x: x["seg"]).alias("segs"), F.transform("w", lambda x: x["fwd"]).alias("fwds")), "walks")
+        named = self.walks.mapInArrow(_named, "seg long, side int, read_id long, at int, nodes array<long>")
+        named = named.withColumn("n", F.size("nodes"))
+        last = F.element_at("nodes", -1)
+        # one row a distinct path: equal names, equal prefixes
+        self.paths = written(named.groupBy("seg", "side", "n", last.alias("node")).agg(F.count("*").alias("w"), F.min(F.struct("read_id", "at", "nodes")).alias("x")).select("seg", "side", "n", "node", "w", "x.*"), "paths")
+        each = self.paths.select("seg", "side", "w", "read_id", "at", F.col("node").alias("path"), "n", F.posexplode("nodes").alias("d", "node"), "nodes").select("seg", "side", "w", "read_id", "at", "path", "n", (F.col("d") + 1).alias("depth"), "node", F.when(F.col("d") > 0, F.get("nodes", F.col("d") - 1)).otherwise(0).alias("parent"))
+        self.each = each
+        counted = each.groupBy("seg", "side", "depth", "node", "parent").agg(F.sum("w").alias("support"), F.min(F.struct("read_id", "at")).alias("witness"))
+        total = F.sum("support").over(Window.partitionBy("seg", "side", "depth", "parent"))
+        #: ``seg, side, depth, node, parent, support, witness, against``
+        self.known = written(counted.withColumn("against", total - F.col("support")), "prefixes")
+
+    def spelled(self, rows: DataFrame) -> DataFrame:
+        """``rows (side, depth, witness)`` with ``path``, the first ``depth`` steps beyond the witness's place."""
+        own = self.walks.select(F.col("read_id").alias("__read"), "segs", "fwds")
+        at, depth = F.col("witness.at"), F.col("depth")
+        joined = rows.join(own, F.col("witness.read_id") == F.col("__read"))
+        ahead = (F.get("fwds", at).cast("int") == F.col("side"))
+        pairs = F.arrays_zip(F.col("segs").alias("s"), F.col("fwds").alias("f"))
+        out = F.transform(F.slice(pairs, at + 2, depth), lambda x: token(x["s"], x["f"]))
+        back = F.transform(F.reverse(F.slice(pairs, at - depth + 1, depth)), lambda x: token(x["s"], ~x["f"]))
+        return joined.withColumn("path", F.array_join(F.when(ahead, out).otherwise(back), "")).drop("__read", "segs", "fwds")
+
+    def judged(self, ok: Column) -> DataFrame:
+        """Each distinct path: ``good``, how many of its first steps are ok one after another, ``backed``, how many have support over 1."""
+        flags = self.known.select("seg", "side", "depth", "node", ok.alias("ok"), (F.col("support") > 1).alias("more"))
+        rows = self.each.join(flags, ["seg", "side", "depth", "node"])
+        found = rows.groupBy("seg", "side", "path", "n").agg(F.min(F.when(~F.col("ok"), F.col("depth"))).alias("bad"), F.coalesce(F.max(F.when(F.col("more"), F.col("depth"))), F.lit(0)).alias("backed"), F.min(F.struct("read_id", "at")).alias("witness"))
+        return found.withColumn("good", F.coalesce(F.col("bad") - 1, F.col("n"))).drop("bad")
+
+    def tops(self) -> DataFrame:
+        """``seg, side, path, n, witness``: distinct paths that aren't a prefix of a longer one."""
+        parents = self.known.where("depth > 1").select("seg", "side", (F.col("depth") - 1).alias("n"), F.col("parent").alias("node")).distinct()
+        ends = self.paths.join(parents, ["seg", "side", "n", "node"], "left_anti")
+        return ends.select("seg", "side", F.col("node").alias("path"), "n", F.struct("read_id", "at").alias("witness"))
 
 
 def prefix_support(steps: DataFrame) -> DataFrame:
@@ -69,60 +145,45 @@ def prefix_support(steps: DataFrame) -> DataFrame:
 
     ``against`` counts walks that agree up to the step before and then go elsewhere.
     """
-    out = neighbour_tokens(steps)
-    prefixes = out.select("seg", "side", F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice("tokens", F.lit(1), d), "").alias("prefix"), F.array_join(F.slice("tokens", F.lit(1), d - 1), "").alias("parent")))).alias("p"))
-    counted = prefixes.groupBy("seg", "side", "p.depth", "p.prefix", "p.parent").agg(F.count("*").alias("support"))
-    total = F.sum("support").over(Window.partitionBy("seg", "side", "depth", "parent"))
-    return counted.select("seg", "side", "prefix", "depth", "support", (total - F.col("support")).alias("against"), "parent")
+    beyond = Beyond(steps)
+    return beyond.spelled(beyond.known).select("seg", "side", F.col("path").alias("prefix"), "depth", "support", "against")
 
 
 def maximal(steps: DataFrame) -> DataFrame:
     """``seg, side, path``: distinct paths beyond a side that aren't a prefix of a longer one."""
-    known = prefix_support(steps)
-    parents = known.select("seg", "side", F.col("parent").alias("prefix")).distinct()
-    return known.join(parents, ["seg", "side", "prefix"], "left_anti").select("seg", "side", F.col("prefix").alias("path"))
+    beyond = Beyond(steps)
+    return beyond.spelled(beyond.tops().drop("path").withColumnRenamed("n", "depth")).select("seg", "side", "path")
 
 
 def strong(steps: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
     """``seg, side, path, depth``: the longest prefix all of whose steps have ``least`` support and are undisputed, or have over 4.
 
-    Ties go to the smaller path. A prefix is strong if its own step is and its
-    parent is, so the weak steps' descendants are left out by their nearest
-    weak ancestor: support falls along a path, and disputes are looked up.
+    Ties go to the smaller path.
     """
-    known = prefix_support(steps)
+    beyond = Beyond(steps)
     good = (F.col("support") >= least) & ((F.col("against") == 0) | (F.col("support") > 4))
-    return _whole(known.withColumn("ok", good)).groupBy("seg", "side").agg(F.min(F.struct((-F.col("depth")).alias("d"), "prefix")).alias("b")).select("seg", "side", F.col("b.prefix").alias("path"), (-F.col("b.d")).alias("depth"))
-
-
-def _whole(known: DataFrame) -> DataFrame:
-    """Prefixes (with ``ok``) all of whose own prefixes are ok: each is joined with its ancestors by name."""
-    tokens = F.regexp_extract_all("prefix", F.lit("([<>][^<>]+)"), 1)
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda d: F.array_join(F.slice(tokens, F.lit(1), d), ""))
-    own = known.where("ok").select("seg", "side", "prefix", "depth", F.explode(ancestors).alias("up"))
-    fine = known.where("ok").select("seg", "side", F.col("prefix").alias("up"))
-    return own.join(fine, ["seg", "side", "up"]).groupBy("seg", "side", "prefix", "depth").agg(F.count("*").alias("n")).where("n = depth").drop("n")
+    judged = beyond.judged(good).where("good > 0").select("seg", "side", F.col("good").alias("depth"), "witness")
+    longest = judged.withColumn("most", F.max("depth").over(Window.partitionBy("seg", "side"))).where("depth = most").drop("most")
+    return beyond.spelled(longest).groupBy("seg", "side", "depth").agg(F.min("path").alias("path")).select("seg", "side", "path", "depth")
 
 
 def consensus(steps: DataFrame, segments: DataFrame) -> DataFrame:
     """``seg, left_path, right_path, haploid``.
 
     A maximal path is consensual if at every step 0.2 (support - 1) > against - 1
-    and against < 5. The longest one wins, ties to more support of its first
-    step, then to the smaller path; of it the steps with support over 1 are
-    kept. A side without walks is consensual and empty. Haploid: both sides are.
+    and against < 5. The longest one wins, ties to the smaller path; of it the
+    steps with support over 1 are kept. A side without walks is consensual and
+    empty. Haploid: both sides are.
     """
-    known = prefix_support(steps)
+    beyond = Beyond(steps)
     good = (0.2 * (F.col("support") - 1) > F.col("against") - 1) & (F.col("against") < 5)
-    fine = _whole(known.withColumn("ok", good))
-    tops = maximal(steps).withColumnRenamed("path", "prefix")
-    winners = fine.join(tops, ["seg", "side", "prefix"], "left_semi").groupBy("seg", "side").agg(F.min(F.struct((-F.col("depth")).alias("d"), "prefix")).alias("b")).select("seg", "side", F.col("b.prefix").alias("path"))
-    tokens = F.regexp_extract_all("path", F.lit("([<>][^<>]+)"), 1)
-    pieces = winners.select("seg", "side", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda d: F.array_join(F.slice(tokens, F.lit(1), d), ""))).alias("prefix"))
-    backed = known.where("support > 1").select("seg", "side", "prefix", "depth")
-    trimmed = pieces.join(backed, ["seg", "side", "prefix"], "left").groupBy("seg", "side").agg(F.max_by("prefix", "depth").alias("kept"))
-    walked = known.select("seg", "side").distinct()
-    sides = walked.join(trimmed.withColumn("consensual", F.lit(True)), ["seg", "side"], "left")
+    judged = beyond.judged(good).where("good = n").join(beyond.tops().select("seg", "side", "path", "n"), ["seg", "side", "path", "n"], "left_semi")
+    longest = judged.withColumn("most", F.max("n").over(Window.partitionBy("seg", "side"))).where("n = most").select("seg", "side", "backed", F.col("n").alias("depth"), "witness")
+    winners = beyond.spelled(longest).groupBy("seg", "side").agg(F.min(F.struct("path", "backed")).alias("b"))
+    tokens = F.slice(F.regexp_extract_all("b.path", F.lit("([<>][^<>]+)"), 1), F.lit(1), F.col("b.backed"))
+    trimmed = winners.select("seg", "side", F.array_join(tokens, "").alias("kept"), F.lit(True).alias("consensual"))
+    walked = beyond.paths.select("seg", "side").distinct()
+    sides = walked.join(trimmed, ["seg", "side"], "left")
     wide = sides.groupBy("seg").agg(
         *(F.max(F.when(F.col("side") == s, F.coalesce("kept", F.lit("")))).alias(n) for s, n in ((0, "left_path"), (1, "right_path"))),
         F.count_if(F.col("consensual").isNull()).alias("open"),
@@ -137,7 +198,7 @@ def bridges(agreed: DataFrame) -> DataFrame:
     the smaller (segment, side). The path ends with the partner.
     """
     out = agreed.where("haploid").select("seg", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left_path").alias("path")), F.struct(F.lit(1).alias("side"), F.col("right_path").alias("path")))).alias("x")).select("seg", "x.side", F.regexp_extract_all("x.path", F.lit("([<>][^<>]+)"), 1).alias("tokens"))
-    each = out.select("seg", "side", "tokens", F.posexplode("tokens").alias("i", "t")).select("seg", "side", "tokens", "i", F.substring("t", 2, 1000).cast("long").alias("other"), F.when(F.col("t").startswith(">"), 0).otherwise(1).alias("entered"))
+    each = out.select("seg", "side", "tokens", F.posexplode("tokens").alias("i", "t")).select("seg", "side", "tokens", "i", F.substr(F.col("t"), F.lit(2)).cast("long").alias("other"), F.when(F.col("t").startswith(">"), 0).otherwise(1).alias("entered"))
     first = each.join(agreed.where("haploid").select(F.col("seg").alias("other")), "other", "left_semi").where("other <> seg").groupBy("seg", "side").agg(F.min(F.struct("i", "other", "entered", "tokens")).alias("f"))
     found = first.select("seg", "side", F.col("f.other").alias("target"), F.col("f.entered").alias("target_side"), F.array_join(F.slice(F.col("f.tokens"), F.lit(1), F.col("f.i") + 1), "").alias("path"))
     back = found.select(F.col("target").alias("seg"), F.col("target_side").alias("side"), F.col("seg").alias("target"), F.col("side").alias("target_side"))
@@ -154,7 +215,7 @@ def unrepresented(strong_walks: DataFrame, built: DataFrame) -> DataFrame:
     whole = strong_walks.withColumn("walk", F.concat(sign(F.col("side")), F.col("seg").cast("string"), "path"))
     line = built.select(F.concat(sign(F.col("side")), F.col("seg").cast("string"), "path").alias("line"))
     both = line.union(line.select(flipped(F.col("line")).alias("line")))
-    tokens = F.transform(F.regexp_extract_all("line", F.lit("([<>][^<>]+)"), 1), lambda t: F.substring(t, 2, 1000).cast("long"))
+    tokens = F.transform(F.regexp_extract_all("line", F.lit("([<>][^<>]+)"), 1), lambda t: F.substr(t, F.lit(2)).cast("long"))
     keyed = both.select("line", F.explode(F.array_distinct(tokens)).alias("key"))
     held = whole.join(keyed, whole["seg"] == keyed["key"]).where(F.concat("line", F.lit(">")).contains(F.concat("walk", F.lit(">"))) | F.concat("line", F.lit(">")).contains(F.concat("walk", F.lit("<")))).select("seg", "side").distinct()
     rest = whole.join(held, ["seg", "side"], "left_anti")

@@ -325,7 +325,7 @@ def split_invalid_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.SUPPORT)
 def neighbor_walk_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walks.prefix_support(R.walk_steps(spark, sf_dir)).drop("parent")
+    return walks.prefix_support(R.walk_steps(spark, sf_dir))
 
 
 @query(O.MAXIMAL)
