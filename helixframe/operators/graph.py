@@ -6,7 +6,7 @@ aggregates on segment ends; sequences stay out of the graph.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -95,11 +95,11 @@ def detached(segments: DataFrame, edges: DataFrame, min_coverage: float, min_len
     own = shape.select(F.col("seg").alias("a"), "coverage", (open_side & ~weak).alias("is_open"), (~open_side).alias("is_linked"))
     seen = near.join(own, "a")
     strong_open = seen.where(F.col("is_open") & (F.col("b_cov") > 2 * F.col("coverage"))).select("a", "ea", "b", "eb")
-    # b's end: the two best coverages there, so that the best without a's own link is known
-    at_end = near.groupBy(F.col("a").alias("b"), F.col("ea").alias("eb")).agg(F.slice(F.reverse(F.array_sort(F.collect_list("b_cov"))), 1, 2).alias("top"))
+    # b's end: the best coverage there. A link's own segment can't have twice its own coverage, unless that is 0
+    at_end = near.groupBy(F.col("a").alias("b"), F.col("ea").alias("eb")).agg(F.max("b_cov").alias("top"), F.count("*").alias("n_links"))
     linked = seen.where("is_linked").join(at_end, ["b", "eb"])
-    rival = F.when(F.get("top", F.lit(0)) == F.col("coverage"), F.get("top", F.lit(1))).otherwise(F.get("top", F.lit(0)))
-    covered = (F.col("b_cov") >= 2 * F.col("coverage")) & (F.coalesce(rival, F.lit(0.0)) >= 2 * F.col("coverage"))
+    rival = (F.col("top") >= 2 * F.col("coverage")) & ((F.col("coverage") > 0) | (F.col("n_links") > 1))
+    covered = (F.col("b_cov") >= 2 * F.col("coverage")) & rival
     judged = linked.groupBy("a").agg(F.min(covered.cast("int")).alias("all_covered")).where("all_covered = 1").select("a")
     cut = edges.join(judged, "a", "left_semi").select("a", "ea", "b", "eb")
     both = strong_open.union(cut)
@@ -111,8 +111,6 @@ def walk_coverage(steps: DataFrame, segments: DataFrame) -> DataFrame:
 
     ``steps (read_id, idx, seg, fwd)``; a read is as long as its segments together.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("read_id").orderBy(F.desc("idx"))
     placed = steps.join(segments.select("seg", "length"), "seg").withColumn("rest", F.sum("length").over(order))
     share = F.least(F.lit(1.0), F.col("rest") / F.col("length"))

@@ -74,7 +74,7 @@ def expanded(contigs: DataFrame, words: DataFrame, km: int = KM) -> DataFrame:
     text = F.when(F.col("turned"), S.reverse_complement(F.col("central"))).otherwise(F.col("central"))
     order = Window.partitionBy("seg").orderBy("at")
     before = F.coalesce(F.last(F.length("central"), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1))
-    part = F.when(F.col("central").isNull(), F.repeat(F.lit("N"), before)).when((F.col("at") == 0) | (F.length(text) == 0), text).otherwise(F.substring(text, 2, 1_000_000))
+    part = F.when(F.col("central").isNull(), F.repeat(F.lit("N"), before)).when((F.col("at") == 0) | (F.length(text) == 0), text).otherwise(F.substr(text, F.lit(2)))
     pieces = found.select("seg", "at", part.alias("part"), F.col("central").isNull().alias("gone"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])
     return pieces.groupBy("seg").agg(F.array_join(ordered, "").alias("seq"), F.count_if("gone").alias("missing"))
@@ -148,7 +148,7 @@ def inflated(contigs: DataFrame, words: DataFrame, fulls: DataFrame, km: int = K
     both = expanded(contigs, wanted, km).join(ends, "seg")
     gone = F.col("first_full").isNull().cast("long") + F.col("last_full").isNull().cast("long")
     # only what an overlap can reach is compared
-    begun = both.select("seg", "last_full", (F.col("missing") + gone).alias("missing"), F.concat(reconciled_start(F.substring("seq", 1, SEED), F.col("first_full")), F.substring("seq", SEED + 1, 2_000_000_000)).alias("seq"))
+    begun = both.select("seg", "last_full", (F.col("missing") + gone).alias("missing"), F.concat(reconciled_start(F.substring("seq", 1, SEED), F.col("first_full")), F.substr("seq", F.lit(SEED + 1))).alias("seq"))
     reach = F.greatest(F.length("seq") - F.coalesce(F.length("last_full"), F.lit(0)), F.lit(0))
     split = begun.select("seg", "last_full", "missing", F.substr("seq", F.lit(1), reach).alias("head"), F.substr("seq", reach + 1, F.length("seq")).alias("tail"))
     whole = split.select("seg", F.concat("head", reconciled_end(F.col("tail"), F.col("last_full"))).alias("seq"), "missing")

@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset and there is one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='helixframe-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,3 +35,16 @@ def dropped(*frames: DataFrame) -> None:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """Rows of a sorted frame with their number in the order, from 0.
+
+    Rows are written down with their partition and their number in it; partitions
+    in their order are a short table, whose running sum gives the first number of each.
+    """
+    kept = written(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    parts = kept.groupBy("__part").agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    return kept.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__n")).drop("__part", "__n", "__rows", "__start")

@@ -1,4 +1,4 @@
-"""Read walks over the graph: parsing, validation, support of neighbouring paths, consensus, duplication.
+"""Read walks over the graph: parsing, validation, support of neighbouring paths, consensus, bridges.
 
 A path is written like ``>12<7``: segments in order, ``>`` forward, ``<``
 reverse. Each such token starts with its own sign, so string prefixes that end
@@ -223,18 +223,12 @@ def unrepresented(strong_walks: DataFrame, built: DataFrame) -> DataFrame:
     return rest.join(two, "seg", "left_semi").select("seg", "side", "path")
 
 
-def duplicated(segments: DataFrame, edges: DataFrame, min_rel: float = 0.1, min_absolute: float = 5, rel_len: float = 0.2) -> DataFrame:
-    """``seg, copy, neighbour, coverage``: copies of segments that two or more exclusive neighbours on one end share.
+def minimum_coverage(steps: DataFrame, segments: DataFrame) -> DataFrame:
+    """``read_id, coverage``: the lowest coverage of the segments a walk passes."""
+    return steps.join(segments.select("seg", "coverage"), "seg").groupBy("read_id").agg(F.min("coverage").alias("coverage"))
 
-    All neighbours' ends have one link, coverage at least ``min_absolute`` and no
-    self link; the weakest has ``min_rel`` of the strongest; the shortest has
-    ``rel_len`` of the segment's length; and the segment's coverage is over 0.8
-    times their sum and over each. Each copy takes its neighbour's share of the
-    coverage. Right ends come first where both qualify.
-    """
-    near = graph.with_neighbours(edges, segments)
-    degree = graph.degrees(edges).select(F.col("seg").alias("b"), F.col("end").alias("eb"), F.col("degree").alias("b_degree"))
-    sides = near.join(degree, ["b", "eb"]).groupBy(F.col("a").alias("seg"), F.col("ea").alias("end")).agg(F.count("*").alias("n"), F.max("b_degree").alias("d"), F.min("b_cov").alias("lo"), F.max("b_cov").alias("hi"), F.sum("b_cov").alias("total"), F.min("b_len").alias("shortest"), F.max((F.col("a") == F.col("b")).cast("int")).alias("own"), F.array_sort(F.collect_list(F.struct(F.col("b").alias("neighbour"), "eb", F.col("b_cov").alias("cov")))).alias("nbrs"))
-    ok = (F.col("n") >= 2) & (F.col("d") == 1) & (F.col("lo") >= min_absolute) & (F.col("own") == 0) & (F.col("hi") * min_rel <= F.col("lo")) & (F.col("shortest") >= rel_len * F.col("length")) & (F.col("coverage") > 0.8 * F.col("total")) & (F.col("coverage") > F.col("hi"))
-    chosen = sides.join(segments, "seg").where(ok).groupBy("seg").agg(F.max_by(F.struct("nbrs", "total", "coverage"), "end").alias("x"))
-    return chosen.select("seg", F.posexplode("x.nbrs").alias("copy", "b"), F.col("x.total").alias("total"), F.col("x.coverage").alias("own")).select("seg", "copy", F.col("b.neighbour").alias("neighbour"), (F.col("own") * F.col("b.cov") / F.col("total")).alias("coverage"))
+
+def counters(steps: DataFrame) -> DataFrame:
+    """One row: ``n_walks``, and of these ``n_single``, which stay on one segment."""
+    sizes = steps.groupBy("read_id").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("n_walks"), F.count_if(F.col("n") == 1).alias("n_single"))

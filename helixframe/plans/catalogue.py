@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import align, contract, edit, graph, inflate, kernels, kmers, paths, walks
+from ..operators import align, contract, edit, graph, inflate, kernels, kmers, paths, untangle, walks
+from ..operators.loop import numbered, written
 from ..streaming.reduce import reduce_documents
 from . import oracles as O
 from . import relations as R
@@ -42,6 +43,17 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return R.segments(spark, sf_dir, steps), R.half_edges(steps), steps
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same, written down: for queries that use the relations again and again."""
+    steps = written(R.walk_steps(spark, sf_dir), "steps")
+    return written(R.segments(spark, sf_dir, steps), "segments"), written(R.half_edges(steps), "edges"), steps
+
+
+def _kept_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    segments, edges = R.order_graph(spark, sf_dir)
+    return written(segments, "segments"), written(edges, "edges")
+
+
 def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seg"), S.dna(F.col("text")).alias("seq"))
 
@@ -187,13 +199,13 @@ def bubble_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.trim(MIN_COVERAGE, MIN_LENGTH))
 def trim_tips_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, _ = _graph(spark, sf_dir)
+    segments, edges, _ = _kept(spark, sf_dir)
     return graph.trimmed(segments, edges, MIN_COVERAGE, MIN_LENGTH)[0]
 
 
 @query(O.detach(MIN_COVERAGE, MIN_LENGTH))
 def detach_low_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, _ = _graph(spark, sf_dir)
+    segments, edges, _ = _kept(spark, sf_dir)
     return _edges_out(graph.detached(segments, edges, MIN_COVERAGE, MIN_LENGTH))
 
 
@@ -205,7 +217,7 @@ def links_semi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.LINKS_REMOVED)
 def links_anti_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, _ = _graph(spark, sf_dir)
+    segments, edges, _ = _kept(spark, sf_dir)
     return _edges_out(graph.links_removed(edges, graph.links_kept(edges, segments.where("coverage >= 2"))))
 
 
@@ -240,8 +252,7 @@ def sort_gfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = R.table(spark, sf_dir, "events")
     kind = F.get(F.array(F.lit("L"), F.lit("S"), F.lit("H"), F.lit("#")), (F.col("event_id") % 4).cast("int"))
     lines = events.select(F.col("event_id").alias("no"), F.concat_ws("\t", kind, F.col("user_id").cast("string"), "event_type").alias("line"))
-    ordered = sorted_gfa(lines)
-    return ordered.groupBy("line").agg(F.count("*").alias("n"))
+    return numbered(sorted_gfa(lines)).select("place", "line")
 
 
 @query(O.ADD_COVERAGES)
@@ -264,16 +275,23 @@ def contractible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.MERGED)
 def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, _ = _graph(spark, sf_dir)
+    segments, edges, _ = _kept(spark, sf_dir)
     return contract.merged(segments, edges)[0].select("seg", "length", F.round("coverage", 6).alias("coverage"), "parts")
 
 
-@query()
+@query(O.MERGED_LINKS)
 def merge_adjacent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, _ = _graph(spark, sf_dir)
+    segments, edges, _ = _kept(spark, sf_dir)
     return _edges_out(contract.merged(segments, edges)[1])
 
 
+@query(O.MERGED_SEQUENCES)
+def merge_adjacent_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _kept(spark, sf_dir)
+    texts = segments.join(R.expanded_sequences(spark, sf_dir), "seg")
+    return contract.merged(texts, edges.withColumn("overlap", ((F.col("a") + F.col("b")) % 5).cast("int")))[0].select("seg", "seq")
+
+
 @query()
 def unitig_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.unitigs(R.reads(spark, sf_dir), 25, 2)
@@ -281,7 +299,7 @@ def unitig_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.bounded(BUDGET))
 def paths_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, _ = _graph(spark, sf_dir)
+    segments, edges, _ = _kept(spark, sf_dir)
     starts = segments.select("seg", F.explode(F.array(F.lit(0), F.lit(1))).alias("end"), F.lit(BUDGET).alias("budget"))
     path = F.array_join(F.transform("path", lambda x: walks.token(x["seg"], x["fwd"])), "")
     return paths.bounded(starts, edges, segments).select("seg", F.col("end").alias("side"), path.alias("path"), "length")
@@ -289,13 +307,13 @@ def paths_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.POPPED)
 def pop_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges = R.order_graph(spark, sf_dir)
+    segments, edges = _kept_orders(spark, sf_dir)
     return _edges_out(paths.popped(segments, edges, 300))
 
 
 @query()
 def pop_and_shave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges = R.order_graph(spark, sf_dir)
+    segments, edges = _kept_orders(spark, sf_dir)
     return paths.pop_and_shave(segments, edges, 2, 200, 31)
 
 
@@ -319,7 +337,7 @@ def parse_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.SPLIT)
 def split_invalid_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, steps = _graph(spark, sf_dir)
+    segments, edges, steps = _kept(spark, sf_dir)
     return walks.split_at_missing_links(steps, graph.links_kept(edges, segments.where("coverage >= 2")))
 
 
@@ -340,26 +358,55 @@ def strong_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.CONSENSUS)
 def consensus_haploid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, _, steps = _graph(spark, sf_dir)
+    segments, _, steps = _kept(spark, sf_dir)
     return walks.consensus(steps, segments)
 
 
-@query()
+def _toured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    steps = written(R.tours(spark, sf_dir), "steps")
+    return written(R.visited(steps), "segments"), written(R.half_edges(steps), "edges"), steps
+
+
+@query(O.BRIDGES)
 def bridge_haploid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, _, steps = _graph(spark, sf_dir)
-    return walks.bridges(walks.consensus(steps, segments))
+    segments, _, steps = _toured(spark, sf_dir)
+    return walks.bridges(written(walks.consensus(steps, segments), "agreed"))
 
 
-@query()
+@query(O.UNREPRESENTED)
 def unrepresented_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, _, steps = _toured(spark, sf_dir)
+    return walks.unrepresented(walks.strong(steps), walks.bridges(written(walks.consensus(steps, segments), "agreed")))
+
+
+@query(O.untangled_segments(5))
+def untangle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return untangle.untangled(*_toured(spark, sf_dir))[0].select("origin", "copy", F.round("coverage", 6).alias("coverage"))
+
+
+@query(O.untangled_links(5))
+def untangle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, links = untangle.untangled(*_toured(spark, sf_dir))
+    left = made.select(F.col("seg").alias("a"), F.col("origin").alias("oa"), F.col("copy").alias("ca"))
+    right = made.select(F.col("seg").alias("b"), F.col("origin").alias("ob"), F.col("copy").alias("cb"))
+    return links.join(left, "a").join(right, "b").select(F.col("oa").alias("a"), "ca", "ea", F.col("ob").alias("b"), "cb", "eb")
+
+
+@query(O.MINIMUM)
+def walk_minimum_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, _, steps = _graph(spark, sf_dir)
-    return walks.unrepresented(walks.strong(steps), walks.bridges(walks.consensus(steps, segments)))
+    return walks.minimum_coverage(steps, segments)
+
+
+@query(O.COUNTERS)
+def walk_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.counters(R.walk_steps(spark, sf_dir))
 
 
 @query(O.DUPLICATED)
 def duplicate_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, _ = _graph(spark, sf_dir)
-    return walks.duplicated(segments, edges, min_absolute=1).select("seg", "copy", "neighbour", F.round("coverage", 6).alias("coverage"))
+    segments, edges, _ = _kept(spark, sf_dir)
+    return edit.copies(segments, edges, edit.shared_ends(segments, edges, min_absolute=1)).select("seg", "copy", "neighbour", F.round("coverage", 6).alias("coverage"))
 
 
 @query(O.aligned(31, 5))
@@ -375,13 +422,13 @@ def spell_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.EXCLUSIVE)
 def duplicate_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, _ = _graph(spark, sf_dir)
-    return edit.exclusive_duplicates(segments, edges, short=100).select("seg", "copy", "neighbour", F.round("coverage", 6).alias("coverage"))
+    segments, edges, _ = _kept(spark, sf_dir)
+    return edit.copies(segments, edges, edit.exclusive_ends(segments, edges, short=100)).select("seg", "copy", "neighbour", F.round("coverage", 6).alias("coverage"))
 
 
 @query()
 def trim_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, edges, _ = _graph(spark, sf_dir)
+    segments, edges, _ = _kept(spark, sf_dir)
     overlaps = edges.withColumn("overlap", (F.col("a") + F.col("b")) % 30)
     return edit.trimmed_overlaps(segments, overlaps)[0]
 

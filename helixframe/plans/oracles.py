@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.sequence import _FORWARD, _REVERSE
-from .relations import CLASSES, SQL_DENSE, SQL_EDGES, SQL_GRAPH, SQL_ORDERS, SQL_READS, SQL_SEQUENCES, SQL_STEPS, sql_dna, sql_rc
+from .relations import CLASSES, SQL_DENSE, SQL_EDGES, SQL_GRAPH, SQL_ORDERS, SQL_READS, SQL_SEQUENCES, SQL_STEPS, SQL_TOURS, sql_dna, sql_rc
 
 _F = "[" + ",".join(str(int(x)) for x in _FORWARD.ravel()) + "]::UBIGINT[]"
 _R = "[" + ",".join(str(int(x)) for x in _REVERSE.ravel()) + "]::UBIGINT[]"
@@ -171,8 +171,8 @@ def shave(longest: int) -> str:
 
 BUBBLES = f"WITH {SQL_ORDERS}, {_BUBBLES} SELECT seg, sibling FROM bubbles"
 POPPED = f"""WITH {SQL_ORDERS}, summed AS (SELECT *, sum(coverage) OVER (PARTITION BY s) AS total FROM ways),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY (length * coverage + 1000 * total) / (length + 1000) DESC, o) AS n, count(*) OVER (PARTITION BY s) AS m FROM summed),
-lost AS (SELECT * FROM ranked WHERE n > 1 AND m < 50),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY (length * coverage + 1000 * total) / (length + 1000) DESC, o) AS n FROM summed),
+lost AS (SELECT * FROM ranked WHERE n > 1),
 links AS (SELECT s AS a, 1 AS ea, o AS b, 0 AS eb FROM lost UNION SELECT o, 1, s + 1, 0 FROM lost)
 SELECT CASE WHEN a < b THEN a ELSE b END AS a, CASE WHEN a < b THEN ea ELSE eb END AS ea, CASE WHEN a < b THEN b ELSE a END AS b, CASE WHEN a < b THEN eb ELSE ea END AS eb FROM links"""
 
@@ -213,8 +213,8 @@ SELECT a, ea, b, eb, CAST(CASE WHEN length(s1) < 30 OR length(s2) < 30 THEN 0 WH
 LINK_LINES = f"""WITH {SQL_GRAPH}, e AS (SELECT lpad(CAST(a AS VARCHAR), 12, '0') AS a, ea, lpad(CAST(b AS VARCHAR), 12, '0') AS b, eb FROM half_edges)
 SELECT 'S' || chr(9) || seg || chr(9) || '*' || chr(9) || 'DP:f:' || CAST(coverage AS INTEGER) || chr(9) || 'LN:i:' || length AS line FROM segments
 UNION ALL SELECT 'L' || chr(9) || a || chr(9) || CASE WHEN ea = 1 THEN '+' ELSE '-' END || chr(9) || b || chr(9) || CASE WHEN eb = 0 THEN '+' ELSE '-' END || chr(9) || '0M' FROM e WHERE a < b OR (a = b AND ea <= eb)"""
-SORT_GFA = """WITH l AS (SELECT CASE event_id % 4 WHEN 0 THEN 'L' WHEN 1 THEN 'S' WHEN 2 THEN 'H' ELSE '#' END || chr(9) || user_id || chr(9) || event_type AS line FROM events)
-SELECT line, count(*) AS n FROM l WHERE line LIKE 'S' || chr(9) || '%' OR line LIKE 'L' || chr(9) || '%' GROUP BY line"""
+SORT_GFA = """WITH l AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'L' WHEN 1 THEN 'S' WHEN 2 THEN 'H' ELSE '#' END || chr(9) || user_id || chr(9) || event_type AS line FROM events)
+SELECT row_number() OVER (ORDER BY line[1] DESC, event_id) - 1 AS place, line FROM l WHERE line[1] IN ('S', 'L')"""
 ADD_COVERAGES = f"""WITH {SQL_STEPS}, v AS (SELECT seg // {CLASSES} AS part, count(*) AS n FROM walk_steps GROUP BY 1)
 SELECT CAST(p_partkey AS VARCHAR) AS name, CAST(coalesce(n, 0) AS DOUBLE) AS coverage FROM part LEFT JOIN v ON part = p_partkey"""
 
@@ -227,6 +227,24 @@ tips AS (SELECT seg FROM segments WHERE seg NOT IN (SELECT a FROM links GROUP BY
 named AS (SELECT r.seg, coalesce(min(other) FILTER (WHERE other IN (SELECT seg FROM tips)), min(other)) AS chain FROM reach r GROUP BY r.seg)
 SELECT chain AS seg, CAST(sum(length) AS INTEGER) AS length, round(sum(coverage * length) / sum(length), 6) AS coverage, count(*) AS parts FROM named JOIN segments USING (seg) GROUP BY chain"""
 
+_PLACED = f"""{_CONTRACTIBLE},
+reach AS (SELECT seg, seg AS other FROM segments UNION SELECT r.seg, l.b FROM reach r JOIN links l ON l.a = r.other),
+tips AS (SELECT seg FROM segments WHERE seg NOT IN (SELECT a FROM links GROUP BY a HAVING count(*) = 2)),
+named AS (SELECT r.seg, coalesce(min(other) FILTER (WHERE other IN (SELECT seg FROM tips)), min(other)) AS chain, count(*) FILTER (WHERE other IN (SELECT seg FROM tips)) = 0 AS ring FROM reach r GROUP BY r.seg),
+inner_ends AS (SELECT a AS seg, ea AS side FROM links),
+open_ends AS (SELECT seg, chain, side, (SELECT count(*) FROM inner_ends i WHERE i.seg = named.seg) AS n FROM named, (SELECT unnest([0, 1]) AS side) e WHERE NOT ring AND NOT EXISTS (SELECT 1 FROM inner_ends i WHERE i.seg = named.seg AND i.side = e.side)),
+outer_ends AS (SELECT seg, side, chain, CASE WHEN n = 0 THEN side WHEN seg = chain THEN 0 ELSE 1 END AS of_chain FROM open_ends
+  UNION ALL SELECT seg, 0, chain, 0 FROM named WHERE ring AND seg = chain UNION ALL SELECT b, eb, chain, 1 FROM named JOIN links ON a = seg AND ea = 0 WHERE ring AND seg = chain)"""
+MERGED_LINKS = f"""WITH RECURSIVE {SQL_GRAPH}, {_PLACED},
+rest AS (SELECT e.* FROM half_edges e ANTI JOIN (SELECT l.* FROM links l JOIN named ON named.seg = l.a AND NOT ring) l ON l.a = e.a AND l.ea = e.ea AND l.b = e.b AND l.eb = e.eb)
+SELECT DISTINCT x.chain AS a, x.of_chain AS ea, y.chain AS b, y.of_chain AS eb FROM rest r JOIN outer_ends x ON x.seg = r.a AND x.side = r.ea JOIN outer_ends y ON y.seg = r.b AND y.side = r.eb"""
+MERGED_SEQUENCES = f"""WITH RECURSIVE {SQL_GRAPH}, {SQL_SEQUENCES}, {_EXPANDED}, {_PLACED},
+line AS (SELECT seg, chain, CAST(0 AS BIGINT) AS idx, CASE WHEN ring THEN true ELSE EXISTS (SELECT 1 FROM inner_ends i WHERE i.seg = named.seg AND i.side = 1) OR NOT EXISTS (SELECT 1 FROM inner_ends i WHERE i.seg = named.seg) END AS fwd, 0 AS lap FROM named WHERE seg = chain
+  UNION ALL SELECT l.b, w.chain, w.idx + 1, l.eb = 0, (l.a + l.b) % 5 FROM line w JOIN links l ON l.a = w.seg AND l.ea = CASE WHEN w.fwd THEN 1 ELSE 0 END WHERE l.b <> w.chain)
+SELECT chain AS seg, string_agg(substr(CASE WHEN fwd THEN seq ELSE {sql_rc('seq')} END, CAST(lap AS INTEGER) + 1), '' ORDER BY idx) AS seq FROM line JOIN expanded USING (seg) GROUP BY chain"""
+MINIMUM = f"WITH {SQL_GRAPH} SELECT read_id, min(coverage) AS coverage FROM walk_steps JOIN segments USING (seg) GROUP BY read_id"
+COUNTERS = f"WITH {SQL_STEPS}, n AS (SELECT read_id, count(*) AS n FROM walk_steps GROUP BY read_id) SELECT count(*) AS n_walks, count(*) FILTER (WHERE n = 1) AS n_single FROM n"
+
 
 def bounded(budget: int) -> str:
     return f"""WITH RECURSIVE {SQL_GRAPH},
@@ -265,17 +283,73 @@ def _whole(name: str, ok: str) -> str:
   SELECT s.seg, s.side, s.prefix, s.parent, s.depth FROM support s JOIN {name} p ON p.seg = s.seg AND p.side = s.side AND p.prefix = s.parent WHERE {ok.replace('support', 's.support').replace('against', 's.against')})"""
 
 
-STRONG = f"""WITH RECURSIVE {_SUPPORT.replace(SQL_STEPS, SQL_DENSE)}, {_whole('strong', 'support >= 2 AND (against = 0 OR support > 4)')},
-n AS (SELECT *, row_number() OVER (PARTITION BY seg, side ORDER BY depth DESC, prefix) AS n FROM strong)
-SELECT seg, side, prefix AS path, CAST(depth AS INTEGER) AS depth FROM n WHERE n = 1"""
-CONSENSUS = f"""WITH RECURSIVE {_SUPPORT}, segs AS (SELECT DISTINCT seg FROM walk_steps), {_MAXIMAL}, {_whole('fine', '0.2 * (support - 1) > against - 1 AND against < 5')},
+def _strong(steps: str, least: int) -> str:
+    return f"""{_SUPPORT.replace(SQL_STEPS, steps)}, {_whole('strong', f'support >= {least} AND (against = 0 OR support > 4)')},
+strongest AS (SELECT seg, side, prefix AS path, depth FROM (SELECT *, row_number() OVER (PARTITION BY seg, side ORDER BY depth DESC, prefix) AS n FROM strong) WHERE n = 1)"""
+
+
+_CONSENSUS = f"""segs AS (SELECT DISTINCT seg FROM walk_steps), {_MAXIMAL}, {_whole('fine', '0.2 * (support - 1) > against - 1 AND against < 5')},
 n AS (SELECT f.seg, f.side, f.prefix AS path, row_number() OVER (PARTITION BY f.seg, f.side ORDER BY f.depth DESC, f.prefix) AS n FROM fine f JOIN maximal m ON m.seg = f.seg AND m.side = f.side AND m.path = f.prefix),
 win AS (SELECT seg, side, path FROM n WHERE n = 1),
 up AS (SELECT seg, side, path, path AS prefix FROM win UNION ALL SELECT u.seg, u.side, u.path, s.parent FROM up u JOIN support s ON s.seg = u.seg AND s.side = u.side AND s.prefix = u.prefix WHERE s.parent <> ''),
 kept AS (SELECT u.seg, u.side, arg_max(u.prefix, s.depth) FILTER (WHERE s.support > 1) AS kept FROM up u JOIN support s ON s.seg = u.seg AND s.side = u.side AND s.prefix = u.prefix GROUP BY u.seg, u.side),
 walked AS (SELECT DISTINCT seg, side FROM support),
-wide AS (SELECT w.seg, max(CASE WHEN w.side = 0 THEN coalesce(kept, '') END) AS l, max(CASE WHEN w.side = 1 THEN coalesce(kept, '') END) AS r, count(*) FILTER (WHERE k.seg IS NULL) AS open FROM walked w LEFT JOIN kept k ON k.seg = w.seg AND k.side = w.side GROUP BY w.seg)
-SELECT s.seg, coalesce(l, '') AS left_path, coalesce(r, '') AS right_path, coalesce(open, 0) = 0 AS haploid FROM segs s LEFT JOIN wide USING (seg)"""
+wide AS (SELECT w.seg, max(CASE WHEN w.side = 0 THEN coalesce(kept, '') END) AS l, max(CASE WHEN w.side = 1 THEN coalesce(kept, '') END) AS r, count(*) FILTER (WHERE k.seg IS NULL) AS open FROM walked w LEFT JOIN kept k ON k.seg = w.seg AND k.side = w.side GROUP BY w.seg),
+agreed AS (SELECT s.seg, coalesce(l, '') AS left_path, coalesce(r, '') AS right_path, coalesce(open, 0) = 0 AS haploid FROM segs s LEFT JOIN wide USING (seg))"""
+STRONG = f"WITH RECURSIVE {_strong(SQL_DENSE, 2)} SELECT seg, side, path, CAST(depth AS INTEGER) AS depth FROM strongest"
+CONSENSUS = f"WITH RECURSIVE {_SUPPORT}, {_CONSENSUS} SELECT seg, left_path, right_path, haploid FROM agreed"
+_BRIDGES = """ways AS (SELECT seg, side, regexp_extract_all(path, '[<>][0-9]+') AS t FROM (SELECT seg, 0 AS side, left_path AS path FROM agreed WHERE haploid UNION ALL SELECT seg, 1, right_path FROM agreed WHERE haploid)),
+others AS (SELECT seg, side, t, i, CAST(substr(t[i], 2) AS BIGINT) AS target, CASE WHEN t[i][1] = '>' THEN 0 ELSE 1 END AS target_side FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM ways)),
+met AS (SELECT *, row_number() OVER (PARTITION BY seg, side ORDER BY i) AS n FROM others WHERE target <> seg AND target IN (SELECT seg FROM agreed WHERE haploid)),
+found AS (SELECT seg, side, target, target_side, array_to_string(t[1:i], '') AS path FROM met WHERE n = 1),
+bridges AS (SELECT f.* FROM found f JOIN found b ON b.seg = f.target AND b.side = f.target_side AND b.target = f.seg AND b.target_side = f.side WHERE f.seg < f.target OR (f.seg = f.target AND f.side <= f.target_side))"""
+
+
+def _sign(side: str) -> str:
+    return f"CASE WHEN {side} = 1 THEN '>' ELSE '<' END"
+
+
+def _flipped(path: str) -> str:
+    return f"array_to_string(list_reverse(list_transform(regexp_extract_all({path}, '[<>][0-9]+'), lambda x: CASE WHEN x[1] = '>' THEN '<' ELSE '>' END || substr(x, 2))), '')"
+
+
+_UNREPRESENTED = f"""built AS (SELECT {_sign('side')} || seg || path AS line FROM bridges),
+lines AS (SELECT line FROM built UNION ALL SELECT {_flipped('line')} FROM built),
+walked_on AS (SELECT seg, side, path, {_sign('side')} || seg || path AS walk FROM strongest),
+loose AS (SELECT * FROM walked_on w WHERE NOT EXISTS (SELECT 1 FROM lines WHERE contains(line || '>', walk || '>') OR contains(line || '>', walk || '<'))),
+unrepresented AS (SELECT seg, side, path FROM loose WHERE seg IN (SELECT seg FROM loose GROUP BY seg HAVING count(DISTINCT side) = 2))"""
+_TOURED = _SUPPORT.replace(SQL_STEPS, SQL_TOURS)
+BRIDGES = f"WITH RECURSIVE {_TOURED}, {_CONSENSUS}, {_BRIDGES} SELECT * FROM bridges"
+UNREPRESENTED = f"WITH RECURSIVE {_strong(SQL_TOURS, 2)}, {_CONSENSUS}, {_BRIDGES}, {_UNREPRESENTED} SELECT * FROM unrepresented"
+
+
+def _untangled(least: int) -> str:
+    return f"""WITH RECURSIVE {_strong(SQL_TOURS, least)}, {_CONSENSUS}, {_BRIDGES}, {_UNREPRESENTED},
+cover AS (SELECT seg, CAST(count(*) AS DOUBLE) AS c FROM walk_steps GROUP BY seg),
+hap AS (SELECT seg FROM agreed WHERE haploid),
+drawn AS (SELECT b.seg AS f, b.side AS fs, least(x.c, y.c) AS want, regexp_extract_all({_sign('b.side')} || b.seg || b.path, '[<>][0-9]+') AS t FROM bridges b JOIN cover x ON x.seg = b.seg JOIN cover y ON y.seg = b.target),
+on_bridges AS (SELECT f, fs, want, i - 1 AS idx, CAST(substr(t[i], 2) AS BIGINT) AS seg, t[i][1] = '>' AS fwd FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM drawn)),
+inside AS (SELECT o.*, c.c AS has, sum(want) OVER (PARTITION BY o.seg) AS asked, row_number() OVER (PARTITION BY o.seg ORDER BY f, fs, idx) - 1 AS "copy", count(*) OVER (PARTITION BY o.seg) AS m FROM on_bridges o JOIN cover c USING (seg) WHERE seg NOT IN (SELECT seg FROM hap)),
+peeled AS (SELECT *, greatest(least(want, has * want / asked), 1.0) AS got FROM inside),
+rest AS (SELECT c.seg, greatest(c.c - coalesce(sum(got), 0.0), 1.0) AS c, coalesce(max(m), 0) AS "copy" FROM cover c LEFT JOIN peeled p USING (seg) GROUP BY c.seg, c.c),
+through AS (SELECT l.seg AS g, {_flipped('l.path')} || '>' || l.seg || r.path AS line FROM unrepresented l JOIN unrepresented r ON r.seg = l.seg AND r.side = 1 WHERE l.side = 0),
+all_passed AS (SELECT g, i - 1 AS idx, CAST(substr(t[i], 2) AS BIGINT) AS seg, t[i][1] = '>' AS fwd FROM (SELECT g, regexp_extract_all(line, '[<>][0-9]+') AS t, unnest(range(1, len(regexp_extract_all(line, '[<>][0-9]+')) + 1)) AS i FROM through)),
+passed AS (SELECT * FROM all_passed WHERE g IN (SELECT g FROM all_passed JOIN rest USING (seg) GROUP BY g HAVING min(c) >= {least})),
+made AS (SELECT seg, CAST(0 AS BIGINT) AS "copy", c FROM hap JOIN cover USING (seg) UNION ALL SELECT seg, "copy", got FROM peeled UNION ALL SELECT seg, "copy", c FROM rest WHERE seg IN (SELECT seg FROM passed) AND seg NOT IN (SELECT seg FROM hap)),
+placed AS (SELECT 'b' AS kind, o.f, o.fs, o.idx, o.seg, o.fwd, coalesce(p."copy", 0) AS "copy" FROM on_bridges o LEFT JOIN peeled p ON p.f = o.f AND p.fs = o.fs AND p.idx = o.idx
+  UNION ALL SELECT 'p', g, 0, idx, seg, fwd, CASE WHEN seg IN (SELECT seg FROM hap) THEN 0 ELSE "copy" END FROM passed JOIN rest USING (seg)),
+paired AS (SELECT seg AS a, "copy" AS ca, CASE WHEN fwd THEN 1 ELSE 0 END AS ea, lead(seg) OVER w AS b, lead("copy") OVER w AS cb, CASE WHEN lead(fwd) OVER w THEN 0 ELSE 1 END AS eb FROM placed WINDOW w AS (PARTITION BY kind, f, fs ORDER BY idx)),
+links AS (SELECT a, ca, ea, b, cb, eb FROM paired WHERE b IS NOT NULL UNION SELECT b, cb, eb, a, ca, ea FROM paired WHERE b IS NOT NULL)"""
+
+
+def untangled_segments(least: int) -> str:
+    return f'{_untangled(least)} SELECT seg AS origin, CAST("copy" AS BIGINT) AS "copy", round(c, 6) AS coverage FROM made'
+
+
+def untangled_links(least: int) -> str:
+    return f"{_untangled(least)} SELECT a, CAST(ca AS BIGINT) AS ca, ea, b, CAST(cb AS BIGINT) AS cb, eb FROM links"
+
+
 DUPLICATED = f"""WITH {SQL_GRAPH}, {_NEAR}, degree AS (SELECT a, ea, count(*) AS d FROM half_edges GROUP BY a, ea),
 sides AS (SELECT n.a AS seg, n.ea AS side, count(*) AS n, max(d) AS d, min(b_cov) AS lo, max(b_cov) AS hi, sum(b_cov) AS total, min(b_len) AS shortest, bool_or(n.a = n.b) AS own FROM near n JOIN degree g ON g.a = n.b AND g.ea = n.eb GROUP BY 1, 2),
 ok AS (SELECT s.seg, max(side) AS side FROM sides JOIN segments s USING (seg) WHERE n >= 2 AND d = 1 AND lo >= 1 AND NOT own AND hi * 0.1 <= lo AND shortest >= 0.2 * length AND coverage > 0.8 * total AND coverage > hi GROUP BY s.seg)
@@ -298,4 +372,4 @@ SELECT a AS seg, ea AS side, t AS extension FROM n WHERE n = 1"""
 
 
 CONTAINMENT = f"""WITH {SQL_READS}, {_CONTIGS}
-SELECT seg, (SELECT count(*) FROM reads r WHERE length(c.seq) >= 31 AND (contains(r.seq, c.seq) OR contains(r.seq, {sql_rc('c.seq')}))) AS n_in FROM contigs c"""
+SELECT seg, (SELECT count(*) FROM reads r WHERE contains(r.seq, c.seq) OR contains(r.seq, {sql_rc('c.seq')})) AS n_in FROM contigs c"""

@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``read_id, seq``, dealt out by id: one file of long texts would keep a single task busy."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), dna(F.col("text")).alias("seq"))
-    return docs.repartition("read_id")
+    """``read_id, seq``. Texts are only dealt out anew where the scan has fewer splits than there are cores."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        docs = docs.repartition(cores)
+    return docs.select(F.col("doc_id").alias("read_id"), dna(F.col("text")).alias("seq"))
 
 
 def walk_steps(spark: SparkSession, sf_dir: str, seg: Column | None = None) -> DataFrame:
@@ -49,6 +52,23 @@ def dense_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk_steps(spark, sf_dir, F.col("l_suppkey") % 10)
 
 
+def tours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks of a graph to be untangled: an order goes its customer class's way, odd orders from its end.
+
+    Half of 60 classes have ends of their own and shared segments between them; the others pass shared ones only.
+    """
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("read_id")).agg((F.min("o_custkey") % 60).alias("s"))
+    s = F.col("s")
+    way = F.when(s < 30, F.array(1000 + s, 2000 + s % 6, 3000 + s % 4, 4000 + s)).otherwise(F.array(2100 + s % 3, 2200 + s % 2, 2300 + s % 3))
+    odd = F.col("read_id") % 2 == 1
+    return orders.select("read_id", F.posexplode(F.when(odd, F.reverse(way)).otherwise(way)).alias("idx", "seg"), (~odd).alias("fwd"))
+
+
+def visited(steps: DataFrame) -> DataFrame:
+    """``seg, length, coverage`` of the segments on walks: 100 bases, and how often they are passed."""
+    return steps.groupBy("seg").agg(F.lit(100).alias("length"), F.count("*").cast("double").alias("coverage"))
+
+
 def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Segments and edges of a graph full of bubbles: a customer's orders of one priority are parallel ways between two ends."""
     orders = table(spark, sf_dir, "orders").select(((F.col("o_custkey") * 5 + F.substring("o_orderpriority", 1, 1).cast("int") - 1) * 4).alias("s"), (F.col("o_orderkey") * 4 + 2).alias("o"), (10 + F.col("o_orderkey") % 40).cast("int").alias("length"), (F.floor(F.col("o_totalprice") / 1000) + 1).cast("double").alias("coverage"))
@@ -107,5 +127,10 @@ SQL_ORDERS = """ways AS (
     SELECT (o_custkey * 5 + CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1) * 4 AS s, o_orderkey * 4 + 2 AS o, 10 + o_orderkey % 40 AS length, floor(o_totalprice / 1000) + 1 AS coverage FROM orders) GROUP BY s, o),
 forward AS (SELECT s AS a, 1 AS ea, o AS b, 0 AS eb FROM ways UNION SELECT o, 1, s + 1, 0 FROM ways),
 half_edges AS (SELECT * FROM forward UNION SELECT b, eb, a, ea FROM forward)"""
+SQL_TOURS = """walk_steps AS (
+  SELECT read_id, i - 1 AS idx, CASE WHEN read_id % 2 = 1 THEN way[len(way) + 1 - i] ELSE way[i] END AS seg, read_id % 2 = 0 AS fwd FROM (
+    SELECT read_id, way, unnest(range(1, len(way) + 1)) AS i FROM (
+      SELECT read_id, CASE WHEN s < 30 THEN [1000 + s, 2000 + s % 6, 3000 + s % 4, 4000 + s] ELSE [2100 + s % 3, 2200 + s % 2, 2300 + s % 3] END AS way
+      FROM (SELECT o_orderkey AS read_id, min(o_custkey) % 60 AS s FROM orders GROUP BY 1))))"""
 SQL_GRAPH = f"{SQL_STEPS}, {SQL_EDGES}, {SQL_SEGMENTS}"
 SQL_SEQUENCES = f"segment_seq AS (SELECT p_partkey AS seg, {sql_dna('p_name || p_type || p_brand')} AS seq FROM part)"

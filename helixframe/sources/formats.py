@@ -33,7 +33,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\n+$", ""), "\r?\n").alias("l"))
     each = files.where(F.size("l") >= 4).select("l", F.explode(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1)).alias("i"))
     at = lambda k: F.get("l", F.col("i") * 4 + k)
-    return each.select(F.substring(at(0), 2, 1_000_000).alias("name"), at(1).alias("seq"), at(3).alias("quality"))
+    return each.select(F.substr(at(0), F.lit(2)).alias("name"), at(1).alias("seq"), at(3).alias("quality"))
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:

@@ -102,7 +102,7 @@ def test_shave(spark):
 def test_duplicate(spark):
     for coverage, n in ((20, 2), (15, 0)):
         ids, s, e = graph_of(spark, {"s": (100, coverage), "x": (100, 10), "y": (100, 9)}, ["x+ s+", "y+ s+"])
-        got = sorted(r["coverage"] for r in walks.duplicated(s, e).collect())
+        got = sorted(r["coverage"] for r in edit.copies(s, e, edit.shared_ends(s, e)).collect())
         assert got == pytest.approx([20 * 9 / 19, 20 * 10 / 19][:n] if n else [])
 
 
