@@ -9,10 +9,10 @@ tile, and since x = X + e,
     |x.y - X.Y|  <=  |X| |e_y|  +  |e_x| |y|
 
 with the norms kept beside the tile. A pair survives when its upper bound reaches
-the k-th best lower bound in the query's heap so far. Surviving pairs of all
-groups are pruned once more by the query's k-th best lower bound of all, fetch
-their original vectors, are computed again in double precision and merged. The
-result is exact: nothing below the bounds can belong to the k nearest.
+the k-th best of the query's lower bounds so far. Surviving pairs of all groups
+are pruned once more by the query's k-th best lower bound of all, fetch their
+original vectors, are computed again in double precision, and merged by heaps of
+k. The result is exact: nothing below the bounds can belong to the k nearest.
 
 Equal vectors tie everywhere, and ties go to the smaller id. So of candidates
 with one vector a tile, and a query's survivors, keep those on the k + 1 smallest
@@ -21,9 +21,11 @@ on a third of all rows then costs its rows once and no more.
 
 Queries are a stated set (ids divisible by ``EVERY``) against all rows, in
 blocks. A group is one query block and a run of candidate blocks, which stream
-past it, so a task holds two tiles and its heaps, however long the run. Runs have
-at most ``RUN_ROWS`` rows, and are short enough to keep the session's cores busy.
-Blocks have at most ``BLOCK`` rows and ``TILE_BYTES`` of double precision.
+past it, so a task holds two tiles and its survivors, however long the run. Runs
+have at most ``RUN_ROWS`` rows, and there are enough of them to keep the session's
+cores busy; as many for any table that one query block serves, so survivors grow
+with the queries. Blocks have at most ``BLOCK`` rows and ``TILE_BYTES`` of double
+precision.
 
 Integers up to 127 are multiplied as float32, which is exact below 2**24 (1040
 dimensions); longer vectors use float64.
@@ -56,7 +58,7 @@ EVERY = 20
 BLOCK = 4096
 TILE_BYTES = 8 << 20
 RUN_ROWS = 2 << 20
-TASKS_A_CORE = 4
+TASKS_A_CORE = 2
 MOST_PARTS = 20_000
 TILE = "block int, width int, ids binary, rows binary, prints binary, small binary, stats binary"
 
@@ -86,21 +88,20 @@ class Tile:
         return cls(np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64), np.frombuffer(prints, "V16"), np.frombuffer(small, np.int8).reshape(-1, width), np.frombuffer(stats).reshape(4, -1))
 
 
-def leading(keys: list[bytes], ids: list[int], k: int) -> list[int]:
-    """Places of those that can be among the k nearest of a query: of equal vectors the k + 1 smallest ids, k rows each."""
-    order = sorted(range(len(ids)), key=lambda i: (keys[i], ids[i]))
-    out, before, n_ids, n_rows = [], None, 0, 0
-    for i in order:
-        if before is None or keys[i] != keys[before]:
-            n_ids, n_rows = 1, 1
-        elif ids[i] != ids[before]:
-            n_ids, n_rows = n_ids + 1, 1
-        else:
-            n_rows += 1
-        before = i
-        if n_ids <= k + 1 and n_rows <= k:
-            out.append(i)
-    return sorted(out)
+def leading(who: np.ndarray, prints: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of those that can be among the k nearest of a query ``who``: of equal vectors the k + 1 smallest ids, k rows each."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    _, vector = np.unique(prints, return_inverse=True)
+    order = np.lexsort((ids, vector, who))
+    w, v, i = who[order], vector[order], ids[order]
+    fresh = np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1])))  # another vector
+    other = fresh | np.concatenate(([True], i[1:] != i[:-1]))  # another id
+    at = np.arange(len(order))
+    n_rows = at - np.maximum.accumulate(np.where(other, at, 0))
+    count = np.cumsum(other)
+    n_ids = count - np.maximum.accumulate(np.where(fresh, count, 0))
+    return np.sort(order[(n_ids <= k) & (n_rows < k)])
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,13 +113,13 @@ def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """Heaps and survivors of one query block."""
+    """Survivors of one query block, and its queries' best lower bounds."""
 
     def __init__(self, queries: Tile, k: int):
         self.q, self.k = queries, k
-        self.heaps: list[list[float]] = [[] for _ in queries.ids]  # the k best lower bounds, the worst first
-        self.floor = np.full(len(queries.ids), -np.inf)
-        self.found: list[list[tuple[float, float, bytes, int, int]]] = [[] for _ in queries.ids]  # upper, lower, vector, id, row
+        self.lows = np.full((len(queries.ids), k), -np.inf)  # the k best, in any order
+        self.found: list[tuple[np.ndarray, ...]] = []  # query, lower, upper bound, vector, id, row
+        self.size = 0
 
     def meet(self, c: Tile) -> None:
         q = self.q
@@ -134,34 +135,29 @@ class Search:
             own = q.ids[part, None] == c.ids[None]
             low, high = np.where(own, -np.inf, near - slack), near + slack
             n = low.shape[1]
-            bound = self.floor[part]
-            if n > self.k:
-                bound = np.maximum(bound, np.partition(low, n - self.k, axis=1)[:, n - self.k])
-            who, which = np.nonzero((high >= bound[:, None]) & ~own)
-            for i, u, s, v, other, row in zip((who + at).tolist(), high[who, which].tolist(), low[who, which].tolist(), c.prints[which].tolist(), c.ids[which].tolist(), c.rows[which].tolist(), strict=True):
-                self.found[i].append((u, s, v, other, row))
-                heap = self.heaps[i]
-                if len(heap) < self.k:
-                    heapq.heappush(heap, s)
-                elif s > heap[0]:
-                    heapq.heapreplace(heap, s)
-            for i in range(at, min(at + 256, len(self.heaps))):
-                if len(self.heaps[i]) == self.k:
-                    self.floor[i] = self.heaps[i][0]
-                if len(self.found[i]) > 8 * self.k:
-                    self.prune(i)
-
-    def prune(self, i: int) -> None:
-        rest = [x for x in self.found[i] if x[0] >= self.floor[i]]
-        self.found[i] = [rest[j] for j in leading([x[2] for x in rest], [x[3] for x in rest], self.k)]
-
-    def survivors(self) -> pa.RecordBatch:
-        for i in range(len(self.found)):
-            self.prune(i)
-        sizes = [len(x) for x in self.found]
-        flat = [x for found in self.found for x in found]
-        ints = (np.repeat(self.q.ids, sizes), np.repeat(self.q.rows, sizes), [x[3] for x in flat], [x[4] for x in flat])
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in ints), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[0] for x in flat], pa.float64())], names=["query_id", "query_row", "vec_id", "row", "low", "high"])
+            best = np.concatenate([self.lows[part], low if n <= self.k else np.partition(low, n - self.k, axis=1)[:, n - self.k :]], axis=1)
+            self.lows[part] = np.partition(best, best.shape[1] - self.k, axis=1)[:, best.shape[1] - self.k :]
+            who, which = np.nonzero((high >= self.lows[part].min(1)[:, None]) & ~own)
+            self.found.append((who + at, low[who, which], high[who, which], c.prints[which], c.ids[which], c.rows[which]))
+            self.size += len(who)
+        if self.size > 16 * self.k * len(q.ids) + 100_000:
+            self.prune()
+
+    def prune(self) -> None:
+        who, low, high, prints, ids, rows = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        some = np.flatnonzero(high >= self.lows.min(1)[who])
+        some = some[leading(who[some], prints[some], ids[some], self.k)]
+        self.found = [tuple(x[some] for x in (who, low, high, prints, ids, rows))]
+        self.size = len(some)
+
+    def survivors(self) -> Iterator[pa.RecordBatch]:
+        if not self.found:
+            return
+        self.prune()
+        who, low, high, _, ids, rows = self.found[0]
+        for at in range(0, len(who), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[part], pa.int64()) for x in (self.q.ids[who], self.q.rows[who], ids, rows)), *(pa.array(x[part], pa.float64()) for x in (low, high))], names=["query_id", "query_row", "vec_id", "row", "low", "high"])
 
 
 SURVIVORS = "query_id long, query_row long, vec_id long, row long, low double, high double"
@@ -197,7 +193,7 @@ def _tiles(k: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
         vectors = _matrix(packed, width)
         ids, rows = pdf["vec_id"].to_numpy(np.int64), pdf["row"].to_numpy(np.int64)
         if k is not None:
-            some = np.array(leading([v.tobytes() for v in vectors], ids.tolist(), k))
+            some = leading(np.zeros(len(ids), np.int64), np.ascontiguousarray(vectors).view(f"V{8 * width}")[:, 0], ids, k)
             ids, rows, vectors = ids[some], rows[some], vectors[some]
         return pd.DataFrame([[int(pdf["block"].iloc[0]), width, *Tile.of(ids, rows, vectors).columns()]], columns=["block", "width", "ids", "rows", "prints", "small", "stats"])
 
@@ -214,23 +210,36 @@ def _search(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
             for kind, *columns in parts:
                 if kind == 0:
                     if search:
-                        yield search.survivors()
+                        yield from search.survivors()
                     search = Search(Tile.read(*columns), k)
                 elif search:
                     search.meet(Tile.read(*columns))
         if search:
-            yield search.survivors()
+            yield from search.survivors()
 
     return run
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not len(batch):
-            continue
-        left, right = (list(utf8(batch[c])) for c in ("asked", "packed"))
-        width = max(map(len, left + right)) // 8
-        yield pa.RecordBatch.from_arrays([batch["query_id"], batch["vec_id"], pa.array(dot(_matrix(left, width), _matrix(right, width)))], names=["query_id", "vec_id", "score"])
+def _scores(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores of the original vectors, the k best of each query by a heap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps: dict[int, list[tuple[float, int]]] = {}  # (score, -id), the worst first
+        for batch in batches:
+            if not len(batch):
+                continue
+            left, right = (list(utf8(batch[c])) for c in ("asked", "packed"))
+            width = max(map(len, left + right)) // 8
+            for q, i, s in zip(batch["query_id"].to_pylist(), batch["vec_id"].to_pylist(), dot(_matrix(left, width), _matrix(right, width)).tolist(), strict=True):
+                heap = heaps.setdefault(q, [])
+                if len(heap) < k:
+                    heapq.heappush(heap, (s, -i))
+                elif (s, -i) > heap[0]:
+                    heapq.heapreplace(heap, (s, -i))
+        flat = [(q, -i, s) for q, heap in heaps.items() for s, i in heap]
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in flat], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 def neighbours(embeddings: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK, run_rows: int = RUN_ROWS) -> DataFrame:
@@ -242,9 +251,10 @@ def neighbours(embeddings: DataFrame, k: int = K, every: int = EVERY, block: int
     asked = valid.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "packed"])
     shape = valid.agg(F.count("*").alias("n"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("asked"), F.max(F.octet_length("packed")).alias("bytes")).first()
     block = max(min(block, TILE_BYTES // (shape["bytes"] or 8)), 1)
-    blocks, query_blocks = -(-shape["n"] // block) or 1, -(-shape["asked"] // block) or 1
+    query_blocks = -(-shape["asked"] // block) or 1
     busy = TASKS_A_CORE * spark.sparkContext.defaultParallelism
-    groups = min(max(-(-shape["n"] // run_rows), -(-busy // query_blocks)), blocks)
+    groups = min(max(-(-shape["n"] // run_rows), -(-busy // query_blocks)), max(shape["n"], 1))
+    blocks = groups * (-(-shape["n"] // (groups * block)) or 1)
     parts = min(query_blocks * groups, MOST_PARTS)
 
     def tiled(rows: DataFrame, n: int, keep: int | None) -> DataFrame:
@@ -260,6 +270,6 @@ def neighbours(embeddings: DataFrame, k: int = K, every: int = EVERY, block: int
     # of a query with under k survivors all stay
     left = survivors.withColumn("floor", F.nth_value("low", k).over(each)).where("floor is null or high >= floor").select("query_id", "query_row", "vec_id", "row")
     exact = left.join(valid.select("row", "packed"), "row").join(asked.select(F.col("row").alias("query_row"), F.col("packed").alias("asked")), "query_row")
-    found = exact.select("query_id", "vec_id", "asked", "packed").mapInArrow(_scores, "query_id long, vec_id long, score double")
+    found = exact.select("query_id", "vec_id", "asked", "packed").mapInArrow(_scores(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
