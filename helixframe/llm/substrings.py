@@ -34,8 +34,9 @@ Texts are joined twice, by document, each time once through a shuffle.
 
 Long runs (over ``RUN`` words) stay as single words. Symbols beside one depend on
 its nearest word, as beside a short run; no symbol may depend on more of it.
-Equality is that of 64-bit hashes of windows: all decisions are symmetric, no
-window is dropped.
+Equality is that of two 64-bit hashes: of the words that decided on the anchor
+(equal windows have equal ones) and of all words. All decisions are symmetric, no
+window is dropped. Of a very long text a task holds some arrays of a number a word.
 
 Defined results: null and empty texts have no words, nothing removed and the
 hash of the empty text; repeated rows repeat each other's windows; null ids
@@ -282,9 +283,10 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     contents = materialize(texts.mapInArrow(_window_hashes(window), "key long, around long, copies long, off long, content long"), "windows")
     release(spark)
     place = F.struct("key", "around", "off")
-    again = contents.groupBy("content").agg(F.max("copies").alias("c"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("c > 1 or lo <> hi").select("content")
+    # equal windows have equal anchors, and so equal keys
+    again = contents.groupBy("key", "content").agg(F.max("copies").alias("c"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("c > 1 or lo <> hi").select("key", "content")
     # written down, so that the join below deals out both sides anew and can split a passage that is everywhere
-    offsets = materialize(contents.join(again, "content", "left_semi").groupBy("key", "around").agg(F.collect_set("off").alias("offs")), "offsets")
+    offsets = materialize(contents.join(again, ["key", "content"], "left_semi").groupBy("key", "around").agg(F.collect_set("off").alias("offs")), "offsets")
     by_window = differ.join(offsets, ["key", "around"]).select("row", F.explode("offs").alias("o"), "first").select("row", (F.col("first") + F.col("o")).cast("int").alias("first")).withColumn("last", F.col("first"))
     whole = known.where("not differ").select("row", "first", "last")
     spans = whole.unionByName(by_window).join(where, "row").groupBy(F.col("__doc").alias("doc"), F.col("__hash").alias("hash")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
