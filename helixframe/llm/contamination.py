@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, materialize, small_batches, utf8
+from .common import alnum_words, fresh, materialize, small_batches, utf8
 
 N = 13
 SLICE_WORDS = 1 << 20
@@ -197,9 +197,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_words: int =
     small_batches(docs.sparkSession)
     slices = _slices(benchmark, n, slice_words)
     if len(slices) > 1:
-        numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        bad = contamination(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark, n, slice_words).where("contaminated").select(F.col("doc_id").alias("__row"))
-        return numbered.join(bad, "__row", "left_anti").select(*docs.columns)
+        (row,) = fresh(docs, "row")
+        numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        bad = contamination(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark, n, slice_words).where("contaminated").select(F.col("doc_id").alias(row))
+        return numbered.join(bad, row, "left_anti").select(*docs.columns)
     shared = _shared(slices[0], n)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

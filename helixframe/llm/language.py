@@ -15,7 +15,7 @@ Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if no training row has a language. Equal sizes go to the
 language with more training documents, then to the first by code point. Null ids count as ids of the training folds; rows
 without lang teach nothing; repeated rows get equal predictions. Other columns
-are ignored.
+are ignored. Of a very long text a task holds some copies, block by block compressed.
 """
 
 from __future__ import annotations

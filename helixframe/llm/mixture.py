@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, materialize, small_batches, stable_seed
+from .common import SPACE_WORD, fresh, materialize, small_batches, stable_seed
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -179,14 +179,12 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     written down with a number that stands for the id, in the draws too.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    key = docs["doc_id"].cast("long")
+    key, columns, drawn = docs["doc_id"].cast("long"), docs.columns, docs
+    row, found, times, copy = fresh(docs, "row", "id", "copies", "copy")
     if not ids.groupBy("doc_id").count().where("count > 1").isEmpty():
-        columns = docs.columns
-        docs = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-        key = docs["__row"]
+        docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        key = docs[row]
         drawn = docs.select(key.alias("doc_id"), "source", "text")
-    else:
-        columns, drawn = docs.columns, docs
-    copies = mixture(drawn, weights, share, most).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(copies, key.eqNullSafe(copies["__id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__copies", F.lit(1))))).where("__copies > 0").select(*(docs[c] for c in columns))
+    copies = mixture(drawn, weights, share, most).select(F.col("doc_id").alias(found), F.col("copies").alias(times))
+    joined = docs.join(copies, key.eqNullSafe(copies[found])).where(F.col(times) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(docs[c] for c in columns))

@@ -1,8 +1,9 @@
 """Near-duplicates by HyperMinHash.
 
-A document's set holds the hashes of its distinct ``shingle``-word shingles
-(lower-cased A-Z, words between ASCII white space; a shorter text is one
-shingle). Each of ``BUCKETS`` registers keeps the minimum of the set under its
+A document's set holds the 64-bit hashes of its distinct ``shingle``-word
+shingles (lower-cased A-Z, words between ASCII white space; a shorter text is one
+shingle); sizes and similarities are those of the sets of hashes, and two texts'
+shingles would have to collide to change them. Each of ``BUCKETS`` registers keeps the minimum of the set under its
 own permutation as a leading-zero count (6 bits) and ``MANTISSA`` mantissa bits,
 so a register takes 2 bytes and keeps its meaning for small sets, where
 splitting one permutation over buckets would leave most of them empty. Bands of
@@ -31,7 +32,8 @@ Defined results: null and empty texts, and texts of white space, have an empty
 set, are linked with nothing and stand for themselves; rows that share an id
 are one document with several texts; rows with a null id are not linked
 (component null, kept). Other columns are ignored; an empty table gives an
-empty result.
+empty result. Of a very long text a task holds its words, one hash a shingle and
+256 bytes of registers; the blocks of a group hold their members' full sets.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mixed, release, small, small_batches, space_words, utf8, word_hashes
+from .common import discard, fresh, materialize, mixed, release, small, small_batches, space_words, utf8, word_hashes
 
 SHINGLE = 5
 PERCENT = 80
@@ -316,7 +318,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: float = PERCE
 
     Rows that share a kept id are one document: one of them stays.
     """
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+    (name,) = fresh(docs, "kept")
+    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[name]), "left_semi")
     unnamed = rows.where("doc_id is null")
     return rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(unnamed)

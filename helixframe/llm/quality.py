@@ -18,7 +18,8 @@ outside the held-out fold. Group sums cover all documents.
 Defined results: null and empty texts have no words and all measures 0; null
 hosts and paths are groups like any other; repeated rows count as often as they
 stand; without labels of both classes the evidence is the (smoothed) share of
-good labels. An empty table gives an empty result.
+good labels. An empty table gives an empty result. Other columns may have any
+name. Of a very long text a task holds its words.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fold, materialize, passed_on, small_batches, utf8
+from .common import discard, fold, fresh, materialize, passed_on, small_batches, utf8
 from .toxicity import labelled_sample, logistic
 
 FIT_ROWS = 6000
@@ -131,19 +132,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Evidenc
     return model
 
 
-def with_evidence(docs: DataFrame, model: Evidence) -> DataFrame:
-    """``docs`` with all its columns and ``__p``, the classifier's chance that the document is good."""
+def with_evidence(docs: DataFrame, model: Evidence, name: str = "__p") -> DataFrame:
+    """``docs`` with all its columns and, as ``name``, the classifier's chance that the document is good."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
-    texts = docs.withColumn("__text", F.col("text").cast("string"))
+    (text,) = fresh(docs, "__text")
+    texts = docs.withColumn(text, F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chances = shared.value.chances(list(utf8(batch["__text"])))
-            yield passed_on(batch.drop_columns(["__text"]), {"__p": pa.array(chances)})
+            chances = shared.value.chances(list(utf8(batch[text])))
+            yield passed_on(batch.drop_columns([text]), {name: pa.array(chances)})
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return texts.mapInArrow(run, f"{kinds}, __p double")
+    return texts.mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def _strength(groups: DataFrame) -> float:
@@ -191,9 +193,12 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
 def good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose posterior is below the threshold; all columns stay."""
-    model = fit(docs, labels)
+    (name,) = fresh(docs, "evidence")
     # written once: sums and posteriors both need it, and measuring texts is what costs
-    evidence = materialize(with_evidence(docs, model), "evidence")
-    h, p = F.col(host).cast("string"), F.col(path).cast("string")
-    groups = materialize(sites(evidence, h, p), "site-shares")
-    return posterior(evidence, groups, evidence[host].cast("string"), evidence[path].cast("string")).where(F.col("__score") >= threshold).select(*(evidence[c] for c in docs.columns))
+    evidence = materialize(with_evidence(docs, fit(docs, labels), name), "evidence")
+    columns = [f"c{i}" for i in range(len(docs.columns))]  # of its own, the operator's names can't clash with any
+    plain = evidence.toDF(*columns, "__p")
+    h, p = (F.col(columns[docs.columns.index(c)]).cast("string") for c in (host, path))
+    groups = materialize(sites(plain, h, p), "site-shares")
+    kept = posterior(plain, groups, h, p).where(F.col("__score") >= threshold)
+    return kept.select(*(F.col(c).alias(was) for c, was in zip(columns, docs.columns, strict=True)))

@@ -12,13 +12,9 @@ from pyspark.sql import functions as F
 from helixframe.llm import contamination, language, licenses, mixture, neardup, neighbours, quality, substrings, tokens, toxicity
 from helixframe.llm.common import Powers, space_words, utf8
 from helixframe.llm.queries import QUERIES, tokenizer_path
+from tests.llm.plain import SYL, prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string"
-SYL = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it"]
-
-
-def prose(rng, n):
-    return " ".join("".join(rng.choice(SYL) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
 
 def corpus():
