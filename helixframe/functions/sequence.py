@@ -55,6 +55,13 @@ def dna(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, letters + letters.upper(), cycled * 2), "[^ACGT]", "")
 
 
+def dna_with_breaks(text: Column, breaks: str = ".\n") -> Column:
+    """The same, but the characters of ``breaks`` become N, which no base is known for."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    cycled = "".join(BASES[i % 4] for i in range(26))
+    return F.regexp_replace(F.translate(text, letters + letters.upper() + breaks, cycled * 2 + "N" * len(breaks)), "[^ACGTN]", "")
+
+
 def unsigned_less(a: Column, b: Column) -> Column:
     """Whether a < b, both 64-bit patterns read as unsigned."""
     lowest = F.lit(-(2**63))
@@ -114,8 +121,8 @@ def middles(seq: bytes, at: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.where(code < 2, at, last)
 
 
-def sampled(code: np.ndarray, order: int, compression: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window index t, hash and base of each sampled window.
+def sampled(code: np.ndarray, order: int, compression: int, ends: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window index t, hash and base of each sampled window; without ``ends`` the first and the last window are never sampled.
 
     A window is kept if the smaller of its two hashes is divisible by the
     compression; the base comes from the quotient, complemented for the other
@@ -125,6 +132,8 @@ def sampled(code: np.ndarray, order: int, compression: int) -> tuple[np.ndarray,
     forward = f < r
     h = np.where(forward, f, r)
     keep = np.flatnonzero(h % np.uint64(compression) == 0)
+    if not ends:
+        keep = keep[(keep > 0) & (keep < len(h) - 1)]
     digit = ((h[keep] // np.uint64(compression)) % np.uint64(4)).astype(np.int64)
     base = np.where(forward[keep], digit, 3 - digit)
     return keep + order - 1, h[keep], base

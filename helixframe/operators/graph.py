@@ -36,13 +36,13 @@ def best_neighbours(segments: DataFrame, edges: DataFrame) -> DataFrame:
 def links_kept(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges whose both segments are in ``kept (seg)``."""
     ids = kept.select("seg")
-    return edges.join(ids.withColumnRenamed("seg", "a"), "a", "left_semi").join(ids.withColumnRenamed("seg", "b"), "b", "left_semi").select("a", "ea", "b", "eb")
+    return edges.join(ids.withColumnRenamed("seg", "a"), "a", "left_semi").join(ids.withColumnRenamed("seg", "b"), "b", "left_semi").select(*edges.columns)
 
 
 def links_removed(edges: DataFrame, removed: DataFrame) -> DataFrame:
     """Edges that are not among ``removed``, in either direction."""
     both = removed.select("a", "ea", "b", "eb").union(removed.select("b", "eb", "a", "ea"))
-    return edges.join(both, ["a", "ea", "b", "eb"], "left_anti")
+    return edges.join(both, ["a", "ea", "b", "eb"], "left_anti").select(*edges.columns)
 
 
 def links_once(edges: DataFrame) -> DataFrame:

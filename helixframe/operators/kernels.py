@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -71,7 +72,7 @@ def run_middles(reads: DataFrame) -> DataFrame:
     return _each(reads, ["read_id", "run", "pos", "digit"], kernel)
 
 
-def reduced(reads: DataFrame, order: int, compression: int, hpc: bool = True) -> DataFrame:
+def reduced(reads: DataFrame, order: int, compression: int, hpc: bool = True, ends: bool = True) -> DataFrame:
     """Each read's sampled bases as one shorter read; reads without a sample have none."""
     prepare(reads.sparkSession)
 
@@ -81,7 +82,7 @@ def reduced(reads: DataFrame, order: int, compression: int, hpc: bool = True) ->
             for i, seq in zip(batch["read_id"].to_pylist(), batch["seq"].to_pylist(), strict=True):
                 if seq is None:
                     continue
-                base = S.sampled(S.compressed(seq.encode("ascii", "replace"), hpc)[0], order, compression)[2]
+                base = S.sampled(S.compressed(seq.encode("ascii", "replace"), hpc)[0], order, compression, ends)[2]
                 if len(base):
                     ids.append(i)
                     seqs.append(S.letters(base))
@@ -90,6 +91,26 @@ def reduced(reads: DataFrame, order: int, compression: int, hpc: bool = True) ->
     return reads.select("read_id", "seq").mapInArrow(run, "read_id long, seq string")
 
 
+def reduced_pieces(reads: DataFrame, order: int, compression: int, hpc: bool = True, ends: bool = True) -> DataFrame:
+    """``read_id, piece, seq``: stretches of A, C, G and T reduced each for itself; a read's pieces count from 0, empty ones too."""
+    prepare(reads.sparkSession)
+    known = re.compile(rb"[ACGT]+")
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            ids, numbers, seqs = [], [], []
+            for i, seq in zip(batch["read_id"].to_pylist(), batch["seq"].to_pylist(), strict=True):
+                for n, piece in enumerate(known.findall((seq or "").encode("ascii", "replace"))):
+                    base = S.sampled(S.compressed(piece, hpc)[0], order, compression, ends)[2]
+                    if len(base):
+                        ids.append(i)
+                        numbers.append(n)
+                        seqs.append(S.letters(base))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(seqs, pa.string())], names=["read_id", "piece", "seq"])
+
+    return reads.select("read_id", "seq").mapInArrow(run, "read_id long, piece int, seq string")
+
+
 def packed_kmers(reads: DataFrame, k: int) -> DataFrame:
     """``kmer, n``: canonical packed k-mers, already counted within each batch, so the shuffle sees partial sums."""
     prepare(reads.sparkSession)

@@ -43,16 +43,16 @@ def flipped(path: Column) -> Column:
     return F.array_join(F.reverse(F.transform(tokens, lambda t: F.concat(F.translate(F.substring(t, 1, 1), "<>", "><"), F.substr(t, F.lit(2))))), "")
 
 
-def split_at_missing_links(steps: DataFrame, edges: DataFrame) -> DataFrame:
-    """Steps with ``piece``: walks are cut between steps that no edge joins; ``idx`` counts anew in each piece."""
+def split_at_missing_links(steps: DataFrame, edges: DataFrame, other: tuple[str, ...] = ()) -> DataFrame:
+    """Steps with ``piece``: walks are cut between steps that no edge joins; ``idx`` counts anew in each piece. ``other`` columns stay."""
     order = Window.partitionBy("read_id").orderBy("idx")
-    before = steps.select("read_id", "idx", "seg", "fwd", F.lag("seg").over(order).alias("a"), F.when(F.lag("fwd").over(order), 1).otherwise(0).alias("ea"), F.when(F.col("fwd"), 0).otherwise(1).alias("eb"))
+    before = steps.select("read_id", "idx", "seg", "fwd", *other, F.lag("seg").over(order).alias("a"), F.when(F.lag("fwd").over(order), 1).otherwise(0).alias("ea"), F.when(F.col("fwd"), 0).otherwise(1).alias("eb"))
     known = edges.select("a", "ea", F.col("b").alias("kb"), F.col("eb").alias("keb"), F.lit(True).alias("linked"))
     joined = before.join(known.distinct(), (before["a"] == known["a"]) & (before["ea"] == known["ea"]) & (before["seg"] == F.col("kb")) & (before["eb"] == F.col("keb")), "left")
     cut = F.when(before["a"].isNotNull() & F.col("linked").isNull(), 1).otherwise(0)
-    pieces = joined.select("read_id", "idx", "seg", "fwd", F.sum(cut).over(order).alias("piece"))
+    pieces = joined.select("read_id", "idx", "seg", "fwd", *other, F.sum(cut).over(order).alias("piece"))
     inner = Window.partitionBy("read_id", "piece").orderBy("idx")
-    return pieces.select("read_id", "piece", (F.row_number().over(inner) - 1).alias("idx"), "seg", "fwd")
+    return pieces.select("read_id", "piece", (F.row_number().over(inner) - 1).alias("idx"), "seg", "fwd", *other)
 
 
 _TOKEN_MIX = np.uint64(0x9E3779B97F4A7C15)

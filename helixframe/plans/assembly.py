@@ -1,9 +1,8 @@
-"""Composed plans: unitigs over an increasing list of k, of reads or of shrunken reads.
+"""Composed plans: correction of reads, unitigs over an increasing list of k, cleaning, untangling, and inflation.
 
-Not built, so errors, tips, bubbles and repeats stay in the result: correction of
-reads (G2) before the first k; after the last k pop_and_shave (G8), merging (G13),
-pop_bubbles (G9), read alignment (G3), untangling (U2-U8), trim_tips (G10) and the
-merges between them. Some of these are operators of their own, but no plan calls them.
+Read alignment probes every position of a read and leaves a walk where the graph
+has no link; gaps in a read's hits are not filled by searching the graph. Lengths
+of merged segments are those of their sequences.
 """
 
 from __future__ import annotations
@@ -14,17 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import unpacked
-from ..operators import contract, kernels, kmers
+from ..operators import align, contract, edit, graph, inflate, kernels, kmers, paths, untangle
 from ..operators.loop import written
 
+Graph = tuple[DataFrame, DataFrame]
+
 
 @dataclass(frozen=True)
 class Parameters:
-    """The public parameters, with the defaults of the command line they stand for.
-
-    ``single_genome``, ``contiguity``, ``longest_read``, ``k_correct`` and ``min_walk_coverage``
-    belong to the stages that are not built; no plan reads them.
-    """
+    """The public parameters, with the defaults of the command line they stand for."""
 
     order: int = 101
     compression: int = 20
@@ -47,27 +44,104 @@ class Parameters:
             raise ValueError("k-mers are packed into 64 bits: k is 31 at most")
 
 
-def spelled_unitigs(reads: DataFrame, k: int, least: int) -> DataFrame:
-    """``seg, seq, n_kmers, coverage``: unitigs with their sequence."""
+    def least(self) -> int:
+        """How often a k-mer has to occur: a single genome lets weak ones go early."""
+        return self.min_abundance if self.single_genome else 2
+
+
+def unitig_graph(reads: DataFrame, k: int, least: int) -> Graph:
+    """Unitigs ``seg, seq, length, coverage`` and the half-edges between them, which overlap by k - 1."""
     solid, edges = contract.de_bruijn(reads, k, least)
-    placed = written(contract.chains(solid.select("seg"), edges), "placed")
+    links = written(contract.contractible(edges), "links")
+    placed = written(contract.chains(solid.select("seg"), edges, links), "placed")
     names = solid.select("seg", unpacked(F.col("seg"), k).alias("seq"))
     text = contract.spelled(placed, names, k - 1)
-    mean = placed.join(solid, "seg").groupBy("chain").agg(F.count("*").alias("n_kmers"), F.avg("n").alias("coverage")).withColumnRenamed("chain", "seg")
-    return text.join(mean, "seg")
+    mean = placed.join(solid, "seg").groupBy("chain").agg(F.avg("n").alias("coverage")).withColumnRenamed("chain", "seg")
+    whole = text.join(mean, "seg").select("seg", "seq", F.length("seq").alias("length"), "coverage")
+    return written(whole, "unitigs"), written(contract.outer_links(placed, edges, links).withColumn("overlap", F.lit(k - 1)), "unitig-links")
+
+
+def spelled_unitigs(reads: DataFrame, k: int, least: int) -> DataFrame:
+    """``seg, seq, n_kmers, coverage``: unitigs with their sequence."""
+    return unitig_graph(reads, k, least)[0].select("seg", "seq", (F.col("length") - k + 1).cast("long").alias("n_kmers"), "coverage")
+
+
+def merged(g: Graph) -> Graph:
+    """Unbranched chains as one segment each, with their sequences and lengths."""
+    whole, links = contract.merged(*g)
+    return written(whole.select("seg", "seq", F.length("seq").alias("length"), "coverage"), "merged"), written(links, "merged-links")
+
+
+def cleaned(g: Graph, k: int, p: Parameters, extra: float) -> Graph:
+    """Without bubbles, dead ends and over-covered pieces; parallel walks between long segments' ends popped; merged."""
+    kept = paths.pop_and_shave(*g, p.min_abundance, 2 * k + 1, k, extra, p.contiguity, p.single_genome)
+    g = merged((g[0].join(kept, "seg", "left_semi"), graph.links_kept(g[1], kept)))
+    if not p.contiguity:
+        return g
+    return merged((g[0], graph.links_removed(g[1], paths.popped(*g, p.longest_read // p.compression))))
 
 
-def iterative(reads: DataFrame, ks: tuple[int, ...], least: int, copies: int = 2) -> DataFrame:
-    """Unitigs of the last k: each round's long unitigs join the reads of the next one ``copies`` times."""
-    source, out = reads.select("read_id", "seq"), None
+def correct_reads(reads: DataFrame, p: Parameters) -> DataFrame:
+    """``read_id, seq``: reads as a cleaned unitig graph spells them, in pieces; reads without a hit go."""
+    segments, edges = cleaned(unitig_graph(reads, p.k_correct, p.least()), p.k_correct, p, 0)
+    walked = written(align.placed(reads, segments, edges, p.k_correct), "placed-reads")
+    return written(align.corrected(walked, segments, edges).select(F.monotonically_increasing_id().alias("read_id"), "seq"), "corrected")
+
+
+def iterative(reads: DataFrame, ks: tuple[int, ...], least: int, copies: int = 2) -> Graph:
+    """The unitig graph of the last k: each round's long unitigs join the reads of the next one ``copies`` times."""
+    source, g = reads.select("read_id", "seq"), None
     for i, k in enumerate(ks):
-        out = written(spelled_unitigs(source, k, least), "unitigs")
+        g = unitig_graph(source, k, least)
         if i + 1 < len(ks):
-            more = kmers.unitigs_for_next_k(out, ks[i + 1], copies)
+            more = kmers.unitigs_for_next_k(g[0], ks[i + 1], copies)
             source = reads.select("read_id", "seq").union(more.select(F.xxhash64("name").alias("read_id"), "seq"))
-    return out
-
-
-def shrunk_assembly(reads: DataFrame, p: Parameters) -> DataFrame:
+    return g
+
+
+def resolved(g: Graph, reads: DataFrame, k: int, p: Parameters) -> Graph:
+    """The graph untangled by the walks of reads; what several neighbours share exclusively copied; weak tips gone."""
+    segments, edges = g
+    steps = written(align.placed(reads, segments, edges, k), "placed-reads")
+    # a piece is a walk of its own
+    names = written(steps.select("read_id", "piece").distinct().withColumn("walk", F.monotonically_increasing_id()), "pieces")
+    steps = written(steps.join(names, ["read_id", "piece"]).select(F.col("walk").alias("read_id"), "idx", "seg", "fwd"), "steps")
+    seen = graph.walk_coverage(steps, segments)
+    segments = written(segments.drop("coverage").join(seen, "seg", "left").withColumn("coverage", F.coalesce("coverage", F.lit(0.0))), "covered")
+    made, links = untangle.untangled(segments, edges, steps, p.min_walk_coverage)
+    g = merged((made.drop("origin", "copy"), links))
+    g = edit.duplicated(*g, edit.shared_ends)
+    if p.contiguity:
+        kept = paths.pop_and_shave(*g, p.min_walk_coverage, 100, 31, 0, True, p.single_genome)
+        g = g[0].join(kept, "seg", "left_semi"), graph.links_kept(g[1], kept)
+    g = merged(g)
+    removed, cut = graph.trimmed(*g, p.min_abundance, 2 * k)
+    rest = g[0].join(removed, "seg", "left_anti")
+    return merged((rest, graph.links_removed(graph.links_kept(g[1], rest), cut)))
+
+
+def assembled(reads: DataFrame, p: Parameters) -> Graph:
+    """The whole assembly of reads: corrected, unitigs over all k, cleaned, untangled, merged."""
+    k = p.ks[-1]
+    good = correct_reads(reads, p)
+    # the last k's unitigs were counted twice more for each k before it
+    return resolved(cleaned(iterative(good, p.ks, p.least()), k, p, 2), good, k, p)
+
+
+def shrunk_assembly(reads: DataFrame, p: Parameters) -> Graph:
     """Reads shrunk, then assembled in shrunken space."""
-    return iterative(written(kernels.reduced(reads, p.order, p.compression, p.hpc), "reduced"), p.ks, p.min_abundance)
+    return assembled(written(kernels.reduced(reads, p.order, p.compression, p.hpc), "reduced"), p)
+
+
+def assembly(reads: DataFrame, p: Parameters) -> Graph:
+    """Reads shrunk, assembled, and inflated again: ``seg, seq, length, coverage`` and links with their overlaps in full sequence."""
+    segments, edges = shrunk_assembly(reads, p)
+    contigs = segments.select("seg", "seq")
+    words = written(inflate.dictionary(inflate.sightings(reads, p.order, p.compression, p.km, p.hpc)), "dictionary")
+    ends = inflate.ends_needed(contigs, p.km)
+    needed = ends.select(F.col("first").alias("kmer")).union(ends.select("last"))
+    fulls = written(inflate.full_dictionary(inflate.full_sightings(reads, needed, p.order, p.compression, p.km, p.hpc)), "fulls")
+    long = written(inflate.inflated(contigs, words, fulls, p.km).select("seg", "seq"), "inflated")
+    found = inflate.overlaps(graph.links_once(edges), long, 150 * p.compression, 70 * p.compression)
+    both = found.union(found.select("b", "eb", "a", "ea", "overlap")).distinct()
+    return long.join(segments.select("seg", "coverage"), "seg").select("seg", "seq", F.length("seq").alias("length"), "coverage"), both

@@ -18,7 +18,7 @@ from ..operators.loop import numbered, written
 from ..streaming.reduce import reduce_documents
 from . import oracles as O
 from . import relations as R
-from .assembly import Parameters, iterative, shrunk_assembly
+from .assembly import Parameters, assembly, correct_reads, iterative, shrunk_assembly
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,6 +115,16 @@ def stream_msr_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce_documents(spark, sf_dir, P.order, P.compression)
 
 
+@query(O.reduce_pieces(31, P.compression))
+def reduce_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.reduced_pieces(R.broken_reads(spark, sf_dir), 31, P.compression, P.hpc)
+
+
+@query(O.reduce_inner(P.order, P.compression))
+def reduce_without_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.reduced(R.reads(spark, sf_dir), P.order, P.compression, P.hpc, ends=False)
+
+
 @query(O.CIGAR)
 def cigar_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     quantity = F.col("l_quantity").cast("int").cast("string")
@@ -255,6 +265,23 @@ def sort_gfa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(sorted_gfa(lines)).select("place", "line")
 
 
+@query(O.LONGEST)
+def export_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.formats import longest_first
+
+    segments = _graph(spark, sf_dir)[0].select(F.col("seg").cast("string").alias("name"), "length")
+    return longest_first(segments, "contig_").select("place", "name", "was", "length")
+
+
+@query(O.BY_NAME)
+def segments_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.formats import by_name
+
+    segments, edges, _ = _graph(spark, sf_dir)
+    wanted = edges.groupBy(F.col("a").cast("string").alias("name")).count().where("count > 3")
+    return by_name(segments.select(F.col("seg").cast("string").alias("name"), "length", "coverage"), wanted)
+
+
 @query(O.ADD_COVERAGES)
 def add_coverages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.formats import add_coverages as add
@@ -319,12 +346,22 @@ def pop_and_shave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def iterative_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iterative(R.reads(spark, sf_dir), (21, 31), 2)
+    return iterative(R.reads(spark, sf_dir), (21, 31), 2)[0].select("seg", "seq", "coverage")
+
+
+@query()
+def corrected_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correct_reads(written(kernels.reduced(R.reads(spark, sf_dir), P.order, P.compression), "reduced"), Parameters(min_abundance=2)).select("seq")
 
 
 @query()
 def shrunk_read_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shrunk_assembly(R.reads(spark, sf_dir), Parameters(min_abundance=2, ks=(17, 21)))
+    return shrunk_assembly(R.reads(spark, sf_dir), Parameters(min_abundance=2, ks=(17, 21)))[0].select("seq", "length", "coverage")
+
+
+@query()
+def whole_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly(R.reads(spark, sf_dir), Parameters(min_abundance=2, ks=(17, 21, 31)))[0].select("seq", "length", "coverage")
 
 
 # walks

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.sequence import _FORWARD, _REVERSE
-from .relations import CLASSES, SQL_DENSE, SQL_EDGES, SQL_GRAPH, SQL_ORDERS, SQL_READS, SQL_SEQUENCES, SQL_STEPS, SQL_TOURS, sql_dna, sql_rc
+from .relations import CLASSES, SQL_DENSE, SQL_EDGES, SQL_GRAPH, SQL_ORDERS, SQL_PIECES, SQL_READS, SQL_SEQUENCES, SQL_STEPS, SQL_TOURS, sql_dna, sql_rc
 
 _F = "[" + ",".join(str(int(x)) for x in _FORWARD.ravel()) + "]::UBIGINT[]"
 _R = "[" + ",".join(str(int(x)) for x in _REVERSE.ravel()) + "]::UBIGINT[]"
@@ -70,6 +70,19 @@ def reduce(order: int, c: int) -> str:
     return f"WITH {_samples(order, c)} SELECT read_id, string_agg(base, '' ORDER BY t) AS seq FROM samples GROUP BY read_id"
 
 
+def reduce_pieces(order: int, c: int) -> str:
+    return f"WITH {_samples(order, c).replace(SQL_READS, SQL_PIECES)} SELECT read_id // 1000000 AS read_id, CAST(read_id % 1000000 AS INTEGER) AS piece, string_agg(base, '' ORDER BY t) AS seq FROM samples GROUP BY ALL"
+
+
+def reduce_inner(order: int, c: int) -> str:
+    return f"WITH {_samples(order, c)}, ends AS (SELECT read_id, max(t) AS stop FROM runs GROUP BY read_id) SELECT read_id, string_agg(base, '' ORDER BY t) AS seq FROM samples JOIN ends USING (read_id) WHERE t > {order - 1} AND t < stop GROUP BY read_id"
+
+
+LONGEST = f"""WITH {SQL_GRAPH}, s AS (SELECT seg, length, row_number() OVER (ORDER BY length DESC, CAST(seg AS VARCHAR)) - 1 AS place FROM segments)
+SELECT place, 'contig_' || place AS name, CAST(seg AS VARCHAR) AS was, length FROM s"""
+BY_NAME = f"WITH {SQL_GRAPH} SELECT CAST(seg AS VARCHAR) AS name, length, coverage FROM segments WHERE seg IN (SELECT a FROM half_edges GROUP BY a HAVING count(*) > 3)"
+
+
 CIGAR = """WITH c AS (SELECT CASE WHEN l_returnflag = 'A' THEN '*' ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || CASE WHEN l_returnflag = 'N' THEN 'M' ELSE 'I' END END AS cigar FROM lineitem)
 SELECT cigar, CASE WHEN regexp_full_match(cigar, '\\d+M') THEN CAST(replace(cigar, 'M', '') AS INTEGER) END AS overlap, count(*) AS n FROM c GROUP BY cigar"""
 

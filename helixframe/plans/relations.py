@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import BASES, dna
+from ..functions.sequence import BASES, dna, dna_with_breaks
 
 CLASSES = 25
 
@@ -21,11 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``read_id, seq``. Texts are only dealt out anew where the scan has fewer splits than there are cores."""
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        docs = docs.repartition(cores)
-    return docs.select(F.col("doc_id").alias("read_id"), dna(F.col("text")).alias("seq"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("read_id"), dna(F.col("text")).alias("seq"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def broken_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``read_id, seq`` with an N for each full stop and line end."""
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("read_id"), dna_with_breaks(F.col("text")).alias("seq"))
 
 
 def walk_steps(spark: SparkSession, sf_dir: str, seg: Column | None = None) -> DataFrame:
@@ -110,6 +116,8 @@ def sql_rc(seq: str) -> str:
     return f"reverse(translate(regexp_replace({seq}, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))"
 
 
+SQL_PIECES = f"""reads AS (SELECT doc_id * 1000000 + unnest(range(0, len(p))) AS read_id, unnest(p) AS seq FROM (
+  SELECT doc_id, regexp_extract_all(regexp_replace(translate(text, '{_LETTERS + _LETTERS.upper()}.' || chr(10), '{_CYCLED * 2}NN'), '[^ACGTN]', '', 'g'), '[ACGT]+') AS p FROM documents))"""
 SQL_READS = f"reads AS (SELECT doc_id AS read_id, {sql_dna('text')} AS seq FROM documents)"
 SQL_STEPS = f"""walk_steps AS (
   SELECT l_orderkey AS read_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS idx, seg, fwd

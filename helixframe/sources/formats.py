@@ -6,9 +6,16 @@ Spark's business (gzip files don't split: they are dealt out again).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import reverse_complement
+from ..operators.loop import numbered
+from ..session import prepare
+
 TAGS = "DP|dp|km"
 
 
@@ -25,15 +32,61 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path, ">").select(F.get(lines, F.lit(0)).alias("name"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "").alias("seq"))
 
 
+def _fastq_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of one split. ``kind`` 0: whole; 1: the split ends before its quality; 2: a quality that the split before lacks.
+
+    Records were cut at line ends before ``@``. A quality may start with that too, and is then cut off as one
+    more record of a single line.
+    """
+    names = ["kind", "name", "seq", "quality", "file", "start"]
+    waiting = None
+    for batch in batches:
+        rows: list[tuple] = []
+        for record, file, start in zip(batch["rec"].to_pylist(), batch["file"].to_pylist(), batch["start"].to_pylist(), strict=True):
+            lines = record.rstrip("\r\n").replace("\r\n", "\n").split("\n") if record.strip() else []
+            if not lines:
+                continue
+            if waiting and (waiting[4], waiting[5]) != (file, start):
+                rows.append(waiting)
+                waiting = None
+            if len(lines) == 1 and waiting:
+                rows.append((0, waiting[1], waiting[2], "@" + lines[0], file, start))
+                waiting = None
+            elif len(lines) == 1:
+                rows.append((2, None, None, "@" + lines[0], file, start))
+            else:
+                if waiting:  # a quality that isn't there
+                    rows.append((0, *waiting[1:]))
+                    waiting = None
+                found = (lines[0].removeprefix("@"), lines[1], lines[3] if len(lines) > 3 else None, file, start)
+                if len(lines) > 3:
+                    rows.append((0, *found))
+                else:
+                    waiting = (1, *found)
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _FASTQ, strict=True)], names=names)
+    if waiting:
+        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(waiting, _FASTQ, strict=True)], names=names)
+
+
+_FASTQ = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``name, seq, quality``. A quality line may start with ``@``, so lines are grouped by fours of their number.
+    """``name, seq, quality``, in as many tasks as the files have splits. An empty or missing quality is null.
 
-    That takes one task a file, which holds the file's text: large sets come in many files.
+    Records are four lines each. One whose quality lies beyond the end of its split finds it at the
+    start of the next split of its file that has a record.
     """
-    files = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\n+$", ""), "\r?\n").alias("l"))
-    each = files.where(F.size("l") >= 4).select("l", F.explode(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1)).alias("i"))
-    at = lambda k: F.get("l", F.col("i") * 4 + k)
-    return each.select(F.substr(at(0), F.lit(2)).alias("name"), at(1).alias("seq"), at(3).alias("quality"))
+    prepare(spark)
+    rows = spark.read.option("lineSep", "\n@").text(path).select(F.col("value").alias("rec"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    parts = rows.mapInArrow(_fastq_part, "kind int, name string, seq string, quality string, file string, start long")
+    # at most one loose quality, before all else, and one open record a split: each open one looks at what comes next
+    order = Window.partitionBy("file").orderBy("start", F.desc("kind"))
+    ends = parts.where("kind > 0").withColumn("rest", F.when(F.lead("kind").over(order) == 2, F.lead("quality").over(order)))
+    closed = ends.where("kind = 1").select("name", "seq", F.col("rest").alias("quality"))
+    found = parts.where("kind = 0").select("name", "seq", "quality").unionByName(closed)
+    return found.repartition(max(2, spark.sparkContext.defaultParallelism)) if path.endswith(".gz") else found
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
@@ -86,6 +139,47 @@ def sorted_gfa(lines: DataFrame) -> DataFrame:
     return lines.withColumn("rank", rank).where("rank is not null").orderBy("rank", "no").select("line")
 
 
+def by_name(segments: DataFrame, names: DataFrame) -> DataFrame:
+    """Segments, with all columns, whose name is in ``names (name)``."""
+    return segments.join(names.select("name").distinct(), "name", "left_semi")
+
+
+def longest_first(segments: DataFrame, prefix: str | None = None) -> DataFrame:
+    """Segments from the longest down, ties by name, with their ``place`` from 0; renamed ``<prefix><place>`` if there is one (``was`` is the old name)."""
+    ordered = numbered(segments.orderBy(F.desc("length"), "name"))
+    if prefix is None:
+        return ordered
+    return ordered.withColumn("was", F.col("name")).withColumn("name", F.concat(F.lit(prefix), F.col("place").cast("string")))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """``name, seq, length`` of ``parts (name, idx, seq, fwd, overlap)``: strand-correct, each but the first without its overlap with the one before."""
+    text = F.when(F.col("fwd"), F.col("seq")).otherwise(reverse_complement(F.col("seq")))
+    part = F.when(F.col("idx") == 0, text).otherwise(F.substr(text, F.coalesce("overlap", F.lit(0)) + 1))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", part.alias("t")))), lambda x: x["t"])
+    return parts.groupBy("name").agg(F.array_join(ordered, "").alias("seq")).withColumn("length", F.length("seq"))
+
+
+def export_gfa(segments: DataFrame, edges: DataFrame, path: str, prefix: str | None = None) -> DataFrame:
+    """Write segments longest first, then links, under new names if there is a prefix; returns old and new names."""
+    ordered = longest_first(segments, prefix)
+    names = ordered.select(F.col("was" if prefix else "name").alias("was"), "name")
+    if prefix:
+        left, right = names.toDF("a", "na"), names.toDF("b", "nb")
+        other = [c for c in edges.columns if c not in ("a", "b")]
+        edges = edges.join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), *other)
+    lines = gfa_lines(ordered, edges)
+    place = ordered.select(F.col("name").alias("n"), "place")
+    lines = lines.join(place, (F.col("rank") == 0) & (F.split_part("line", F.lit("\t"), F.lit(2)) == F.col("n")), "left")
+    lines.orderBy("rank", "place", "line").select("line").write.text(path)
+    return names
+
+
+def export_fasta(segments: DataFrame, path: str) -> None:
+    """``name, seq, length`` as FASTA, longest first."""
+    write_fasta(longest_first(segments).orderBy("place"), path)
+
+
 def write_fasta(segments: DataFrame, path: str) -> None:
     """``name, seq`` as FASTA."""
     segments.select(F.concat(F.lit(">"), F.col("name"), F.lit("\n"), F.col("seq")).alias("value")).write.text(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import dna
 from ..operators import kernels
-from ..operators.loop import shared_dir, written
+from ..operators.loop import dropped, shared_dir, written
 
 
 def reduced_stream(source: DataFrame, order: int, compression: int, hpc: bool = True) -> DataFrame:
@@ -33,5 +33,8 @@ def reduce_folder(spark: SparkSession, folder: str, schema: str, order: int, com
 def reduce_documents(spark: SparkSession, sf_dir: str, order: int, compression: int) -> DataFrame:
     """The documents table as a stream of files."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    folder = written(docs, "stream-in").inputFiles()[0].rpartition("/")[0]
-    return reduce_folder(spark, folder, "doc_id long, text string", order, compression)
+    copy = written(docs, "stream-in")
+    folder = copy.inputFiles()[0].rpartition("/")[0]
+    out = reduce_folder(spark, folder, "doc_id long, text string", order, compression)
+    dropped(copy)
+    return out

@@ -1,8 +1,10 @@
 """File formats, streams and the catalogue."""
 
 import gzip
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from helixframe.plans import assembly, catalogue
@@ -22,6 +24,39 @@ def test_fasta_and_fastq(spark, tmp_path):
     assert {tuple(r) for r in formats.read_reads(spark, f"{tmp_path}/x.fq").collect()} == {("q1", "ACGT"), ("q2", "GG")}
 
 
+def test_fastq_in_many_splits(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        n = rng.randint(1, 90)
+        rows.append((f"r{i} x", "".join(rng.choice("ACGT") for _ in range(n)), rng.choice(["@", "I", "+"]) + "".join(rng.choice("@+I#") for _ in range(n - 1))))
+    (tmp_path / "x.fq").write_text("".join(f"@{a}\n{b}\n+\n{c}\n" for a, b, c in rows))
+    for size in ("200", "1000", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = formats.read_fastq(spark, f"{tmp_path}/x.fq")
+            assert sorted(tuple(r) for r in got.collect()) == sorted(rows)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "e.fq").write_text("@a\nAC\n+\nII\n@b\nGT\n+\n")
+    assert {tuple(r) for r in formats.read_fastq(spark, f"{tmp_path}/e.fq").collect()} == {("a", "AC", "II"), ("b", "GT", None)}
+
+
+def test_exports_put_the_longest_first(spark, tmp_path):
+    segments = spark.createDataFrame([("a", "ACG", 3, 1.0), ("b", "ACGTAC", 6, 2.0), ("c", "ACG", 3, 3.0)], "name string, seq string, length int, coverage double")
+    edges = spark.createDataFrame([("a", 1, "b", 0, 2), ("b", 0, "a", 1, 2)], "a string, ea int, b string, eb int, overlap int")
+    names = formats.export_gfa(segments, edges, f"{tmp_path}/gfa", "super_")
+    assert {tuple(r) for r in names.collect()} == {("b", "super_0"), ("a", "super_1"), ("c", "super_2")}
+    lines = [x for p in sorted((tmp_path / "gfa").glob("part*")) for x in p.read_text().splitlines()]
+    assert [x.split("\t")[1] for x in lines] == ["super_0", "super_1", "super_2", "super_0"] and lines[-1] == "L\tsuper_0\t-\tsuper_1\t-\t2M"
+    formats.export_fasta(segments, f"{tmp_path}/fa")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "fa").glob("part*")))
+    assert text == ">b\nACGTAC\n>a\nACG\n>c\nACG\n"
+    parts = spark.createDataFrame([("x", 0, "AACC", True, None), ("x", 1, "AAGG", False, 2)], "name string, idx int, seq string, fwd boolean, overlap int")
+    assert tuple(formats.merged_parts(parts).first()) == ("x", "AACCTT", 6)
+    assert formats.by_name(segments, names.where("was = 'c'").select(F.col("was").alias("name"))).first()["coverage"] == 3.0
+
+
 def test_gfa_round_trip(spark, tmp_path):
     (tmp_path / "g.gfa").write_text(GFA)
     segments, edges = formats.read_gfa(spark, f"{tmp_path}/g.gfa")

@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import contract, edit, graph, paths, walks
+from helixframe.operators import contract, edit, graph, paths, untangle, walks
 
 LINK = {"+": 1, "-": 0}
 
@@ -185,6 +185,62 @@ def test_unitigs_hold_each_solid_kmer_once(spark):
     assert len(got) == 1 and (got[0] == genome or got[0].translate(comp)[::-1] == genome)
 
 
+def plain_unitigs(reads, k, least):
+    """Maximal unbranched runs of solid k-mers as the smaller of both strands, walked base by base."""
+    count = {}
+    for read in reads:
+        for i in range(len(read) - k + 1):
+            w = min(read[i : i + k], rc(read[i : i + k]))
+            count[w] = count.get(w, 0) + 1
+    solid = {w for w, n in count.items() if n >= least}
+    after = lambda w: [w[1:] + b for b in "ACGT" if min(w[1:] + b, rc(w[1:] + b)) in solid]
+    seen, out = set(), []
+    for w in sorted(solid):
+        if w in seen:
+            continue
+        text, members = w, {w}
+        for _ in range(2):  # forward, then the other way
+            while True:
+                end = text[-k:]
+                nxt = after(end)
+                if len(nxt) != 1 or len(after(rc(nxt[0]))) != 1 or min(nxt[0], rc(nxt[0])) in members:
+                    break
+                members.add(min(nxt[0], rc(nxt[0])))
+                text += nxt[0][-1]
+            text = rc(text)
+        seen |= members
+        out.append((min(text, rc(text)), sum(count[m] for m in members) / len(members)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_unitigs_equal_a_plain_version(spark, seed):
+    from helixframe.plans import assembly
+
+    rng = random.Random(seed)
+    genome = "".join(rng.choice("ACGT") for _ in range(300))
+    other = genome[:140] + rng.choice("ACGT") + genome[141:]
+    reads = [x[i : i + 60] for x in (genome, other) for i in range(0, 240, 7)]
+    reads += [rc(x) for x in reads[::3]] + ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
+    got = sorted((min(r["seq"], rc(r["seq"])), r["coverage"]) for r in assembly.unitig_graph(df, 11, 2)[0].collect())
+    want = plain_unitigs(reads, 11, 2)
+    assert [x[0] for x in got] == [x[0] for x in want] and [x[1] for x in got] == pytest.approx([x[1] for x in want])
+    twice = reads + [x for x, _ in want if len(x) >= 15] * 2
+    got = sorted(min(r["seq"], rc(r["seq"])) for r in assembly.iterative(df, (11, 15), 2)[0].collect())
+    assert got == [x for x, _ in plain_unitigs(twice, 15, 2)]
+
+
+def test_short_contigs_are_found_in_references(spark):
+    from helixframe.operators import inflate
+
+    reads = ["ACGTACGTTTGACA" * 4, "GGGTCAAACGTA", None]
+    contigs = ["GTTTGAC", "TCAAACG", "", "ACGTACGTTTGACA" * 3, "CCCCC"]
+    got = {r["seg"]: r["n_in"] for r in inflate.containment(spark.createDataFrame(list(enumerate(contigs)), "seg long, seq string"), spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")).collect()}
+    held = lambda c: sum(c in r or rc(c) in r for r in reads if r is not None)
+    assert got == {i: held(c) for i, c in enumerate(contigs)}
+
+
 def test_trimmed_overlaps(spark):
     ids, s, e = graph_of(spark, {"a": (100, 1), "b": (100, 1), "c": (100, 1)}, ["a+ b+", "a+ c+"])
     lost, left = edit.trimmed_overlaps(s, e.withColumn("overlap", F.when(F.col("a") + F.col("b") == 1, 20).otherwise(30)))
@@ -200,3 +256,68 @@ def test_link_edits(spark):
     row = spark.createDataFrame([([1, 2, 3],)], "p array<int>").select(edit.broken(F.col("p"), F.lit(1)).alias("b"), edit.unrolled(F.col("p"), F.lit(2)).alias("u")).first()
     assert row["b"] == [[1], [2, 3]] and row["u"] == [1, 2, 3, 1, 2, 3]
     assert edit.shared_depth(s, spark.createDataFrame([(0, 4)], "seg long, n int")).where("seg = 0").first()["coverage"] == 0.25
+
+
+def test_rings_without_length_end(spark):
+    ids, s, e = graph_of(spark, {"a": (0, 5), "b": (0, 5), "c": (500, 30)}, ["a+ b+", "b+ a+"])
+    assert {r["state"] for r in paths.explored(s, e, 40).where("seg = 0").collect()} == {2}
+    starts = s.where("seg = 0").select("seg", F.lit(1).alias("end"), F.lit(6).alias("budget"))
+    assert [r["length"] for r in paths.bounded(starts, e, s).collect()] == [6]
+
+
+def walk_rows(walks_of):
+    return [(r, i, x, fwd) for r, w in enumerate(walks_of) for i, (x, fwd) in enumerate(w)]
+
+
+def test_untangling_copies_what_lies_between(spark):
+    # two genomes share x: a x b and c x d; y is on no walk, so nothing disputes it
+    ids, s, e = graph_of(spark, {"a": (100, 6), "b": (100, 6), "c": (100, 4), "d": (100, 4), "x": (100, 10), "y": (100, 1)}, ["a+ x+", "x+ b+", "c+ x+", "x+ d-", "x+ y+"])
+    a, b, c, d, x, y = (ids[n] for n in "abcdxy")
+    there = [[(a, True), (x, True), (b, True)]] * 6 + [[(d, True), (x, False), (c, False)]] * 4
+    steps = spark.createDataFrame(walk_rows(there), "read_id long, idx int, seg long, fwd boolean")
+    made, links = untangle.untangled(s, e.withColumn("overlap", F.lit(7)), steps, 3)
+    got = {r["seg"]: (r["origin"], r["coverage"]) for r in made.collect()}
+    assert sorted(got.values()) == [(a, 6.0), (b, 6.0), (c, 4.0), (d, 4.0), (x, 4.0), (x, 6.0), (y, 1.0)]
+    named = {(got[r["a"]], r["ea"], got[r["b"]], r["eb"], r["overlap"]) for r in links.collect()}
+    one = {((a, 6.0), 1, (x, 6.0), 0, 7), ((x, 6.0), 1, (b, 6.0), 0, 7), ((c, 4.0), 1, (x, 4.0), 0, 7), ((x, 4.0), 1, (d, 4.0), 1, 7)}
+    assert named == one | {(q, eq, p, ep, o) for p, ep, q, eq, o in one}
+
+
+def test_duplication_to_the_fixpoint(spark):
+    # s is copied for x and y; then t, whose other side the copies share, for them
+    shape = {"x": (100, 10), "y": (100, 10), "s": (100, 20), "t": (100, 20), "u": (100, 10), "v": (100, 10)}
+    ids, s, e = graph_of(spark, shape, ["x+ s+", "y+ s+", "s+ t+", "t+ u+", "t+ v+"])
+    segments, edges = edit.duplicated(s, e.withColumn("overlap", F.lit(3)), edit.shared_ends)
+    assert sorted(r["coverage"] for r in segments.collect()) == [10.0] * 8
+    assert edit.unpaired(edges).count() == 0 and {r["overlap"] for r in edges.collect()} == {3}
+    assert edges.join(segments.select(F.col("seg").alias("a")), "a", "left_anti").count() == 0
+    whole, links = edit.duplicated(s.withColumn("parts", F.lit(1)), e, edit.exclusive_ends, merging=True)
+    assert whole.agg(F.sum("coverage")).first()[0] > 0 and edit.unpaired(links).count() == 0
+
+
+def rc(text):
+    return text.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+
+
+def test_assembly_of_reads_with_errors(spark):
+    from helixframe.plans import assembly
+
+    rng = random.Random(3)
+    genome = "".join(rng.choice("ACGT") for _ in range(400))
+    rows = []
+    for i in range(60):
+        at = (0, 280, 0, 280, 140)[i] if i < 5 else rng.randrange(280)
+        read = list(genome[at : at + 120])
+        if i % 6 == 5:
+            j = rng.randrange(120)
+            read[j] = rng.choice([c for c in "ACGT" if c != read[j]])
+        read = "".join(read)
+        rows.append((i, read if rng.random() < 0.5 else rc(read)))
+    reads = spark.createDataFrame(rows, "read_id long, seq string")
+    p = assembly.Parameters(min_abundance=2, ks=(21,), compression=1, longest_read=300)
+    good = assembly.correct_reads(reads, p)
+    held = [r["seq"] for r in good.collect()]
+    assert len(held) == 60 and all(x in genome or rc(x) in genome for x in held)
+    g = assembly.resolved(assembly.cleaned(assembly.iterative(good, p.ks, 2), 21, p, 2), good, 21, p)
+    found = [r["seq"] for r in g[0].collect()]
+    assert len(found) == 1 and (found[0] == genome or rc(found[0]) == genome)

@@ -183,3 +183,19 @@ def test_containment_of_short_contigs(spark):
 def test_window_hash_of_one_kmer():
     f, _ = scalar_hashes("ACGTTGCA", 8)[0]
     assert np.uint64(S.window_hash(b"ACGTTGCA") & MASK) == np.uint64(f)
+
+
+def test_pieces_at_unknown_letters(spark):
+    rng = random.Random(21)
+    parts = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (90, 3, 120)]
+    df = spark.createDataFrame([(1, "N" + parts[0] + "NN" + parts[1] + "x" + parts[2]), (2, None), (3, "NN"), (None, parts[0])], "read_id long, seq string")
+    got = {(r["read_id"], r["piece"]): r["seq"] for r in kernels.reduced_pieces(df, 11, 3).collect()}
+    each = spark.createDataFrame([(0, parts[0]), (2, parts[2])], "read_id long, seq string")
+    whole = {r["read_id"]: r["seq"] for r in kernels.reduced(each, 11, 3).collect()}
+    assert got == {(1, k): v for k, v in whole.items()} | {(None, 0): whole[0]}
+
+
+def test_windows_at_the_ends_may_be_left_out():
+    code = S.codes(b"ACGTTGCAACGT")
+    every, inner = S.sampled(code, 3, 1)[0].tolist(), S.sampled(code, 3, 1, False)[0].tolist()
+    assert every == list(range(2, 12)) and inner == list(range(3, 11))
