@@ -46,6 +46,7 @@ from .common import Powers, mixed, shared_dir, small_batches, utf8
 
 END = 2
 MEMO = 700_000
+MEMO_BYTES = 96 << 20
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 PAGE_ROWS = 2000
@@ -73,45 +74,84 @@ def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return pool[np.repeat(start - ends + size, size) + np.arange(total)]
 
 
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
+def heads(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes of some stretches as two numbers; bytes beyond a stretch's end are 0."""
+    padded = np.concatenate((data, np.zeros(16, np.uint8)))
+    words = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    return words[start] & _MASKS[np.minimum(size, 8)], words[start + 8 * (size > 8)] & _MASKS[np.clip(size - 8, 0, 8)]
+
+
+def appended(held: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
+    """``held`` with ``new`` from place n on; it grows by doubling."""
+    if n + len(new) > len(held):
+        held = np.concatenate((held[:n], np.zeros(max(n, len(new), 1024), held.dtype)))
+    held[n : n + len(new)] = new
+    return held
+
+
 class Memo:
-    """Bytes and ids of pieces by their 64-bit hash, in sorted arrays; on overflow only what was used lately stays."""
+    """Bytes and ids of pieces, found by their 64-bit hash; on overflow only what was used lately stays.
+
+    Of a piece the length and the first 16 bytes are kept as numbers; of a longer one all bytes too.
+    """
 
     def __init__(self, most: int):
-        self.most, self.now = most, 0
-        self.hash = np.zeros(0, np.uint64)
-        self.start, self.size, self.used, self.at, self.bytes = (np.zeros(0, np.int64) for _ in range(5))
-        self.pool = np.zeros(0, np.uint32)
-        self.text = np.zeros(0, np.uint8)
+        self.most, self.now, self.n, self.n_ids, self.n_text = most, 0, 0, 0, 0
+        self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # ascending hashes, and which piece it is
+        self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size, self.used, self.at, self.bytes = (np.zeros(0, np.int32) for _ in range(5))
+        self.pool, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of sorted hashes, -1 for those that aren't here."""
+        """Pieces of sorted hashes, -1 for those that aren't here."""
         if not len(self.hash):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return np.where(self.hash[at] == hashes, at, -1)
+        return np.where(self.hash[at] == hashes, self.slot[at], -1)
+
+    def _shrink(self) -> None:
+        keep = self.used[: self.n] > self.now - (LATELY if self.n > self.most else LATELY // 8)
+        places = np.flatnonzero(keep)
+        long = np.where(self.bytes[places] > 16, self.bytes[places], 0)
+        self.pool, self.text = self.ids(places), gathered(self.text, self.at[places], long)
+        self.n, self.n_ids, self.n_text = len(places), len(self.pool), len(self.text)
+        self.low, self.high, self.size, self.used, self.bytes = (x[places] for x in (self.low, self.high, self.size, self.used, self.bytes))
+        self.start, self.at = (np.cumsum(x, dtype=np.int32) - x for x in (self.size, long.astype(np.int32)))
+        mine = keep[self.slot]
+        self.hash, self.slot = self.hash[mine], (np.cumsum(keep) - 1).astype(np.int32)[self.slot[mine]]
 
     def add(self, hashes: np.ndarray, pieces: list[bytes], ids: list[bytes]) -> None:
         if not ids:
             return
-        if len(self.hash) > self.most:
-            keep = np.flatnonzero(self.used > self.now - LATELY)
-            self.pool, self.text = self.ids(keep), gathered(self.text, self.at[keep], self.bytes[keep])
-            self.hash, self.size, self.used, self.bytes = (x[keep] for x in (self.hash, self.size, self.used, self.bytes))
-            self.start, self.at = np.cumsum(self.size) - self.size, np.cumsum(self.bytes) - self.bytes
+        if self.n > self.most or 4 * self.n_ids + self.n_text > MEMO_BYTES:
+            self._shrink()
         size, length = np.array([len(x) // 4 for x in ids]), np.array([len(x) for x in pieces])
-        start, at = len(self.pool) + np.cumsum(size) - size, len(self.text) + np.cumsum(length) - length
-        self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(ids), np.uint32)))
-        self.text = np.concatenate((self.text, np.frombuffer(b"".join(pieces), np.uint8)))
+        long = np.where(length > 16, length, 0)
+        low, high = heads(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(length) - length, length)
         to = np.searchsorted(self.hash, hashes)
-        self.hash, self.start, self.size, self.used, self.at, self.bytes = (np.insert(x, to, y) for x, y in ((self.hash, hashes), (self.start, start), (self.size, size), (self.used, self.now), (self.at, at), (self.bytes, length)))
+        self.hash, self.slot = np.insert(self.hash, to, hashes), np.insert(self.slot, to, np.arange(self.n, self.n + len(ids)))
+        start, at = self.n_ids + np.cumsum(size) - size, self.n_text + np.cumsum(long) - long
+        names = ("low", "high", "start", "size", "used", "at", "bytes")
+        for name, new in zip(names, (low, high, start, size, np.full(len(ids), self.now), at, length), strict=True):
+            setattr(self, name, appended(getattr(self, name), self.n, new))
+        self.pool = appended(self.pool, self.n_ids, np.frombuffer(b"".join(ids), np.uint32))
+        self.text = appended(self.text, self.n_text, np.frombuffer(b"".join(x for x in pieces if len(x) > 16), np.uint8))
+        self.n, self.n_ids, self.n_text = self.n + len(ids), self.n_ids + int(size.sum()), self.n_text + int(long.sum())
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         """All ids of some pieces one after another."""
         return gathered(self.pool, self.start[places], self.size[places])
 
-    def spells(self, places: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> bool:
-        """Whether the pieces at ``places``, one after another, are ``data`` cut into ``sizes``."""
-        return bool((self.bytes[places] == sizes).all()) and bool((gathered(self.text, self.at[places], sizes) == data).all())
+    def spells(self, places: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> bool:
+        """Whether the pieces at ``places`` are the stretches of ``data``, byte by byte."""
+        low, high = heads(data, starts, sizes)
+        if not ((self.bytes[places] == sizes) & (self.low[places] == low) & (self.high[places] == high)).all():
+            return False
+        long = np.flatnonzero(sizes > 16)
+        return bool((gathered(self.text, self.at[places[long]], sizes[long]) == gathered(data, starts[long], sizes[long])).all())
 
 
 class Encoder:
@@ -234,8 +274,9 @@ class Encoder:
         raw = data.tobytes()
         pieces = [raw[x:y] for x, y in zip(a[first[new]].tolist(), b[first[new]].tolist(), strict=True)]
         memo.add(distinct[new], pieces, self.learn([x.decode("utf-8", "replace") for x in pieces]))
-        place = memo.find(distinct)[which]
-        if memo.spells(place, data, b - a):
+        known = memo.find(distinct)
+        place = known[which]
+        if memo.spells(place, data, a, b - a):
             ids, size = memo.ids(place), memo.size[place]
         else:  # two pieces with one hash
             ids, size = self.unhashed([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
