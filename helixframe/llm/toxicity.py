@@ -42,7 +42,7 @@ FIT_ROWS = 6000
 FEATURES = 2500
 LEAST_DOCS = 4
 L2 = 3e-4
-CHUNK = 200_000
+CHUNK = 80_000
 SLICES = 32
 _PLAIN = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(128)], np.uint32)
 
