@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +23,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """One folder for all that is written inside, deleted at the end: results must be read or saved elsewhere before."""
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(token)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_RUN.get() or shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
@@ -33,8 +56,7 @@ def dropped(*frames: DataFrame) -> None:
     for df in frames:
         spark = df.sparkSession
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
 
 
 def numbered(ordered: DataFrame, name: str = "place") -> DataFrame:

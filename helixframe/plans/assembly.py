@@ -1,8 +1,8 @@
 """Composed plans: correction of reads, unitigs over an increasing list of k, cleaning, untangling, and inflation.
 
-Read alignment probes every position of a read and leaves a walk where the graph
-has no link; gaps in a read's hits are not filled by searching the graph. Lengths
-of merged segments are those of their sequences.
+Read alignment probes every position of a read; where two steps have no link, the
+graph is searched for a walk between them, and the walk is cut where there is
+none. Lengths of merged segments are those of their sequences.
 """
 
 from __future__ import annotations

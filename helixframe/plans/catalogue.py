@@ -282,6 +282,12 @@ def segments_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_name(segments.select(F.col("seg").cast("string").alias("name"), "length", "coverage"), wanted)
 
 
+@query(O.COPY_NUMBERS)
+def copy_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = R.table(spark, sf_dir, "events").select(F.concat_ws("_", F.col("user_id").cast("string"), "event_type").alias("name"), "event_id")
+    return edit.copy_numbers(events, "event_id")
+
+
 @query(O.ADD_COVERAGES)
 def add_coverages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.formats import add_coverages as add

@@ -228,6 +228,7 @@ SELECT 'S' || chr(9) || seg || chr(9) || '*' || chr(9) || 'DP:f:' || CAST(covera
 UNION ALL SELECT 'L' || chr(9) || a || chr(9) || CASE WHEN ea = 1 THEN '+' ELSE '-' END || chr(9) || b || chr(9) || CASE WHEN eb = 0 THEN '+' ELSE '-' END || chr(9) || '0M' FROM e WHERE a < b OR (a = b AND ea <= eb)"""
 SORT_GFA = """WITH l AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'L' WHEN 1 THEN 'S' WHEN 2 THEN 'H' ELSE '#' END || chr(9) || user_id || chr(9) || event_type AS line FROM events)
 SELECT row_number() OVER (ORDER BY line[1] DESC, event_id) - 1 AS place, line FROM l WHERE line[1] IN ('S', 'L')"""
+COPY_NUMBERS = "SELECT user_id || '_' || event_type AS name, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS \"copy\" FROM events"
 ADD_COVERAGES = f"""WITH {SQL_STEPS}, v AS (SELECT seg // {CLASSES} AS part, count(*) AS n FROM walk_steps GROUP BY 1)
 SELECT CAST(p_partkey AS VARCHAR) AS name, CAST(coalesce(n, 0) AS DOUBLE) AS coverage FROM part LEFT JOIN v ON part = p_partkey"""
 

@@ -16,7 +16,7 @@ from ..functions.sequence import reverse_complement
 from ..operators.loop import numbered
 from ..session import prepare
 
-TAGS = "DP|dp|km"
+TAGS = "DP|dp|km|rc"
 
 
 def _records(spark: SparkSession, path: str, mark: str) -> DataFrame:
@@ -96,11 +96,12 @@ def read_reads(spark: SparkSession, path: str) -> DataFrame:
     return found.where(~F.col("name").startswith("false"))
 
 
-def read_gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_gfa(spark: SparkSession, path: str, covered: bool = False, extra: float = 0) -> tuple[DataFrame, DataFrame]:
     """``(segments (name, seq, length, coverage), edges (a, ea, b, eb, overlap))`` keyed by names.
 
-    Coverage is a DP, dp or km tag, or KC or RC over the length. Links whose
-    segments are unknown go; repeated links count once; both directions are kept.
+    Coverage is a DP, dp, km or rc tag, or KC or RC over the length, and loses ``extra``
+    (down to 1). Without any it is 0, or an error when the graph has to be ``covered``.
+    Links whose segments are unknown go; repeated links count once; both directions are kept.
     """
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.split("value", "\t").alias("f"))
     value = lambda names: F.regexp_extract("line", rf"\t(?:{names}):[fi]:([0-9.eE+-]+)", 1)
@@ -108,7 +109,10 @@ def read_gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     seq = F.get("f", F.lit(2))
     listed = number("LN").cast("int")
     length = F.when(seq == "*", F.coalesce(listed, F.lit(0))).otherwise(F.length(seq))
-    segments = lines.where(F.col("line").startswith("S\t")).select(F.get("f", F.lit(1)).alias("name"), seq.alias("seq"), length.alias("length"), F.coalesce(number(TAGS), number("KC|RC") / F.greatest(length, F.lit(1)), F.lit(0.0)).alias("coverage"))
+    missing = F.raise_error(F.concat(F.lit("segment without coverage: "), F.get("f", F.lit(1)))).cast("double") if covered else F.lit(0.0)
+    shown = F.coalesce(number(TAGS), number("KC|RC") / F.greatest(length, F.lit(1)), missing)
+    shown = F.greatest(shown - extra, F.lit(1.0)) if extra else shown
+    segments = lines.where(F.col("line").startswith("S\t")).select(F.get("f", F.lit(1)).alias("name"), seq.alias("seq"), length.alias("length"), shown.alias("coverage"))
     text = lambda i: F.get("f", F.lit(i))
     raw = lines.where(F.col("line").startswith("L\t")).select(text(1).alias("a"), F.when(text(2) == "+", 1).otherwise(0).alias("ea"), text(3).alias("b"), F.when(text(4) == "+", 0).otherwise(1).alias("eb"), F.regexp_extract(text(5), r"^(\d+)M$", 1).try_cast("int").alias("overlap"))
     names = segments.select("name")

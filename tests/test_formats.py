@@ -2,11 +2,13 @@
 
 import gzip
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from helixframe.operators import loop
 from helixframe.plans import assembly, catalogue
 from helixframe.sources import formats
 from helixframe.streaming.reduce import reduce_documents
@@ -81,6 +83,22 @@ def test_unitig_fasta_and_fastg(spark, tmp_path):
     assert segments.count() == 3 and {(r["a"], r["ea"], r["b"], r["eb"]) for r in links.collect()} == {("n1", 1, "n2", 0), ("n1", 1, "n3", 1), ("n3", 1, "n1", 1)}
 
 
+def test_coverage_of_a_graph_may_be_required(spark, tmp_path):
+    (tmp_path / "g.gfa").write_text("S\ta\tACGT\trc:f:3\nS\tb\tAC\n")
+    path = f"{tmp_path}/g.gfa"
+    assert {(r["name"], r["coverage"]) for r in formats.read_gfa(spark, path)[0].collect()} == {("a", 3.0), ("b", 0.0)}
+    assert {(r["name"], r["coverage"]) for r in formats.read_gfa(spark, path, extra=2.5)[0].collect()} == {("a", 1.0), ("b", 1.0)}
+    with pytest.raises(Exception, match="segment without coverage: b"):
+        formats.read_gfa(spark, path, covered=True)[0].collect()
+
+
+def test_scratch_is_deleted(spark):
+    with loop.scratch(spark) as folder:
+        kept = loop.written(spark.range(5), "x")
+        assert kept.count() == 5 and kept.inputFiles()[0].startswith(folder)
+    assert not Path(folder.removeprefix("file://")).exists()
+
+
 def test_gaf(spark, tmp_path):
     walks = spark.createDataFrame([("r", 0, 100, ">1<2", 90)], "name string, idx int, read_length int, path string, path_length int")
     line = formats.gaf_lines(walks).first()["line"]

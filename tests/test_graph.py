@@ -299,6 +299,31 @@ def rc(text):
     return text.translate(str.maketrans("ACGT", "TGCA"))[::-1]
 
 
+def test_gaps_in_hits_are_filled_by_walks(spark):
+    from helixframe.operators import align
+
+    rng = random.Random(8)
+    genome = "".join(rng.choice("ACGT") for _ in range(160))
+    other = "".join(rng.choice("ACGT") for _ in range(9))
+    # a, then x or y (9 bases of their own), then b: all overlap by 20
+    a, x, y, b = genome[:80], genome[60:109], genome[60:80] + other + genome[89:109], genome[89:]
+    segments = spark.createDataFrame(list(enumerate((a, x, rc(y), b))), "seg long, seq string")
+    pairs = [(0, 1, 1, 0), (1, 1, 3, 0), (0, 1, 2, 1), (2, 0, 3, 0)]
+    edges = spark.createDataFrame([(*p, 20) for p in pairs + [(q, eq, p, ep) for p, ep, q, eq in pairs]], "a long, ea int, b long, eb int, overlap int")
+    wrong = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    middle = "".join(wrong[c] if i in (80, 88) else c for i, c in enumerate(genome))  # no k-mer of x is left
+    reads = [genome[5:150], middle[5:150], rc(genome[:80] + other + genome[89:])[10:140]]
+    df = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
+    walked = align.placed(df, segments, edges, 21, 1)
+    steps = {}
+    for r in walked.orderBy("read_id", "piece", "idx").collect():
+        steps.setdefault((r["read_id"], r["piece"]), []).append((r["seg"], r["fwd"]))
+    assert steps[0, 0] == [(0, True), (1, True), (3, True)] and steps[2, 0] == [(3, False), (2, True), (0, False)]
+    assert len(steps) == 3 and steps[1, 0][0] == (0, True) and steps[1, 0][-1] == (3, True) and len(steps[1, 0]) == 3
+    spelled = {r["read_id"]: r["seq"] for r in align.corrected(walked, segments, edges).collect()}
+    assert spelled[0] == reads[0] and spelled[2] == reads[2] and len(spelled[1]) == len(reads[1])
+
+
 def test_assembly_of_reads_with_errors(spark):
     from helixframe.plans import assembly
 
