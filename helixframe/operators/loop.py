@@ -51,6 +51,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def together(frames: list[DataFrame]) -> DataFrame:
+    """Frames of one schema that ``written`` wrote, as one scan."""
+    folders = sorted({f.rpartition("/")[0] for df in frames for f in df.inputFiles()})
+    schema = frames[0].schema
+    return frames[0].sparkSession.read.schema(schema).parquet(*folders) if folders else frames[0]
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete what ``written`` wrote."""
     for df in frames:
