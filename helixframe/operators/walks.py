@@ -108,7 +108,10 @@ class Beyond:
         last = F.element_at("nodes", -1)
         # one row a distinct path: equal names, equal prefixes
         self.paths = written(named.groupBy("seg", "side", "n", last.alias("node")).agg(F.count("*").alias("w"), F.min(F.struct("read_id", "at", "nodes")).alias("x")).select("seg", "side", "n", "node", "w", "x.*"), "paths")
-        each = self.paths.select("seg", "side", "w", "read_id", "at", F.col("node").alias("path"), "n", F.posexplode("nodes").alias("d", "node"), "nodes").select("seg", "side", "w", "read_id", "at", "path", "n", (F.col("d") + 1).alias("depth"), "node", F.when(F.col("d") > 0, F.get("nodes", F.col("d") - 1)).otherwise(0).alias("parent"))
+        parents = F.concat(F.array(F.lit(0).cast("long")), F.slice("nodes", F.lit(1), F.size("nodes") - 1))
+        zipped = F.arrays_zip(F.col("nodes").alias("node"), parents.alias("parent"))
+        each = self.paths.select("seg", "side", "w", "read_id", "at", F.col("node").alias("path"), "n", F.posexplode(zipped).alias("d", "x"))
+        each = each.select("seg", "side", "w", "read_id", "at", "path", "n", (F.col("d") + 1).alias("depth"), "x.node", "x.parent")
         self.each = each
         counted = each.groupBy("seg", "side", "depth", "node", "parent").agg(F.sum("w").alias("support"), F.min(F.struct("read_id", "at")).alias("witness"))
         total = F.sum("support").over(Window.partitionBy("seg", "side", "depth", "parent"))

@@ -248,6 +248,96 @@ def test_trimmed_overlaps(spark):
     assert {r["overlap"] for r in left.collect()} == {0}
 
 
+def random_graph(spark, seed, n=40, m=55):
+    rng = random.Random(seed)
+    shape = {str(i): (rng.choice([5, 20, 60, 150]), rng.choice([1, 2, 3, 8, 30, 200])) for i in range(n)}
+    links = [f"{rng.randrange(n)}{rng.choice('+-')} {rng.randrange(n)}{rng.choice('+-')}" for _ in range(m)]
+    ids, s, e = graph_of(spark, shape, links)
+    at = {}
+    for r in e.collect():
+        at.setdefault((r["a"], r["ea"]), []).append((r["b"], r["eb"]))
+    return [(x, float(c)) for x, c in shape.values()], at, s, e
+
+
+@pytest.mark.parametrize(("seed", "single"), [(1, False), (2, True)])
+def test_pop_and_shave_equals_a_plain_version(spark, seed, single):
+    shape, at, s, e = random_graph(spark, seed)
+    abundance, min_length, k, extra, n = 4, 50, 6, 1, len(shape)
+    length, cover = [x for x, _ in shape], [max(c - extra, 1.0) for _, c in shape]
+
+    def sibling(i):
+        found = []
+        for end in (0, 1):
+            if len(at.get((i, end), [])) != 1:
+                return None
+            beyond = sorted(b for b, _ in at[at[i, end][0]])
+            if len(beyond) != 2:
+                return None
+            found.append(beyond[1] if beyond[0] == i else beyond[0])
+        return found[0] if found[0] == found[1] != i else None
+
+    def look(i, end, left, big):
+        best = 0
+        for b, eb in at.get((i, end), []):
+            if cover[b] > big:
+                best = max(best, 1)
+            elif left - length[b] <= 0:
+                return 2
+            else:
+                best = max(best, look(b, 1 - eb, left - length[b], big))
+        return best
+
+    kept = set()
+    for i in range(n):
+        twin = sibling(i)
+        weak = twin is not None and (2 if single else 5) * cover[i] < cover[twin]
+        if (weak and cover[i] < abundance and length[i] < min_length) or not (cover[i] > abundance or length[i] > min_length):
+            continue
+        lo, hi = sorted(look(i, end, 7 * k, cover[i] * (3 if cover[i] < 5 else 20)) for end in (0, 1))
+        if hi == 2 or (hi == 0 and length[i] > min_length):
+            kept.add(i)
+    if single:
+        for i in list(kept):
+            near = [b for end in (0, 1) for b, _ in at.get((i, end), [])]
+            if (((i, 0) in at) != ((i, 1) in at)) and 2 * cover[i] < max(cover[b] for b in near) and length[i] < 2 * min_length:
+                kept.discard(i)
+    while True:
+        more = set()
+        for i in kept:
+            for end in (0, 1):
+                near = at.get((i, end), [])
+                if near and not any(b in kept for b, _ in near):
+                    more.add(min(near, key=lambda x: (-cover[x[0]], x))[0])
+        if not more:
+            break
+        kept |= more
+    got = {r["seg"] for r in paths.pop_and_shave(s, e, abundance, min_length, k, extra, True, single).collect()}
+    assert got == kept and 0 < len(kept) < n
+
+
+def test_trimmed_overlaps_equal_a_plain_version(spark):
+    shape, at, s, e = random_graph(spark, 3, 30, 40)
+    overlap = {(a, ea, b, eb): (a + b) % 23 for (a, ea), near in at.items() for b, eb in near}
+    lost = {(i, end): 0 for i in range(len(shape)) for end in (0, 1)}
+    while True:
+        able = {}
+        for (i, end), near in at.items():
+            far = max((overlap[i, 1 - end, b, eb] for b, eb in at.get((i, 1 - end), [])), default=0)
+            t = min(min(overlap[i, end, b, eb] for b, eb in near), shape[i][0] - lost[i, 0] - lost[i, 1] - far)
+            if t > 0:
+                able[i, end] = t
+        acting = {x: t for x, t in able.items() if all(x < y for y in at[x] if y in able) and not (x[1] == 1 and (x[0], 0) in able)}
+        if not acting:
+            break
+        for x, t in acting.items():
+            lost[x] += t
+        for a, ea, b, eb in overlap:
+            overlap[a, ea, b, eb] -= acting.get((a, ea), 0) + (acting.get((b, eb), 0) if (a, ea) != (b, eb) else 0)
+    got, left = edit.trimmed_overlaps(s, e.withColumn("overlap", (F.col("a") + F.col("b")) % 23))
+    assert {(r["seg"], r["left"], r["right"]) for r in got.collect()} == {(i, lost[i, 0], lost[i, 1]) for i in range(len(shape))}
+    assert {(r["a"], r["ea"], r["b"], r["eb"]): r["overlap"] for r in left.collect()} == overlap
+
+
 def test_link_edits(spark):
     ids, s, e = graph_of(spark, {"a": (10, 1), "b": (10, 1), "c": (10, 1)}, ["a+ b+"])
     more = edit.links_added(e, spark.createDataFrame([(1, 1, 2, 0)], "a long, ea int, b long, eb int"))
