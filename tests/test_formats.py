@@ -95,7 +95,7 @@ def test_coverage_of_a_graph_may_be_required(spark, tmp_path):
 def test_scratch_is_deleted(spark):
     with loop.scratch(spark) as folder:
         kept = loop.written(spark.range(5), "x")
-        assert kept.count() == 5 and kept.inputFiles()[0].startswith(folder)
+        assert kept.count() == 5 and folder in kept.inputFiles()[0]  # the folder may be set without a scheme
     assert not Path(folder.removeprefix("file://")).exists()
 
 
