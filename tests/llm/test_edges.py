@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import contamination, language, licenses, mixture, neardup, neighbours, quality, substrings, tokens, toxicity
 from helixframe.llm.queries import tokenizer_path
-from tests.llm.plain import prose
+from tests.llm.plain import plain_posteriors, prose
 
 CLASH = ["__p", "__text", "__row", "__id", "__kept", "__copies", "__copy", "row", "id", "kept", "copies", "copy", "evidence", "size", "target", "chance", "held_out", "score", "label", "predicted", "lang_pred", "n_words", "taken", "source_size", "spans", "rep", "rank", "block"]
 
@@ -141,30 +141,9 @@ def test_posteriors_equal_a_plain_hierarchy(spark, docs, rows, labels):
     model = quality.fit(docs, labels)
     chance = [float(model.chances([(r[1] or "").encode()])[0]) for r in rows]
 
-    def strength(groups):
-        groups = [g for g in groups if len(g) > 1]
-        if len(groups) < 2:
-            return quality.STRENGTH[1]
-        n, k = sum(map(len, groups)), len(groups)
-        mean = sum(map(sum, groups)) / n
-        within = sum((x - sum(g) / len(g)) ** 2 for g in groups for x in g) / max(n - k, 1)
-        between = sum(len(g) * (sum(g) / len(g)) ** 2 for g in groups) / n - mean**2 - within * (k - 1) / n
-        found = max(mean * (1 - mean), 1e-6) / between - 1 if between > 0 else quality.STRENGTH[1]
-        return min(max(found, quality.STRENGTH[0]), quality.STRENGTH[1])
-
-    hosts, paths = defaultdict(list), defaultdict(list)
-    for r, p in zip(rows, chance, strict=True):
-        hosts[r[3]].append(p)
-        paths[r[3], r[2]].append(p)
-    share, a, b = sum(chance) / len(chance), strength(hosts.values()), strength(paths.values())
-    logit = lambda p: math.log(p / (1 - p))
-    bound = lambda p: min(max(p, 1e-4), 1 - 1e-4)
     want = defaultdict(set)
-    for r, p in zip(rows, chance, strict=True):
-        host, path = hosts[r[3]], paths[r[3], r[2]]
-        host_share = (a * share + sum(host)) / (a + len(host))
-        site = bound((b * host_share + sum(path) - p) / (b + len(path) - 1))
-        want[r[0]].add(round(1 / (1 + math.exp(-(logit(p) - logit(bound(share)) + logit(site)))), 6))
+    for r, score in zip(rows, plain_posteriors([(r[3], r[2]) for r in rows], chance), strict=True):
+        want[r[0]].add(round(score, 6))
     got = defaultdict(set)
     for r in quality.quality(docs, labels).collect():
         got[r["doc_id"]].add(round(r["score"], 6))

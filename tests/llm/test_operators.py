@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from helixframe.llm import contamination, language, licenses, mixture, neardup, neighbours, quality, substrings, tokens, toxicity
 from helixframe.llm.common import Powers, space_words, utf8
 from helixframe.llm.queries import QUERIES, tokenizer_path
-from tests.llm.plain import SYL, prose
+from tests.llm.plain import SYL, brute_contamination, jaccard_components, plain_targets, prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words string"
 
@@ -112,28 +112,6 @@ def test_substring_anchors_far_into_a_long_document(monkeypatch):
     assert len(early) > 1 and set(early.tolist()) == set(late.tolist())
 
 
-def jaccard_components(rows, shingle):
-    sets = {}
-    for i, text in rows:
-        w = space_words((text or "").encode(), lower=True)
-        k = min(shingle, len(w))
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for x in ids:
-        for y in ids:
-            if x < y and sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
-                a, b = find(x), find(y)
-                root[max(a, b)] = min(a, b)
-    return sets, {i: find(i) for i in ids}
-
-
 @pytest.mark.parametrize("shingle", [2, 5])
 def test_near_duplicates_equal_brute_force(docs, shingle):
     rows = [(r[0], r[1]) for r in corpus() if r[0] is not None]
@@ -157,7 +135,7 @@ def test_near_links_in_blocks_and_with_few_rounds(spark):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     texts = df.withColumnRenamed("doc_id", "rep")
-    sketched = texts.mapInArrow(neardup._sketches(2), "doc_id long, n_shingles long, set_key binary, sketch binary") if False else df.mapInArrow(neardup._sketches(2), "doc_id long, n_shingles long, set_key binary, sketch binary").select(F.col("doc_id").alias("rep"), "sketch")
+    sketched = df.mapInArrow(neardup._sketches(2), "doc_id long, n_shingles long, set_key binary, sketch binary").select(F.col("doc_id").alias("rep"), "sketch")
     links = neardup.near_links(sketched, texts, 2, 80, pivot_rounds=1, block=8)
     got = {r["v"]: r["comp"] for r in neardup.components(links).collect()}
     _, comps = jaccard_components(rows, 2)
@@ -192,24 +170,6 @@ def test_deduplicated_keeps_one_row_and_all_columns(docs):
 BENCH = [(1, "the quick Brown fox jumps over a lazy dog and then it runs far away home"), (2, "tiny item"), (3, None), (4, "..."), (None, "quick brown"), (1, "tiny item")]
 
 
-def brute_contamination(text, bench):
-    import re
-
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-    w = word.findall(low(text))
-    hit, items = set(), set()
-    for i, t in bench:
-        b = word.findall(low(t))
-        n = min(13, len(b))
-        for s in range(len(b) - n + 1 if n else 0):
-            for p in range(len(w) - n + 1):
-                if w[p : p + n] == b[s : s + n]:
-                    hit.update(range(p, p + n))
-                    items.add("" if i is None else str(i))
-    return len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
-
-
 @pytest.mark.parametrize("slice_words", [1 << 20, 5])
 def test_contamination_equals_brute_force(spark, slice_words):
     texts = ["THE quick brown fox jumps over a lazy dog and then it ran", "tiny ITEM here " + "pad " * 50, None, "", "tiny item tiny item", "nothing to see", "quick-brown! fox", "étiny item"]
@@ -276,23 +236,6 @@ def test_mixed_meets_targets_without_unique_ids(spark):
         assert abs(got[source] - target[source]) <= 60
 
 
-def plain_targets(sizes, weights=(3, 1, 2)):
-    total = 1.5 * sum(s for _, s in sizes)
-    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    target, open_sources = {}, dict(order)
-    while open_sources:
-        left = total - sum(target.values())
-        whole = sum(weight[s] for s in open_sources)
-        over = [s for s in open_sources if left * weight[s] / whole > 2 * open_sources[s]]
-        if not over:
-            target |= {s: left * weight[s] / whole for s in open_sources}
-            break
-        for s in over:
-            target[s] = 2.0 * open_sources.pop(s)
-    return target
-
-
 def test_mixture_targets_and_totals(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, rng.randint(0, 40)), rng.choices(["a", "b", "c", None, "\U0001f600", "￿"], [70, 3, 3, 10, 8, 6])[0]) for i in range(900)]
