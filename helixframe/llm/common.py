@@ -137,6 +137,26 @@ def passed_on(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*batch.columns, *added.values()], names=[*batch.schema.names, *added])
 
 
+def stretches(texts: list[bytes | None], most: int) -> Iterator[slice]:
+    """Neighbouring texts of about ``most`` bytes together; a longer one is alone."""
+    at, size = 0, 0
+    for k, text in enumerate(texts):
+        more = len(text or b"")
+        if size and size + more > most:
+            yield slice(at, k)
+            at, size = k, 0
+        size += more
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def word_ids(each: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """An integer for each word of some documents, the words' document (by place), and the distinct words by integer."""
+    flat = pa.array([w for words in each for w in words], pa.large_binary()).dictionary_encode()
+    doc = np.repeat(np.arange(len(each)), [len(words) for words in each])
+    return flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), doc, flat.dictionary
+
+
 def word_hashes(words: Iterable[bytes], memo: dict[bytes, int]) -> np.ndarray:
     """64-bit hashes of words through a memo that the caller bounds."""
     words = list(words)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import ALNUM_WORD, SPACE_WORD
+from .divergence import TERM
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,9 +57,59 @@ marked AS (SELECT p.r, p.i, p.word, max(CASE WHEN a.x IS NULL THEN 0 ELSE 1 END)
 kept AS (SELECT r, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS k FROM marked GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)"""
 
+
+
+def _crc_table() -> str:
+    """The checksum of each byte, as an SQL list."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = (byte >> 1) ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return f"{out}::BIGINT[]"
+
+
+IMPORTANCE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_low("coalesce(text, '')")}, '{ALNUM_WORD}') AS w FROM documents),
+items AS (SELECT regexp_extract_all({_low("coalesce(text, '')")}, '{ALNUM_WORD}') AS w FROM benchmark),
+sizes AS (SELECT unnest([1, 2, 3]) AS k),
+features AS (SELECT r, array_to_string(list_slice(w, i, i + k - 1), ' ') AS x, count(*) AS n FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, sizes WHERE len(w) >= k) GROUP BY ALL),
+wanted AS (SELECT array_to_string(list_slice(w, i, i + k - 1), ' ') AS x, count(*) AS n FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM items, sizes WHERE len(w) >= k) GROUP BY ALL),
+spelled AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM features UNION SELECT x FROM wanted)),
+bytes AS (SELECT x, list_transform(range(1, strlen(h), 2), lambda i: 16 * (instr('0123456789ABCDEF', substr(h, i, 1)) - 1) + instr('0123456789ABCDEF', substr(h, i + 1, 1)) - 1) AS b FROM spelled),
+hashed AS (SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, v: xor(c >> 8, ({_crc_table()})[(xor(c, v) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM bytes),
+s AS (SELECT bucket, sum(n) AS s FROM features JOIN hashed USING (x) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM wanted JOIN hashed USING (x) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM features) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM wanted) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket)),
+weights AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM features JOIN hashed USING (x) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM docs LEFT JOIN weights USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LAST, r) AS rank FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM ranked) THEN rank END AS rank, n_words FROM scored LEFT JOIN ranked USING (r)"""
+
+DIVERGENCE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_low("coalesce(text, '')")}, '{TERM}') AS w FROM documents),
+words AS (SELECT lang, source, r, unnest(w) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS d FROM words GROUP BY ALL),
+kept AS (SELECT lang, term FROM counts GROUP BY lang, term HAVING sum(d) >= 10),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, CAST(1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (CAST(sum(n) OVER (PARTITION BY lang, source) AS HUGEINT) + 2 * v) AS BIGINT) AS p FROM dense JOIN sizes USING (lang)),
+whole AS (SELECT lang, term, sum(n) AS n FROM dense GROUP BY lang, term),
+q AS (SELECT lang, term, CAST(1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (CAST(sum(n) OVER (PARTITION BY lang) AS HUGEINT) + 2 * v) AS BIGINT) AS q FROM whole JOIN sizes USING (lang)),
+sums AS (SELECT x.lang, x.source, y.source AS item, CAST(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS BIGINT) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT g.lang, g.source, h.source AS item, coalesce(value, 0) AS value FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source),
+tops AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM tops),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM both_parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
 ORACLES = {
     "op3_contamination": CONTAMINATION,
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op8_neighbours": NEIGHBOURS,
     "op10_substrings": SUBSTRINGS,
+    "op11_importance": IMPORTANCE,
+    "op13_divergence": DIVERGENCE,
 }

@@ -79,9 +79,21 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import importance
+
+    return importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_mixture, op3_contamination, op4_near_duplicates, op5_licenses, op6_language, op7_token_file, op8_neighbours, op9_quality, op10_substrings)
+    for f in (op1_toxicity, op2_mixture, op3_contamination, op4_near_duplicates, op5_licenses, op6_language, op7_token_file, op8_neighbours, op9_quality, op10_substrings, op11_importance, op13_divergence)
 }
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
