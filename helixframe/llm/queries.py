@@ -85,6 +85,12 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import divergence
 
@@ -93,7 +99,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_mixture, op3_contamination, op4_near_duplicates, op5_licenses, op6_language, op7_token_file, op8_neighbours, op9_quality, op10_substrings, op11_importance, op13_divergence)
+    for f in (op1_toxicity, op2_mixture, op3_contamination, op4_near_duplicates, op5_licenses, op6_language, op7_token_file, op8_neighbours, op9_quality, op10_substrings, op11_importance, op12_suffixes, op13_divergence)
 }
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
