@@ -41,7 +41,7 @@ TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LEAST = 10
 TOP = 10
-CELLS = 1 << 20
+CELLS = 1 << 16
 SLICE = 1 << 21
 GROUPS = 100_000
 STRETCH = 6_000_000
