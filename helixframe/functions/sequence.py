@@ -158,6 +158,14 @@ def packed(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return f, r
 
 
+def keys(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of each window of k codes, for both strands: the packed k-mer up to 31 bases, else its rolling hash."""
+    if k <= 31:
+        return packed(code, k)
+    f, r = rolling(code, k)
+    return f.view(np.int64), r.view(np.int64)
+
+
 def unpacked(kmer: Column, k: int) -> Column:
     """The string of a packed k-mer."""
     digits = [F.substring(F.lit(BASES), (F.shiftright(kmer, 2 * (k - 1 - i)).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for i in range(k)]

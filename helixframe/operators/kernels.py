@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..session import prepare
+from .sieve import passes
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -129,15 +131,26 @@ def packed_kmers(reads: DataFrame, k: int) -> DataFrame:
 
 
 def kmer_places(reads: DataFrame, k: int, stride: int = 1) -> DataFrame:
-    """``read_id, pos, forward, reverse``: packed k-mers of both strands at every ``stride``-th position."""
+    """``read_id, pos, forward, reverse``: keys of k-mers of both strands at every ``stride``-th position."""
 
     def kernel(seq: bytes) -> tuple[np.ndarray, ...]:
-        f, r = S.packed(S.codes(seq), k)
+        f, r = S.keys(S.codes(seq), k)
         return np.arange(len(f))[::stride], f[::stride], r[::stride]
 
     return _each(reads, ["read_id", "pos", "forward", "reverse"], kernel)
 
 
+def probes(reads: DataFrame, k: int, wanted: Broadcast) -> DataFrame:
+    """``read_id, pos, kmer, fwd`` (1 or 0): read k-mers, either strand, that the sieve ``wanted`` lets through."""
+
+    def kernel(seq: bytes) -> tuple[np.ndarray, ...]:
+        both = S.keys(S.codes(seq), k)
+        at = [np.flatnonzero(passes(wanted.value, x)) for x in both]
+        return np.concatenate(at), np.concatenate([x[p] for x, p in zip(both, at, strict=True)]), np.repeat((1, 0), [len(p) for p in at])
+
+    return _each(reads, ["read_id", "pos", "kmer", "fwd"], kernel)
+
+
 def whole_hashes(reads: DataFrame) -> DataFrame:
     """``read_id, hash``: the forward hash of each sequence as one k-mer."""
     return _each(reads, ["read_id", "hash"], lambda seq: (S.rolling(S.codes(seq), len(seq))[0][:1],) if seq else (np.zeros(0, np.uint64),))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import reverse_complement, unpacked
+from ..functions.sequence import unpacked
 from . import kernels
+from .loop import written
+from .sieve import sieve
 
 
 def counts(reads: DataFrame, k: int, least: int = 1) -> DataFrame:
@@ -41,14 +43,12 @@ def contig_index(contigs: DataFrame, k: int, stride: int) -> DataFrame:
 def contig_hits(reads: DataFrame, contigs: DataFrame, k: int, stride: int = 5) -> DataFrame:
     """``read_id, pos, seg, cpos, fwd``: the contig place of each read k-mer, the forward strand first.
 
-    One row a read position goes through the join with both strands' keys; the
-    index side is as small as the contigs.
+    A sieve of the index's k-mers stands in the kernel, so about as many rows leave
+    it as there are hits. K-mers over 31 bases are compared by a 64-bit hash.
     """
-    index = contig_index(contigs, k, stride)
-    places = kernels.kmer_places(reads, k)
-    keys = F.array(F.struct(F.col("forward").alias("kmer"), F.lit(True).alias("fwd")), F.struct(F.col("reverse").alias("kmer"), F.lit(False).alias("fwd")))
-    probes = places.select("read_id", "pos", F.explode(keys).alias("p")).select("read_id", "pos", "p.kmer", "p.fwd")
-    hits = probes.join(index, "kmer").groupBy("read_id", "pos").agg(F.max(F.struct("fwd", "seg", "cpos")).alias("h"))
+    index = written(contig_index(contigs, k, stride), "index")
+    found = kernels.probes(reads, k, sieve(index.select(F.col("kmer").alias("key")))).join(index, "kmer")
+    hits = found.groupBy("read_id", "pos").agg(F.max(F.struct(F.col("fwd").cast("boolean").alias("fwd"), "seg", "cpos")).alias("h"))
     return hits.select("read_id", "pos", "h.seg", "h.cpos", "h.fwd")
 
 
@@ -60,10 +60,10 @@ def needed(contigs: DataFrame, k: int, stride: int) -> DataFrame:
 
 def semi_join(reads: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``read_id, pos, kmer`` of read k-mers whose either strand is wanted (strings)."""
-    places = kernels.kmer_places(reads, k)
-    forward = unpacked(F.col("forward"), k)
-    both = wanted.select("kmer").union(wanted.select(reverse_complement(F.col("kmer")).alias("kmer"))).distinct()
-    return places.select("read_id", "pos", forward.alias("kmer")).join(both, "kmer", "left_semi").select("read_id", "pos", "kmer")
+    keys = kernels.kmer_places(wanted.select(F.lit(0).cast("long").alias("read_id"), F.col("kmer").alias("seq")), k)
+    both = written(keys.select("forward").union(keys.select("reverse")).distinct().withColumnRenamed("forward", "kmer"), "wanted")
+    found = kernels.probes(reads, k, sieve(both.select(F.col("kmer").alias("key")))).where("fwd = 1")
+    return found.join(both, "kmer", "left_semi").select("read_id", "pos", unpacked(F.col("kmer"), k).alias("kmer"))
 
 
 def majority(sightings: DataFrame, confirm: int = 4) -> DataFrame:

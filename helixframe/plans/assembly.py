@@ -1,8 +1,7 @@
 """Composed plans: correction of reads, unitigs over an increasing list of k, cleaning, untangling, and inflation.
 
-Read alignment probes every position of a read; where two steps have no link, the
-graph is searched for a walk between them, and the walk is cut where there is
-none. Lengths of merged segments are those of their sequences.
+Where two steps of a read leave a gap, it is filled if exactly one walk over the
+graph fits, else the read is cut. Lengths of merged segments are those of their sequences.
 """
 
 from __future__ import annotations
@@ -84,7 +83,7 @@ def cleaned(g: Graph, k: int, p: Parameters, extra: float) -> Graph:
 def correct_reads(reads: DataFrame, p: Parameters) -> DataFrame:
     """``read_id, seq``: reads as a cleaned unitig graph spells them, in pieces; reads without a hit go."""
     segments, edges = cleaned(unitig_graph(reads, p.k_correct, p.least()), p.k_correct, p, 0)
-    walked = written(align.placed(reads, segments, edges, p.k_correct, reach=p.longest_read // p.compression // 2), "placed-reads")
+    walked = written(align.placed(reads, segments, edges, p.k_correct), "placed-reads")
     return written(align.corrected(walked, segments, edges).select(F.monotonically_increasing_id().alias("read_id"), "seq"), "corrected")
 
 
@@ -102,7 +101,7 @@ def iterative(reads: DataFrame, ks: tuple[int, ...], least: int, copies: int = 2
 def resolved(g: Graph, reads: DataFrame, k: int, p: Parameters) -> Graph:
     """The graph untangled by the walks of reads; what several neighbours share exclusively copied; weak tips gone."""
     segments, edges = g
-    steps = written(align.placed(reads, segments, edges, k, reach=p.longest_read // p.compression // 2), "placed-reads")
+    steps = written(align.placed(reads, segments, edges, k), "placed-reads")
     # a piece is a walk of its own
     names = written(steps.select("read_id", "piece").distinct().withColumn("walk", F.monotonically_increasing_id()), "pieces")
     steps = written(steps.join(names, ["read_id", "piece"]).select(F.col("walk").alias("read_id"), "idx", "seg", "fwd"), "steps")
