@@ -25,7 +25,7 @@ right and to the left, compares all strings; anchors are about one for 35 bytes.
    after equal ones of a task were settled. No bucket holds more than ``limit`` suffixes of one gram.
 4. Spans of repeats are gathered by row and cut from the texts.
 
-Rows are written down once with a number of their own, which is what travels.
+Rows are written down once, compressed, with a number of their own, which is what travels.
 Candidates are compared byte by byte; hashes only propose. Long texts are
 searched in overlapping pieces.
 
@@ -42,6 +42,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +62,18 @@ _LOW = np.uint64(0xFFFFF)
 Batches = Iterator[pa.RecordBatch]
 
 
+def _compressed(batches: Batches) -> Batches:
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts = [t or b"" for t in utf8(batch["text"])]
+        yield _batch(row=batch["row"], doc_id=batch["doc_id"], size=pa.array([len(t) for t in texts], pa.int64()), packed=pa.array([squeeze.compress(t) for t in texts], pa.binary()))
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    whole = zstandard.ZstdDecompressor()
+    return [whole.decompress(x) for x in batch["packed"].to_pylist()]
+
+
 def anchors(data: bytes, starts: np.ndarray, sizes: np.ndarray, length: int, powers: Powers) -> tuple[np.ndarray, ...]:
     """Gram hash, place, and first and last string start of each anchor of the documents in ``data`` (under a million bytes)."""
     n = len(data)
@@ -145,7 +158,7 @@ def _grams(length: int, buckets: int) -> Callable[[Batches], Batches]:
         powers, held, size, turn = Powers(), [], 0, 0
         for batch in batches:
             rows = batch["row"].to_numpy()
-            for group in pieces(list(utf8(batch["text"])), length):
+            for group in pieces(_texts(batch), length):
                 sizes = np.array([len(x[2]) for x in group])
                 starts = np.cumsum(sizes) - sizes
                 key, place, first, last = anchors(b"".join(x[2] for x in group), starts, sizes, length, powers)
@@ -337,14 +350,15 @@ def _cuts(length: int, splitters: np.ndarray, hot: np.ndarray, buckets: int) ->
         if len(names):
             group = np.repeat(np.arange(len(names)), np.diff(np.append(at, len(order))))
             lists = _lists(group, len(names), *(x[order] for x in (found.row, found.doc, found.spot)))
-            cut = pa.array([found.bytes[x].tobytes() for x in np.split(order, at[1:])], pa.binary())
+            squeeze = zstandard.ZstdCompressor(level=1)
+            cut = pa.array([squeeze.compress(found.bytes[x].tobytes()) for x in np.split(order, at[1:])], pa.binary())
             yield _batch(bucket=pa.array(names, pa.int32()), rows=lists[0], docs=lists[1], spots=lists[2], bytes=cut, gone=none, firsts=none, lasts=none)
 
     def run(batches: Batches) -> Batches:
         held, size = [], 0
         for batch in batches:
             rows, docs, spots = batch["row"].to_numpy(), batch["doc"].to_numpy(), batch["spots"]
-            for k, text in enumerate(utf8(batch["text"])):
+            for k, text in enumerate(_texts(batch)):
                 own = spots[k].values.to_numpy()
                 for at in range(0, len(own), CUT):
                     held.append(Suffixes.cut(text, docs[k], rows[k], own[at : at + CUT], length))
@@ -365,7 +379,8 @@ def _sorted(length: int) -> Callable[[pa.Table], pa.Table]:
         out = [tuple(_flat(bucket, c) for c in ("gone", "firsts", "lasts"))]
         row, doc, spot = (_flat(bucket, c) for c in ("rows", "docs", "spots"))
         if len(row):
-            held = np.frombuffer(b"".join(bucket["bytes"].to_pylist()), np.uint8).reshape(len(row), -1)
+            whole = zstandard.ZstdDecompressor()
+            held = np.frombuffer(b"".join(whole.decompress(x) for x in bucket["bytes"].to_pylist() if x), np.uint8).reshape(len(row), -1)
             found = Suffixes(doc, row, spot, held, length)
             first, other = found.earliest()
             out.append((found.row[other], found.place[other] - found.most[other], found.place[other] - found.least[other]))
@@ -380,8 +395,7 @@ def _result(length: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for batch in batches:
             columns: list[list] = [[] for _ in range(5)]
-            for k, text in enumerate(utf8(batch["text"])):
-                text = text or b""
+            for k, text in enumerate(_texts(batch)):
                 gone = np.zeros(len(text) + 1, bool)
                 for span in batch["spans"][k].as_py() or ():
                     for a, b in zip(span["firsts"], span["lasts"], strict=True):
@@ -402,13 +416,13 @@ def _splitters(texts: DataFrame, spots: DataFrame, rows: int, length: int, bucke
     def heads(batches: Batches) -> Batches:
         for batch in batches:
             out = []
-            for k, text in enumerate(utf8(batch["text"])):
+            for k, text in enumerate(_texts(batch)):
                 own = batch["spots"][k].values.to_numpy()
                 out += [text[p : p + HEAD] for p in (own[:: -(-len(own) // 50)] >> 14).tolist()]
             yield _batch(head=pa.array(out, pa.binary()))
 
     some = spots.where(F.pmod(F.xxhash64("row"), F.lit(max(1, rows // SAMPLE))) == 0)
-    found = texts.join(F.broadcast(some), "row").select("text", "spots").mapInArrow(heads, "head binary").collect()
+    found = texts.join(F.broadcast(some), "row").select("packed", "spots").mapInArrow(heads, "head binary").collect()
     sample = np.sort(np.array([bytes(r["head"]) for r in found], f"S{HEAD}"))
     return np.unique(sample[np.linspace(0, len(sample), buckets + 1)[1:-1].astype(np.int64)]) if len(sample) else sample
 
@@ -420,12 +434,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, limit: int = LIMIT) -> D
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = materialize(keyed.withColumn("row", F.monotonically_increasing_id()), "texts")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    numbered = keyed.withColumn("row", F.monotonically_increasing_id())
+    texts = materialize(numbered.mapInArrow(_compressed, "row long, doc_id long, size long, packed binary"), "texts")
+    size = texts.agg(F.sum("size")).first()[0] or 0
     buckets = max(64, size >> 25)
     # at most a million grams are hot, whatever the size
     hot_from = max(limit, size // (35 * 1_000_000))
-    asked = texts.select("row", "text").mapInArrow(_grams(length, buckets), GRAMS)
+    asked = texts.select("row", "packed").mapInArrow(_grams(length, buckets), GRAMS)
     found = materialize(asked.groupBy("bucket").applyInArrow(_partners(hot_from), "row long, spots array<long>"), "partners")
     release(spark)
     hot = np.array(sorted({k for r in found.where("row is null").collect() for k in r["spots"]}), np.int64)
@@ -433,7 +448,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, limit: int = LIMIT) -> D
     rows, n = spots.agg(F.count("*"), F.sum(F.size("spots"))).first()
     buckets = max(64, (n or 0) * 200 >> 26)
     splitters = _splitters(texts, spots, rows, length, buckets)
-    served = texts.join(spots, "row").select("row", F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), "text", "spots")
+    served = texts.join(spots, "row").select("row", F.coalesce("doc_id", F.lit(int(LAST))).alias("doc"), "packed", "spots")
     cuts = served.mapInArrow(_cuts(length, splitters, hot, buckets), CUTS)
     gone = materialize(cuts.groupBy("bucket").applyInArrow(_sorted(length), "row long, firsts array<long>, lasts array<long>"), "repeats")
     discard(found, spots)
@@ -441,5 +456,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, limit: int = LIMIT) -> D
     spans = materialize(gone.groupBy("row").agg(F.collect_list(F.struct("firsts", "lasts")).alias("spans")), "spans")
     discard(gone)
     release(spark)
-    joined = texts.join(spans, "row", "left").select("doc_id", "text", "spans")
+    joined = texts.join(spans, "row", "left").select("doc_id", "packed", "spans")
     return joined.mapInArrow(_result(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
