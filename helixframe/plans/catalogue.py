@@ -457,6 +457,15 @@ def align_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.aligned(R.reads(spark, sf_dir), _contigs(spark, sf_dir), 31, 5)
 
 
+@query(O.placed(31, 5))
+def place_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs, edges = R.chunk_graph(spark, sf_dir)
+    walked = align.placed(R.reads(spark, sf_dir), written(contigs, "contigs"), written(edges, "edges"), 31, 5)
+    row = F.struct("idx", walks.token(F.col("seg"), F.col("fwd")).alias("t"), "start", "end")
+    pieces = walked.groupBy("read_id", "piece").agg(F.array_sort(F.collect_list(row)).alias("w"))
+    return pieces.select("read_id", "piece", F.array_join(F.transform("w", lambda x: x["t"]), "").alias("path"), F.col("w")[0]["start"].alias("start"), F.element_at("w", -1)["end"].alias("stop"))
+
+
 @query(O.spelled(20))
 def spell_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = R.walk_steps(spark, sf_dir)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.sequence import _FORWARD, _REVERSE
-from .relations import CLASSES, SQL_DENSE, SQL_EDGES, SQL_GRAPH, SQL_ORDERS, SQL_PIECES, SQL_READS, SQL_SEQUENCES, SQL_STEPS, SQL_TOURS, sql_dna, sql_rc
+from .relations import CLASSES, SQL_CHUNKS, SQL_DENSE, SQL_EDGES, SQL_GRAPH, SQL_ORDERS, SQL_PIECES, SQL_READS, SQL_SEQUENCES, SQL_STEPS, SQL_TOURS, sql_dna, sql_rc
 
 _F = "[" + ",".join(str(int(x)) for x in _FORWARD.ravel()) + "]::UBIGINT[]"
 _R = "[" + ",".join(str(int(x)) for x in _REVERSE.ravel()) + "]::UBIGINT[]"
@@ -100,8 +100,8 @@ def kmer_spectrum(k: int) -> str:
     return f"WITH {_counts(k)} SELECT n, count(*) AS n_kmers FROM counts GROUP BY n"
 
 
-def contig_lookup(k: int, stride: int) -> str:
-    return f"""WITH {SQL_READS}, {_CONTIGS},
+def contig_lookup(k: int, stride: int, contigs: str = _CONTIGS) -> str:
+    return f"""WITH {SQL_READS}, {contigs},
 places AS (SELECT seg, i AS cpos, substr(seq, i + 1, {k}) AS kmer FROM (SELECT seg, seq, unnest(range(0, length(seq) - {k} + 1, {stride})) AS i FROM contigs)),
 idx AS (SELECT kmer, seg, cpos FROM (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY seg, cpos) AS n FROM places) WHERE n = 1),
 w AS (SELECT read_id, i AS pos, substr(seq, i + 1, {k}) AS k FROM (SELECT read_id, seq, unnest(range(0, length(seq) - {k} + 1)) AS i FROM reads)),
@@ -122,6 +122,32 @@ runs AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY read_id ORDER BY pos) - 1
 SELECT read_id, idx, seg, fwd, min(pos) AS first, max(pos) AS last, count(*) AS n_hits FROM runs GROUP BY read_id, idx, seg, fwd"""
 
 
+_HITS = "SELECT * FROM f UNION ALL SELECT * FROM r ANTI JOIN f USING (read_id, pos)"
+
+
+def placed(k: int, stride: int) -> str:
+    return f"""{contig_lookup(k, stride, SQL_CHUNKS).replace('WITH', 'WITH RECURSIVE', 1).replace(_HITS, f', hits AS ({_HITS})')},
+sized AS (SELECT h.read_id, pos, seg, fwd, length(c.seq) - {k} - CASE WHEN fwd THEN cpos ELSE length(c.seq) - cpos - {k} END AS rest, CASE WHEN fwd THEN cpos ELSE length(c.seq) - cpos - {k} END AS start, length(d.seq) AS read_size
+  FROM hits h JOIN contigs c USING (seg) JOIN reads d ON d.read_id = h.read_id),
+ahead AS (SELECT *, CASE WHEN rest > 10 THEN least(CAST(floor(rest * 0.8) AS BIGINT), read_size - pos - {k} - 5) ELSE 0 END AS jump FROM sized),
+probed AS (SELECT read_id, list_reduce(list({{'pos': pos, 'look': CASE WHEN jump < 0 THEN 9223372036854775807 ELSE pos + 1 + jump END, 'seen': []::BIGINT[]}} ORDER BY pos),
+  lambda s, x: CASE WHEN x.pos >= s.look THEN {{'pos': x.pos, 'look': x.look, 'seen': list_append(s.seen, x.pos)}} ELSE s END, {{'pos': -1::BIGINT, 'look': 0::BIGINT, 'seen': []::BIGINT[]}}).seen AS seen FROM ahead GROUP BY read_id),
+visits AS (SELECT a.*, lag(pos) OVER w AS before, CASE WHEN lag(seg) OVER w = seg AND lag(fwd) OVER w = fwd THEN 0 ELSE 1 END AS fresh FROM (SELECT read_id, unnest(seen) AS pos FROM probed) JOIN ahead a USING (read_id, pos) WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY read_id ORDER BY pos) - 1 AS idx FROM visits),
+steps AS (SELECT read_id, idx, seg, fwd, arg_min(start, pos) AS start, arg_max(start, pos) + {k} AS stop, arg_min(pos - before - start, pos) AS gap FROM grouped GROUP BY ALL),
+gaps AS (SELECT * FROM (SELECT read_id, idx, seg AS b, CASE WHEN fwd THEN 0 ELSE 1 END AS leaving, gap, lag(seg) OVER w AS from_seg, lag(fwd) OVER w AS from_fwd FROM steps WINDOW w AS (PARTITION BY read_id ORDER BY idx)) WHERE from_seg IS NOT NULL),
+walk AS (
+  SELECT DISTINCT b, leaving, gap, b AS last, leaving AS side, CAST(gap AS BIGINT) AS rest, CAST([] AS STRUCT(seg BIGINT, fwd BOOLEAN)[]) AS path, false AS stuck FROM gaps
+  UNION ALL
+  SELECT w.b, w.leaving, w.gap, coalesce(e.b, w.last), CASE WHEN e.b IS NULL THEN w.side ELSE 1 - e.eb END, w.rest - coalesce(greatest(length(c.seq) - 30, 1), 0), CASE WHEN e.b IS NULL THEN w.path ELSE list_append(w.path, {{'seg': e.b, 'fwd': e.eb = 0}}) END, e.b IS NULL
+  FROM walk w LEFT JOIN half_edges e ON e.a = w.last AND e.ea = w.side LEFT JOIN contigs c ON c.seg = e.b WHERE w.rest > 0 AND NOT w.stuck),
+listed AS (SELECT *, count(*) OVER (PARTITION BY b, leaving, gap) AS n, count(*) OVER (PARTITION BY b, leaving, gap, last) AS m FROM walk WHERE rest <= 0 OR stuck),
+fits AS (SELECT g.read_id, g.idx, l.path FROM gaps g JOIN listed l ON l.b = g.b AND l.leaving = g.leaving AND l.gap = g.gap AND l.last = g.from_seg AND n < 50 AND m = 1 AND from_fwd <> CASE WHEN len(l.path) = 0 THEN g.leaving = 1 ELSE l.path[-1].fwd END),
+cuts AS (SELECT s.*, CASE WHEN s.idx > 0 AND f.idx IS NULL THEN 1 ELSE 0 END AS cut, coalesce(array_to_string(list_reverse(list_transform(f.path[1:len(f.path) - 1], lambda x: CASE WHEN x.fwd THEN '<' ELSE '>' END || x.seg)), ''), '') || CASE WHEN s.fwd THEN '>' ELSE '<' END || s.seg AS t FROM steps s LEFT JOIN fits f USING (read_id, idx)),
+pieces AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY read_id ORDER BY idx) AS BIGINT) AS piece FROM cuts)
+SELECT read_id, piece, string_agg(t, '' ORDER BY idx) AS path, CAST(arg_min(start, idx) AS INTEGER) AS start, CAST(arg_max(stop, idx) AS INTEGER) AS stop FROM pieces GROUP BY read_id, piece"""
+
+
 def spelled(overlap: int) -> str:
     return f"""WITH {SQL_STEPS}, {SQL_SEQUENCES}, t AS (SELECT read_id, idx, CASE WHEN fwd THEN seq ELSE {sql_rc('seq')} END AS t FROM walk_steps w JOIN segment_seq s ON s.seg = w.seg // {CLASSES})
 SELECT read_id, string_agg(CASE WHEN idx = 0 THEN t ELSE substr(t, {overlap + 1}) END, '' ORDER BY idx) AS seq FROM t GROUP BY read_id"""

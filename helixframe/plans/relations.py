@@ -97,6 +97,16 @@ def segment_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("seg"), dna(F.concat("p_name", "p_type", "p_brand")).alias("seq"))
 
 
+def chunk_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Contigs and links of a graph that reads walk: pieces of 100 bases, 70 apart; equal ones of all reads are one contig."""
+    n = F.floor((F.length("seq") - 31) / 70) + 1
+    cut = reads(spark, sf_dir).where(F.length("seq") >= 31).select("read_id", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("j")).select("read_id", "j", F.substr("seq", (F.col("j") * 70 + 1).cast("int"), F.lit(100)).alias("t"))
+    named = cut.groupBy("t").agg(F.min(F.col("read_id") * 100_000 + F.col("j")).alias("seg"))
+    order = Window.partitionBy("read_id").orderBy("j")
+    line = cut.join(named, "t").select("seg", F.lead("seg").over(order).alias("b")).where("b is not null")
+    return named.select("seg", F.col("t").alias("seq")), mirrored(line.select(F.col("seg").alias("a"), F.lit(1).alias("ea"), "b", F.lit(0).alias("eb"))).withColumn("overlap", F.lit(30))
+
+
 def expanded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seg, seq`` of every segment that a walk visits: its part's."""
     visited = walk_steps(spark, sf_dir).select("seg").distinct().withColumn("part", F.floor(F.col("seg") / CLASSES))
@@ -119,6 +129,11 @@ def sql_rc(seq: str) -> str:
 SQL_PIECES = f"""reads AS (SELECT doc_id * 1000000 + unnest(range(0, len(p))) AS read_id, unnest(p) AS seq FROM (
   SELECT doc_id, regexp_extract_all(regexp_replace(translate(text, '{_LETTERS + _LETTERS.upper()}.' || chr(10), '{_CYCLED * 2}NN'), '[^ACGTN]', '', 'g'), '[ACGT]+') AS p FROM documents))"""
 SQL_READS = f"reads AS (SELECT doc_id AS read_id, {sql_dna('text')} AS seq FROM documents)"
+SQL_CHUNKS = """cut AS (SELECT read_id, j, substr(seq, 70 * j + 1, 100) AS t FROM (SELECT read_id, seq, unnest(range(0, (length(seq) - 31) // 70 + 1)) AS j FROM reads WHERE length(seq) >= 31)),
+named AS (SELECT t, min(read_id * 100000 + j) AS seg FROM cut GROUP BY t),
+contigs AS (SELECT seg, t AS seq FROM named),
+lines AS (SELECT seg AS a, lead(seg) OVER (PARTITION BY read_id ORDER BY j) AS b FROM cut JOIN named USING (t)),
+half_edges AS (SELECT a, 1 AS ea, b, 0 AS eb FROM lines WHERE b IS NOT NULL UNION SELECT b, 0, a, 1 FROM lines WHERE b IS NOT NULL)"""
 SQL_STEPS = f"""walk_steps AS (
   SELECT l_orderkey AS read_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS idx, seg, fwd
   FROM (SELECT l_orderkey, l_linenumber, min(l_partkey * {CLASSES} + l_suppkey % {CLASSES}) AS seg, bool_or(l_linestatus = 'O') AS fwd FROM lineitem GROUP BY 1, 2))"""
