@@ -139,7 +139,7 @@ GRAMS = "bucket int, keys array<long>, times array<long>, rows array<long>, spot
 def _grams(length: int, buckets: int) -> Callable[[Batches], Batches]:
     """Grams that a task has once with their place, others as a count; the places of the latter come along, as they have partners."""
 
-    def dealt(held: list[tuple[np.ndarray, ...]], turn: int) -> pa.RecordBatch:
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         key, row, spot = (np.concatenate(x) for x in zip(*held, strict=True))
         names, at, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         bucket = (names >> np.uint64(32)).astype(np.int64) % buckets
@@ -152,10 +152,12 @@ def _grams(length: int, buckets: int) -> Callable[[Batches], Batches]:
         none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.array([], pa.int64()))
         passed = [pa.ListArray.from_arrays(pa.array([0, int(known.sum())], pa.int32()), pa.array(x[known])) for x in (row, spot)]
         columns = [pa.concat_arrays([c, more]) for c, more in zip(columns, (none, none, *passed), strict=True)]
-        return _batch(bucket=pa.array([*range(buckets), turn % buckets], pa.int32()), keys=columns[0], times=columns[1], rows=columns[2], spots=columns[3])
+        # what needs no partner goes to any bucket
+        turn = int(mixed(names[:1])[0] % np.uint64(buckets))
+        return _batch(bucket=pa.array([*range(buckets), turn], pa.int32()), keys=columns[0], times=columns[1], rows=columns[2], spots=columns[3])
 
     def run(batches: Batches) -> Batches:
-        powers, held, size, turn = Powers(), [], 0, 0
+        powers, held, size = Powers(), [], 0
         for batch in batches:
             rows = batch["row"].to_numpy()
             for group in pieces(_texts(batch), length):
@@ -167,10 +169,10 @@ def _grams(length: int, buckets: int) -> Callable[[Batches], Batches]:
                 held.append((key, rows[np.array([x[0] for x in group])[doc]], _packed(place + move, first + move, last + move)))
                 size += len(key)
                 if size >= HELD:
-                    yield dealt(held, turn)
-                    held, size, turn = [], 0, turn + 1
+                    yield dealt(held)
+                    held, size = [], 0
         if size:
-            yield dealt(held, turn)
+            yield dealt(held)
 
     return run
 
@@ -417,11 +419,11 @@ def _splitters(texts: DataFrame, spots: DataFrame, rows: int, length: int, bucke
         for batch in batches:
             out = []
             for k, text in enumerate(_texts(batch)):
-                own = batch["spots"][k].values.to_numpy()
-                out += [text[p : p + HEAD] for p in (own[:: -(-len(own) // 50)] >> 14).tolist()]
+                out += [text[p : p + HEAD] for p in (batch["spots"][k].values.to_numpy() >> 14).tolist()]
             yield _batch(head=pa.array(out, pa.binary()))
 
-    some = spots.where(F.pmod(F.xxhash64("row"), F.lit(max(1, rows // SAMPLE))) == 0)
+    few = F.filter("spots", lambda _, i: i % F.ceil(F.size("spots") / 50) == 0)
+    some = spots.where(F.pmod(F.xxhash64("row"), F.lit(max(1, rows // SAMPLE))) == 0).select("row", few.alias("spots"))
     found = texts.join(F.broadcast(some), "row").select("packed", "spots").mapInArrow(heads, "head binary").collect()
     sample = np.sort(np.array([bytes(r["head"]) for r in found], f"S{HEAD}"))
     return np.unique(sample[np.linspace(0, len(sample), buckets + 1)[1:-1].astype(np.int64)]) if len(sample) else sample
