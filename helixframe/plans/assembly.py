@@ -11,8 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import unpacked
-from ..operators import align, contract, edit, graph, inflate, kernels, kmers, paths, untangle
+from ..operators import align, contract, edit, graph, inflate, kernels, kmers, longmers, paths, untangle
 from ..operators.loop import written
 
 Graph = tuple[DataFrame, DataFrame]
@@ -26,7 +25,7 @@ class Parameters:
     compression: int = 20
     hpc: bool = True
     min_abundance: int = 5
-    ks: tuple[int, ...] = (17, 21, 31)
+    ks: tuple[int, ...] = (17, 21, 31, 61, 101, 191)
     single_genome: bool = False
     km: int = 31
     contiguity: bool = True
@@ -39,9 +38,8 @@ class Parameters:
             object.__setattr__(self, "order", self.order - 1)
         if list(self.ks) != sorted(set(self.ks)):
             raise ValueError("the list of k must increase")
-        if self.ks and max(self.ks) > 31:
-            raise ValueError("k-mers are packed into 64 bits: k is 31 at most")
-
+        if any(k % 2 == 0 for k in (*self.ks, self.k_correct)):
+            raise ValueError("k has to be odd")
 
     def least(self) -> int:
         """How often a k-mer has to occur: a single genome lets weak ones go early."""
@@ -50,14 +48,7 @@ class Parameters:
 
 def unitig_graph(reads: DataFrame, k: int, least: int) -> Graph:
     """Unitigs ``seg, seq, length, coverage`` and the half-edges between them, which overlap by k - 1."""
-    solid, edges = contract.de_bruijn(reads, k, least)
-    links = written(contract.contractible(edges), "links")
-    placed = written(contract.chains(solid.select("seg"), edges, links), "placed")
-    names = solid.select("seg", unpacked(F.col("seg"), k).alias("seq"))
-    text = contract.spelled(placed, names, k - 1)
-    mean = placed.join(solid, "seg").groupBy("chain").agg(F.avg("n").alias("coverage")).withColumnRenamed("chain", "seg")
-    whole = text.join(mean, "seg").select("seg", "seq", F.length("seq").alias("length"), "coverage")
-    return written(whole, "unitigs"), written(contract.outer_links(placed, edges, links).withColumn("overlap", F.lit(k - 1)), "unitig-links")
+    return longmers.unitigs(reads, k, least)
 
 
 def spelled_unitigs(reads: DataFrame, k: int, least: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import align, contract, edit, graph, inflate, kernels, kmers, paths, untangle, walks
+from ..operators import align, contract, edit, graph, inflate, kernels, kmers, longmers, paths, untangle, walks
 from ..operators.loop import numbered, written
 from ..streaming.reduce import reduce_documents
 from . import oracles as O
@@ -151,6 +151,19 @@ def kmer_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.spectrum(R.reads(spark, sf_dir), K)
 
 
+@query(O.kmer_count_long((61, 101), 1))
+def kmer_count_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = R.reads(spark, sf_dir)
+    # strings of this length are many bytes a k-mer: sums by count and first bases, of which each k-mer is part
+    shape = lambda k: longmers.counts(reads, k).groupBy(F.substring("kmer", 1, 8).alias("head"), "n").agg(F.count("*").alias("n_kmers"), F.min("kmer").alias("lowest"), F.max("kmer").alias("highest")).withColumn("k", F.lit(k))
+    return shape(61).unionByName(shape(101)).select("k", "head", "n", "n_kmers", "lowest", "highest")
+
+
+@query(O.kmer_count(101, 2))
+def kmer_abundance_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longmers.counts(R.reads(spark, sf_dir), 101, 2)
+
+
 @query(O.contig_lookup(31, 5))
 def kmer_contig_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.contig_hits(R.reads(spark, sf_dir), _contigs(spark, sf_dir), 31, 5)
@@ -367,7 +380,7 @@ def shrunk_read_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def whole_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly(R.reads(spark, sf_dir), Parameters(min_abundance=2, ks=(17, 21, 31)))[0].select("seq", "length", "coverage")
+    return assembly(R.reads(spark, sf_dir), Parameters(min_abundance=2))[0].select("seq", "length", "coverage")
 
 
 # walks

@@ -96,6 +96,14 @@ def kmer_count(k: int, least: int) -> str:
     return f"WITH {_counts(k)} SELECT kmer, n FROM counts WHERE n >= {least}"
 
 
+def kmer_count_long(ks: tuple[int, ...], least: int) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({_long(k, least)})" for k in ks)
+
+
+def _long(k: int, least: int) -> str:
+    return f"WITH {_counts(k)} SELECT CAST({k} AS INTEGER) AS k, substr(kmer, 1, 8) AS head, n, count(*) AS n_kmers, min(kmer) AS lowest, max(kmer) AS highest FROM counts WHERE n >= {least} GROUP BY ALL"
+
+
 def kmer_spectrum(k: int) -> str:
     return f"WITH {_counts(k)} SELECT n, count(*) AS n_kmers FROM counts GROUP BY n"
 

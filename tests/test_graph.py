@@ -231,6 +231,60 @@ def test_unitigs_equal_a_plain_version(spark, seed):
     assert got == [x for x, _ in plain_unitigs(twice, 15, 2)]
 
 
+@pytest.mark.parametrize(("seed", "k"), [(0, 5), (1, 11), (2, 33), (3, 101)])
+def test_unitigs_of_any_length_equal_a_plain_version(spark, seed, k):
+    from helixframe.operators import longmers
+
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    genome, ring = text(900), text(300)
+    other = genome[:400] + "A" + genome[401:]
+    sources = (genome, other, genome[200:500] + text(200) + genome[500:700], ring + ring[: k + 90])
+    reads = [x[i : i + k + 50] for x in sources for i in range(0, len(x) - k - 40, 7)]
+    reads += [rc(x) for x in reads[::3]] + ["", None, "A" * (k + 99), "ACGT", text(k + 5)]
+    df = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string").repartition(3)
+    reads = [x for x in reads if x]
+    segments, edges = longmers.unitigs(df, k, 2)
+    got = segments.collect()
+    canon = lambda w: min(w, rc(w))
+    # a ring may begin anywhere
+    ringed = lambda s: s[: k - 1] == s[-(k - 1) :] and len(s) > k
+    named = lambda s: (len(s), *sorted(canon(s[i : i + k]) for i in range(len(s) - k + 1))) if ringed(s) else s
+    want = plain_unitigs(reads, k, 2)
+    key = lambda x: (str(x[0]), x[1])
+    assert sorted([(named(r["seq"]), round(r["coverage"], 6)) for r in got], key=key) == sorted([(named(a), round(b, 6)) for a, b in want], key=key)
+    assert (k == 5 or any(ringed(a) for a, _ in want)) and all(r["seq"] == canon(r["seq"]) and r["length"] == len(r["seq"]) for r in got)
+    ends = [(r["seg"], e, (r["seq"] if e else rc(r["seq"]))[-(k - 1) :]) for r in got for e in (0, 1)]
+    links = {(a, ea, b, eb) for a, ea, w in ends for b, eb, v in ends if w == rc(v)}
+    assert {(r["a"], r["ea"], r["b"], r["eb"]) for r in edges.collect()} == links
+    for least in (1, 3):
+        count = {}
+        for x in reads:
+            for i in range(len(x) - k + 1):
+                count[canon(x[i : i + k])] = count.get(canon(x[i : i + k]), 0) + 1
+        assert {r["kmer"]: r["n"] for r in longmers.counts(df, k, least).collect()} == {w: n for w, n in count.items() if n >= least}
+
+
+def test_hot_minimizers_are_dealt_by_kmer(spark):
+    from helixframe.functions.sequence import codes
+    from helixframe.operators import longmers
+
+    rng = random.Random(81)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    # one word of the smallest hash in all windows of all reads
+    motif = min((text(11) for _ in range(5000)), key=lambda x: longmers.minimizers(codes(x.encode()), 11, 11)[0])
+    reads = [text(19) + motif + text(19) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")
+    assert longmers.pieces(df, 31).select("bucket").distinct().count() == 16
+    want = {}
+    for x in reads:
+        for i in range(len(x) - 30):
+            want[min(x[i : i + 31], rc(x[i : i + 31]))] = want.get(min(x[i : i + 31], rc(x[i : i + 31])), 0) + 1
+    assert {r["kmer"]: r["n"] for r in longmers.counts(df, 31).collect()} == want
+    assert sorted(min(r["seq"], rc(r["seq"])) for r in longmers.unitigs(df, 31, 1)[0].collect()) == [a for a, _ in plain_unitigs(reads, 31, 1)]
+    assert longmers.counts(df.where("false"), 31).count() == 0 and longmers.unitigs(df.where("false"), 31, 1)[0].count() == 0
+
+
 def test_short_contigs_are_found_in_references(spark):
     from helixframe.operators import inflate
 
