@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..session import prepare
 from . import kernels, kmers
+from .loop import written
+from .sieve import passes, sieve
 
 KM = 31
 FLANK = 10
@@ -60,7 +63,7 @@ def dictionary(seen: DataFrame) -> DataFrame:
 def expanded(contigs: DataFrame, words: DataFrame, km: int = KM) -> DataFrame:
     """``seg, seq, missing`` of ``contigs (seg, seq)``: their k-mers' central sequences one after another.
 
-    Both ends and contigs under ``km`` are left to ``inflated``.
+    Both ends and contigs under ``km`` are left to ``read_back``.
 
     K-mers overlap so that each central sequence starts with the last base of
     the one before, which is dropped. A missing k-mer gives as many N as the last
@@ -80,22 +83,56 @@ def expanded(contigs: DataFrame, words: DataFrame, km: int = KM) -> DataFrame:
     return pieces.groupBy("seg").agg(F.array_join(ordered, "").alias("seq"), F.count_if("gone").alias("missing"))
 
 
-def ends_needed(contigs: DataFrame, km: int = KM) -> DataFrame:
-    """``seg, first, last, first_turned, last_turned``: canonical first and last k-mers of contigs of at least ``km``."""
-    both = contigs.where(F.length("seq") >= km).select("seg", F.substring("seq", 1, km).alias("f"), F.substr("seq", F.length("seq") - km + 1, F.lit(km)).alias("l"))
-    both = both.withColumn("fr", S.reverse_complement(F.col("f"))).withColumn("lr", S.reverse_complement(F.col("l")))
-    return both.select("seg", F.least("f", "fr").alias("first"), F.least("l", "lr").alias("last"), (F.col("fr") < F.col("f")).alias("first_turned"), (F.col("lr") < F.col("l")).alias("last_turned"))
+def extended(contigs: DataFrame, edges: DataFrame | None = None, size: int = FLANK) -> DataFrame:
+    """``seg, seq, open_left, open_right``: contigs lengthened by ``size`` symbols of a linked one on each side.
 
+    The symbols follow the link's own overlap; segments that don't have so many beyond it extend nothing. Of several
+    links the one to the largest (segment, end) counts. A side that nothing extends is open.
+    """
+    if edges is None:
+        return contigs.select("seg", "seq", F.lit(True).alias("open_left"), F.lit(True).alias("open_right"))
+    most = (edges.agg(F.max("overlap")).first()[0] or 0) + size + 1
+    far = inward_ends(contigs, most).select(F.col("seg").alias("b"), F.col("end").alias("eb"), "text")
+    beyond = edges.join(far, ["b", "eb"]).where(F.length("text") > F.col("overlap") + size)
+    piece = F.substr("text", F.col("overlap") + 1, F.lit(size))
+    best = beyond.groupBy(F.col("a").alias("seg"), "ea").agg(F.max(F.struct("b", "eb", piece.alias("t"))).alias("x"))
+    sides = best.groupBy("seg").agg(*(F.max(F.when(F.col("ea") == e, F.col("x.t"))).alias(n) for e, n in ((0, "l"), (1, "r"))))
+    whole = F.concat(F.coalesce(S.reverse_complement(F.col("l")), F.lit("")), "seq", F.coalesce("r", F.lit("")))
+    return contigs.select("seg", "seq").join(sides, "seg", "left").select("seg", whole.alias("seq"), F.col("l").isNull().alias("open_left"), F.col("r").isNull().alias("open_right"))
+
+
+def asked(contigs: DataFrame, km: int = KM) -> DataFrame:
+    """``seg, role, at, kmer, turned, full`` of ``extended`` contigs: the packed k-mers that reading them back needs.
+
+    Role 0: at every stride, for the central sequence. Role 1: the first, of an open
+    side. Role 2: the last. Of an open side's k-mer the full sequence is needed.
+    """
+    stride = km - 2 * FLANK - 1
+
+    def kernel(seq: bytes) -> tuple[np.ndarray, ...]:
+        f, r = S.packed(S.codes(seq), km)
+        at = np.concatenate((np.arange(0, len(f), stride), (0, len(f) - 1))) if len(f) else np.zeros(0, np.int64)
+        role = np.concatenate((np.zeros(len(at) - 2, np.int64), (1, 2))) if len(f) else at
+        return role, at, np.minimum(f, r)[at], (r < f)[at].astype(np.int64)
+
+    rows = kernels.each(contigs.select(F.col("seg").alias("read_id"), "seq"), ["read_id", "role", "at", "kmer", "turned"], kernel)
+    sides = contigs.select(F.col("seg").alias("read_id"), "open_left", "open_right")
+    full = ((F.col("role") == 1) & F.col("open_left")) | ((F.col("role") == 2) & F.col("open_right"))
+    joined = rows.join(sides, "read_id").where((F.col("role") != 1) | F.col("open_left"))
+    return joined.select(F.col("read_id").alias("seg"), "role", "at", "kmer", (F.col("turned") == 1).alias("turned"), full.alias("full"))
 
-def full_sightings(reads: DataFrame, needed: DataFrame, order: int, compression: int, km: int = KM, hpc: bool = True) -> DataFrame:
-    """``read_id, i, kmer, central, full``: sightings of ``needed (kmer)`` with the raw sequence of all samples and ``order`` bases around.
 
-    Only places travel until the k-mers that aren't needed are gone.
+def second_pass(reads: DataFrame, wanted: DataFrame, order: int, compression: int, km: int = KM, hpc: bool = True) -> DataFrame:
+    """``read_id, i, kmer, central, full`` of the k-mers in ``wanted (kmer, full)`` alone; full sequences where they are wanted.
+
+    Sieves of both kinds stand in the kernel, so only windows that are needed are cut out of the reads.
+    Sequences are turned so that the k-mer is the smaller of its strands; full ones have ``order`` bases on both sides.
     """
     prepare(reads.sparkSession)
     flip = bytes.maketrans(b"ACGT", b"TGCA")
-    names = ["read_id", "i", "kmer", "turned", "c0", "c1", "f0", "f1"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    near, far = (sieve(x.select(F.col("kmer").alias("key"))) for x in (wanted, wanted.where("full")))
+    names = ["read_id", "i", "kmer", "central", "full"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,56 +143,73 @@ def full_sightings(reads: DataFrame, needed: DataFrame, order: int, compression:
                 seq = text.encode("ascii", "replace")
                 code, at = S.compressed(seq, hpc)
                 t, _, base = S.sampled(code, order, compression)
-                if len(t) < km:
+                f, r = S.packed(base, km)
+                name = np.minimum(f, r)
+                found = np.flatnonzero(passes(near.value, name))
+                if not len(found):
                     continue
-                where = S.middles(seq, at, code)[t - order // 2].tolist()
-                short = S.letters(base).encode()
-                for i in range(km - 1, len(t)):
-                    kmer = short[i - km + 1 : i + 1]
-                    other = kmer.translate(flip)[::-1]
-                    rows.append((read, i, min(kmer, other).decode(), other < kmer, where[i - km + 1 + FLANK], where[i - FLANK] + 1, max(0, where[i - km + 1] - order), min(len(seq), where[i] + order + 1)))
+                where = S.middles(seq, at, code)[t - order // 2]
+                whole = passes(far.value, name[found]).tolist()
+                for j, key, turned, long in zip(found.tolist(), name[found].tolist(), (r < f)[found].tolist(), whole, strict=True):
+                    a, b = int(where[j]), int(where[j + km - 1])
+                    parts = [seq[where[j + FLANK] : where[j + km - 1 - FLANK] + 1], seq[max(0, a - order) : b + order + 1] if long else None]
+                    parts = [x if x is None else (x.translate(flip)[::-1] if turned else x).decode() for x in parts]
+                    rows.append((read, j + km - 1, key, *parts))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    places = reads.select("read_id", "seq").mapInArrow(run, "read_id long, i long, kmer string, turned boolean, c0 long, c1 long, f0 long, f1 long")
-    found = places.join(needed.select("kmer").distinct(), "kmer", "left_semi").join(reads.select("read_id", "seq"), "read_id")
+    seen = reads.select("read_id", "seq").mapInArrow(run, "read_id long, i long, kmer long, central string, full string")
+    # what the sieves let through by chance goes here
+    return seen.join(wanted.select("kmer", F.col("full").alias("__full")), "kmer").select("read_id", "i", "kmer", "central", F.when(F.col("__full"), F.col("full")).alias("full"))
 
-    def piece(a: str, b: str) -> Column:
-        text = F.substr("seq", F.col(a) + 1, F.col(b) - F.col(a))
-        return F.when(F.col("turned"), S.reverse_complement(text)).otherwise(text)
 
-    return found.select("read_id", "i", "kmer", piece("c0", "c1").alias("central"), piece("f0", "f1").alias("full"))
+def word_list(needed: DataFrame) -> DataFrame:
+    """``kmer, full`` of the rows of ``asked``, once each."""
+    return needed.groupBy("kmer").agg(F.max("full").alias("full"))
 
 
-def full_dictionary(seen: DataFrame) -> DataFrame:
-    """``kmer, central, full``: of the full sequence that is first seen four times, else the first seen."""
+def voted(seen: DataFrame) -> DataFrame:
+    """``kmer, central, full``: of the sequence (full, if that is needed) that is first seen four times, else the first seen."""
     found = kmers.majority(seen.select(F.col("kmer").alias("key"), F.struct("full", "central").alias("seq"), F.struct("read_id", "i").alias("ord")))
     return found.select(F.col("key").alias("kmer"), F.col("seq.central").alias("central"), F.col("seq.full").alias("full"))
 
 
-def inflated(contigs: DataFrame, words: DataFrame, fulls: DataFrame, km: int = KM) -> DataFrame:
-    """``seg, seq, missing`` of ``contigs (seg, seq)`` from end to end, for contigs that no link extends.
+def inflated(contigs: DataFrame, needed: DataFrame, words: DataFrame, km: int = KM) -> DataFrame:
+    """``seg, seq, missing`` of ``extended`` contigs with their ``asked`` k-mers, from end to end.
 
-    Central sequences one after another (of a k-mer in ``fulls``, the one that
-    goes with its full sequence), then the full sequences of the first and the
-    last k-mer, joined by their overlaps. Contigs under ``km`` are 20 N a base.
+    Central sequences one after another; on an open side the full sequence of the outermost k-mer is joined by its
+    overlap, on the right of an extended side the last k-mer's central one. Contigs under ``km`` are 20 N a base.
     """
-    wanted = words.select("kmer", "central").join(fulls.select("kmer"), "kmer", "left_anti").unionByName(fulls.select("kmer", "central"))
-    ends = ends_needed(contigs, km)
-    for side in ("first", "last"):
-        full = F.when(F.col(f"{side}_turned"), S.reverse_complement(F.col("full"))).otherwise(F.col("full"))
-        ends = ends.join(fulls.select(F.col("kmer").alias(side), "full"), side, "left").withColumn(f"{side}_full", full).drop("full", side, f"{side}_turned")
-    both = expanded(contigs, wanted, km).join(ends, "seg")
-    gone = F.col("first_full").isNull().cast("long") + F.col("last_full").isNull().cast("long")
+    known = words.select("kmer", "central", F.col("full").alias("long"))
+    rows = needed.join(known, "kmer", "left")
+    best = F.when(F.col("full"), F.col("long")).otherwise(F.col("central"))
+    text = F.when(F.col("turned"), S.reverse_complement(best)).otherwise(best)
+    rows = rows.select("seg", "role", "at", text.alias("text"))
+    order = Window.partitionBy("seg").orderBy("at")
+    before = F.coalesce(F.last(F.length("text"), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1))
+    part = F.when(F.col("text").isNull(), F.repeat(F.lit("N"), before)).when((F.col("at") == 0) | (F.length("text") == 0), F.col("text")).otherwise(F.substr("text", F.lit(2)))
+    inner = rows.where("role = 0").select("seg", "at", part.alias("part"), F.col("text").isNull().alias("gone"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])
+    middle = inner.groupBy("seg").agg(F.array_join(ordered, "").alias("seq"), F.count_if("gone").alias("missing"))
+    outer = rows.where("role > 0").groupBy("seg").agg(*(F.max(F.when(F.col("role") == r, F.col("text"))).alias(n) for r, n in ((1, "begin"), (2, "stop"))), F.count_if(F.col("text").isNull()).alias("gone"))
+    both = middle.join(outer, "seg")
     # only what an overlap can reach is compared
-    begun = both.select("seg", "last_full", (F.col("missing") + gone).alias("missing"), F.concat(reconciled_start(F.substring("seq", 1, SEED), F.col("first_full")), F.substr("seq", F.lit(SEED + 1))).alias("seq"))
-    reach = F.greatest(F.length("seq") - F.coalesce(F.length("last_full"), F.lit(0)), F.lit(0))
-    split = begun.select("seg", "last_full", "missing", F.substr("seq", F.lit(1), reach).alias("head"), F.substr("seq", reach + 1, F.length("seq")).alias("tail"))
-    whole = split.select("seg", F.concat("head", reconciled_end(F.col("tail"), F.col("last_full"))).alias("seq"), "missing")
+    begun = both.select("seg", "stop", (F.col("missing") + F.col("gone")).alias("missing"), F.concat(reconciled_start(F.substring("seq", 1, SEED), F.col("begin")), F.substr("seq", F.lit(SEED + 1))).alias("seq"))
+    reach = F.greatest(F.length("seq") - F.coalesce(F.length("stop"), F.lit(0)), F.lit(0))
+    split = begun.select("seg", "stop", "missing", F.substr("seq", F.lit(1), reach).alias("head"), F.substr("seq", reach + 1, F.length("seq")).alias("tail"))
+    whole = split.select("seg", F.concat("head", reconciled_end(F.col("tail"), F.col("stop"))).alias("seq"), "missing")
     short = contigs.where(F.length("seq") < km).select("seg", F.repeat(F.lit("N"), F.length("seq") * 20).alias("seq"), F.lit(0).cast("long").alias("missing"))
     return whole.unionByName(short)
 
 
+def read_back(reads: DataFrame, contigs: DataFrame, edges: DataFrame | None, order: int, compression: int, km: int = KM, hpc: bool = True) -> DataFrame:
+    """``seg, seq, missing``: contigs of shrunken symbols in full sequence, by a second pass over the reads."""
+    long = written(extended(contigs, edges), "extended")
+    needed = written(asked(long, km), "asked")
+    words = written(voted(second_pass(reads, written(word_list(needed), "word-list"), order, compression, km, hpc)), "words")
+    return inflated(long, needed, words, km)
+
+
 def reconciled_start(seq: Column, full: Column) -> Column:
     """``full`` before ``seq``, joined by the longest overlap whose first (up to 30) bases agree."""
     n = F.length(full)
@@ -172,16 +226,17 @@ def reconciled_end(seq: Column, full: Column) -> Column:
     return F.when(full.isNull() | (most == 0), seq).otherwise(F.concat(seq, F.substr(full, best + 1, F.length(full))))
 
 
-def _outward(seq: Column, end: Column) -> Column:
-    """A segment as it is read when it is left by ``end``."""
-    return F.when(end == 1, seq).otherwise(S.reverse_complement(seq))
-
-
 def _inward(seq: Column, end: Column) -> Column:
     """A segment as it is read when it is entered by ``end``."""
     return F.when(end == 0, seq).otherwise(S.reverse_complement(seq))
 
 
+def inward_ends(sequences: DataFrame, most: int) -> DataFrame:
+    """``seg, end, text``: the first ``most`` bases that are read when a segment is entered by an end."""
+    sides = F.array(F.struct(F.lit(0).alias("end"), F.substring("seq", 1, most).alias("text")), F.struct(F.lit(1).alias("end"), S.reverse_complement(F.expr(f"right(seq, {most})")).alias("text")))
+    return sequences.select("seg", F.explode(sides).alias("x")).select("seg", "x.end", "x.text")
+
+
 def with_sequences(links: DataFrame, sequences: DataFrame) -> DataFrame:
     """Links with both segments' sequences ``sa`` and ``sb``."""
     return links.join(sequences.select(F.col("seg").alias("a"), F.col("seq").alias("sa")), "a").join(sequences.select(F.col("seg").alias("b"), F.col("seq").alias("sb")), "b")
@@ -190,12 +245,13 @@ def with_sequences(links: DataFrame, sequences: DataFrame) -> DataFrame:
 def overlaps(links: DataFrame, sequences: DataFrame, most: int, default: int) -> DataFrame:
     """``a, ea, b, eb, overlap``: where the last 30 bases of a first occur in b; 0 for segments under 30 bases.
 
-    Not found, or further in than ``most``: ``default``.
+    Not found, or further in than ``most``: ``default``. Of a only those bases travel, of b its first ``most``.
     """
-    out, into = _outward(F.col("sa"), F.col("ea")), _inward(F.col("sb"), F.col("eb"))
-    found = F.expr("position(right(s1, 30), s2)")
-    pairs = with_sequences(links, sequences).select("a", "ea", "b", "eb", out.alias("s1"), into.alias("s2"))
-    size = F.when((F.length("s1") < SEED) | (F.length("s2") < SEED), 0).when((found == 0) | (found - 1 + SEED > most), default).otherwise(found - 1 + SEED)
+    last = inward_ends(sequences, SEED).select(F.col("seg").alias("a"), F.col("end").alias("ea"), S.reverse_complement(F.col("text")).alias("s1"))
+    first = inward_ends(sequences, most).select(F.col("seg").alias("b"), F.col("end").alias("eb"), F.col("text").alias("s2"))
+    pairs = links.select("a", "ea", "b", "eb").join(last, ["a", "ea"]).join(first, ["b", "eb"])
+    found = F.expr("position(s1, s2)")
+    size = F.when((F.length("s1") < SEED) | (F.length("s2") < SEED), 0).when(found == 0, default).otherwise(found - 1 + SEED)
     return pairs.select("a", "ea", "b", "eb", size.cast("int").alias("overlap"))
 
 

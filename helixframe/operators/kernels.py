@@ -26,7 +26,8 @@ def _rows(ids: list, parts: list[tuple[np.ndarray, ...]], names: list[str]) -> p
     return pa.RecordBatch.from_arrays([first, *(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64), pa.int64()) for c in columns)], names=names)
 
 
-def _each(reads: DataFrame, names: list[str], kernel: Callable[[bytes], tuple[np.ndarray, ...]]) -> DataFrame:
+def each(reads: DataFrame, names: list[str], kernel: Callable[[bytes], tuple[np.ndarray, ...]]) -> DataFrame:
+    """Rows of numbers that ``kernel`` finds in each sequence, with its id in front."""
     prepare(reads.sparkSession)
 
     def run(batches: Batches) -> Batches:
@@ -48,7 +49,7 @@ def rolling_hashes(reads: DataFrame, order: int, hpc: bool = True) -> DataFrame:
         f, r = S.rolling(S.compressed(seq, hpc)[0], order)
         return np.arange(len(f)) + order - 1, f, r
 
-    return _each(reads, ["read_id", "t", "forward", "reverse"], kernel)
+    return each(reads, ["read_id", "t", "forward", "reverse"], kernel)
 
 
 def samples(reads: DataFrame, order: int, compression: int, hpc: bool = True) -> DataFrame:
@@ -60,7 +61,7 @@ def samples(reads: DataFrame, order: int, compression: int, hpc: bool = True) ->
         where = S.middles(seq, at, code)[t - order // 2] if len(t) else t
         return t, where, h, base
 
-    out = _each(reads, ["read_id", "t", "pos", "hash", "digit"], kernel)
+    out = each(reads, ["read_id", "t", "pos", "hash", "digit"], kernel)
     return out.select("read_id", "t", "pos", "hash", F.substring(F.lit(S.BASES), (F.col("digit") + 1).cast("int"), F.lit(1)).alias("base"))
 
 
@@ -71,7 +72,7 @@ def run_middles(reads: DataFrame) -> DataFrame:
         code, at = S.compressed(seq)
         return np.arange(len(at)), S.middles(seq, at, code), code
 
-    return _each(reads, ["read_id", "run", "pos", "digit"], kernel)
+    return each(reads, ["read_id", "run", "pos", "digit"], kernel)
 
 
 def reduced(reads: DataFrame, order: int, compression: int, hpc: bool = True, ends: bool = True) -> DataFrame:
@@ -137,7 +138,7 @@ def kmer_places(reads: DataFrame, k: int, stride: int = 1) -> DataFrame:
         f, r = S.keys(S.codes(seq), k)
         return np.arange(len(f))[::stride], f[::stride], r[::stride]
 
-    return _each(reads, ["read_id", "pos", "forward", "reverse"], kernel)
+    return each(reads, ["read_id", "pos", "forward", "reverse"], kernel)
 
 
 def probes(reads: DataFrame, k: int, wanted: Broadcast) -> DataFrame:
@@ -148,9 +149,9 @@ def probes(reads: DataFrame, k: int, wanted: Broadcast) -> DataFrame:
         at = [np.flatnonzero(passes(wanted.value, x)) for x in both]
         return np.concatenate(at), np.concatenate([x[p] for x, p in zip(both, at, strict=True)]), np.repeat((1, 0), [len(p) for p in at])
 
-    return _each(reads, ["read_id", "pos", "kmer", "fwd"], kernel)
+    return each(reads, ["read_id", "pos", "kmer", "fwd"], kernel)
 
 
 def whole_hashes(reads: DataFrame) -> DataFrame:
     """``read_id, hash``: the forward hash of each sequence as one k-mer."""
-    return _each(reads, ["read_id", "hash"], lambda seq: (S.rolling(S.codes(seq), len(seq))[0][:1],) if seq else (np.zeros(0, np.uint64),))
+    return each(reads, ["read_id", "hash"], lambda seq: (S.rolling(S.codes(seq), len(seq))[0][:1],) if seq else (np.zeros(0, np.uint64),))

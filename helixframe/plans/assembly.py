@@ -126,12 +126,7 @@ def shrunk_assembly(reads: DataFrame, p: Parameters) -> Graph:
 def assembly(reads: DataFrame, p: Parameters) -> Graph:
     """Reads shrunk, assembled, and inflated again: ``seg, seq, length, coverage`` and links with their overlaps in full sequence."""
     segments, edges = shrunk_assembly(reads, p)
-    contigs = segments.select("seg", "seq")
-    words = written(inflate.dictionary(inflate.sightings(reads, p.order, p.compression, p.km, p.hpc)), "dictionary")
-    ends = inflate.ends_needed(contigs, p.km)
-    needed = ends.select(F.col("first").alias("kmer")).union(ends.select("last"))
-    fulls = written(inflate.full_dictionary(inflate.full_sightings(reads, needed, p.order, p.compression, p.km, p.hpc)), "fulls")
-    long = written(inflate.inflated(contigs, words, fulls, p.km).select("seg", "seq"), "inflated")
+    long = written(inflate.read_back(reads, segments.select("seg", "seq"), edges, p.order, p.compression, p.km, p.hpc).select("seg", "seq"), "inflated")
     found = inflate.overlaps(graph.links_once(edges), long, 150 * p.compression, 70 * p.compression)
     both = found.union(found.select("b", "eb", "a", "ea", "overlap")).distinct()
     return long.join(segments.select("seg", "coverage"), "seg").select("seg", "seq", F.length("seq").alias("length"), "coverage"), both

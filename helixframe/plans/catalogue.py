@@ -509,14 +509,18 @@ def inflate_central(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inflate.expanded(contigs, words, P.km)
 
 
-@query()
+@query(O.inflate_linked(P.order, P.compression, P.km, None))
 def inflate_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = R.reads(spark, sf_dir)
-    words = inflate.dictionary(inflate.sightings(reads, P.order, P.compression, P.km))
     contigs = kernels.reduced(reads, P.order, P.compression).withColumnRenamed("read_id", "seg")
-    ends = inflate.ends_needed(contigs, P.km)
-    needed = ends.select(F.col("first").alias("kmer")).union(ends.select("last"))
-    return inflate.inflated(contigs, words, inflate.full_dictionary(inflate.full_sightings(reads, needed, P.order, P.compression, P.km)), P.km)
+    return inflate.read_back(reads, contigs, None, P.order, P.compression, P.km)
+
+
+@query(O.inflate_linked(P.order, P.compression, P.km, (60, 20)))
+def inflate_linked_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = R.reads(spark, sf_dir)
+    contigs, edges = R.cut_reads(kernels.reduced(reads, P.order, P.compression), 60, 20)
+    return inflate.read_back(reads, written(contigs, "contigs"), written(edges, "edges"), P.order, P.compression, P.km)
 
 
 @query(O.extension(20, 10))

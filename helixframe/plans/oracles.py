@@ -195,6 +195,39 @@ sized AS (SELECT *, coalesce(last_value(length(z) IGNORE NULLS) OVER (PARTITION
 SELECT seg, string_agg(CASE WHEN z IS NULL THEN repeat('N', before) WHEN place = 0 OR length(z) = 0 THEN z ELSE substr(z, 2) END, '' ORDER BY place) AS seq, count(*) FILTER (WHERE z IS NULL) AS missing FROM sized GROUP BY seg"""
 
 
+def inflate_linked(order: int, c: int, km: int, cut: tuple[int, int] | None) -> str:
+    size, lap = cut or (1 << 30, 0)
+    step = size - lap
+    rc = sql_rc
+    overlapping = lambda n, same: f"coalesce(list_filter(range({n}, 0, -1), lambda o: {same})[1], 0)"
+    return f"""WITH {_samples(order, c)},
+short AS (SELECT read_id, string_agg(base, '' ORDER BY t) AS s, list(pos ORDER BY t) AS places FROM samples GROUP BY read_id),
+cuts AS (SELECT read_id * 100000 + j AS seg, substr(s, {step} * j + 1, {size}) AS seq FROM (SELECT read_id, s, unnest(range(0, greatest(1, (length(s) - {lap} + {step} - 1) // {step}))) AS j FROM short)),
+contigs AS (SELECT {'seg' if cut else 'seg // 100000 AS seg'}, seq FROM cuts),
+longer AS (SELECT x.seg, x.seq, CASE WHEN length(y.seq) > {lap + 10} THEN substr(y.seq, length(y.seq) - {lap + 9}, 10) END AS l, CASE WHEN length(z.seq) > {lap + 10} THEN substr(z.seq, {lap + 1}, 10) END AS r
+  FROM contigs x LEFT JOIN contigs y ON {'y.seg = x.seg - 1' if cut else 'false'} LEFT JOIN contigs z ON {'z.seg = x.seg + 1' if cut else 'false'}),
+extended AS (SELECT seg, coalesce(l, '') || seq || coalesce(r, '') AS seq, l IS NULL AS open_left, r IS NULL AS open_right FROM longer),
+able AS (SELECT * FROM extended WHERE length(seq) >= {km}),
+at_all AS (SELECT seg, 0 AS role, spot, substr(seq, spot + 1, {km}) AS k, false AS is_full FROM (SELECT seg, seq, unnest(range(0, length(seq) - {km} + 1, {km - 21})) AS spot FROM able)
+  UNION ALL SELECT seg, 1, 0, substr(seq, 1, {km}), true FROM able WHERE open_left UNION ALL SELECT seg, 2, length(seq) - {km}, substr(seq, length(seq) - {km - 1}, {km}), open_right FROM able),
+asked AS (SELECT *, least(k, {rc('k')}) AS kmer, {rc('k')} < k AS turned FROM at_all),
+needed AS (SELECT kmer, bool_or(is_full) AS is_full FROM asked GROUP BY kmer),
+windows AS (SELECT s.read_id, i - 1 AS i, substr(s.s, i - {km} + 1, {km}) AS k, substr(r.seq, places[i - {km} + 11] + 1, places[i - 10] - places[i - {km} + 11] + 1) AS z,
+    substr(r.seq, greatest(0, places[i - {km} + 1] - {order}) + 1, places[i] + {order} + 1 - greatest(0, places[i - {km} + 1] - {order})) AS y
+  FROM (SELECT read_id, s, places, unnest(range({km}, length(s) + 1)) AS i FROM short) s JOIN reads r USING (read_id)),
+seen AS (SELECT read_id, i, kmer, CASE WHEN k = kmer THEN z ELSE {rc('z')} END AS central, CASE WHEN is_full THEN CASE WHEN k = kmer THEN y ELSE {rc('y')} END END AS whole FROM windows JOIN needed ON kmer = least(k, {rc('k')})),
+nth AS (SELECT *, row_number() OVER (PARTITION BY kmer, whole, central ORDER BY read_id, i) AS n FROM seen),
+each AS (SELECT kmer, whole, central, min((read_id, i)) AS first, min((read_id, i)) FILTER (WHERE n = 4) AS fourth FROM nth GROUP BY kmer, whole, central),
+words AS (SELECT kmer, central, whole FROM (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY fourth IS NULL, coalesce(fourth, first)) AS n FROM each) WHERE n = 1),
+texts AS (SELECT seg, role, spot, CASE WHEN turned THEN {rc('t')} ELSE t END AS t FROM (SELECT a.*, CASE WHEN a.is_full THEN whole ELSE central END AS t FROM asked a LEFT JOIN words w USING (kmer))),
+sized AS (SELECT *, coalesce(last_value(length(t) IGNORE NULLS) OVER (PARTITION BY seg ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM texts WHERE role = 0),
+middle AS (SELECT seg, string_agg(CASE WHEN t IS NULL THEN repeat('N', before) WHEN spot = 0 OR length(t) = 0 THEN t ELSE substr(t, 2) END, '' ORDER BY spot) AS seq, count(*) FILTER (WHERE t IS NULL) AS missing FROM sized GROUP BY seg),
+sides AS (SELECT seg, max(t) FILTER (WHERE role = 1) AS h, max(t) FILTER (WHERE role = 2) AS e, count(*) FILTER (WHERE t IS NULL) AS gone FROM texts WHERE role > 0 GROUP BY seg),
+begun AS (SELECT seg, e, missing + gone AS missing, CASE WHEN h IS NULL OR length(h) = 0 THEN seq ELSE substr(h, 1, length(h) - {overlapping('length(h)', "substr(h, CAST(length(h) - o + 1 AS BIGINT), least(o, 30, length(seq))) = substr(seq, 1, least(o, 30, length(seq)))")}) || seq END AS seq FROM middle JOIN sides USING (seg)),
+ended AS (SELECT seg, missing, CASE WHEN e IS NULL OR least(length(e), length(seq)) = 0 THEN seq ELSE seq || substr(e, {overlapping('least(length(e), length(seq))', "substr(e, CAST(o - least(o, 30) + 1 AS BIGINT), least(o, 30)) = substr(seq, length(seq) - least(o, 30) + 1, least(o, 30))")} + 1) END AS seq FROM begun)
+SELECT seg, seq, missing FROM ended UNION ALL SELECT seg, repeat('N', length(seq) * 20), 0 FROM extended WHERE length(seq) < {km}"""
+
+
 def next_k(k: int, copies: int) -> str:
     return f"WITH {_CONTIGS} SELECT seg || '_' || i AS name, seq FROM (SELECT seg, seq, unnest(range(0, {copies})) AS i FROM contigs WHERE length(seq) >= {k})"
 

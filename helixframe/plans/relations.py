@@ -107,6 +107,17 @@ def chunk_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return named.select("seg", F.col("t").alias("seq")), mirrored(line.select(F.col("seg").alias("a"), F.lit(1).alias("ea"), "b", F.lit(0).alias("eb"))).withColumn("overlap", F.lit(30))
 
 
+def cut_reads(whole: DataFrame, size: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """``seg, seq`` pieces of each read, ``size`` bases with ``overlap`` in common, and the links between neighbours."""
+    step = size - overlap
+    n = F.greatest(F.floor((F.length("seq") - overlap + step - 1) / step), F.lit(1))
+    cut = whole.where(F.length("seq") > 0).select("read_id", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
+    seg = F.col("read_id") * 100_000 + F.col("j")
+    pieces = cut.select(seg.alias("seg"), F.substr("seq", (F.col("j") * step + 1).cast("int"), F.lit(size)).alias("seq"))
+    line = cut.where("j > 0").select((seg - 1).alias("a"), F.lit(1).alias("ea"), seg.alias("b"), F.lit(0).alias("eb"))
+    return pieces, mirrored(line).withColumn("overlap", F.lit(overlap))
+
+
 def expanded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seg, seq`` of every segment that a walk visits: its part's."""
     visited = walk_steps(spark, sf_dir).select("seg").distinct().withColumn("part", F.floor(F.col("seg") / CLASSES))

@@ -135,17 +135,42 @@ def test_inflation_from_end_to_end(spark):
     contigs = kernels.reduced(df, 21, 5).withColumnRenamed("read_id", "seg")
     contigs = contigs.unionByName(contigs.where("seg = 0").select(F.lit(2).cast("long").alias("seg"), S.reverse_complement(F.col("seq")).alias("seq")))
     contigs = contigs.unionByName(spark.createDataFrame([(3, "ACGTA"), (4, "AC" * 20)], "seg long, seq string"))
-    words = inflate.dictionary(inflate.sightings(df, 21, 5))
-    ends = inflate.ends_needed(contigs)
-    needed = ends.select(F.col("first").alias("kmer")).union(ends.select("last"))
-    fulls = inflate.full_dictionary(inflate.full_sightings(df, needed, 21, 5))
-    out = {r["seg"]: (r["seq"], r["missing"]) for r in inflate.inflated(contigs, words, fulls).collect()}
+    out = {r["seg"]: (r["seq"], r["missing"]) for r in inflate.read_back(df, contigs, None, 21, 5).collect()}
     at = {r["read_id"]: (r["lo"], r["hi"]) for r in kernels.samples(df, 21, 5).groupBy("read_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).collect()}
     whole = {i: seqs[i][max(0, lo - 21) : hi + 22] for i, (lo, hi) in at.items()}
     assert out[0] == (whole[0], 0) and out[1] == (whole[1], 0) and out[2] == (rc(whole[0]), 0)
     assert out[3] == ("N" * 100, 0) and out[4] == ("N", 3)
 
 
+def test_linked_contigs_are_read_back_to_overlap(spark):
+    from helixframe.plans import relations
+
+    rng = random.Random(14)
+    seq = "".join(rng.choice("ACGT") for _ in range(8000))
+    other = "".join(rng.choice("ACGT") for _ in range(5000))
+    df = spark.createDataFrame([(0, seq), (1, rc(seq)), (2, other)], "read_id long, seq string")
+    contigs, edges = relations.cut_reads(kernels.reduced(df.where("read_id = 0"), 21, 5), 100, 40)
+    # every second contig the other way round
+    odd = F.col("seg") % 2 == 1
+    contigs = contigs.withColumn("seq", F.when(odd, S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+    edges = edges.select("a", ((F.col("ea") + F.col("a") % 2) % 2).cast("int").alias("ea"), "b", ((F.col("eb") + F.col("b") % 2) % 2).cast("int").alias("eb"), "overlap")
+    long = inflate.read_back(df, contigs, edges, 21, 5).cache()
+    got = {r["seg"]: rc(r["seq"]) if r["seg"] % 2 else r["seq"] for r in long.collect()}
+    laps = {(r["a"], r["b"]): r["overlap"] for r in inflate.overlaps(edges, long.select("seg", "seq"), 1500, 700).collect()}
+    line = got[0]
+    for i in range(1, len(got)):
+        lap = laps[i - 1, i]
+        assert got[i] in seq and got[i - 1][-lap:] == got[i][:lap]
+        line += got[i][lap:]
+    at = kernels.samples(df.where("read_id = 0"), 21, 5).agg(F.min("pos"), F.max("pos")).first()
+    assert len(got) > 10 and line == seq[max(0, at[0] - 21) : at[1] + 22] and long.agg(F.sum("missing")).first()[0] == 0
+    # only needed windows leave the reads
+    needed = inflate.word_list(inflate.asked(inflate.extended(contigs, edges)))
+    seen = inflate.second_pass(df, needed, 21, 5)
+    assert seen.where("read_id < 2").count() == 2 * needed.count() and seen.where("read_id = 2").count() == 0
+    assert 0 < seen.where("full is not null").count() <= 4
+
+
 def test_reconciliation(spark):
     rng = random.Random(4)
     seq = "".join(rng.choice("ACGT") for _ in range(300))
