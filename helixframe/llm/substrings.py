@@ -29,7 +29,8 @@ anchor depends: they stand in each of its windows, and a short symbol alone
 would bring together windows that share two common words.
 
 Each step is a grouped count with partial aggregation or an equi-join, so one
-passage in a third of all documents costs its rows but is never gathered.
+passage in a third of all documents costs its rows but is never gathered. Of
+rows equal in id and text one has its spans gathered, for all of them.
 Texts are joined twice, by document, each time once through a shuffle.
 
 Long runs (over ``RUN`` words) stay as single words. Symbols beside one depend on
@@ -277,7 +278,8 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     differ = known.where("differ")
     kinds = differ.groupBy("key", "around").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "last")).alias("e"))
     asked = kinds.select(F.col("e.row").alias("row"), F.struct("key", "around", F.col("e.first").alias("first"), F.col("e.last").alias("last"), "copies").alias("x")).groupBy("row").agg(F.collect_list("x").alias("asked"))
-    where = found.select("row", F.col("doc").alias("__doc"), F.col("hash").alias("__hash"))
+    # equal rows (id and text) have equal entries: the first stands for all, also where an entry's first row is asked
+    where = materialize(found.groupBy(F.col("doc").alias("__doc"), F.col("hash").alias("__hash")).agg(F.min("row").alias("row")), "rows")
     asked = asked.join(where, "row").drop("row")
     texts = keyed.join(asked, (keyed["doc"] == asked["__doc"]) & (keyed["hash"] == asked["__hash"])).select("text", "asked")
     contents = materialize(texts.mapInArrow(_window_hashes(window), "key long, around long, copies long, off long, content long"), "windows")
@@ -291,7 +293,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = known.where("not differ").select("row", "first", "last")
     spans = whole.unionByName(by_window).join(where, "row").groupBy(F.col("__doc").alias("doc"), F.col("__hash").alias("hash")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     out = materialize(spans, "spans")
-    discard(found, names, known, contents, offsets)
+    discard(found, names, known, contents, offsets, where)
     release(spark)
     return out
 

@@ -148,3 +148,18 @@ def test_posteriors_equal_a_plain_hierarchy(spark, docs, rows, labels):
     for r in quality.quality(docs, labels).collect():
         got[r["doc_id"]].add(round(r["score"], 6))
     assert got == want
+
+
+def test_spans_of_many_equal_rows_are_gathered_once(spark):
+    rng = random.Random(33)
+    text = prose(rng, 160)
+    sizes = {}
+    for copies in (2, 2000):
+        df = spark.createDataFrame([(None, text)] * copies + [(1, prose(rng, 50))], "doc_id long, text string").repartition(3)
+        keyed = df.select("doc_id", "text", F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64("text").alias("hash"))
+        found = substrings.repeated(keyed).collect()
+        assert len(found) == 1
+        sizes[copies] = len(found[0]["spans"])
+        got = Counter((r["n_removed"], r["n_words"]) for r in substrings.substring_dedup(df).collect())
+        assert got == {(160, 160): copies, (0, 50): 1}
+    assert sizes[2000] == sizes[2] < 60
