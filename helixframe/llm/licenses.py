@@ -3,28 +3,31 @@
 Every template is a word sequence with a mandatory key phrase: whole licence texts
 and notices, and the names that licences go by. Document frequencies of all
 template words are counted over the whole corpus, so what is rare in this corpus
-leads the search. The index maps each word of a key phrase to its postings
-(template, offset), rarest first. In a file, the templates whose rarest key word
-occurs are looked up; the places of that word, minus its offset, are possible
-starts, and the places of the phrase's other words, minus theirs, are intersected
-with them one word after another. What is left is verified word by word, and the
-places of all the template's words, intersected by relative position, give how
-much of it stands there.
-
-The base phrases are templates of nothing but their key phrase, so every place of
-them is found. An alignment's score is its coverage (matching words of the
-template's) times m / (m + 1) for m matching words, so that a name counts less than
-a whole text.
+leads the search.
+
+*Texts.* The index holds, for each template, the places of its ``POSTED`` rarest words, wherever in the
+template they stand. In a file, each place of such a word minus its offset is a vote for where the template
+starts. Votes of a third of the posted words within a band (a quarter of the template's
+length, so that inserted, missing and changed words are followed) make a candidate. It is verified by
+aligning the template freely with that stretch of the file (longest common subsequence of words): at least ``COVERAGE`` of its
+words have to stand there in order, and of the key phrase all words but one (all of a phrase under five).
+
+*Names and base phrases* are templates of nothing but their key phrase: the places of its words, rarest first, minus
+their offsets are intersected one word after another, so every place is found.
+
+An alignment's score is its coverage (matching words of the template's) times m / (m + 1) for m
+matching words, so that a name counts less than a whole text.
 
 Defined results: a null or empty text has no words, no labels (empty strings),
 null places and score 0; overlapping places all count; a text's score is the
 largest among its verified alignments. Repeated rows get equal results; null ids
 stay null; other columns are ignored. Of a very long text a task holds its words
-and the places of the few that are in templates.
+and the places of the few that are in the index.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -167,59 +170,135 @@ NAMES = (
 )
 
 
+POSTED = 12
+COVERAGE = 0.7
+#: Words of the three-clause text that the two-clause one doesn't have, first and last.
+CLAUSE = (b"3 neither the name of the copyright holder", b"specific prior written permission")
+
+
 @dataclass(frozen=True)
 class Template:
     label: str
     words: tuple[bytes, ...]
     key: tuple[bytes, ...]
-    offset: int  # of the key phrase
     base: bool = False
 
+    @property
+    def whole(self) -> bool:
+        """Whether there is more than the key phrase."""
+        return len(self.words) > len(self.key)
+
 
 def templates() -> list[Template]:
-    out = [Template(label, tuple(alnum_words(x.encode())), tuple(alnum_words(x.encode())), 0, base) for base, names in ((True, BASE), (False, NAMES)) for label, x in names]
+    out = [Template(label, tuple(alnum_words(x.encode())), tuple(alnum_words(x.encode())), base) for base, names in ((True, BASE), (False, NAMES)) for label, x in names]
     for label, phrase, text in TEXTS:
-        words, key = tuple(alnum_words(text.encode())), tuple(alnum_words(phrase.encode()))
-        out.append(Template(label, words, key, next(i for i in range(len(words)) if words[i : i + len(key)] == key)))
+        words, key = alnum_words(text.encode()), tuple(alnum_words(phrase.encode()))
+        out.append(Template(label, tuple(words), key))
+        first, last = (x.split() for x in CLAUSE)
+        for i in range(len(words)):
+            if words[i : i + len(first)] == first:
+                stop = next(j for j in range(i, len(words)) if words[j : j + len(last)] == last) + len(last)
+                out.append(Template(label, tuple(words[:i] + words[stop:]), key))
     return out
 
 
+class Order:
+    """Longest common subsequences with one word sequence, a bit a word."""
+
+    def __init__(self, words: tuple[bytes, ...]):
+        self.size = len(words)
+        self.bits: dict[bytes, int] = defaultdict(int)
+        for i, w in enumerate(words):
+            self.bits[w] |= 1 << i
+
+    def common(self, text: list[bytes]) -> int:
+        full = (1 << self.size) - 1
+        row = full
+        for w in text:
+            if hit := self.bits.get(w):
+                new = row & hit
+                row = ((row + new) | (row - new)) & full
+        return self.size - row.bit_count()
+
+
 class Index:
-    """Postings of key phrases: for each template (word, offset), rarest first; templates by their rarest word."""
+    """Places of words in templates: of names all words, rarest first; of texts the rarest ones that the corpus has."""
 
     def __init__(self, frequency: dict[bytes, int]):
         self.rarity = frequency
-        self.all = templates()
-        self.postings: list[list[tuple[bytes, int]]] = []
+        self.names = [t for t in templates() if not t.whole]
+        self.texts = [t for t in templates() if t.whole]
+        rare = lambda w: (frequency.get(w, 0), w)
+        self.postings = [sorted(((w, i) for i, w in enumerate(t.key)), key=lambda x: (*rare(x[0]), x[1])) for t in self.names]
         self.leads: dict[bytes, list[int]] = defaultdict(list)
-        for k, t in enumerate(self.all):
-            self.postings.append(sorted(((w, t.offset + i) for i, w in enumerate(t.key)), key=lambda x: (frequency.get(x[0], 0), x[0], x[1])))
-            self.leads[self.postings[k][0][0]].append(k)
-        self.known = {w for t in self.all for w in t.words}
+        for k, posting in enumerate(self.postings):
+            self.leads[posting[0][0]].append(k)
+        self.posted: list[dict[bytes, list[int]]] = []
+        for t in self.texts:
+            chosen = sorted((w for w in set(t.words) if frequency.get(w, 0)), key=rare)[:POSTED]
+            self.posted.append({w: [i for i, x in enumerate(t.words) if x == w] for w in chosen})
+        self.orders = [(Order(t.words), Order(t.key)) for t in self.texts]
+        self.known = {w for t in self.names for w in t.key} | {w for posted in self.posted for w in posted}
 
     def alignments(self, words: list[bytes]) -> Iterator[tuple[Template, int, float]]:
         """Verified alignments: template, start of its first word (below 0 where the text begins later), score."""
-        leads = sorted(self.leads.keys() & set(words), key=lambda w: (self.rarity.get(w, 0), w))
-        if not leads:
-            return
         places: dict[bytes, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             if w in self.known:
                 places[w].append(i)
-        for lead in leads:
+        if places:
+            yield from self._named(words, places)
+            yield from self._aligned(words, places)
+
+    def _named(self, words: list[bytes], places: dict[bytes, list[int]]) -> Iterator[tuple[Template, int, float]]:
+        for lead in sorted(self.leads.keys() & places.keys(), key=lambda w: (self.rarity.get(w, 0), w)):
             for k in self.leads[lead]:
-                t, starts = self.all[k], None
+                t, starts = self.names[k], None
                 for word, offset in self.postings[k]:
                     mine = {p - offset for p in places[word]} if word in places else set()
                     starts = mine if starts is None else starts & mine
                     if not starts:
                         break
                 for start in sorted(starts):
-                    at = start + t.offset
-                    if tuple(words[at : at + len(t.key)]) == t.key:
-                        # the other words' places by relative position
-                        same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words))
-                        yield t, start, same / len(t.words) * same / (same + 1)
+                    if tuple(words[start : start + len(t.key)]) == t.key:
+                        yield t, start, len(t.key) / (len(t.key) + 1)
+
+    def _aligned(self, words: list[bytes], places: dict[bytes, list[int]]) -> Iterator[tuple[Template, int, float]]:
+        for t, posted, (order, key) in zip(self.texts, self.posted, self.orders, strict=True):
+            need = max(2, -(-len(posted) // 3))
+            if sum(w in places for w in posted) < need:
+                continue
+            votes = sorted((p - i, w) for w, offsets in posted.items() for p in places.get(w, ()) for i in offsets)
+            band, size = max(10, len(t.words) // 4), len(t.words)
+            for first, last in _bands(votes, band, need):
+                stretch = words[max(0, first - band) : max(0, last + size + band)]
+                same = order.common(stretch)
+                if same >= COVERAGE * size and key.common(stretch) >= len(t.key) - (len(t.key) >= 5):
+                    yield t, first, same / size * same / (same + 1)
+
+
+def _bands(votes: list[tuple[int, bytes]], band: int, need: int) -> Iterator[tuple[int, int]]:
+    """Stretches of sorted votes, each of no more than ``band``, with ``need`` different words; the fullest first where they overlap."""
+    held: Counter[bytes] = Counter()
+    found, at = [], 0
+    for k, (vote, word) in enumerate(votes):
+        held[word] += 1
+        while votes[at][0] < vote - band:
+            held[votes[at][1]] -= 1
+            if not held[votes[at][1]]:
+                del held[votes[at][1]]
+            at += 1
+        if len(held) >= need:
+            found.append((-len(held), votes[at][0], votes[k][0]))
+    taken: list[tuple[int, int]] = []
+    starts: list[int] = []
+    for _, first, last in sorted(found):
+        # bands that are taken don't overlap, so their order by start is their order by end
+        k = bisect_left(starts, first)
+        if (k == 0 or taken[k - 1][1] < first) and (k == len(taken) or last < taken[k][0]):
+            taken.insert(k, (first, last))
+            starts.insert(k, first)
+    yield from taken
 
 
 def frequencies(docs: DataFrame) -> dict[bytes, int]:
