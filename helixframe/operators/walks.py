@@ -7,10 +7,11 @@ before a sign are exactly path prefixes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,58 +66,107 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each step of a walk and each way out of it, the names of all path prefixes: a chain of hashes over the steps passed."""
-    for batch in batches:
-        rows: list[tuple[int, int, int, int, np.ndarray]] = []
-        for read, segs, fwds in zip(batch["read_id"].to_pylist(), batch["segs"].to_pylist(), batch["fwds"].to_pylist(), strict=True):
-            n = len(segs)
-            if n < 2:
-                continue
-            seg, fwd = np.array(segs, np.int64), np.array(fwds, bool)
-            for ahead in (True, False):
-                step = _mixed(_mixed(seg.view(np.uint64)) + ((fwd if ahead else ~fwd).astype(np.uint64) << np.uint64(1)))
-                line = step if ahead else step[::-1]
-                name, chains = np.zeros(n, np.uint64), []
-                for depth in range(1, n):  # all starts at once
-                    name = _mixed(name[: n - depth] * _TOKEN_MIX + line[depth:])
-                    chains.append(name)
-                for i in range(n - 1):
-                    at = i if ahead else n - 1 - i
-                    rows.append((segs[at], int(fwds[at] == ahead), read, at, np.array([c[i] for c in chains[: n - 1 - i]]).view(np.int64)))
-        seg, side, read, at, nodes = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-        sizes = np.cumsum([0, *map(len, nodes)])
-        flat = np.concatenate(nodes) if rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int64()), pa.array(side, pa.int32()), pa.array(read, pa.int64()), pa.array(at, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], names=["seg", "side", "read_id", "at", "nodes"])
+def _named(low: int, high: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The names of path prefixes of ``low`` to ``high`` steps out of each step of a walk, both ways (or the ``open`` ones): a chain of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            segs, fwds = batch["segs"], batch["fwds"]
+            seg, fwd = segs.flatten().to_numpy(), fwds.flatten().to_numpy(zero_copy_only=False)
+            size = pa.compute.list_value_length(segs).to_numpy(zero_copy_only=False).astype(np.int64)
+            start = np.cumsum(size) - size
+            if low:
+                own = batch["open"].flatten()
+                walk = np.repeat(np.arange(len(size)), pa.compute.list_value_length(batch["open"]).to_numpy(zero_copy_only=False))
+                at, ahead, name = (own.field(c).to_numpy(zero_copy_only=False) for c in ("at", "ahead", "node"))
+                at, name = at.astype(np.int64), name.astype(np.int64).view(np.uint64).copy()
+            else:
+                walk = np.tile(np.repeat(np.arange(len(size)), size), 2)
+                at = np.arange(len(walk)) - np.repeat([0, len(seg)], len(seg)) - start[walk]
+                ahead, name = np.repeat([True, False], len(seg)), np.zeros(len(walk), np.uint64)
+            left = np.where(ahead, size[walk] - 1 - at, at)
+            some = np.flatnonzero(left > low)
+            walk, at, ahead, name, left = (x[some] for x in (walk, at, ahead, name, left))
+            place, way = start[walk] + at, np.where(ahead, 1, -1)
+            step = _mixed(seg.view(np.uint64))
+            tokens = _mixed(step + (fwd.astype(np.uint64) << np.uint64(1))), _mixed(step + ((~fwd).astype(np.uint64) << np.uint64(1)))
+            many = np.minimum(left, high) - low
+            nodes = np.zeros((len(place), many.max(initial=0) + 1), np.uint64)
+            nodes[:, 0] = name
+            for d in range(low + 1, low + nodes.shape[1]):
+                on = np.flatnonzero(left >= d)
+                to = place[on] + way[on] * d
+                name[on] = _mixed(name[on] * _TOKEN_MIX + np.where(ahead[on], tokens[0][to], tokens[1][to]))
+                nodes[on, d - low] = name[on]
+            flat = nodes[np.arange(nodes.shape[1]) <= many[:, None]].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many + 1))), pa.int32()), pa.array(flat))
+            columns = [pa.array(seg[place]), pa.array((fwd[place] == ahead).astype(np.int32)), batch["read_id"].take(pa.array(walk)), pa.array(at.astype(np.int32)), pa.array(ahead), pa.array(left.astype(np.int32)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["seg", "side", "read_id", "at", "ahead", "n", "nodes"])
+
+    return run
+
+
+#: Steps that the first level of a trie of walks takes; each later one takes four times as many.
+DEPTH = 8
 
 
 class Beyond:
-    """What walks hold beyond each side of each segment, outwards: distinct paths, and all their prefixes by name.
+    """What walks hold beyond each side of each segment, outwards: a trie of paths, walked level by level.
 
     A prefix is named by a chain of hashes over its steps, so names take eight
-    bytes whatever the depth; of a path that many walks share one witness, a
-    place in a walk, goes on with their number. Strings are spelled from
-    witnesses, and only for what is returned.
+    bytes whatever the depth; one witness, a place in a walk, stands for all that share it. A level names some
+    more steps of the paths that are still shared. Once a path is on its own, all its further steps have support 1 and
+    nothing against them, and it isn't followed: the work is a walk's length times the depth to which it is shared.
+    Strings are spelled from witnesses, and only for what is returned.
     """
 
     def __init__(self, steps: DataFrame):
         prepare(steps.sparkSession)
         spark_walk = F.array_sort(F.collect_list(F.struct("idx", "seg", "fwd")))
         self.walks = written(steps.groupBy("read_id").agg(spark_walk.alias("w")).select("read_id", F.transform("w", lambda x: x["seg"]).alias("segs"), F.transform("w", lambda x: x["fwd"]).alias("fwds")), "walks")
-        named = self.walks.mapInArrow(_named, "seg long, side int, read_id long, at int, nodes array<long>")
-        named = named.withColumn("n", F.size("nodes"))
-        last = F.element_at("nodes", -1)
-        # one row a distinct path: equal names, equal prefixes
-        self.paths = written(named.groupBy("seg", "side", "n", last.alias("node")).agg(F.count("*").alias("w"), F.min(F.struct("read_id", "at", "nodes")).alias("x")).select("seg", "side", "n", "node", "w", "x.*"), "paths")
-        parents = F.concat(F.array(F.lit(0).cast("long")), F.slice("nodes", F.lit(1), F.size("nodes") - 1))
-        zipped = F.arrays_zip(F.col("nodes").alias("node"), parents.alias("parent"))
-        each = self.paths.select("seg", "side", "w", "read_id", "at", F.col("node").alias("path"), "n", F.posexplode(zipped).alias("d", "x"))
-        each = each.select("seg", "side", "w", "read_id", "at", "path", "n", (F.col("d") + 1).alias("depth"), "x.node", "x.parent")
-        self.each = each
-        counted = each.groupBy("seg", "side", "depth", "node", "parent").agg(F.sum("w").alias("support"), F.min(F.struct("read_id", "at")).alias("witness"))
-        total = F.sum("support").over(Window.partitionBy("seg", "side", "depth", "parent"))
-        #: ``seg, side, depth, node, parent, support, witness, against``
-        self.known = written(counted.withColumn("against", total - F.col("support")), "prefixes")
+        self.levels, low, high, source = [], 0, DEPTH, self.walks
+        while True:
+            named = source.mapInArrow(_named(low, high), "seg long, side int, read_id long, at int, ahead boolean, n int, nodes array<long>")
+            last = F.element_at("nodes", -1)
+            # of a path that many walks hold one row with their number
+            held = named.groupBy("seg", "side", "n", last.alias("node")).agg(F.count("*").alias("w"), F.min(F.struct("read_id", "at", "nodes")).alias("x"))
+            paths = written(held.select("seg", "side", "n", "node", "w", "x.*"), "paths")
+            each = self._each(paths, low)
+            counted = each.groupBy("seg", "side", "depth", "node", "parent").agg(F.sum("w").alias("support"), F.min(F.struct("read_id", "at")).alias("witness"))
+            total = F.sum("support").over(Window.partitionBy("seg", "side", "depth", "parent"))
+            known = written(counted.withColumn("against", total - F.col("support")), "prefixes")
+            self.levels.append((low, high, paths, known))
+            if paths.where(F.col("n") > high).isEmpty():
+                break
+            shared = known.where((F.col("depth") == high) & (F.col("support") > 1)).select("seg", "side", "node")
+            onward = named.where(F.col("n") > high).select("seg", "side", "read_id", "at", "ahead", last.alias("node")).join(shared, ["seg", "side", "node"], "left_semi")
+            onward = written(onward.groupBy("read_id").agg(F.collect_list(F.struct("at", "ahead", "node")).alias("open")), "open")
+            if onward.isEmpty():
+                break
+            source, low, high = self.walks.join(onward, "read_id"), high, 4 * high
+
+    @staticmethod
+    def _each(paths: DataFrame, low: int) -> DataFrame:
+        """Each prefix of each path of a level, with the one before it."""
+        pairs = F.arrays_zip(F.slice("nodes", F.lit(2), F.size("nodes") - 1).alias("node"), F.slice("nodes", F.lit(1), F.size("nodes") - 1).alias("parent"))
+        return paths.select("seg", "side", "w", "read_id", "at", F.col("node").alias("path"), "n", F.element_at("nodes", 1).alias("root"), F.posexplode(pairs).alias("d", "x")).select("seg", "side", "w", "read_id", "at", "path", "n", "root", (F.col("d") + low + 1).alias("depth"), "x.node", "x.parent")
+
+    def _leaves(self, level: int, rows: DataFrame) -> DataFrame:
+        """Rows (``seg, side, path, n``) of a level's paths that end there, or are on their own from its last step on."""
+        _, high, _, known = self.levels[level]
+        alone = known.where((F.col("depth") == high) & (F.col("support") == 1)).select("seg", "side", F.col("node").alias("path"))
+        return rows.where(F.col("n") <= high).unionByName(rows.where(F.col("n") > high).join(alone, ["seg", "side", "path"], "left_semi").select(*rows.columns))
+
+    def known(self) -> DataFrame:
+        """``seg, side, depth, witness, support, against`` of every prefix, also of those that one walk alone holds."""
+        columns = ["seg", "side", "depth", "witness", "support", "against"]
+        out = None
+        for k, (_, high, paths, known) in enumerate(self.levels):
+            rows = paths.select("seg", "side", F.col("node").alias("path"), "n", F.struct("read_id", "at").alias("witness"))
+            tails = self._leaves(k, rows).where(F.col("n") > high).select("seg", "side", F.explode(F.sequence(F.lit(high + 1), F.col("n"))).alias("depth"), "witness", F.lit(1).cast("long").alias("support"), F.lit(0).cast("long").alias("against"))
+            both = known.select(*columns).unionByName(tails.select(*columns))
+            out = both if out is None else out.unionByName(both)
+        return out
 
     def spelled(self, rows: DataFrame) -> DataFrame:
         """``rows (side, depth, witness)`` with ``path``, the first ``depth`` steps beyond the witness's place."""
@@ -129,18 +179,27 @@ class Beyond:
         back = F.transform(F.reverse(F.slice(pairs, at - depth + 1, depth)), lambda x: token(x["s"], ~x["f"]))
         return joined.withColumn("path", F.array_join(F.when(ahead, out).otherwise(back), "")).drop("__read", "segs", "fwds")
 
-    def judged(self, ok: Column) -> DataFrame:
-        """Each distinct path: ``good``, how many of its first steps are ok one after another, ``backed``, how many have support over 1."""
-        flags = self.known.select("seg", "side", "depth", "node", ok.alias("ok"), (F.col("support") > 1).alias("more"))
-        rows = self.each.join(flags, ["seg", "side", "depth", "node"])
-        found = rows.groupBy("seg", "side", "path", "n").agg(F.min(F.when(~F.col("ok"), F.col("depth"))).alias("bad"), F.coalesce(F.max(F.when(F.col("more"), F.col("depth"))), F.lit(0)).alias("backed"), F.min(F.struct("read_id", "at")).alias("witness"))
-        return found.withColumn("good", F.coalesce(F.col("bad") - 1, F.col("n"))).drop("bad")
-
-    def tops(self) -> DataFrame:
-        """``seg, side, path, n, witness``: distinct paths that aren't a prefix of a longer one."""
-        parents = self.known.where("depth > 1").select("seg", "side", (F.col("depth") - 1).alias("n"), F.col("parent").alias("node")).distinct()
-        ends = self.paths.join(parents, ["seg", "side", "n", "node"], "left_anti")
-        return ends.select("seg", "side", F.col("node").alias("path"), "n", F.struct("read_id", "at").alias("witness"))
+    def judged(self, ok: Callable[[Column, Column], Column]) -> DataFrame:
+        """Each distinct path: ``good``, how many of its first steps are ok one after another, ``backed``, how many have support over 1; ``top``, whether no other goes on from it."""
+        out = state = None
+        for k, (low, high, paths, known) in enumerate(self.levels):
+            flags = known.select("seg", "side", "depth", "node", ok(F.col("support"), F.col("against")).alias("ok"), (F.col("support") > 1).alias("more"))
+            rows = self._each(paths, low).join(flags, ["seg", "side", "depth", "node"])
+            found = rows.groupBy("seg", "side", "path", "n", "root").agg(F.min(F.when(~F.col("ok"), F.col("depth"))).alias("bad"), F.max(F.when(F.col("more"), F.col("depth"))).alias("backed"), F.min(F.struct("read_id", "at")).alias("witness"))
+            if state is not None:
+                found = found.join(state, ["seg", "side", "root"]).withColumn("bad", F.coalesce("bad_before", "bad")).withColumn("backed", F.coalesce("backed", "backed_before")).drop("bad_before", "backed_before")
+            found = written(found, "judged")
+            ended = self._leaves(k, found)
+            # what one walk alone holds has support 1 and nothing against it
+            tail = F.when((F.col("n") > high) & ~ok(F.lit(1), F.lit(0)), F.lit(high + 1))
+            parents = known.where("parent <> 0").select("seg", "side", (F.col("depth") - 1).alias("n"), F.col("parent").alias("path"))
+            if k + 1 < len(self.levels):
+                parents = parents.union(self.levels[k + 1][3].where(F.col("depth") == high + 1).select("seg", "side", F.lit(high).alias("n"), F.col("parent").alias("path")))
+            ended = ended.join(parents.distinct().withColumn("__on", F.lit(True)), ["seg", "side", "n", "path"], "left")
+            ended = ended.select("seg", "side", "path", "n", (F.coalesce("bad", tail, F.col("n") + 1) - 1).alias("good"), F.coalesce("backed", F.lit(0)).alias("backed"), "witness", F.col("__on").isNull().alias("top"))
+            out = ended if out is None else out.unionByName(ended)
+            state = found.where(F.col("n") > high).groupBy("seg", "side", F.col("path").alias("root")).agg(F.min("bad").alias("bad_before"), F.max("backed").alias("backed_before"))
+        return out
 
 
 def prefix_support(steps: DataFrame) -> DataFrame:
@@ -149,13 +208,14 @@ def prefix_support(steps: DataFrame) -> DataFrame:
     ``against`` counts walks that agree up to the step before and then go elsewhere.
     """
     beyond = Beyond(steps)
-    return beyond.spelled(beyond.known).select("seg", "side", F.col("path").alias("prefix"), "depth", "support", "against")
+    return beyond.spelled(beyond.known()).select("seg", "side", F.col("path").alias("prefix"), "depth", "support", "against")
 
 
 def maximal(steps: DataFrame) -> DataFrame:
     """``seg, side, path``: distinct paths beyond a side that aren't a prefix of a longer one."""
     beyond = Beyond(steps)
-    return beyond.spelled(beyond.tops().drop("path").withColumnRenamed("n", "depth")).select("seg", "side", "path")
+    tops = beyond.judged(lambda support, against: support > 0).where("top").select("seg", "side", F.col("n").alias("depth"), "witness")
+    return beyond.spelled(tops).select("seg", "side", "path")
 
 
 def strong(steps: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
@@ -164,8 +224,8 @@ def strong(steps: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:
     Ties go to the smaller path.
     """
     beyond = Beyond(steps)
-    good = (F.col("support") >= least) & ((F.col("against") == 0) | (F.col("support") > 4))
-    judged = beyond.judged(good).where("good > 0").select("seg", "side", F.col("good").alias("depth"), "witness")
+    judged = beyond.judged(lambda support, against: (support >= least) & ((against == 0) | (support > 4)))
+    judged = judged.where("good > 0").select("seg", "side", F.col("good").alias("depth"), "witness")
     longest = judged.withColumn("most", F.max("depth").over(Window.partitionBy("seg", "side"))).where("depth = most").drop("most")
     return beyond.spelled(longest).groupBy("seg", "side", "depth").agg(F.min("path").alias("path")).select("seg", "side", "path", "depth")
 
@@ -179,13 +239,12 @@ def consensus(steps: DataFrame, segments: DataFrame) -> DataFrame:
     empty. Haploid: both sides are.
     """
     beyond = Beyond(steps)
-    good = (0.2 * (F.col("support") - 1) > F.col("against") - 1) & (F.col("against") < 5)
-    judged = beyond.judged(good).where("good = n").join(beyond.tops().select("seg", "side", "path", "n"), ["seg", "side", "path", "n"], "left_semi")
+    judged = beyond.judged(lambda support, against: (0.2 * (support - 1) > against - 1) & (against < 5)).where("good = n and top")
     longest = judged.withColumn("most", F.max("n").over(Window.partitionBy("seg", "side"))).where("n = most").select("seg", "side", "backed", F.col("n").alias("depth"), "witness")
     winners = beyond.spelled(longest).groupBy("seg", "side").agg(F.min(F.struct("path", "backed")).alias("b"))
     tokens = F.slice(F.regexp_extract_all("b.path", F.lit("([<>][^<>]+)"), 1), F.lit(1), F.col("b.backed"))
     trimmed = winners.select("seg", "side", F.array_join(tokens, "").alias("kept"), F.lit(True).alias("consensual"))
-    walked = beyond.paths.select("seg", "side").distinct()
+    walked = beyond.levels[0][2].select("seg", "side").distinct()
     sides = walked.join(trimmed, ["seg", "side"], "left")
     wide = sides.groupBy("seg").agg(
         *(F.max(F.when(F.col("side") == s, F.coalesce("kept", F.lit("")))).alias(n) for s, n in ((0, "left_path"), (1, "right_path"))),

@@ -356,7 +356,13 @@ counted AS (SELECT seg, side, prefix, parent, depth, count(*) AS support FROM st
 support AS (SELECT *, CAST(sum(support) OVER (PARTITION BY seg, side, parent) - support AS BIGINT) AS against FROM counted)"""
 SUPPORT = f"WITH {_SUPPORT} SELECT seg, side, prefix, CAST(depth AS INTEGER) AS depth, support, against FROM support"
 _MAXIMAL = "maximal AS (SELECT seg, side, prefix AS path, depth FROM support s WHERE NOT EXISTS (SELECT 1 FROM support o WHERE o.seg = s.seg AND o.side = s.side AND o.parent = s.prefix))"
-MAXIMAL = f"WITH {_SUPPORT}, {_MAXIMAL} SELECT seg, side, path FROM maximal"
+MAXIMAL = f"""WITH {SQL_STEPS},
+walked AS (SELECT list(CASE WHEN fwd THEN '>' ELSE '<' END || seg ORDER BY idx) AS f, list(CASE WHEN fwd THEN '<' ELSE '>' END || seg ORDER BY idx DESC) AS r, list(seg ORDER BY idx) AS s, list(fwd ORDER BY idx) AS d, count(*) AS n FROM walk_steps GROUP BY read_id),
+ways AS (SELECT s[i] AS seg, CASE WHEN d[i] THEN 1 ELSE 0 END AS side, f[i + 1:n] AS t FROM (SELECT *, unnest(range(1, n)) AS i FROM walked)
+  UNION SELECT s[i], CASE WHEN d[i] THEN 0 ELSE 1 END, r[n - i + 2:n] FROM (SELECT *, unnest(range(2, n + 1)) AS i FROM walked)),
+padded AS (SELECT seg, side, array_to_string(t, '') AS path, array_to_string(list_transform(t, lambda x: x[1] || lpad(x[2:], 12, '0')), '') AS key FROM ways),
+lines AS (SELECT *, lead(key) OVER (PARTITION BY seg, side ORDER BY key) AS follower FROM padded)
+SELECT seg, side, path FROM lines WHERE follower IS NULL OR NOT starts_with(follower, key)"""
 
 
 def _whole(name: str, ok: str) -> str:

@@ -439,6 +439,68 @@ def test_duplication_to_the_fixpoint(spark):
     assert whole.agg(F.sum("coverage")).first()[0] > 0 and edit.unpaired(links).count() == 0
 
 
+def plain_beyond(walks_of):
+    """Paths beyond each (segment, side), as tuples of (segment, forward), with the walks' number."""
+    found = {}
+    for w in walks_of:
+        for line, at_side in ((w, lambda f: int(f)), ([(s, not f) for s, f in reversed(w)], lambda f: int(f))):
+            for i in range(len(line) - 1):
+                paths_of = found.setdefault((line[i][0], at_side(line[i][1])), {})
+                paths_of[tuple(line[i + 1 :])] = paths_of.get(tuple(line[i + 1 :]), 0) + 1
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tries_of_long_walks_equal_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    shared = [(rng.randrange(12), rng.random() < 0.5) for _ in range(60)]
+    lines = []
+    for _ in range(9):
+        a = rng.randrange(20)
+        line = shared[a : a + rng.choice([3, 7, 9, 14, 33, 40])]
+        if rng.random() < 0.6:
+            line = line + [(rng.randrange(5), True) for _ in range(rng.randrange(12))]
+        lines.append(line if rng.random() < 0.7 else [(s, not f) for s, f in reversed(line)])
+    lines += [lines[0], lines[3], [(1, True)], [(1, True), (2, False)]] + [[(i, True) for i in range(100, 160)]]
+    steps = spark.createDataFrame(walk_rows(lines), "read_id long, idx int, seg long, fwd boolean")
+    told = lambda p: "".join((">" if f else "<") + str(s) for s, f in p)
+    support, strongest, tops, agreed = {}, {}, set(), {}
+    for (seg, side), held in plain_beyond(lines).items():
+        count, total = {}, {}
+        for path, n in held.items():
+            for d in range(1, len(path) + 1):
+                count[path[:d]] = count.get(path[:d], 0) + n
+                total[path[: d - 1]] = total.get(path[: d - 1], 0) + n
+        against = {p: total[p[:-1]] - n for p, n in count.items()}
+        support |= {(seg, side, told(p), len(p)): (n, against[p]) for p, n in count.items()}
+        tops |= {(seg, side, told(p)) for p in held if not any(len(q) > len(p) and q[: len(p)] == p for q in held)}
+        whole = lambda p, ok: next((d for d in range(len(p)) if not ok(p[: d + 1])), len(p))
+        good = [p[: whole(p, lambda q: count[q] >= 2 and (against[q] == 0 or count[q] > 4))] for p in held]  # noqa: B023
+        best = max(map(len, good))
+        if best:
+            strongest[seg, side] = min(told(p) for p in good if len(p) == best)
+        fine = [p for p in held if (seg, side, told(p)) in tops and whole(p, lambda q: 0.2 * (count[q] - 1) > against[q] - 1 and against[q] < 5) == len(p)]  # noqa: B023
+        win = min((p for p in fine if len(p) == max(map(len, fine))), key=told, default=None)
+        agreed[seg, side] = None if win is None else told(win[: max((d + 1 for d in range(len(win)) if count[win[: d + 1]] > 1), default=0)])
+    assert {(r["seg"], r["side"], r["prefix"], r["depth"]): (r["support"], r["against"]) for r in walks.prefix_support(steps).collect()} == support
+    assert {(r["seg"], r["side"], r["path"]) for r in walks.maximal(steps).collect()} == tops
+    assert {(r["seg"], r["side"]): r["path"] for r in walks.strong(steps).collect()} == strongest
+    segments = steps.select("seg").distinct()
+    got = {r["seg"]: r for r in walks.consensus(steps, segments).collect()}
+    for seg, r in got.items():
+        sides = [agreed.get((seg, side), "") for side in (0, 1)]
+        assert (r["left_path"], r["right_path"], r["haploid"]) == (sides[0] or "", sides[1] or "", None not in sides)
+
+
+def test_tries_grow_with_the_length_of_a_walk(spark):
+    sizes = []
+    for n in (500, 1000, 2000):
+        lines = [[(i, True) for i in range(n)], [(i, i % 2 == 0) for i in range(0, 2 * n, 2)]]
+        trie = walks.Beyond(spark.createDataFrame(walk_rows(lines), "read_id long, idx int, seg long, fwd boolean"))
+        sizes.append(sum(known.count() for *_, known in trie.levels))
+    assert sizes[1] < 2.1 * sizes[0] and sizes[2] < 2.1 * sizes[1]
+
+
 def rc(text):
     return text.translate(str.maketrans("ACGT", "TGCA"))[::-1]
 
