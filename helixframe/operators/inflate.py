@@ -263,34 +263,3 @@ def end_extensions(links: DataFrame, sequences: DataFrame, overlap: int, size: i
     both = with_sequences(links, sequences)
     text = F.substr(_inward(F.col("sb"), F.col("eb")), F.lit(overlap + 1), F.lit(size))
     return both.groupBy(F.col("a").alias("seg"), F.col("ea").alias("end")).agg(F.max(F.struct("b", "eb", text.alias("t"))).alias("x")).select("seg", "end", F.col("x.t").alias("extension"))
-
-
-def containment(contigs: DataFrame, references: DataFrame, k: int = KM) -> DataFrame:
-    """``seg, n_in``: how many references (``read_id, seq``) hold the contig or its reverse complement.
-
-    A reference can hold it only if it has its first k-mer, so contigs meet
-    references on that key and no pair is compared that doesn't share it.
-    Contigs under k bases are their own key, in one pass for each length there
-    is; an empty one is in every reference.
-    """
-    sized = contigs.where("seq is not null").select("seg", F.col("seq").alias("contig"), F.least(F.length("seq"), F.lit(k)).alias("size"))
-    sizes = sorted(r["size"] for r in sized.select("size").distinct().collect())
-    pairs = None
-    for size in sizes:
-        starts = sized.where(F.col("size") == size)
-        if size == 0:
-            met = starts.select("seg").crossJoin(references.where("seq is not null").select("read_id"))
-        else:
-            keyed = kernels.kmer_places(starts.select(F.col("seg").alias("read_id"), F.substring("contig", 1, size).alias("seq")), size)
-            keyed = keyed.select(F.col("read_id").alias("seg"), F.least("forward", "reverse").alias("key"))
-            places = kernels.kmer_places(references, size).select("read_id", F.least("forward", "reverse").alias("key"))
-            # short keys are in a reference many times
-            places = places if size == k else places.distinct()
-            met = places.join(keyed, "key").select("seg", "read_id").distinct()
-        pairs = met.select("seg", "read_id") if pairs is None else pairs.unionByName(met.select("seg", "read_id"))
-    if pairs is None:
-        return contigs.select("seg", F.lit(0).cast("long").alias("n_in"))
-    found = pairs.join(sized.select("seg", "contig"), "seg").join(references.select("read_id", "seq"), "read_id")
-    held = found.where(F.col("seq").contains(F.col("contig")) | F.col("seq").contains(S.reverse_complement(F.col("contig"))))
-    counts = held.groupBy("seg").agg(F.count("*").alias("n_in"))
-    return contigs.select("seg").join(counts, "seg", "left").select("seg", F.coalesce("n_in", F.lit(0)).alias("n_in"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import align, contract, edit, graph, inflate, kernels, kmers, longmers, paths, untangle, walks
+from ..operators import align, containment, contract, edit, graph, inflate, kernels, kmers, longmers, paths, untangle, walks
 from ..operators.loop import numbered, written
 from ..streaming.reduce import reduce_documents
 from . import oracles as O
@@ -531,4 +531,4 @@ def extend_contig_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.CONTAINMENT)
 def contig_containment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inflate.containment(_contigs(spark, sf_dir), R.reads(spark, sf_dir))
+    return containment.containment(_contigs(spark, sf_dir), R.reads(spark, sf_dir))

@@ -286,11 +286,11 @@ def test_hot_minimizers_are_dealt_by_kmer(spark):
 
 
 def test_short_contigs_are_found_in_references(spark):
-    from helixframe.operators import inflate
+    from helixframe.operators import containment
 
     reads = ["ACGTACGTTTGACA" * 4, "GGGTCAAACGTA", None]
     contigs = ["GTTTGAC", "TCAAACG", "", "ACGTACGTTTGACA" * 3, "CCCCC"]
-    got = {r["seg"]: r["n_in"] for r in inflate.containment(spark.createDataFrame(list(enumerate(contigs)), "seg long, seq string"), spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")).collect()}
+    got = {r["seg"]: r["n_in"] for r in containment.containment(spark.createDataFrame(list(enumerate(contigs)), "seg long, seq string"), spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string")).collect()}
     held = lambda c: sum(c in r or rc(c) in r for r in reads if r is not None)
     assert got == {i: held(c) for i, c in enumerate(contigs)}
 

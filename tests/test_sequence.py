@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import inflate, kernels, kmers
+from helixframe.operators import containment, inflate, kernels, kmers
 
 MASK = (1 << 64) - 1
 COMPLEMENT = {"A": "T", "C": "G", "G": "C", "T": "A"}
@@ -193,7 +193,7 @@ def test_containment(spark):
     rng = random.Random(6)
     ref = ["".join(rng.choice("ACGT") for _ in range(200)) for _ in range(3)]
     contigs = [(0, ref[0][20:120]), (1, rc(ref[1][5:80])), (2, "A" * 60), (3, ref[2][:50] + "A" * 20)]
-    got = {r["seg"]: r["n_in"] for r in inflate.containment(spark.createDataFrame(contigs, "seg long, seq string"), spark.createDataFrame(list(enumerate(ref)), "read_id long, seq string")).collect()}
+    got = {r["seg"]: r["n_in"] for r in containment.containment(spark.createDataFrame(contigs, "seg long, seq string"), spark.createDataFrame(list(enumerate(ref)), "read_id long, seq string")).collect()}
     assert got == {0: 1, 1: 1, 2: 0, 3: 0}
 
 
@@ -201,10 +201,25 @@ def test_containment_of_short_contigs(spark):
     rng = random.Random(16)
     ref = ["".join(rng.choice("ACGT") for _ in range(120)) for _ in range(4)] + ["AC", ""]
     contigs = ["", "A", "GT", "ACGTA", ref[0][40:52], rc(ref[1][3:33]), ref[2][10:41], rc(ref[3][50:90]), "A" * 30]
-    got = inflate.containment(spark.createDataFrame(list(enumerate(contigs)), "seg long, seq string"), spark.createDataFrame(list(enumerate(ref)), "read_id long, seq string"))
+    got = containment.containment(spark.createDataFrame(list(enumerate(contigs)), "seg long, seq string"), spark.createDataFrame(list(enumerate(ref)), "read_id long, seq string"))
     assert {r["seg"]: r["n_in"] for r in got.collect()} == {i: sum(c in r or rc(c) in r for r in ref) for i, c in enumerate(contigs)}
 
 
+def test_containment_of_equal_repeated_and_unknown_letters(spark):
+    rng = random.Random(18)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    core = text(80)
+    ref = [text(50) + core + text(50) + core, rc(core), core[:40] + "N" + core[41:], "A" * 300, None, "", text(31)]
+    ref += [core + text(5)] * 40
+    contigs = [core, rc(core), core, core[3:60], core[:40] + "N" + core[41:70], "A" * 31, "A" * 299, "A" * 301, "ACN", text(35), ref[6], None, "", core[:40] + "A" + core[41:], "T" * 12]
+    frame = lambda rows, name: spark.createDataFrame(list(enumerate(rows)), f"{name} long, seq string").repartition(3)
+    got = {r["seg"]: r["n_in"] for r in containment.containment(frame(contigs, "seg"), frame(ref, "read_id")).collect()}
+    assert got == {i: 0 if c is None else sum(r is not None and (c in r or rc(c) in r) for r in ref) for i, c in enumerate(contigs)}
+    assert got[0] == got[1] == got[2] == 42
+    none = containment.containment(frame(contigs, "seg"), frame(ref, "read_id").where("false"))
+    assert {r["n_in"] for r in none.collect()} == {0} and none.count() == len(contigs)
+
+
 def test_window_hash_of_one_kmer():
     f, _ = scalar_hashes("ACGTTGCA", 8)[0]
     assert np.uint64(S.window_hash(b"ACGTTGCA") & MASK) == np.uint64(f)
