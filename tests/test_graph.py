@@ -285,6 +285,29 @@ def test_hot_minimizers_are_dealt_by_kmer(spark):
     assert longmers.counts(df.where("false"), 31).count() == 0 and longmers.unitigs(df.where("false"), 31, 1)[0].count() == 0
 
 
+def test_rounds_write_what_is_still_open(spark, monkeypatch):
+    sizes = []
+    keep = contract.written
+
+    def counted(df, tag):
+        out = keep(df, tag)
+        if tag == "chains":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(contract, "written", counted)
+    names = {str(i): (10, 1) for i in range(400)}
+    line = [f"{i}+ {i + 1}+" for i in range(199)]
+    ring = [f"{i}+ {200 + (i - 199) % 37}+" for i in range(200, 237)]
+    short = [f"{i}+ {i + 1}-" for i in range(240, 398, 2)]
+    ids, s, e = graph_of(spark, names, line + ring + short)
+    placed = {r["seg"]: r for r in contract.chains(s, e).collect()}
+    assert len(placed) == 400 and [placed[i]["idx"] for i in range(200)] == list(range(200))
+    assert sorted(placed[i]["idx"] for i in range(200, 237)) == list(range(37)) and all(placed[i]["ring"] for i in range(200, 237))
+    assert sizes[0] == 800 and len(sizes) <= 10 and all(b <= a for a, b in zip(sizes, sizes[1:]))
+    assert sizes[1] < 650 and sizes[-1] < 300
+
+
 def test_short_contigs_are_found_in_references(spark):
     from helixframe.operators import containment
 
