@@ -332,6 +332,9 @@ def _writer_task(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return encode
 
 
+#: Bytes of the documents' files for one range, where that makes more ranges than the session's own number.
+RANGE = 128 << 20
+MOST_RANGES = 1_000_000
 SCHEMA = "doc_id long, part int, seq long, n_tokens long, tokens array<int>"
 
 
@@ -339,7 +342,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, end: int = END) -> No
     """Encode ``docs`` and write the token files below ``to``, ascending by doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    # as many ranges as the tables' own size asks for, by the statistics of the scan: no pass over the texts
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(size // RANGE, MOST_RANGES))
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("__order", F.xxhash64("text")).repartitionByRange(n, "doc_id", "__order").sortWithinPartitions("doc_id", "__order").drop("__order").withColumn("part", F.spark_partition_id())
     ranged.mapInArrow(_writer_task(tokenizer, end), SCHEMA).write.options(**WRITER).parquet(to)
 
