@@ -105,44 +105,66 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-STATE = "doc_id long, text string, spans array<struct<a:int,b:int>>, items array<string>"
+HITS = "row long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<a:int,b:int>>"
 _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _scanner(shared, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _judged(doc_ids: pa.Array, n_words: list[int], all_spans: list[list[tuple[int, int]]], all_items: list[list[str]]) -> pa.RecordBatch:
+    n_hit = [sum(b - a for a, b in s) for s in all_spans]
+    return pa.RecordBatch.from_arrays(
+        [
+            doc_ids,
+            pa.array(n_words, pa.int64()),
+            pa.array(n_hit, pa.int64()),
+            pa.array([len(x) for x in all_items], pa.int64()),
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in all_items], pa.string()),
+            pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()),
+            pa.array([[{"a": a, "b": b} for a, b in s] for s in all_spans], _SPANS),
+        ],
+        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+    )
+
+
+def _scanner(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Results of rows against the whole benchmark."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: WindowSet = shared.value
+        for batch in batches:
+            texts = [alnum_words(t) for t in utf8(batch["text"])]
+            found = [known.spans(words) for words in texts]
+            yield _judged(batch["doc_id"], [len(w) for w in texts], [merged(s) for s, _ in found], [sorted(i) for _, i in found])
+
+    return scan
+
+
+def _hits(shared, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hits of rows in one slice of the benchmark; rows without one only if ``every`` row is wanted."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: WindowSet = shared.value
         for batch in batches:
-            n_words, all_spans, all_items = [], [], []
-            before = zip(batch["spans"].to_pylist(), batch["items"].to_pylist(), strict=True) if "spans" in batch.schema.names else repeat(((), ()))
-            for text, (old, owners) in zip(utf8(batch["text"]), before, strict=False):
+            rows: list[tuple] = []
+            for row, text in zip(batch["row"].to_pylist(), utf8(batch["text"]), strict=True):
                 words = alnum_words(text)
                 spans, items = known.spans(words)
-                n_words.append(len(words))
-                all_spans.append(merged(spans + [(x["a"], x["b"]) for x in old or ()]))
-                all_items.append(sorted(items | set(owners or ())))
-            spans_column = pa.array([[{"a": a, "b": b} for a, b in s] for s in all_spans], _SPANS)
-            if not last:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], spans_column, pa.array(all_items, pa.list_(pa.string()))], names=["doc_id", "text", "spans", "items"])
-                continue
-            n_hit = [sum(b - a for a, b in s) for s in all_spans]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(x) for x in all_items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in all_items], pa.string()),
-                    pa.array([h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_()),
-                    spans_column,
-                ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-            )
+                if spans or every:
+                    rows.append((row, len(words), [{"a": a, "b": b} for a, b in merged(spans)], sorted(items)))
+            kinds = (pa.int64(), pa.int64(), _SPANS, pa.list_(pa.string()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row", "n_words", "spans", "items"])
 
     return scan
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [merged([(x["a"], x["b"]) for part in row for x in part]) for row in batch["spans"].to_pylist()]
+        items = [sorted({x for part in row for x in part}) for row in batch["items"].to_pylist()]
+        yield _judged(batch["doc_id"], batch["n_words"].to_pylist(), spans, items)
+
+
 def _pieces(n: int, piece_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Items as words joined by spaces, long ones cut so that each window of ``n`` words is whole in one piece."""
     step = max(piece_words - n + 1, 1)
@@ -176,16 +198,25 @@ def _shared(part: DataFrame, n: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_words: int = SLICE_WORDS) -> DataFrame:
-    """Per row of ``docs``: hit words, items found, the merged hit spans, and whether it is contaminated."""
+    """Per row of ``docs``: hit words, items found, the merged hit spans, and whether it is contaminated.
+
+    A benchmark of one slice is met as the rows stream by. With more, rows are written down once with a
+    number; each slice reads them and writes its hits alone, which are gathered by row.
+    """
     small_batches(docs.sparkSession)
     slices = _slices(benchmark, n, slice_words)
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if len(slices) == 1:
+        return texts.mapInArrow(_scanner(_shared(slices[0], n)), RESULT)
+    numbered = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = None
     for k, part in enumerate(slices):
-        last = k == len(slices) - 1
-        state = state.mapInArrow(_scanner(_shared(part, n), last), RESULT if last else STATE)
-        if not last:
-            state = materialize(state, "contamination")
-    return state
+        shared = _shared(part, n)
+        hits = materialize(numbered.select("row", "text").mapInArrow(_hits(shared, not k), HITS), "hits")
+        shared.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    each = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    return numbered.select("row", "doc_id").join(each, "row").select("doc_id", "n_words", "spans", "items").mapInArrow(_gathered, RESULT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_words: int = SLICE_WORDS) -> DataFrame:
