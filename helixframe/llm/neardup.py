@@ -149,7 +149,7 @@ def _full_sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         memo: dict[bytes, int] = {}
         for batch in batches:
             items = [shingle_set(t, size, memo) for t in utf8(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["rep"], pa.array([x.tobytes() for x in items], pa.binary()), pa.array([sketch(x).tobytes() for x in items], pa.binary())], names=["rep", "items", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch["rep"], pa.array([len(x) for x in items], pa.int64()), pa.array([x.tobytes() for x in items], pa.binary()), pa.array([sketch(x).tobytes() for x in items], pa.binary())], names=["rep", "n", "items", "sketch"])
 
     return run
 
@@ -162,26 +162,38 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(batch["rep"].to_numpy(), n), pa.int64())], names=["band", "rep"])
 
 
-def _verify(percent: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _likely(percent: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose registers agree enough, chance collisions taken off."""
     least = plausible(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for sa, sb, ia, ib in zip(*(utf8(batch[c]) for c in ("sketch_a", "sketch_b", "items_a", "items_b")), strict=True):
-                agree = float((np.frombuffer(sa, np.uint16) == np.frombuffer(sb, np.uint16)).mean())
-                ok = bool(estimate(agree, len(ia) / 8, len(ib) / 8) >= least)
-                good.append(ok and linked(np.frombuffer(ia, np.uint64), np.frombuffer(ib, np.uint64), percent))
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(utf8(batch[c])), np.uint16).reshape(-1, BUCKETS) for c in ("sketch_a", "sketch_b"))
+                near = estimate((one == two).mean(1), batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
+                yield batch.select(["a", "b"]).filter(pa.array(near >= least, pa.bool_()))
+
+    return run
+
+
+def _verify(percent: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [linked(np.frombuffer(ia, np.uint64), np.frombuffer(ib, np.uint64), percent) for ia, ib in zip(utf8(batch["items_a"]), utf8(batch["items_b"]), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: float) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    left = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"), F.col("sketch").alias("sketch_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b", "items_a", "items_b").mapInArrow(_verify(percent), "a long, b long")
+    """The pairs (a, b) whose full sets reach the threshold; only pairs whose sketches are near enough meet with them."""
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("rep").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    near = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    likely = near.mapInArrow(_likely(percent), "a long, b long").distinct()
+    return likely.join(side("a", "items"), "a").join(side("b", "items"), "b").select("a", "b", "items_a", "items_b").mapInArrow(_verify(percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -258,7 +270,7 @@ def near_links(sketched: DataFrame, texts: DataFrame, shingle: int, percent: flo
     members = materialize(members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key"), "buckets")
     discard(banded)
     wanted = small(members.select("rep").distinct(), "wanted")
-    sets = materialize(texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep", "text"]).mapInArrow(_full_sets(shingle), "rep long, items binary, sketch binary"), "sets")
+    sets = materialize(texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep", "text"]).mapInArrow(_full_sets(shingle), "rep long, n long, items binary, sketch binary"), "sets")
     release(texts.sparkSession)
     links = materialize(verified(_pivot_pairs(members.withColumn("comp", F.col("rep")), 0), sets, percent), "links")
     # a group of two is through: its one pair was compared
