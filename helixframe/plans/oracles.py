@@ -416,8 +416,8 @@ cover AS (SELECT seg, CAST(count(*) AS DOUBLE) AS c FROM walk_steps GROUP BY seg
 hap AS (SELECT seg FROM agreed WHERE haploid),
 drawn AS (SELECT b.seg AS f, b.side AS fs, least(x.c, y.c) AS want, regexp_extract_all({_sign('b.side')} || b.seg || b.path, '[<>][0-9]+') AS t FROM bridges b JOIN cover x ON x.seg = b.seg JOIN cover y ON y.seg = b.target),
 on_bridges AS (SELECT f, fs, want, i - 1 AS idx, CAST(substr(t[i], 2) AS BIGINT) AS seg, t[i][1] = '>' AS fwd FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM drawn)),
-inside AS (SELECT o.*, c.c AS has, sum(want) OVER (PARTITION BY o.seg) AS asked, row_number() OVER (PARTITION BY o.seg ORDER BY f, fs, idx) - 1 AS "copy", count(*) OVER (PARTITION BY o.seg) AS m FROM on_bridges o JOIN cover c USING (seg) WHERE seg NOT IN (SELECT seg FROM hap)),
-peeled AS (SELECT *, greatest(least(want, has * want / asked), 1.0) AS got FROM inside),
+inside AS (SELECT o.*, c.c AS has, sum(want) OVER (PARTITION BY o.seg ORDER BY f, fs DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY o.seg ORDER BY f, fs DESC, idx) - 1 AS "copy", count(*) OVER (PARTITION BY o.seg) AS m FROM on_bridges o JOIN cover c USING (seg) WHERE seg NOT IN (SELECT seg FROM hap)),
+peeled AS (SELECT *, least(want, CASE WHEN before IS NULL THEN has ELSE greatest(has - before, 1.0) END) AS got FROM inside),
 rest AS (SELECT c.seg, greatest(c.c - coalesce(sum(got), 0.0), 1.0) AS c, coalesce(max(m), 0) AS "copy" FROM cover c LEFT JOIN peeled p USING (seg) GROUP BY c.seg, c.c),
 through AS (SELECT l.seg AS g, {_flipped('l.path')} || '>' || l.seg || r.path AS line FROM unrepresented l JOIN unrepresented r ON r.seg = l.seg AND r.side = 1 WHERE l.side = 0),
 all_passed AS (SELECT g, i - 1 AS idx, CAST(substr(t[i], 2) AS BIGINT) AS seg, t[i][1] = '>' AS fwd FROM (SELECT g, regexp_extract_all(line, '[<>][0-9]+') AS t, unnest(range(1, len(regexp_extract_all(line, '[<>][0-9]+')) + 1)) AS i FROM through)),

@@ -450,6 +450,30 @@ def test_untangling_copies_what_lies_between(spark):
     assert named == one | {(q, eq, p, ep, o) for p, ep, q, eq, o in one}
 
 
+def test_bridges_take_coverage_one_after_another(spark):
+    # three genomes share x, which has less than they want together; y they share has more
+    shape = {n: (100, c) for n, c in (("a", 6), ("b", 6), ("c", 5), ("d", 9), ("e", 4), ("f", 4), ("x", 9), ("y", 40))}
+    ids, s, e = graph_of(spark, shape, [f"{p}+ x+" for p in "ace"] + ["x+ y+"] + [f"y+ {q}+" for q in "bdf"])
+    a, b, c, d, g, h, x, y = (ids[n] for n in "abcdefxy")
+    lines = [[(p, True), (x, True), (y, True), (q, True)] for p, q, n in ((a, b, 6), (c, d, 5), (g, h, 4)) for _ in range(n)]
+    steps = spark.createDataFrame(walk_rows(lines), "read_id long, idx int, seg long, fwd boolean")
+
+    def plain(has, wants):
+        out = []
+        for want in wants:
+            out.append(min(want, has))
+            has = max(has - out[-1], 1.0)
+        return out
+
+    for proportional in (False, True):
+        made, _ = untangle.untangled(s, e, steps, 50, proportional)
+        got = {}
+        for r in made.orderBy("origin", "copy").collect():
+            got.setdefault(r["origin"], []).append(r["coverage"])
+        assert got[x] == (pytest.approx([9 * w / 15 for w in (6, 5, 4)]) if proportional else plain(9.0, [6.0, 5.0, 4.0]))
+        assert got[y] == [6.0, 5.0, 4.0]
+
+
 def test_duplication_to_the_fixpoint(spark):
     # s is copied for x and y; then t, whose other side the copies share, for them
     shape = {"x": (100, 10), "y": (100, 10), "s": (100, 20), "t": (100, 20), "u": (100, 10), "v": (100, 10)}
