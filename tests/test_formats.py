@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import zlib
 from pathlib import Path
 
 import pytest
@@ -122,3 +123,75 @@ def test_parameters():
 def test_entry_and_catalogue(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES) <= set(__spark_entry__.queries())
+
+
+def block_gzip(data, size):
+    """Gzip members of ``size`` plain bytes each with their own size in the header, and an empty last one."""
+    out = b""
+    for at in [*range(0, len(data), size), len(data)]:
+        raw = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = raw.compress(data[at : at + size]) + raw.flush()
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + (6).to_bytes(2, "little") + b"BC" + (2).to_bytes(2, "little") + (len(body) + 25).to_bytes(2, "little")
+        out += head + body + zlib.crc32(data[at : at + size]).to_bytes(4, "little") + len(data[at : at + size]).to_bytes(4, "little")
+    return out
+
+
+@pytest.mark.parametrize("kind", ["plain", "blocks", "gzip"])
+@pytest.mark.parametrize("quality", [True, False])
+def test_planned_splits_read_each_record_once(spark, tmp_path, kind, quality):
+    from helixframe.sources.reads import load_reads
+
+    rng = random.Random(90)
+    rows = [(f"r{i}", "".join(rng.choice("ACGT") for _ in range(rng.choice([1, 5, 60, 200])))) for i in range(150)] + [("false1", "ACGT")]
+    if quality:
+        text = "".join(f"@{n}\n{s}\n+{n if i % 3 else ''}\n{'@+I'[i % 3] * len(s)}\n" for i, (n, s) in enumerate(rows))
+    else:
+        text = "".join(f">{n}\n" + "".join(s[k : k + 50] + "\n" for k in range(0, len(s), 50)) for n, s in rows).removesuffix("\n")
+    data = text.encode()
+    body = {"plain": lambda: data, "gzip": lambda: gzip.compress(data), "blocks": lambda: block_gzip(data, 700)}[kind]()
+    path = tmp_path / f"reads.{'fq' if quality else 'fa'}{'' if kind == 'plain' else '.gz'}"
+    path.write_bytes(body)
+    for split in (700, 1 << 20):
+        got = load_reads(spark, str(path), split)
+        tasks = got.rdd.getNumPartitions()
+        assert sorted(tuple(r) for r in got.collect()) == sorted(rows[:-1])
+        assert tasks == 1 if kind == "gzip" or split == 1 << 20 else tasks > 3
+    assert sorted(tuple(r) for r in formats.read_reads(spark, str(path)).collect()) == sorted(rows[:-1])
+
+
+def test_a_record_that_starts_with_a_block_is_read_once(spark, tmp_path):
+    from helixframe.sources.reads import load_reads
+
+    # every record is 32 bytes long, as every block is
+    records = [f"@read{i:05d}\nACGTACGTA\n+\nIIIIIIII@\n" for i in range(100)]
+    assert {len(r) for r in records} == {33}
+    (tmp_path / "x.fastq.gz").write_bytes(block_gzip("".join(records).encode(), 33))
+    for split in (33, 50, 400):
+        assert sorted(r["name"] for r in load_reads(spark, str(tmp_path), split).collect()) == [f"read{i:05d}" for i in range(100)]
+
+
+def test_a_store_reads_few_rows_for_a_few_names(spark, tmp_path):
+    from helixframe.sources import store
+
+    n = 40_000
+    segments = spark.range(n).select(F.format_string("s%06d", "id").alias("name"), F.sha2(F.col("id").cast("string"), 256).alias("seq"), (F.col("id") % 90).cast("int").alias("length"))
+    edges = spark.range(n - 1).select(F.format_string("s%06d", "id").alias("a"), F.lit(1).alias("ea"), F.format_string("s%06d", F.col("id") + 1).alias("b"), F.lit(0).alias("eb"))
+    path = str(tmp_path / "store")
+    store.write_store(segments, edges, path, **{"parquet.block.size": "200000"})
+
+    def scanned(df):
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        scan = plan.collectLeaves().head()
+        return rows, scan.metrics().apply("numOutputRows").value()
+
+    names = ["s000007", "s031234", "nowhere"]
+    rows, seen = scanned(store.fetched(spark, path, names))
+    assert sorted(r["name"] for r in rows) == names[:2] and all(len(r["seq"]) == 64 for r in rows) and seen <= 2 * 2000
+    rows, seen = scanned(store.fetched(spark, path, ["nowhere"]))
+    assert not rows and seen <= 2000
+    links, _ = scanned(store.fetched(spark, path, names, "links"))
+    assert {(r["a"], r["b"]) for r in links} == {("s000007", "s000008"), ("s031234", "s031235")}
+    assert store.fetched(spark, path, spark.createDataFrame([(x,) for x in names], "name string"), "topology").count() == 2
+    many = segments.where("length < 45").select("name")
+    assert store.fetched(spark, path, many).count() == many.count() > store.FEW
