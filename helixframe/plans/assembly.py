@@ -11,8 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import align, contract, edit, graph, inflate, kernels, kmers, longmers, paths, untangle
+from ..operators import align, containment, contract, edit, graph, inflate, kernels, kmers, longmers, paths, untangle
 from ..operators.loop import written
+from ..sources.formats import read_gfa
 
 Graph = tuple[DataFrame, DataFrame]
 
@@ -130,3 +131,11 @@ def assembly(reads: DataFrame, p: Parameters) -> Graph:
     found = inflate.overlaps(graph.links_once(edges), long, 150 * p.compression, 70 * p.compression)
     both = found.union(found.select("b", "eb", "a", "ea", "overlap")).distinct()
     return long.join(segments.select("seg", "coverage"), "seg").select("seg", "seq", F.length("seq").alias("length"), "coverage"), both
+
+
+def missing_from(contigs: DataFrame, path: str) -> DataFrame:
+    """The ``contigs (seg, seq)`` that no segment of a reference GFA holds, on either strand; segments without a sequence hold nothing."""
+    references = read_gfa(contigs.sparkSession, path)[0].where("seq <> '*'").select("seq").distinct()
+    numbered = written(references.select(F.monotonically_increasing_id().alias("read_id"), "seq"), "references")
+    lost = containment.containment(contigs.select("seg", "seq"), numbered).where("n_in = 0")
+    return contigs.join(lost.select("seg"), "seg", "left_semi")

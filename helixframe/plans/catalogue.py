@@ -491,6 +491,20 @@ def duplicate_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit.copies(segments, edges, edit.exclusive_ends(segments, edges, short=100)).select("seg", "copy", "neighbour", F.round("coverage", 6).alias("coverage"))
 
 
+@query()
+def duplicate_contigs_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _kept(spark, sf_dir)
+    choose = lambda s, e: edit.shared_ends(s, e, min_absolute=1)
+    return edit.duplicated(segments, edges, choose)[0].select("length", F.round("coverage", 6).alias("coverage"))
+
+
+@query()
+def duplicate_exclusive_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, edges, _ = _kept(spark, sf_dir)
+    choose = lambda s, e: edit.exclusive_ends(s, e, short=100)
+    return edit.duplicated(segments, edges, choose)[0].select("length", F.round("coverage", 6).alias("coverage"))
+
+
 @query()
 def trim_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, edges, _ = _kept(spark, sf_dir)

@@ -195,3 +195,14 @@ def test_a_store_reads_few_rows_for_a_few_names(spark, tmp_path):
     assert store.fetched(spark, path, spark.createDataFrame([(x,) for x in names], "name string"), "topology").count() == 2
     many = segments.where("length < 45").select("name")
     assert store.fetched(spark, path, many).count() == many.count() > store.FEW
+
+
+def test_contigs_are_checked_against_a_reference_graph(spark, tmp_path):
+    rng = random.Random(91)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    rc = lambda t: t.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    refs = [text(300), text(120)]
+    (tmp_path / "ref.gfa").write_text("".join(f"S\ts{i}\t{x}\n" for i, x in enumerate([*refs, refs[0], "*"])) + "L\ts0\t+\ts1\t+\t0M\n")
+    contigs = [refs[0][40:200], rc(refs[1]), text(90), refs[0][250:] + refs[1][:60], rc(refs[0][5:20]), "*"]
+    df = spark.createDataFrame(list(enumerate(contigs)), "seg long, seq string")
+    assert {r["seg"] for r in assembly.missing_from(df, f"{tmp_path}/ref.gfa").collect()} == {2, 3, 5}

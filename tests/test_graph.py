@@ -749,3 +749,23 @@ def test_assembly_of_reads_with_errors(spark):
     g = assembly.resolved(assembly.cleaned(assembly.iterative(good, p.ks, 2), 21, p, 2), good, 21, p)
     found = [r["seq"] for r in g[0].collect()]
     assert len(found) == 1 and (found[0] == genome or rc(found[0]) == genome)
+
+
+def test_whole_assembly_of_a_genome_with_a_repeat_and_a_variant(spark):
+    from helixframe.plans import assembly
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    twice = text(260)
+    genome = text(1100) + twice + text(900) + twice + text(1100)
+    other = genome[:500] + text(40) + genome[540:]  # a variant that every twelfth read has
+    rows = []
+    for i in range(110):
+        a = rng.randrange(len(genome) - 1200) if i > 9 else (0, len(genome) - 1200)[i % 2]
+        read = (other if i % 12 == 11 else genome)[a : a + 1200]
+        rows.append((i, read if rng.random() < 0.5 else rc(read)))
+    reads = spark.createDataFrame(rows, "read_id long, seq string")
+    p = assembly.Parameters(order=15, compression=4, min_abundance=3, ks=(17, 31), longest_read=2000, k_correct=17)
+    segments, links = assembly.assembly(reads, p)
+    found = [r["seq"] for r in segments.collect()]
+    assert found in ([genome], [rc(genome)]) and links.count() == 0
