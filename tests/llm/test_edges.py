@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from helixframe.llm import contamination, language, licenses, mixture, neardup, neighbours, quality, substrings, tokens, toxicity
+from helixframe.llm.common import crc_fold
 from helixframe.llm.queries import tokenizer_path
 from tests.llm.plain import plain_posteriors, prose
 
@@ -163,3 +164,50 @@ def test_spans_of_many_equal_rows_are_gathered_once(spark):
         got = Counter((r["n_removed"], r["n_words"]) for r in substrings.substring_dedup(df).collect())
         assert got == {(160, 160): copies, (0, 50): 1}
     assert sizes[2000] == sizes[2] < 60
+
+
+def test_toxicity_fit_equals_a_plain_one(spark, docs, rows, labels):
+    features = 300
+    model = toxicity.fit(docs, labels, features=features)
+
+    def slots(text):
+        code = [ord(c) if ord(c) >= 128 or c.isalnum() else 32 for c in f" {(text or '').lower()} "]
+        found = Counter()
+        for order in toxicity.ORDERS:
+            for i in range(len(code) - order + 1):
+                h = 0
+                for j, c in enumerate(code[i : i + order]):
+                    h = c if j == 0 else (h * 0x01000193 + c) % 2**32
+                found[((h ^ (h >> 15)) * 0x9E3779B1 % 2**32) >> (32 - toxicity.BITS)] += 1
+        return found, len(code)
+
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if crc_fold(r["doc_id"]) != 2}
+    text = {r[0]: r[1] for r in rows if r[0] in known}
+    ids = sorted(text)
+    y = np.array([known[i] for i in ids], float)
+    held = [slots(text[i]) for i in ids]
+    count = [Counter(), Counter()]
+    for (found, _), label in zip(held, y, strict=True):
+        count[int(label)].update(found.keys())
+    n1, n0 = y.sum(), len(y) - y.sum()
+    every = []
+    for s in set(count[0]) | set(count[1]):
+        if count[0][s] + count[1][s] >= toxicity.LEAST_DOCS:
+            a, b = (count[1][s] + 1) / (n1 + 2), (count[0][s] + 1) / (n0 + 2)
+            pooled = (count[0][s] + count[1][s] + 2) / (n0 + n1 + 4)
+            every.append((-abs(a - b) / math.sqrt(pooled * (1 - pooled)), s, math.log(a / b)))
+    chosen = sorted(every)[:features]
+    assert set(np.flatnonzero(model.place >= 0).tolist()) == {s for _, s, _ in chosen} and len(chosen) == features
+    r = np.array([x for *_, x in chosen] + [1.0])
+    x = np.array([[math.log1p(found[s]) for _, s, _ in chosen] + [math.log(size + 20) / 4] for found, size in held]) * r
+    w = np.append(np.full(len(r), 0.1), 0.0)
+    m = v = np.zeros_like(w)
+    for t in range(1, 251):
+        miss = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y
+        grad = np.append(x.T @ miss, miss.sum()) / len(y) + np.append(toxicity.L2 * w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    prior = (n1 + 0.5) / (len(y) + 1)
+    place = [int(model.place[s]) for _, s, _ in chosen]
+    assert model.weight[place] == pytest.approx((w[:-1] * r)[:-1], rel=1e-4, abs=1e-6) and model.weight[-1] == pytest.approx(w[-2], rel=1e-4)
+    assert model.bias == pytest.approx(w[-1] + math.log(prior / (1 - prior)) - math.log(n1 / n0), rel=1e-4)
