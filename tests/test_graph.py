@@ -285,6 +285,25 @@ def test_hot_minimizers_are_dealt_by_kmer(spark):
     assert longmers.counts(df.where("false"), 31).count() == 0 and longmers.unitigs(df.where("false"), 31, 1)[0].count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_in_one_task_and_by_rounds_are_the_same(spark, seed):
+    rng = random.Random(seed)
+    n, links, at = 120, [], 0
+    while at < n:
+        size = rng.choice([1, 2, 3, 8, 20])
+        line = [(i, rng.random() < 0.5) for i in range(at, min(at + size, n))]
+        rng.shuffle(line)
+        pairs = list(zip(line, line[1:]))
+        if rng.random() < 0.4 and len(line) > 1:
+            pairs.append((line[-1], line[0]))
+        links += [f"{a}{'+' if f else '-'} {b}{'+' if g else '-'}" for (a, f), (b, g) in pairs]
+        at += size
+    links += [f"{rng.randrange(n)}+ {rng.randrange(n)}-" for _ in range(6)]
+    ids, s, e = graph_of(spark, {str(i): (10, 1) for i in range(n)}, links)
+    one, many = (sorted(tuple(r) for r in contract.chains(s, e, small=k).select("seg", "chain", "idx", "fwd", "ring").collect()) for k in (10_000, 0))
+    assert one == many and len(one) == n and any(r[4] for r in one) == any(r[4] for r in many)
+
+
 def test_rounds_write_what_is_still_open(spark, monkeypatch):
     sizes = []
     keep = contract.written
@@ -301,7 +320,7 @@ def test_rounds_write_what_is_still_open(spark, monkeypatch):
     ring = [f"{i}+ {200 + (i - 199) % 37}+" for i in range(200, 237)]
     short = [f"{i}+ {i + 1}-" for i in range(240, 398, 2)]
     ids, s, e = graph_of(spark, names, line + ring + short)
-    placed = {r["seg"]: r for r in contract.chains(s, e).collect()}
+    placed = {r["seg"]: r for r in contract.chains(s, e, small=0).collect()}
     assert len(placed) == 400 and [placed[i]["idx"] for i in range(200)] == list(range(200))
     assert sorted(placed[i]["idx"] for i in range(200, 237)) == list(range(37)) and all(placed[i]["ring"] for i in range(200, 237))
     assert sizes[0] == 800 and len(sizes) <= 10 and all(b <= a for a, b in zip(sizes, sizes[1:]))
