@@ -554,8 +554,8 @@ def test_empty_tables(spark, empty):
     assert substrings.substring_dedup(empty).count() == 0
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_utf8_of_sliced_arrays():
