@@ -88,14 +88,14 @@ ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LA
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM ranked) THEN rank END AS rank, n_words FROM scored LEFT JOIN ranked USING (r)"""
 
 SUFFIXES = """
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-starts AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 200) AS x FROM (SELECT r, doc_id, h, unnest(range(0, strlen(h) // 2 - 99)) AS i FROM docs)),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT r, doc_id, i, b[i + 1:i + 100] AS x FROM (SELECT r, doc_id, b, unnest(range(0, octet_length(b) - 99)) AS i FROM docs)),
 late AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY x ORDER BY doc_id NULLS LAST, r, i) AS nth FROM starts) WHERE nth > 1),
-bytes AS (SELECT r, unnest(range(0, strlen(h) // 2)) AS p FROM docs),
-gone AS (SELECT b.r, b.p, max(CASE WHEN l.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY b.r ORDER BY b.p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS g FROM bytes b LEFT JOIN late l ON l.r = b.r AND l.i = b.p),
+bytes AS (SELECT r, hex(b[p + 1:p + 1]) AS c, p FROM (SELECT r, b, unnest(range(0, octet_length(b))) AS p FROM docs)),
+gone AS (SELECT b.r, b.p, c, max(CASE WHEN l.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY b.r ORDER BY b.p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS g FROM bytes b LEFT JOIN late l ON l.r = b.r AND l.i = b.p),
 turns AS (SELECT *, lead(g, 1, 0) OVER (PARTITION BY r ORDER BY p) AS g_next FROM gone),
-sums AS (SELECT r, CAST(sum(g) AS BIGINT) AS n_removed, count_if(g = 1 AND g_next = 0) AS n_spans, string_agg(substr(h, 2 * p + 1, 2), '' ORDER BY p) FILTER (WHERE g = 0) AS kept FROM turns JOIN docs USING (r) GROUP BY r)
-SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM docs LEFT JOIN sums USING (r)"""
+sums AS (SELECT r, CAST(sum(g) AS BIGINT) AS n_removed, count_if(g = 1 AND g_next = 0) AS n_spans, string_agg(c, '' ORDER BY p) FILTER (WHERE g = 0) AS kept FROM turns GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM docs LEFT JOIN sums USING (r)"""
 
 DIVERGENCE = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_low("coalesce(text, '')")}, '{TERM}') AS w FROM documents),
