@@ -368,6 +368,11 @@ def iterative_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iterative(R.reads(spark, sf_dir), (21, 31), 2)[0].select("seg", "seq", "coverage")
 
 
+@query()
+def iterative_assembly_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iterative(R.reads(spark, sf_dir), P.ks[-3:], 2)[0].select("seq", "coverage")
+
+
 @query()
 def corrected_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correct_reads(written(kernels.reduced(R.reads(spark, sf_dir), P.order, P.compression), "reduced"), Parameters(min_abundance=2)).select("seq")
@@ -380,7 +385,7 @@ def shrunk_read_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def whole_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly(R.reads(spark, sf_dir), Parameters(min_abundance=2))[0].select("seq", "length", "coverage")
+    return assembly(R.reads(spark, sf_dir), Parameters(min_abundance=2, ks=(17, 21, 31)))[0].select("seq", "length", "coverage")
 
 
 # walks
