@@ -148,13 +148,14 @@ def _grams(length: int, buckets: int) -> Callable[[Batches], Batches]:
         own = np.where(once, row[at], -1)[order]
         asked = [names.view(np.int64)[order], times[order], own, np.where(once, spot[at], 0)[order]]
         known = ~once[back]
-        columns = _lists(bucket[order], buckets, *asked)
+        filled, group = np.unique(bucket[order], return_inverse=True)
+        columns = _lists(group, len(filled), *asked)
         none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.array([], pa.int64()))
         passed = [pa.ListArray.from_arrays(pa.array([0, int(known.sum())], pa.int32()), pa.array(x[known])) for x in (row, spot)]
         columns = [pa.concat_arrays([c, more]) for c, more in zip(columns, (none, none, *passed), strict=True)]
         # what needs no partner goes to any bucket
         turn = int(mixed(names[:1])[0] % np.uint64(buckets))
-        return _batch(bucket=pa.array([*range(buckets), turn], pa.int32()), keys=columns[0], times=columns[1], rows=columns[2], spots=columns[3])
+        return _batch(bucket=pa.array([*filled.tolist(), turn], pa.int32()), keys=columns[0], times=columns[1], rows=columns[2], spots=columns[3])
 
     def run(batches: Batches) -> Batches:
         powers, held, size = Powers(), [], 0
@@ -198,8 +199,9 @@ def _partners(limit: int) -> Callable[[pa.Table], pa.Table]:
         whole = np.bincount(back, weights=times, minlength=len(names))
         good = (whole[back] > 1) & (row >= 0)
         row, spots = _by_row(np.concatenate((row[good], _flat(passed, "rows"))), np.concatenate((spot[good], _flat(passed, "spots"))))
-        hot = pa.array([names[whole > limit].tolist()], pa.list_(pa.int64()))
-        return pa.table({"row": pa.concat_arrays([row, pa.nulls(1, pa.int64())]), "spots": pa.concat_arrays([spots, hot])})
+        often = names[whole > limit].tolist()
+        hot = pa.array([often] if often else [], pa.list_(pa.int64()))
+        return pa.table({"row": pa.concat_arrays([row, pa.nulls(len(hot), pa.int64())]), "spots": pa.concat_arrays([spots, hot])})
 
     return run
 
