@@ -86,31 +86,34 @@ def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-def _tile(totals: Totals, top: int) -> Callable[[pa.Table], pa.Table]:
-    def run(block: pa.Table) -> pa.Table:
+def _tile(totals: Totals, top: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def rows(lang: str, part: str, source: pa.Array, item: pa.Array, value: np.ndarray) -> pa.RecordBatch:
+        same = lambda x: pa.array([x] * len(value), pa.string())
+        return pa.RecordBatch.from_arrays([same(lang), source, same(part), item, pa.array(value, pa.int64())], names=["lang", "source", "part", "item", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.Table.from_batches(list(batches))
         lang = block["lang"][0].as_py()
         kept, sources, sizes = totals[lang]
         place = {s: i for i, s in enumerate(sources)}
         found = block["term"].combine_chunks().dictionary_encode()
         row = np.array([place[s] for s in block["source"].to_pylist()], np.int64)
-        names = found.dictionary
+        names = found.dictionary.cast(pa.string())
         counts = np.zeros((len(sources), len(names)), np.int64)
         counts[row, found.indices.to_numpy()] = block["n"].to_numpy()
         p = shares(counts + 2, np.array(sizes, np.int64)[:, None] + 2 * kept)
         q = shares(counts.sum(0) + 2, np.array(sum(sizes) + 2 * kept))
-        out: list[tuple[list[str], list[str], np.ndarray]] = []
-        step = max(1, SLICE // max(p.size, 1))
-        for a in range(0, len(sources), step):
-            if len(sources) > 1:
-                values = np.zeros((len(p[a : a + step]), len(sources)), np.int64)
-                wide = max(1, SLICE // (len(values) * len(sources)))
-                for t in range(0, p.shape[1], wide):
-                    values += apart(p[a : a + step, None, t : t + wide], p[None, :, t : t + wide]).sum(2)
-                ones, others = np.divmod(np.arange(values.size), len(sources))
-                differ = ones + a != others
-                out.append((ones[differ] + a, others[differ], values.ravel()[differ]))
-        one, other, value = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
         named = pa.array(sources, pa.string())
+        # pairs leave in slices of rows of the matrix, so a task never holds it whole
+        step = max(1, SLICE // max(p.size, 1))
+        for a in range(0, len(sources) if len(sources) > 1 else 0, step):
+            values = np.zeros((len(p[a : a + step]), len(sources)), np.int64)
+            wide = max(1, SLICE // values.size)
+            for t in range(0, p.shape[1], wide):
+                values += apart(p[a : a + step, None, t : t + wide], p[None, :, t : t + wide]).sum(2)
+            ones, others = np.divmod(np.arange(values.size), len(sources))
+            differ = ones + a != others
+            yield rows(lang, "pair", named.take(pa.array(ones[differ] + a)), named.take(pa.array(others[differ])), values.ravel()[differ])
         above = apart(p, q)
         # the best of a group, ties by bytes of the term
         rank = np.empty(len(names), np.int64)
@@ -125,10 +128,7 @@ def _tile(totals: Totals, top: int) -> Callable[[pa.Table], pa.Table]:
             best_of += [g] * len(can)
             best += can.tolist()
         at = np.array(best_of, np.int64), np.array(best, np.int64)
-        part = pa.array(["pair"] * len(one) + ["term"] * len(best), pa.string())
-        item = pa.concat_arrays([named.take(pa.array(other)), names.take(pa.array(at[1])).cast(pa.string())])
-        source = pa.concat_arrays([named.take(pa.array(one)), named.take(pa.array(at[0]))])
-        return pa.table({"lang": pa.array([lang] * len(part), pa.string()), "source": source, "part": part, "item": item, "value": pa.array(np.concatenate((value, above[at])), pa.int64())})
+        yield rows(lang, "term", named.take(pa.array(at[0])), names.take(pa.array(at[1])), above[at])
 
     return run
 
