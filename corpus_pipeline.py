@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm.common import materialize, table
+from helixframe.llm.common import discard, materialize, table
 from helixframe.llm.contamination import clean
 from helixframe.llm.mixture import mixed
 from helixframe.llm.neardup import deduplicated
@@ -45,10 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written as Parquet and read again."""
+    """All stages over the documents of ``sf_dir``, each written as Parquet and read again; what a stage has read goes once its successor stands."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name}")
+        # the last stage has written its token files and reads nothing else
+        if k:
+            discard(before)
     return docs
