@@ -227,7 +227,9 @@ class Index:
     def __init__(self, frequency: dict[bytes, int]):
         self.rarity = frequency
         self.names = [t for t in templates() if not t.whole]
-        self.texts = [t for t in templates() if t.whole]
+        # a text can't be found where the corpus, or below the file, lacks more of its words than may be missing
+        self.texts = [t for t in templates() if t.whole and sum(frequency.get(w, 0) > 0 for w in t.words) >= COVERAGE * len(t.words)]
+        self.counts = [Counter(t.words) for t in self.texts]
         rare = lambda w: (frequency.get(w, 0), w)
         self.postings = [sorted(((w, i) for i, w in enumerate(t.key)), key=lambda x: (*rare(x[0]), x[1])) for t in self.names]
         self.leads: dict[bytes, list[int]] = defaultdict(list)
@@ -264,9 +266,10 @@ class Index:
                         yield t, start, len(t.key) / (len(t.key) + 1)
 
     def _aligned(self, words: list[bytes], places: dict[bytes, list[int]]) -> Iterator[tuple[Template, int, float]]:
-        for t, posted, (order, key) in zip(self.texts, self.posted, self.orders, strict=True):
+        have = set(words)
+        for t, posted, count, (order, key) in zip(self.texts, self.posted, self.counts, self.orders, strict=True):
             need = max(2, -(-len(posted) // 3))
-            if sum(w in places for w in posted) < need:
+            if sum(w in places for w in posted) < need or sum(n for w, n in count.items() if w in have) < COVERAGE * len(t.words):
                 continue
             votes = sorted((p - i, w) for w, offsets in posted.items() for p in places.get(w, ()) for i in offsets)
             band, size = max(10, len(t.words) // 4), len(t.words)
