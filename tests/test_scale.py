@@ -3,13 +3,14 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import inflate, kernels
+from helixframe.operators import inflate, kernels, longmers
 
 
 def _dna(n, seed=0):
@@ -100,3 +101,28 @@ def test_pieces_equal_reads_reduced_one_by_one(spark):
                         want.add((i, n, S.letters(base)))
             found = kernels.reduced_pieces(spark.createDataFrame(rows, "read_id long, seq string"), 15, 4, hpc, ends).collect()
             assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+def test_a_bucket_holds_bytes_not_indexes():
+    k, packed = 101, {}
+    reads = pa.RecordBatch.from_arrays([pa.array([_dna(2000, i) for i in range(40)])], names=["seq"])
+    rows = pa.Table.from_batches(longmers._pieces(k, 1, np.zeros(0, np.uint64))(iter([reads]))).select(["bucket", "shape", "packed", "n"])
+    for name, make in (("counted", longmers._counted(k, 1)), ("joined", lambda t: longmers.Bucket(t, k, 1).mates())):
+        tracemalloc.start()
+        make(rows)
+        packed[name] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    # 76,000 k-mers of 101 bases: an index of their bases alone is 61 MB
+    assert max(packed.values()) < 55e6, packed
+
+
+def test_long_windows_of_words_have_many_names():
+    rng = random.Random(1)
+    words = [_dna(rng.randrange(3, 9), i) for i in range(2000)]
+    code = S.codes("".join(rng.choice(words) for _ in range(300_000)).encode())
+
+    def hot(m):
+        n = np.unique(longmers.minimizers(code, 190, m), return_counts=True)[1]
+        return n[n > n.sum() / longmers.HOT].sum() / n.sum()
+
+    assert hot(longmers._shape(191)) < 0.5 * hot(11)
