@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
-from helixframe.operators import inflate, kernels, longmers
+from helixframe.operators import align, inflate, kernels, longmers
 
 
 def _dna(n, seed=0):
@@ -126,3 +126,14 @@ def test_long_windows_of_words_have_many_names():
         return n[n > n.sum() / longmers.HOT].sum() / n.sum()
 
     assert hot(longmers._shape(191)) < 0.5 * hot(11)
+
+
+def test_hits_are_replayed_few_at_a_time():
+    hits = [{"pos": p, "seg": p % 3, "cpos": 0, "fwd": True, "size": 40} for p in range(0, 4000, 2)]
+    shape = pa.list_(pa.struct([("pos", pa.int64()), ("seg", pa.int64()), ("cpos", pa.int64()), ("fwd", pa.bool_()), ("size", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([5000] * 200, pa.int32()), pa.array([hits] * 200, shape)], names=["read_id", "read_size", "hits"])
+    found = list(align._replayed(31)(iter([batch])))
+    one = pa.Table.from_batches(align._replayed(31)(iter([batch.slice(0, 1)])))
+    assert len(found) > 4 and sum(b.num_rows for b in found) == 200 * one.num_rows
+    # each batch left before the next one's hits became objects
+    assert max(b.num_rows for b in found) <= one.num_rows * align.HITS // len(hits)
