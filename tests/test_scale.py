@@ -147,3 +147,25 @@ def test_extensions_choose_by_number_and_skip_unknown_segments(spark):
     # no whole sequence in the plan's aggregates
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Aggregate" in x and "text" in x]
+
+
+def test_rounds_of_trimming_write_open_links_only(spark, monkeypatch):
+    from helixframe.operators import edit
+
+    # pairs that are settled at once, and one line whose ends act one after another
+    line = [(i, 1, i + 1, 0, 1 + i % 3) for i in range(16)]
+    pairs = [(1000 + 2 * i, 1, 1001 + 2 * i, 0, 5) for i in range(200)]
+    edges = spark.createDataFrame([y for a, ea, b, eb, x in line + pairs for y in ((a, ea, b, eb, x), (b, eb, a, ea, x))], "a long, ea int, b long, eb int, overlap int")
+    segments = spark.createDataFrame([(i, 4) for i in range(17)] + [(1000 + i, 100) for i in range(400)], "seg long, length int")
+    sizes, write = [], edit.written
+
+    def counting(df, tag):
+        out = write(df, tag)
+        if tag in ("overlaps", "tagged"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(edit, "written", counting)
+    lost, left = edit.trimmed_overlaps(segments, edges)
+    assert sizes[0] == 432 and len(sizes) > 4 and all(n <= 60 for n in sizes[3:])
+    assert {r["overlap"] for r in left.where("a >= 1000").collect()} == {0} and lost.count() == 417
