@@ -169,3 +169,35 @@ def test_rounds_of_trimming_write_open_links_only(spark, monkeypatch):
     lost, left = edit.trimmed_overlaps(segments, edges)
     assert sizes[0] == 432 and len(sizes) > 4 and all(n <= 60 for n in sizes[3:])
     assert {r["overlap"] for r in left.where("a >= 1000").collect()} == {0} and lost.count() == 417
+
+
+def test_rounds_of_copying_write_their_copies_only(spark, monkeypatch):
+    from helixframe.operators import edit
+
+    # s is copied for x and y, then t for the copies' sake; 200 links have nothing to copy
+    links = [(0, 1, 2, 0), (1, 1, 2, 0), (2, 1, 3, 0), (3, 1, 4, 0), (3, 1, 5, 0)] + [(1000 + 2 * i, 1, 1001 + 2 * i, 0) for i in range(200)]
+    edges = spark.createDataFrame([y for a, ea, b, eb in links for y in ((a, ea, b, eb), (b, eb, a, ea))], "a long, ea int, b long, eb int")
+    segments = spark.createDataFrame([(i, 100, 20.0 if i in (2, 3) else 10.0) for i in range(6)] + [(1000 + i, 100, 9.0) for i in range(400)], "seg long, length int, coverage double")
+    sizes, write = [], edit.written
+
+    def counting(df, tag):
+        out = write(df, tag)
+        if tag in ("segments", "edges"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(edit, "written", counting)
+    whole, left = edit.duplicated(segments, edges, edit.shared_ends)
+    assert sizes[:2] == [406, 410] and len(sizes) > 4 and all(n <= 20 for n in sizes[2:])
+    assert sorted(r["coverage"] for r in whole.where("length = 100 and coverage > 9").collect()) == [10.0] * 8
+    assert left.count() == 416 and edit.unpaired(left).count() == 0
+
+
+def test_links_are_made_distinct_before_they_are_turned_round(spark):
+    from helixframe.plans import relations
+
+    links = spark.createDataFrame([(1, 1, 2, 0), (2, 0, 1, 1), (3, 1, 3, 1), (4, 0, 4, 1), (5, 1, 1, 1)], "a long, ea int, b long, eb int")
+    both = relations.mirrored(links)
+    assert sorted(map(tuple, both.collect())) == [(1, 1, 2, 0), (1, 1, 5, 1), (2, 0, 1, 1), (3, 1, 3, 1), (4, 0, 4, 1), (4, 1, 4, 0), (5, 1, 1, 1)]
+    # one shuffle, and each link in it once
+    assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString()
