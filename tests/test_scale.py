@@ -201,3 +201,20 @@ def test_links_are_made_distinct_before_they_are_turned_round(spark):
     assert sorted(map(tuple, both.collect())) == [(1, 1, 2, 0), (1, 1, 5, 1), (2, 0, 1, 1), (3, 1, 3, 1), (4, 0, 4, 1), (4, 1, 4, 0), (5, 1, 1, 1)]
     # one shuffle, and each link in it once
     assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tries_shuffle_paths_once_a_level_and_deal_out_busy_sides(spark, monkeypatch):
+    from helixframe.operators import walks
+
+    rows = [(r, i, x, True) for r in range(40) for i, x in enumerate([1, 2 + r % 4, 7 + r % 3, 11])]
+    steps = spark.createDataFrame(rows, "read_id long, idx int, seg long, fwd boolean")
+    shape = "seg long, side int, read_id long, at int, ahead boolean, n int, nodes array<long>"
+    plain = sorted(map(tuple, walks.prefix_support(steps).collect()))
+    assert ((1, 1, ">2", 1, 10, 30)) in plain and ((1, 1, ">2>7", 2, 4, 6)) in plain
+    named = walks.Beyond(steps).walks.mapInArrow(walks._named(0, 8), shape)
+    few, all_ = (walks.Beyond._counted(named, 0, often).select("seg", "side", "path", "n", "w", "facts") for often in (5, 10_000))
+    key = lambda df: sorted((*r[:5], sorted((x["depth"], x["support"], x["against"]) for x in r["facts"])) for r in df.collect())
+    assert key(few) == key(all_)
+    # no path's prefixes are shuffled: one exchange of paths, none behind the explode
+    plan = all_._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate")]
