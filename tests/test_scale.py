@@ -218,3 +218,20 @@ def test_tries_shuffle_paths_once_a_level_and_deal_out_busy_sides(spark, monkeyp
     # no path's prefixes are shuffled: one exchange of paths, none behind the explode
     plan = all_._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("Generate")]
+
+
+def test_enumerated_walks_are_not_shuffled_to_be_counted(spark):
+    from helixframe.operators import paths
+
+    # 0 goes to seven segments and each of these to seven more, 100 to two
+    links = [(0, 1, i, 0) for i in range(1, 8)] + [(i, 1, 10 * i + j, 0) for i in range(1, 8) for j in range(7)] + [(100, 1, 101, 0), (100, 1, 102, 0)]
+    edges = spark.createDataFrame([y for a, ea, b, eb in links for y in ((a, ea, b, eb), (b, eb, a, ea))], "a long, ea int, b long, eb int").distinct()
+    segments = spark.createDataFrame([(i, 10) for i in {x for a, _, b, _ in links for x in (a, b)}], "seg long, length int")
+    starts = spark.createDataFrame([(s, 1, 20) for s in (0, 100)], "seg long, end int, budget int")
+    plans, found = {}, {}
+    for most in (49, 50):
+        out = paths.bounded(starts, edges, segments, most)
+        found[most] = sorted((r["seg"], r["length"]) for r in out.collect())
+        plans[most] = out._jdf.queryExecution().optimizedPlan().toString()
+    assert found == {49: [(100, 10)] * 2, 50: [(0, 20)] * 49 + [(100, 10)] * 2}
+    assert all("LeftSemi" not in p and "Aggregate" not in p for p in plans.values())
