@@ -231,6 +231,43 @@ def test_unitigs_equal_a_plain_version(spark, seed):
     assert got == [x for x, _ in plain_unitigs(twice, 15, 2)]
 
 
+@pytest.mark.parametrize(("seed", "k"), [(0, 5), (1, 11), (2, 25), (3, 31)])
+def test_unitig_coverage_equals_a_plain_version_and_writes_no_kmers(spark, monkeypatch, seed, k):
+    from helixframe.operators import longmers
+    from helixframe.plans import catalogue
+
+    rng = random.Random(seed)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    genome, ring = text(900), text(300)
+    sources = (genome, genome[:400] + "A" + genome[401:], genome[200:500] + text(200) + genome[500:700], ring + ring[: k + 90])
+    reads = [x[i : i + k + 50] for x in sources for i in range(0, len(x) - k - 40, 7)]
+    reads += [rc(x) for x in reads[::3]] + ["", None, "A" * (k + 99), "ACGT", text(k + 5)]
+    df = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string").repartition(3)
+    rows = []
+    real = longmers.written
+
+    def counting(frame, tag):
+        out = real(frame, tag)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(longmers, "written", counting)
+    monkeypatch.setattr(catalogue.R, "reads", lambda spark, sf_dir: df)
+    frame = catalogue.unitig_build(spark, "") if k == 25 else longmers.unitig_coverage(df, k, 2)
+    got = sorted((r["seg"], r["n_kmers"], round(r["coverage"], 9)) for r in frame.collect())
+
+    def shape(seq, coverage):
+        kmers = [min(w, rc(w)) for w in (seq[i : i + k] for i in range(len(seq) - k + 1))]
+        ringed = seq[: k - 1] == seq[-(k - 1) :] and len(seq) > k
+        code = lambda w: int("".join(str("ACGT".index(c)) for c in w), 4)
+        return min(map(code, kmers if ringed else (kmers[0], kmers[-1]))), len(kmers), round(coverage, 9)
+
+    want = sorted(shape(*x) for x in plain_unitigs([x for x in reads if x], k, 2))
+    assert got == want
+    # names of minimizers aside, what is written are pieces of unitigs; short k-mers hardly share minimizers
+    assert k < 25 or max(rows[1:]) < sum(x[1] for x in want) / 2
+
+
 @pytest.mark.parametrize(("seed", "k"), [(0, 5), (1, 11), (2, 33), (3, 101)])
 def test_unitigs_of_any_length_equal_a_plain_version(spark, seed, k):
     from helixframe.operators import longmers
