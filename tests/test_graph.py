@@ -135,6 +135,67 @@ def test_pop_bubbles_of_any_number_of_walks(spark):
     assert cut == {tuple(sorted((ids[x], ids[f"p{k}{i}"]))) for k in range(5) for i in range(4) if i != best[k] for x in (joints[k], joints[k + 1])}
 
 
+def plain_popped(shape, at, longest):
+    """The links that go, by enumerating all walks; ``at`` leads from (segment, end) to segments and the ends they are entered by."""
+    budget = longest // 2
+
+    def walks(i, end, left, weight, path):
+        for b, eb in at.get((i, end), []):
+            x, c = shape[b]
+            link = (*path, (i, end, b, eb))
+            if left - x > 0:
+                yield from walks(b, 1 - eb, left - x, weight - x * c, link)
+            else:
+                yield (weight - x * c) / (budget - left + x), [p[2] for p in link], [p[3] for p in link], link
+
+    found = lambda i, end: list(walks(i, end, budget, 0.0, ()))
+    reached = lambda ways: {(w[1][-1], 1 - w[2][-1]) for w in ways}
+    turned = lambda a, ea, b, eb: min((a, ea, b, eb), (b, eb, a, ea))
+    bad, good, back = set(), set(), 0
+    for i, end in [(i, end) for i, (x, _) in enumerate(shape) if x > longest for end in (0, 1)]:
+        ways = found(i, end)
+        if len(ways) < 2 or len(reached(ways)) > 1 or ways[0][1][-1] == i:
+            continue
+        ((last, last_end),) = reached(ways)
+        if reached(found(last, 1 - last_end)) == {(i, 1 - end)}:
+            back += shape[last][0] <= longest
+            bad |= {turned(*x) for w in ways for x in w[3]}
+            good |= {turned(*x) for x in min(ways)[3]}
+    return bad - good, back
+
+
+def test_popped_bubbles_equal_a_plain_version_and_are_walked_once(spark, monkeypatch):
+    rng = random.Random(7)
+    shape, links = {"j0": (500, 10)}, []
+    for k in range(40):
+        shape[f"j{k + 1}"] = (rng.choice((500, 500, 200, 40, 1)), rng.randrange(5, 20))
+        for i in range(rng.randrange(1, 5)):
+            shape[f"m{k}{i}"] = (rng.choice((10, 20, 20, 60)), rng.randrange(1, 9))
+            links.append(f"j{k}+ m{k}{i}{(sign := rng.choice('+-'))}")
+            if rng.random() < 0.97:
+                links.append(f"m{k}{i}{sign} j{k + 1}+")
+    ids, s, e = graph_of(spark, shape, links)
+    at = {}
+    for r in e.collect():
+        at.setdefault((r["a"], r["ea"]), []).append((r["b"], r["eb"]))
+    want, back = plain_popped(list(shape.values()), at, 300)
+    assert {tuple(r) for r in paths.popped(s, e, 300).collect()} == want and len(want) > 20 and back
+    # parallel ways between long segments: of each, only the second of two moves from both ends is written, and no way back
+    shape = {f"j{k}": (500, 10) for k in range(21)} | {f"m{k}{i}": (20, 1 + i) for k in range(20) for i in range(3)}
+    links = [x for k in range(20) for i in range(3) for x in (f"j{k}+ m{k}{i}+", f"m{k}{i}+ j{k + 1}+")]
+    rows, real = [], paths.written
+
+    def counting(frame, tag):
+        out = real(frame, tag)
+        rows.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(paths, "written", counting)
+    ids, s, e = graph_of(spark, shape, links)
+    assert paths.popped(s, e, 300).count() == 80
+    assert [n for tag, n in rows if tag == "spread"] == [120]
+
+
 def test_walk_support(spark):
     # walks to the right of s: [x, y] twice, [x], [x, z]
     rows = []
