@@ -509,6 +509,22 @@ def test_pop_and_shave_equals_a_plain_version(spark, seed, single):
     assert got == kept and 0 < len(kept) < n
 
 
+def test_rescued_neighbours_are_written_once_and_first_looks_not_at_all(spark, monkeypatch):
+    shape = {"a": (500, 30)} | {f"x{i}": (10, 1) for i in range(1, 7)}
+    ids, s, e = graph_of(spark, shape, ["a+ x1+"] + [f"x{i}+ x{i + 1}+" for i in range(1, 6)])
+    rows, real = [], paths.written
+
+    def counting(frame, tag):
+        out = real(frame, tag)
+        rows.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(paths, "written", counting)
+    assert {r["seg"] for r in paths.pop_and_shave(s, e, 5, 43, 21).collect()} == set(ids.values())
+    assert sum(n for tag, n in rows if tag == "kept") == len(shape)
+    assert next(n for tag, n in rows if tag == "explore") == 10
+
+
 def test_trimmed_overlaps_equal_a_plain_version(spark):
     shape, at, s, e = random_graph(spark, 3, 30, 40)
     overlap = {(a, ea, b, eb): (a + b) % 23 for (a, ea), near in at.items() for b, eb in near}
