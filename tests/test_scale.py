@@ -235,3 +235,46 @@ def test_enumerated_walks_are_not_shuffled_to_be_counted(spark):
         plans[most] = out._jdf.queryExecution().optimizedPlan().toString()
     assert found == {49: [(100, 10)] * 2, 50: [(0, 20)] * 49 + [(100, 10)] * 2}
     assert all("LeftSemi" not in p and "Aggregate" not in p for p in plans.values())
+
+
+def test_pieces_of_a_slice_leave_as_one_row_a_bucket():
+    reads = pa.RecordBatch.from_arrays([pa.array([_dna(3000, i % 30) for i in range(40)])], names=["seq"])
+    rows = pa.Table.from_batches(longmers._pieces(61, 7, np.zeros(0, np.uint64))(iter([reads])))
+    assert rows["bucket"].to_pylist() == list(range(7))
+    n = np.frombuffer(b"".join(rows["n"].to_pylist()), np.int32)
+    # ten reads occur twice
+    assert set(n.tolist()) == {1, 2} and sum(len(x) for x in rows["shape"].to_pylist()) == 4 * len(n)
+
+
+def test_unlike_kmers_of_one_hash_are_told_apart(monkeypatch):
+    rng = np.random.default_rng(2)
+    columns = [rng.integers(0, 3, 500).astype(np.uint64) for _ in range(3)]
+    want = sorted(np.unique(np.stack(columns), axis=1, return_counts=True)[1].tolist())
+    for hashed in (longmers._hashed, lambda c: np.zeros(len(c[0]), np.uint64)):
+        monkeypatch.setattr(longmers, "_hashed", hashed)
+        order, head = longmers._grouped(columns)
+        assert sorted(np.diff(np.append(head, 500)).tolist()) == want
+        assert len({tuple(int(c[i]) for c in columns) for i in order[head]}) == len(want)
+
+
+def test_long_kmers_are_summed_up_where_they_are_counted(spark, monkeypatch):
+    from helixframe.plans import catalogue
+
+    reads = [_dna(400, i % 40) for i in range(60)] + ["ACGT" * 60, None, ""]
+    df = spark.createDataFrame(list(enumerate(reads)), "read_id long, seq string").repartition(3)
+    monkeypatch.setattr(catalogue.R, "reads", lambda spark, sf_dir: df)
+    monkeypatch.setattr(longmers, "OUTLINED", 50)
+    want = {}
+    for k in (61, 101):
+        for r in longmers.counts(df, k).collect():
+            want.setdefault((k, r["kmer"][:8], r["n"]), []).append(r["kmer"])
+    found = catalogue.kmer_count_long(spark, "")
+    assert sorted(map(tuple, found.collect())) == sorted((*key, len(x), min(x), max(x)) for key, x in want.items())
+    # what leaves the kernel has no k-mers but the smallest and the largest of each sum, once a task
+    assert "kmer#" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_become_bases_in_a_kernel_as_they_do_in_sql(spark):
+    texts = ["Abc xyz\n", "", None, "ÄöN' 12 – Zz", "\u0000q\U0001f600W"]
+    df = spark.createDataFrame(list(enumerate(texts)), "read_id long, seq string")
+    assert kernels.dna_reads(df).collect() == df.select("read_id", S.dna(F.col("seq")).alias("seq")).collect()
