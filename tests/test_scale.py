@@ -278,3 +278,25 @@ def test_texts_become_bases_in_a_kernel_as_they_do_in_sql(spark):
     texts = ["Abc xyz\n", "", None, "ÄöN' 12 – Zz", "\u0000q\U0001f600W"]
     df = spark.createDataFrame(list(enumerate(texts)), "read_id long, seq string")
     assert kernels.dna_reads(df).collect() == df.select("read_id", S.dna(F.col("seq")).alias("seq")).collect()
+
+
+def test_settled_nodes_are_read_only_while_pointers_name_them(spark, monkeypatch):
+    from helixframe.operators import contract
+
+    # one chain of 200 segments, and 300 of two that are settled after the first round
+    links = [(i, 1, i + 1, 0) for i in range(199)] + [(1000 + 2 * i, 1, 1001 + 2 * i, 0) for i in range(300)]
+    edges = spark.createDataFrame([y for a, ea, b, eb in links for y in ((a, ea, b, eb), (b, eb, a, ea))], "a long, ea int, b long, eb int")
+    segments = spark.createDataFrame([(i,) for i in [*range(200), *range(1000, 1600)]], "seg long")
+    sizes, write = [], contract.written
+
+    def counting(df, tag):
+        out = write(df, tag)
+        if tag == "asked":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(contract, "written", counting)
+    found = {r["seg"]: (r["chain"], r["idx"]) for r in contract.chains(segments, edges, small=0).collect()}
+    assert all(found[i] == (0, i) for i in range(200)) and all(found[1001 + 2 * i] == (1000 + 2 * i, 1) for i in range(300))
+    # 602 heads at first; then few besides the long chain's
+    assert sizes[0] >= 602 and len(sizes) > 6 and max(sizes[1:]) < 400
