@@ -300,3 +300,25 @@ def test_settled_nodes_are_read_only_while_pointers_name_them(spark, monkeypatch
     assert all(found[i] == (0, i) for i in range(200)) and all(found[1001 + 2 * i] == (1000 + 2 * i, 1) for i in range(300))
     # 602 heads at first; then few besides the long chain's
     assert sizes[0] >= 602 and len(sizes) > 6 and max(sizes[1:]) < 400
+
+
+def test_many_contigs_are_looked_up_in_buckets(spark, monkeypatch):
+    from helixframe.operators import kmers, lookup
+
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    texts = [_dna(500, i) for i in range(12)]
+    reads = spark.createDataFrame([(i, t if i % 3 else turn(t)) for i, t in enumerate(texts)] + [(20, "A" * 300), (21, None), (22, "ACGT"), (23, texts[1] + texts[2])], "read_id long, seq string").repartition(2)
+    pieces = [t[a : a + 100] for t in texts[:9] for a in range(0, 470, 70)] + ["A" * 90, "ACGT", texts[3][:100], turn(texts[4])[:100]]
+    contigs = spark.createDataFrame(list(enumerate(pieces)), "seg long, seq string").repartition(2)
+    monkeypatch.setattr(lookup, "SLICE", 300)
+    for k, stride in ((31, 5), (21, 1), (29, 7)):
+        want = kmers.contig_hits(reads, contigs, k, stride).select("read_id", "pos", "seg", "cpos", "fwd").collect()
+        found = lookup.hits(reads, contigs, k, stride)
+        got = [tuple(r) for r in found.collect()]
+        assert sorted(x[:5] for x in got) == sorted(map(tuple, want)) and len(want) > 300
+        assert all(x[5] == len(pieces[x[2]]) for x in got)
+    plain = sorted(map(tuple, align.visited(reads, contigs, 31).collect()))
+    monkeypatch.setattr(align, "SIEVED", 0)
+    # no row a k-mer is shuffled to meet its partner
+    walked = align.visited(reads, contigs, 31)
+    assert sorted(map(tuple, walked.collect())) == plain and "kmer#" not in walked._jdf.queryExecution().optimizedPlan().toString()
