@@ -340,3 +340,29 @@ def test_dictionaries_shuffle_packed_texts_once(spark):
     texts = [b"A", b"AA", b"AAAA", b"AAAAA", b"AC", b"ACN", b"T", b"NNA", b""]
     packed = [next(inflate.packed_texts(x + b"G", np.array([0]), np.array([len(x) - 1]), np.array([False]))) for x in texts]
     assert [x.encode() for x in inflate.unpacked_texts(packed).to_pylist()] == texts and [x for _, x in sorted(zip(packed, texts, strict=True))] == sorted(texts)
+
+
+def test_rounds_of_copying_and_ranking_leave_no_bitmaps(spark, monkeypatch):
+    from helixframe.operators import contract, edit, sieve
+
+    made, gone, real = [], [], sieve.sieve
+
+    def counting(keys):
+        out = real(keys)
+        destroy = out.destroy
+        made.append(out)
+        out.destroy = lambda: (gone.append(out), destroy())
+        return out
+
+    for module in (sieve, edit, contract):
+        monkeypatch.setattr(module, "sieve", counting)
+    links = [(0, 1, 2, 0), (1, 1, 2, 0), (2, 1, 3, 0), (3, 1, 4, 0), (3, 1, 5, 0)]
+    edges = spark.createDataFrame([y for a, ea, b, eb in links for y in ((a, ea, b, eb), (b, eb, a, ea))], "a long, ea int, b long, eb int")
+    segments = spark.createDataFrame([(i, 50, 10.0) for i in range(6)], "seg long, length int, coverage double")
+    whole, _ = edit.duplicated(segments, edges, lambda s, e: edit.exclusive_ends(s, e, short=100))
+    assert whole.count() > 6 and len(made) >= 2
+    line = [(i, 1, i + 1, 0) for i in range(20)]
+    edges = spark.createDataFrame([y for a, ea, b, eb in line for y in ((a, ea, b, eb), (b, eb, a, ea))], "a long, ea int, b long, eb int")
+    before = len(made)
+    assert {r["idx"] for r in contract.chains(spark.createDataFrame([(i,) for i in range(21)], "seg long"), edges, small=0).collect()} == set(range(21))
+    assert len(made) > before and len(gone) == len(made)
